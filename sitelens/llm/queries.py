@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, toxicity
+from . import decontaminate, language_id, license_scan, packing, toxicity, url_filter
 
-_MODULES = [toxicity, language_id]
+_MODULES = [license_scan, packing, url_filter, toxicity, decontaminate, language_id]
 
 
 def queries() -> dict:
