@@ -176,20 +176,21 @@ def repeated_windows(texts: list[bytes], span: int) -> list[np.ndarray]:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """(row, start, windows, low, code): stretches of windows that have one lowest hash.
+    """(row, start, windows, low, code, twice): stretches of windows that have one lowest hash.
 
-    ``start`` is a place in ``data``; ``code`` is a hash of all bytes of the stretch's windows.
+    ``start`` is a place in ``data``; ``code`` is a hash of all bytes of the stretch's windows; ``twice`` tells whether
+    the lowest hash comes more than once among these, as it does if two windows of one stretch are equal.
     """
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < span:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool)
     low, size = _BYTE[data], 1
     steps = mix(np.arange(64, dtype=np.uint64)) | np.uint64(1)
     while size < _GRAM:
         low = low[:-size] * steps[size] + low[size:]
         size *= 2
-    low = mix(low)
+    gram = low = mix(low)
     width, reach = span - _GRAM + 1, 1
     while 2 * reach <= width:
         low = np.minimum(low[:-reach], low[reach:])
@@ -212,7 +213,20 @@ def stretches(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndar
     row = row_of(offsets, start)
     good = start + span <= offsets[row + 1]
     start, long, row = start[good], long[good], row[good]
-    return row, start, long, low[start], span_hashes(data, start, start + long + span - 1)
+    own = low[start]
+    # Where a lowest hash stands: as the lowest of all strings in some window over it.
+    high, reach = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)]), 1
+    while 2 * reach <= width:
+        high = np.maximum(high[:-reach], high[reach:])
+        reach *= 2
+    if width > reach:
+        high = np.maximum(high[: reach - width], high[width - reach :])
+    at = np.flatnonzero(gram == high)
+    names, name = np.unique(gram[at], return_inverse=True)
+    keys = np.sort(name * n + at)
+    base = np.searchsorted(names, own) * n + start
+    twice = np.searchsorted(keys, base + long + width - 1) - np.searchsorted(keys, base) > 1
+    return row, start, long, own, span_hashes(data, start, start + long + span - 1), twice
 
 
 def _tag(text="text"):
@@ -220,8 +234,8 @@ def _tag(text="text"):
     return F.pmod(F.xxhash64(text), F.lit(1 << 20))
 
 
-def _pack(start, windows, tag):
-    return (tag << 42) | (start << 10) | windows
+def _pack(start, windows, tag, twice):
+    return (tag << 42) | (start << 10) | (twice.astype(np.int64) << 9) | windows
 
 
 def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard_bytes: int = 4 << 20, partitions: int | None = None) -> DataFrame:
@@ -232,20 +246,21 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
         for batch in batches:
             ids, tags = batch.column("doc_id"), np.asarray(batch.column("tag").to_numpy(zero_copy_only=False), np.int64)
             for first, data, offsets in text_blocks(batch.column("text"), 1 << 19):
-                row, start, long, low, code = stretches(data, offsets, span)
+                row, start, long, low, code, twice = stretches(data, offsets, span)
                 for i in range(0, len(row), 50_000):
                     r = row[i : i + 50_000]
-                    where = _pack(start[i : i + 50_000] - offsets[r], long[i : i + 50_000], tags[first + r])
+                    where = _pack(start[i : i + 50_000] - offsets[r], long[i : i + 50_000], tags[first + r], twice[i : i + 50_000])
                     yield pa.record_batch([pa.array(low[i : i + 50_000].view(np.int64)), pa.array(code[i : i + 50_000].view(np.int64)), ids.take(pa.array(first + r)), pa.array(where)], ["low", "code", "doc_id", "place"])
 
     found = saved(docs.select("doc_id", "text", "tag").mapInArrow(scan, "low long, code long, doc_id long, place long"), "stretches")
-    again = found.groupBy("low").agg(F.count("*").alias("n")).filter("n > 1").select("low")
+    twice = F.max(F.col("place").bitwiseAND(F.lit(512))) > 0
+    again = found.groupBy("low").agg(F.count("*").alias("n"), twice.alias("twice")).filter("n > 1 or twice").select("low")
     rows = saved(found.join(again, "low", "left_semi"), "repeats")
     # Equal stretches: all their windows repeat. One of them stands for them among the others with the same lowest hash.
-    kinds = saved(rows.groupBy("low", "code").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("one")), "kinds")
+    kinds = saved(rows.groupBy("low", "code").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("one")).select("low", "code", "n", "one.doc_id", "one.place"), "kinds")
     whole = rows.join(kinds.filter("n > 1").select("low", "code"), ["low", "code"], "left_semi")
-    varied = kinds.groupBy("low").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    open_ = kinds.join(varied, "low").select("low", "n", "kinds", "one.doc_id", "one.place")
+    varied = kinds.groupBy("low").agg(F.count("*").alias("kinds"), twice.alias("twice")).filter("kinds > 1 or twice").drop("twice")
+    open_ = kinds.join(varied, "low").select("low", "n", "kinds", "doc_id", "place")
     wanted = open_.withColumn("tag", F.shiftright("place", 42)).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "low", "n", "kinds")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +270,7 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
                 text = (r["text"] or "").encode()
                 out = []
                 for p in r["parts"]:
-                    start, long = (p["place"] >> 10) & 0xFFFFFFFF, p["place"] & 1023
+                    start, long = (p["place"] >> 10) & 0xFFFFFFFF, p["place"] & 511
                     out.append((p["low"], p["n"], p["kinds"], r["doc_id"], p["place"], text[start : start + long + span - 1]))
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 5 + (pa.binary(),), strict=True)], ["low", "n", "kinds", "doc_id", "place", "bytes"])
 
@@ -297,7 +312,7 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
         for batch in batches:
             for r in batch.to_pylist():
                 data = np.frombuffer(r["bytes"], np.uint8)
-                at = np.arange(r["place"] & 1023)
+                at = np.arange(r["place"] & 511)
                 a, b = span_hashes(data, at, at + span), span_hashes(data ^ np.uint8(0xA5), at, at + span)
                 start = (r["place"] >> 10) & 0xFFFFFFFF
                 k = len(at)
@@ -307,10 +322,10 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
     shards = shards.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "low").sortWithinPartitions("low")
     sorted_ = shards.mapInArrow(sort_shard, columns)
     each = pieces.filter(F.col("kinds") > hot).mapInArrow(windows, "a long, b long, doc_id long, tag long, start long")
-    twice = each.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    frequent = each.join(twice, ["a", "b"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + span).alias("stop"))
+    equal_ = each.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+    frequent = each.join(equal_, ["a", "b"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + span).alias("stop"))
     start = F.shiftright("place", 10).bitwiseAND(F.lit(0xFFFFFFFF))
-    equal = whole.select("doc_id", F.shiftright("place", 42).alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(1023)) + (span - 1)).alias("stop"))
+    equal = whole.select("doc_id", F.shiftright("place", 42).alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(511)) + (span - 1)).alias("stop"))
     return equal.unionByName(sorted_).unionByName(frequent)
 
 
