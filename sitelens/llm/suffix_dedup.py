@@ -70,17 +70,28 @@ def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.n
 def _by_doubling(rank: np.ndarray) -> np.ndarray:
     """Suffix array of a string of many different symbols, by ranks of prefixes of 1, 2, 4, ... symbols."""
     n, k = len(rank), 1
-    rank = rank.astype(np.int64)
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - k] = rank[k:]
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        if new[order[-1]] == n - 1 or k >= n:
-            return order
-        rank, k = new, 2 * k
+    order = np.argsort(rank, kind="stable")
+    first = np.append(True, np.diff(rank[order]) != 0)
+    place = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # of its group's first suffix
+    group = np.empty(n, np.int64)
+    group[order] = place
+    open_ = np.flatnonzero(~(first & np.append(first[1:], True)))  # places whose group has other suffixes
+    while len(open_):
+        own = order[open_]
+        after = np.full(len(own), -1, np.int64)
+        inside = own + k < n
+        after[inside] = group[own[inside] + k]
+        key = place[open_] * (n + 1) + after + 1
+        by = np.argsort(key, kind="stable")
+        own, key = own[by], key[by]
+        order[open_] = own
+        new = np.append(True, np.diff(key) != 0)
+        at = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+        place[open_] = open_[at]
+        group[own] = open_[at]
+        open_ = open_[~(new & np.append(new[1:], True))]
+        k *= 2
+    return order
 
 
 def suffix_array(text: np.ndarray, most_letters: int = 1024) -> np.ndarray:
@@ -95,6 +106,7 @@ def suffix_array(text: np.ndarray, most_letters: int = 1024) -> np.ndarray:
         return np.arange(n)[::-1].copy()
     if int(text.max()) >= most_letters:
         return _by_doubling(text)
+    text = text.astype(np.uint16)  # whose stable sort takes linear time
     step = np.sign(np.diff(text.astype(np.int32)))
     last = np.where(step != 0, np.arange(n - 1), n)
     last = np.minimum.accumulate(last[::-1])[::-1]  # the next place where neighbours differ
