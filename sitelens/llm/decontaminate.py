@@ -92,7 +92,7 @@ def _tile_block(items, min_tile: int, min_coverage: float):
                 order = np.lexsort((item_at, item, doc))
                 doc, item, text_at, item_at = doc[order], item[order], text_at[order], item_at[order]
                 cut = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0))) if len(doc) else []
-                for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):
+                for a, b in zip(cut, [*cut[1:], len(doc)], strict=False):
                     size = int(length[item[a]])
                     # Tiles have min_tile tokens for each of their seeds at most, so fewer seeds can't reach the coverage.
                     if len(np.unique(item_at[a:b])) * min_tile < min_coverage * size:
