@@ -98,19 +98,19 @@ def _propose(ids: np.ndarray, row: np.ndarray, partner: np.ndarray, sim: np.ndar
     return pa.record_batch([pa.array(ids[row[at]], pa.int64()), _lists(partner, sizes, pa.int64()), _lists(sim.astype(np.float32), sizes, pa.float32())], ["id", "near", "sim"])
 
 
-def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 20, rounds: int = 10, least: float = 0.002, leaf: int = 256) -> DataFrame:
+def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 20, rounds: int = 10, least: float = 0.002, leaf: int = 256, deals: int = 3) -> DataFrame:
     """(id, near, sim): about the k nearest of every row of ``points`` (id, h binary of 16-bit floats, code).
 
     First neighbours: the best inside groups of equal signs on random planes, these dealt by hash into groups of about
-    ``leaf``. Each round joins every node with its neighbours and a hashed choice of ``reverse`` nodes that have it as a neighbour,
+    ``leaf``, in ``deals`` ways, so that paths lead from each group to others. Each round joins every node with its neighbours and a hashed choice of ``reverse`` nodes that have it as a neighbour,
     compares these among one another, and keeps each one's k best; it ends when fewer than ``least`` of all entries change.
     """
     n = points.count()
     width = max(1, -(-n // leaf))
     bits = max(0, width.bit_length() - 2)
-    sized = points.withColumn("cell", F.col("code").bitwiseAND(F.lit((1 << bits) - 1)))
-    parts = sized.groupBy("cell").agg(F.ceil(F.count("*") / leaf).alias("parts"))
-    dealt = sized.join(parts, "cell").withColumn("group", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("parts")))).select("group", "id", "h").repartition("group").sortWithinPartitions("group")
+    sized = points.withColumn("deal", F.explode(F.array(*map(F.lit, range(deals))))).withColumn("cell", F.expr(f"shiftright(code, deal * {48 // deals})").bitwiseAND(F.lit((1 << min(bits, 48 // deals)) - 1)))
+    parts = sized.groupBy("deal", "cell").agg(F.ceil(F.count("*") / leaf).alias("parts"))
+    dealt = sized.join(parts, ["deal", "cell"]).withColumn("group", F.xxhash64("deal", "cell", F.pmod(F.xxhash64("id", "deal"), F.col("parts")))).select("group", "id", "h").repartition("group").sortWithinPartitions("group")
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_group(batches, "group"):

@@ -341,19 +341,19 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
     return equal.unionByName(sorted_).unionByName(frequent)
 
 
-def remove_repeats(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard_bytes: int = 4 << 20, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """(doc_id, kept binary, kept_text, n_bytes, n_removed, n_spans) of every row of ``docs`` (doc_id, text), and the columns ``carry``.
 
-    A byte goes if a string of ``span`` bytes covers it that also starts anywhere else in the texts, its own included.
+    ``kept_text`` is ``kept`` without the parts of characters that were cut. A byte goes if a string of ``span`` bytes covers it that also starts anywhere else in the texts, its own included.
     ``kept`` are the other bytes. A null text is empty; a text of fewer than ``span`` bytes keeps all. Of repeated rows
     every one loses what it shares with the others. An empty table gives no rows; other columns are ignored.
     Groups of more than ``hot`` different stretches with one lowest hash are compared window by window, by hash,
     instead of in one shard.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", _tag())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest")).withColumn("tag", _tag())
     spans = repeated_spans(docs, span=span, hot=hot, shard_bytes=shard_bytes).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "spans")
-    joined = docs.join(spans, docs.doc_id.eqNullSafe(F.col("_doc")) & (docs.tag == F.col("_tag")), "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, docs.doc_id.eqNullSafe(F.col("_doc")) & (docs.tag == F.col("_tag")), "left").select("doc_id", "text", "rest", "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,9 +378,11 @@ def remove_repeats(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
                 sizes.append(len(raw))
                 gone.append(removed)
                 runs.append(n)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            texts = [k.decode(errors="ignore") for k in kept]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs)), batch.column("rest")], ["doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "rest"])
 
-    return joined.mapInArrow(keep, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    rest = joined.schema["rest"].dataType.simpleString()
+    return joined.mapInArrow(keep, f"doc_id long, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long, rest {rest}").select("doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
