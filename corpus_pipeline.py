@@ -2,32 +2,64 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.llm._text import saved
+from sitelens.llm.decontaminate import find_contamination
+from sitelens.llm.language_id import held_out
+from sitelens.llm.near_dup import near_duplicates
+from sitelens.llm.packing import pack_documents
+from sitelens.llm.suffix_dedup import remove_repeats
 from sitelens.llm.toxicity import score_toxicity
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out the documents with a toxicity of 0.3 or more."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    """Leaves out the documents with a toxicity of 0.3 or more; labels of documents held out are not learnt from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
     bad = score_toxicity(docs, labels).filter(F.col("score") >= 0.3).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least doc_id of each class of near duplicates, once."""
+    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
-#: No stage but the first can be said in SQL; tests/llm compares each with a plain version.
+
+def remove_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out of the texts every byte of a 200-byte string that comes more than once; half characters at its edges go too."""
+    found = remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    return found.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the documents that hold half of a benchmark item or more."""
+    bad = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of at most 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_each),
+    ("suffix_dedup", remove_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: SQL can't say any of the stages; tests/llm compares each operator with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole of ``documents``."""
-    from sitelens.llm._text import saved
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = saved(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
