@@ -24,3 +24,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import search_plans  # noqa: E402, F401
