@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._text import saved
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -254,16 +256,23 @@ def infer_wrappers(pages: DataFrame, *, sample: int = 12) -> DataFrame:
     return some.groupBy("host").applyInArrow(infer, "host string, path string, wrapper string")
 
 
-def extract_text(pages: DataFrame, *, sample: int = 12) -> DataFrame:
+def extract_text(pages: DataFrame, *, sample: int = 12, most_hosts: int = 50_000, salts: int = 64) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
     A host's wrapper says where its articles stand; menus, headers without the title, footers, sidebars, notices, adverts, forms, scripts,
     styles and comments in it are left out. Blocks are in page order, one a line, white space in them is one space. A null or
     empty html gives an empty text; pages of a null url, or one without ``://``, make one host. A page without its host's place
     gives its article or main element, else its body. Repeated rows stay; other columns are ignored.
+    The places of up to ``most_hosts`` hosts are sent to all tasks; of more they meet the pages by host and one of ``salts``
+    salts, so that a host with many pages has many tasks.
     """
-    pages = pages.select("page_id", "url", "html")
-    wrappers = infer_wrappers(pages, sample=sample).select("host", "path")
+    pages = pages.select("page_id", "url", "html").withColumn("host", _host("url"))
+    wrappers = saved(infer_wrappers(pages, sample=sample).select("host", "path"), "wrappers")
+    if wrappers.count() <= most_hosts:
+        joined = pages.join(F.broadcast(wrappers), "host", "left")
+    else:
+        salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,8 +280,7 @@ def extract_text(pages: DataFrame, *, sample: int = 12) -> DataFrame:
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    joined = pages.withColumn("host", _host("url")).join(wrappers, "host", "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:
