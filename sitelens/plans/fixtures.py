@@ -29,6 +29,18 @@ SELECT page_id, url,
        regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
        length(html) AS html_chars
 FROM pages""",
+    "fx_evidence": """
+SELECT page_id, url, site, path, title, h1, lang,
+       CASE WHEN page_id % 4 = 0 THEN '' WHEN page_id % 9 = 0 THEN concat(title, title, title, h1) ELSE concat(title, ' ', h1) END AS description,
+       CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS canonical,
+       CAST(floor(html_chars / 12.0) AS BIGINT) - 80 AS words,
+       page_id % 3 <> 0 AS has_viewport, page_id % 11 = 0 AS noindex, page_id % 2 = 0 AND page_id % 13 <> 1 AS has_schema,
+       CAST(page_id % 7 AS BIGINT) - 3 AS images_missing_alt, url LIKE 'https%' AS has_https
+FROM fx_pages""",
+    "fx_prose": """
+SELECT source AS site, concat('/d/', CAST(doc_id AS STRING)) AS path, substring(text, 1, 60) AS title, substring(text, 1, 40) AS h1,
+       substring(text, 41, 50) AS heading, text AS prose, CAST(doc_id % 5 AS DOUBLE) / 10 AS link_density
+FROM documents""",
     "fx_links": """
 SELECT concat('/n/', CAST(CAST(floor((c_custkey - 1) / 3.0) AS BIGINT) AS STRING)) AS src,
        concat('/n/', CAST(c_custkey AS STRING)) AS dst
@@ -70,6 +82,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The adapter ``name`` over the tables of ``folder``."""
+    if re.search(r"\bFROM fx_", ADAPTERS[name]):
+        inner = re.search(r"\bFROM (fx_\w+)", ADAPTERS[name])[1]
+        return spark.sql(ADAPTERS[name].replace(f"FROM {inner}", f"FROM {{{inner}}}"), **{inner: frame(spark, folder, inner)})
     used = [t for t in _TABLES if re.search(rf"\bFROM {t}\b", ADAPTERS[name])]
     text = re.sub(r"\bFROM (\w+)\b", lambda m: f"FROM {{{m[1]}}}" if m[1] in used else m[0], ADAPTERS[name])
     return spark.sql(text, **{t: table(spark, folder, t) for t in used})
@@ -77,7 +92,7 @@ def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def with_adapters(sql: str) -> str:
     """SQL with the adapters that it names put before it."""
-    names = [n for n in ADAPTERS if re.search(rf"\b{n}\b", sql)]
+    names = [n for n in ADAPTERS if re.search(rf"\b{n}\b", sql) or n == "fx_pages" and "fx_evidence" in sql]
     ctes = ",\n".join(f"{n} AS ({ADAPTERS[n]})" for n in names)
     if not names:
         return sql.strip()
