@@ -98,7 +98,7 @@ def _propose(ids: np.ndarray, row: np.ndarray, partner: np.ndarray, sim: np.ndar
     return pa.record_batch([pa.array(ids[row[at]], pa.int64()), _lists(partner, sizes, pa.int64()), _lists(sim.astype(np.float32), sizes, pa.float32())], ["id", "near", "sim"])
 
 
-def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 20, rounds: int = 10, least: float = 0.002, leaf: int = 256, deals: int = 3) -> DataFrame:
+def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 24, rounds: int = 9, least: float = 0.005, leaf: int = 256, deals: int = 3) -> DataFrame:
     """(id, near, sim): about the k nearest of every row of ``points`` (id, h binary of 16-bit floats, code).
 
     First neighbours: the best inside groups of equal signs on random planes, these dealt by hash into groups of about
@@ -139,7 +139,7 @@ def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 20, rounds
             at = np.flatnonzero(np.append(True, np.diff(keys) != 0))
             found = []
             for a, b in zip(at, [*at[1:], len(keys)], strict=True):
-                row, partner, sim = _pairs_inside(x[a:b], radius[a:b], 6)
+                row, partner, sim = _pairs_inside(x[a:b], radius[a:b], 8)
                 found.append((row + a, partner + a, sim))
             row, partner, sim = (np.concatenate(c) for c in zip(*found, strict=True))
             best = _best(ids[row], ids[partner], sim, k)
@@ -166,7 +166,7 @@ def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 20, rounds
     return graph
 
 
-def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, *, beam: int = 96, width: int = 24, hops: int = 8, sample: int = 2048, reverse: int = 20, block: int = 16_384) -> DataFrame:
+def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, *, beam: int = 160, width: int = 40, hops: int = 8, sample: int = 2048, reverse: int = 20, block: int = 16_384) -> DataFrame:
     """(query_id, id): for each row of ``queries`` (query_id, v) the ``beam`` best points that a greedy search has met.
 
     A query begins at the best of ``sample`` points and, hop by hop, looks at the neighbours (in either direction) of the
@@ -217,7 +217,7 @@ def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, *, bea
     return results
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, graph_k: int = 20, **search) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, graph_k: int = 24, **search) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every vector with ``is_query``, by cosine.
 
     ``vectors``: (vec_id, embedding). Scores are exact cosines in double precision of the original vectors; ties go to
