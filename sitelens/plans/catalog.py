@@ -29,3 +29,5 @@ def oracle_sql() -> dict[str, str]:
 from . import search_plans  # noqa: E402, F401
 
 from . import text_plans  # noqa: E402, F401
+
+from . import audit_plans  # noqa: E402, F401
