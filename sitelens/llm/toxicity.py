@@ -159,7 +159,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_examples: int = 60
     n1 = max(1, sum(chosen.values()))
     n0 = max(1, len(chosen) - sum(chosen.values()))
     rate = (F.col("t") + F.col("c")) / (n1 + n0)
-    z = (F.col("t") / n1 - F.col("c") / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
+    z = F.try_divide(F.col("t") / n1 - F.col("c") / n0, F.sqrt(F.greatest(F.lit(0.0), rate * (1 - rate)) * (1 / n1 + 1 / n0)))
     ratio = (F.col("t") / n1 + 0.25 / n1) / (F.col("c") / n0 + 0.25 / n0)
     seen = examples.mapInArrow(presence, "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter(F.col("t") + F.col("c") >= min_count)
     picked = seen.withColumn("z", z).filter((F.abs("z") >= min_z) & ((ratio >= min_ratio) | (ratio <= 1 / min_ratio))).orderBy(F.abs("z").desc(), "f").limit(max_features).select("f").toPandas()["f"] if chosen else []
