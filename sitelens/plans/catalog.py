@@ -31,3 +31,5 @@ from . import search_plans  # noqa: E402, F401
 from . import text_plans  # noqa: E402, F401
 
 from . import audit_plans  # noqa: E402, F401
+
+from . import page_plans  # noqa: E402, F401

@@ -52,37 +52,35 @@ def marker(term: str, words) -> str:
     return f"list_has_any(string_split({term}, ' '), {_list(words)})"
 
 
-def pages_query(name: str, columns: dict, sql: dict[str, str], source: str = "fx_pages", key: str = "page_id", inner: str | None = None):
-    """A query that computes columns of each row of an adapter."""
+def pages_query(name: str, columns, sql: dict[str, str], source: str = "fx_pages", key: str = "page_id", inner: str | None = None):
+    """A query that computes columns of each row of an adapter; they are made when it runs, as columns need a session."""
     text = f"SELECT {key}, {', '.join(f'{v} AS {k}' for k, v in sql.items())} FROM {inner or source}"
-    query(name, with_adapters(text))(lambda spark, folder: frame(spark, folder, source).select(key, *[c.alias(k) for k, c in columns.items()]))
-
-
-_T = F.col("title")
-pages_query("topic_tokens", {"tokens": F.array_join(X.topic_tokens(_T), " ")}, {"tokens": f"array_to_string({topic('title')}, ' ')"})
-pages_query("keyword_tokens", {"tokens": F.array_join(X.keyword_tokens(_T), " ")}, {"tokens": f"array_to_string({keyword('title')}, ' ')"})
-pages_query("pair_tokens", {"tokens": F.array_join(F.array_sort(X.pair_tokens(_T)), " ")}, {"tokens": f"array_to_string(list_sort(list_distinct(list_filter({_split('title', '[^a-z0-9]+')}, lambda t: length(t) > 3))), ' ')"})
-pages_query("word_set", {"tokens": F.array_join(F.array_sort(X.word_set(_T)), " ")}, {"tokens": f"array_to_string(list_sort({word_set('title')}), ' ')"})
-pages_query("ngrams", {"grams": F.array_join(X.ngrams(X.keyword_tokens(_T)), "|")}, {"grams": f"array_to_string({grams('tk')}, '|')"}, inner=f"(SELECT *, {keyword('title')} AS tk FROM fx_pages) p")
-pages_query("jaccard", {"overlap": X.jaccard(X.topic_tokens(_T), X.topic_tokens(F.col("h1")))}, {"overlap": jaccard("a", "b")}, inner=f"(SELECT *, {topic('title')} AS a, {topic('h1')} AS b FROM fx_pages) p")
-pages_query("normalise_text", {"clean": X.normalise(_T)}, {"clean": "trim(regexp_replace(title, '\\s+', ' ', 'g'))"})
-pages_query("clip", {"short": X.clip(_T, 30)}, {"short": "CASE WHEN length(c) > 30 THEN concat(substring(c, 1, 29), '…') ELSE c END"}, inner="(SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS c FROM fx_pages) p")
-pages_query("wording_flags", {"question": X.has_marker(F.lower(_T), X.QUERY_MARKERS), "comparison": X.has_marker(F.lower(_T), X.COMPARISON_MARKERS), "commercial": X.has_marker(F.lower(_T), X.COMMERCIAL_MARKERS)}, {"question": marker("lower(title)", X.QUERY_MARKERS), "comparison": marker("lower(title)", X.COMPARISON_MARKERS), "commercial": marker("lower(title)", X.COMMERCIAL_MARKERS)})
+    query(name, with_adapters(text))(lambda spark, folder: frame(spark, folder, source).select(key, *[c.alias(k) for k, c in columns().items()]))
+
+
+pages_query("topic_tokens", lambda: {"tokens": F.array_join(X.topic_tokens(F.col("title")), " ")}, {"tokens": f"array_to_string({topic('title')}, ' ')"})
+pages_query("keyword_tokens", lambda: {"tokens": F.array_join(X.keyword_tokens(F.col("title")), " ")}, {"tokens": f"array_to_string({keyword('title')}, ' ')"})
+pages_query("pair_tokens", lambda: {"tokens": F.array_join(F.array_sort(X.pair_tokens(F.col("title"))), " ")}, {"tokens": f"array_to_string(list_sort(list_distinct(list_filter({_split('title', '[^a-z0-9]+')}, lambda t: length(t) > 3))), ' ')"})
+pages_query("word_set", lambda: {"tokens": F.array_join(F.array_sort(X.word_set(F.col("title"))), " ")}, {"tokens": f"array_to_string(list_sort({word_set('title')}), ' ')"})
+pages_query("ngrams", lambda: {"grams": F.array_join(X.ngrams(X.keyword_tokens(F.col("title"))), "|")}, {"grams": f"array_to_string({grams('tk')}, '|')"}, inner=f"(SELECT *, {keyword('title')} AS tk FROM fx_pages) p")
+pages_query("jaccard", lambda: {"overlap": X.jaccard(X.topic_tokens(F.col("title")), X.topic_tokens(F.col("h1")))}, {"overlap": jaccard("a", "b")}, inner=f"(SELECT *, {topic('title')} AS a, {topic('h1')} AS b FROM fx_pages) p")
+pages_query("normalise_text", lambda: {"clean": X.normalise(F.col("title"))}, {"clean": "trim(regexp_replace(title, '\\s+', ' ', 'g'))"})
+pages_query("clip", lambda: {"short": X.clip(F.col("title"), 30)}, {"short": "CASE WHEN length(c) > 30 THEN concat(substring(c, 1, 29), '…') ELSE c END"}, inner="(SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS c FROM fx_pages) p")
+pages_query("wording_flags", lambda: {"question": X.has_marker(F.lower(F.col("title")), X.QUERY_MARKERS), "comparison": X.has_marker(F.lower(F.col("title")), X.COMPARISON_MARKERS), "commercial": X.has_marker(F.lower(F.col("title")), X.COMMERCIAL_MARKERS)}, {"question": marker("lower(title)", X.QUERY_MARKERS), "comparison": marker("lower(title)", X.COMPARISON_MARKERS), "commercial": marker("lower(title)", X.COMMERCIAL_MARKERS)})
 _SLUG = "regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ''’', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-pages_query("slug_for", {"slug": X.slug(_T)}, {"slug": f"regexp_replace(substring({_SLUG}, 1, 72), '-+$', '')"})
-pages_query("leading_content_word", {"word": X.leading_content_word(_T)}, {"word": f"coalesce(list_filter(w, lambda t: length(t) > 2 AND NOT list_contains({_list(X.LEADING_NOISE)}, t))[1], w[1], lower(title))"}, inner=f"(SELECT *, list_filter({_split('title', '[^a-z0-9]+')}, lambda t: t <> '') AS w FROM fx_pages) p")
+pages_query("slug_for", lambda: {"slug": X.slug(F.col("title"))}, {"slug": f"regexp_replace(substring({_SLUG}, 1, 72), '-+$', '')"})
+pages_query("leading_content_word", lambda: {"word": X.leading_content_word(F.col("title"))}, {"word": f"coalesce(list_filter(w, lambda t: length(t) > 2 AND NOT list_contains({_list(X.LEADING_NOISE)}, t))[1], w[1], lower(title))"}, inner=f"(SELECT *, list_filter({_split('title', '[^a-z0-9]+')}, lambda t: t <> '') AS w FROM fx_pages) p")
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-_U = F.col("url")
-pages_query("url_keys", {"host_key": U.host_key(_U), "link_key": U.link_key(_U), "rival_key": U.rival_key(_U), "site_key": U.site_key(_U), "domain_of": U.host_of(_U)}, {"host_key": rf"regexp_replace({_HOST}, '^www\.', '')", "link_key": f"CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END", "rival_key": "regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '/+$', '')", "site_key": f"concat(lower(regexp_extract(url, '^([A-Za-z]+)://', 1)), '://', {_HOST})", "domain_of": _HOST})
-pages_query("is_public_url", {"public": U.is_public_url(_U)}, {"public": f"regexp_matches(url, '^(?i)https?://') AND {_HOST} <> '' AND NOT regexp_full_match({_HOST}, '{U._PRIVATE[1:-1]}')"})
+pages_query("url_keys", lambda: {"host_key": U.host_key(F.col("url")), "link_key": U.link_key(F.col("url")), "rival_key": U.rival_key(F.col("url")), "site_key": U.site_key(F.col("url")), "domain_of": U.host_of(F.col("url"))}, {"host_key": rf"regexp_replace({_HOST}, '^www\.', '')", "link_key": f"CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END", "rival_key": "regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '/+$', '')", "site_key": f"concat(lower(regexp_extract(url, '^([A-Za-z]+)://', 1)), '://', {_HOST})", "domain_of": _HOST})
+pages_query("is_public_url", lambda: {"public": U.is_public_url(F.col("url"))}, {"public": f"regexp_matches(url, '^(?i)https?://') AND {_HOST} <> '' AND NOT regexp_full_match({_HOST}, '{U._PRIVATE[1:-1]}')"})
 _RISK = f"CASE WHEN regexp_matches(lower({_PATH}), '{'|'.join(U.PARASITE_HIGH)}') THEN 'high' WHEN regexp_matches(lower({_PATH}), '{'|'.join(U.PARASITE_MEDIUM)}') THEN 'medium' WHEN regexp_matches(lower(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)), '{'|'.join(U.PARASITE_LOW)}') THEN 'low' ELSE 'none' END"
-pages_query("parasite_risk_of", {"risk": U.parasite_risk(_U)}, {"risk": _RISK})
+pages_query("parasite_risk_of", lambda: {"risk": U.parasite_risk(F.col("url"))}, {"risk": _RISK})
 
 
 @query("parasite_risk", with_adapters(f"SELECT site, count(*) AS urls, count(*) FILTER (r = 'high') AS high, list_extract(['none', 'low', 'medium', 'high'], CAST(max(CASE r WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END) AS INT)) AS site_risk FROM (SELECT site, {_RISK} AS r FROM fx_pages) x GROUP BY site"))
 def _parasite(spark, folder):
-    rank = F.array_position(F.array(*map(F.lit, ["none", "low", "medium", "high"])), U.parasite_risk(_U)).cast("int")
+    rank = F.array_position(F.array(*map(F.lit, ["none", "low", "medium", "high"])), U.parasite_risk(F.col("url"))).cast("int")
     rows = frame(spark, folder, "fx_pages").select("site", rank.alias("k")).groupBy("site").agg(F.count("*").alias("urls"), F.count_if(F.col("k") == 4).alias("high"), F.max("k").alias("k"))
     return rows.select("site", "urls", "high", F.element_at(F.array(*map(F.lit, ["none", "low", "medium", "high"])), F.col("k")).alias("site_risk"))
 
