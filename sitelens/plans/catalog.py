@@ -33,3 +33,5 @@ from . import text_plans  # noqa: E402, F401
 from . import audit_plans  # noqa: E402, F401
 
 from . import page_plans  # noqa: E402, F401
+
+from . import stream_plans  # noqa: E402, F401
