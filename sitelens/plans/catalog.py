@@ -35,3 +35,5 @@ from . import audit_plans  # noqa: E402, F401
 from . import page_plans  # noqa: E402, F401
 
 from . import stream_plans  # noqa: E402, F401
+
+from . import decision_plans  # noqa: E402, F401
