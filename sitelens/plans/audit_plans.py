@@ -51,10 +51,12 @@ def _inspected(p):
 over("inspection_category", "fx_pages", f"SELECT site, page_id, {_CATEGORY} AS category FROM fx_pages")(_inspected)
 over("indexing_summary", "fx_pages", f"SELECT s.site, c.category, count(p.page_id) AS n FROM (SELECT DISTINCT site FROM fx_pages) s CROSS JOIN (SELECT unnest([{', '.join(repr(c) for c in R.CATEGORIES)}]) AS category) c LEFT JOIN (SELECT site, page_id, {_CATEGORY} AS category FROM fx_pages) p ON p.site = s.site AND p.category = c.category GROUP BY s.site, c.category")(lambda p: R.indexing_summary(_inspected(p)))
 _FILLER = " + ".join(f"CAST(contains(lower(text), '{x.replace(chr(39), chr(39) * 2)}') AS INTEGER)" for x in FILLER_PHRASES)
+#: There, a word boundary knows ASCII letters only; accented ones are made word characters for it.
+_PLAIN = "regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
 _QUALITY = f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''\\-]*'), lambda t: lower(t)) AS w FROM documents),
 b AS (SELECT *, len(w) AS n, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS p FROM a),
 c AS (SELECT *, len(list_distinct(p)) AS kinds, (SELECT count(*) FROM (SELECT x FROM unnest(p) u(x) GROUP BY x HAVING count(*) > 1)) AS again, {_FILLER} AS hits,
-  len(regexp_extract_all(text, '\\b[0-9]+(?:[.,][0-9]+)?')) + len(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b')) AS facts FROM b),
+  len(regexp_extract_all({_PLAIN}, '\\b[0-9]+(?:[.,][0-9]+)?')) + len(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b')) AS facts FROM b),
 d AS (SELECT *, {h('least(1.0, facts * CAST(10.0 AS DOUBLE) / greatest(1, n))', 3)} AS density, CAST(round_even(again * CAST(100.0 AS DOUBLE) / greatest(1, kinds), 0) AS INTEGER) AS repetition, least(100, CAST(round_even(hits * CAST(25.0 AS DOUBLE) / greatest(1.0, n / CAST(1000.0 AS DOUBLE)), 0) AS INTEGER)) AS filler FROM c),
 e AS (SELECT *, CAST({h('(100 - filler) * CAST(0.35 AS DOUBLE) + density * CAST(35.0 AS DOUBLE) + (100 - repetition) * CAST(0.2 AS DOUBLE) + least(CAST(100.0 AS DOUBLE), n / CAST(10.0 AS DOUBLE)) * CAST(0.1 AS DOUBLE)')} AS INTEGER) AS overall FROM d)
 SELECT doc_id, CAST(n AS INTEGER) AS word_count, CAST(len(list_distinct(w)) AS INTEGER) AS unique_tokens, filler, density, repetition, overall, array_to_string(list_filter([CASE WHEN filler >= 50 THEN 'filler' END, CASE WHEN density < 0.2 THEN 'low-density' END, CASE WHEN repetition >= 30 THEN 'repetitive' END, CASE WHEN n < 300 THEN 'thin-content' END], lambda x: x IS NOT NULL), ',') AS flags, CASE WHEN n < 300 THEN 'thin_content' WHEN overall >= 60 THEN 'good' ELSE 'needs_work' END AS verdict FROM e"""
