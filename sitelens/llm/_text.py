@@ -90,10 +90,11 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarra
     total = hashes.copy()
     whole = np.ones(n, bool)
     for k in range(1, size):
+        m = max(0, n - k)
         same = np.zeros(n, bool)
-        same[: n - k] = rows[k:] == rows[: n - k]
+        same[:m] = rows[k:] == rows[:m]
         step = np.zeros(n, np.uint64)
-        step[: n - k] = hashes[k:]
+        step[:m] = hashes[k:]
         total = np.where(same, total * _BASE + step, total)
         whole &= same
     first = np.empty(n, bool)
