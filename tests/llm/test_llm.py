@@ -114,6 +114,30 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[k] for k in range(len(rows))] == label
 
 
+@pytest.mark.parametrize("block", [200, 8])
+def test_every_pair_of_a_bucket_is_compared(spark, block):
+    """Dozens of texts of one template at plain similarities about the threshold: the classes are those of all pairs."""
+    template, rows = prose(77, 400).split(), []
+    rng = np.random.default_rng(5)
+    for i in range(72):
+        own = list(template)
+        if i % 2:  # a near copy of the text before
+            own = rows[-1][1].split()
+        for k in rng.choice(400, 6 if i % 2 == 0 else 1 + i % 7, replace=False):
+            own[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(own), "e"))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(396)} for _, t, _ in rows]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(rows)) for a in range(b)}
+    label = list(range(len(rows)))
+    for (a, b), s in alike.items():
+        if s >= 0.8:
+            label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
+    assert len(set(label)) > 20 and max(label.count(x) for x in label) > 1
+    # Bands of one sample put most texts into large buckets; without a spread the similarity is plain Jaccard.
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), bands=16, rows=1, spread=0.0, block=block).collect()}
+    assert [got[k] for k in range(len(rows))] == label
+
+
 def test_weighted_samples_estimate_similarity():
     sampler = near_dup.WeightedSampler(1500)
     code = np.arange(1, 61, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
