@@ -151,20 +151,32 @@ def infer_wrapper(pages: list[str]) -> dict:
     return wrapper
 
 
-def content_path(wrapper: dict, share: float = 0.6) -> list[str]:
-    """The tags that lead to the place of the article: an article or main element, else the smallest block with most slot text."""
+def content_path(wrapper: dict, share: float = 0.6) -> list:
+    """The steps that lead to the place of the article: article or main elements, else the smallest block with most slot text.
+
+    A step is a tag, or [tag, its number among its siblings, the siblings] if siblings have that tag too, a sibling being
+    [tag, whether it repeats, tags of its children]; the step {"name": ...} is all elements of that name.
+    """
 
     def mass(n: dict) -> float:
         if n["apart"]:
             return 0.0
         return n["chars"] * (1.0 if n["slot"] else 0.2) + sum(map(mass, n["children"]))
 
-    def named(n: dict, path: list[str]) -> Iterator[tuple[float, list[str]]]:
-        for c in n["children"]:
+    def step(n: dict, at: int):
+        tag = n["children"][at]["tag"]
+        if sum(c["tag"] == tag for c in n["children"]) == 1:
+            return tag
+        return [tag, at, [[c["tag"], c["repeat"], sorted({x["tag"] for x in c["children"]})] for c in n["children"]]]
+
+    def named(n: dict, path: list) -> Iterator[tuple[float, list]]:
+        for name in sorted(_CONTENT):
+            own = [c for c in n["children"] if c["name"] == name and not c["apart"]]
+            if own:
+                yield sum(map(mass, own)), [*path, {"name": name}]
+        for at, c in enumerate(n["children"]):
             if not c["apart"]:
-                if c["name"] in _CONTENT:
-                    yield mass(c), [*path, c["tag"]]
-                yield from named(c, [*path, c["tag"]])
+                yield from named(c, [*path, step(n, at)])
 
     found = list(named(wrapper, []))
     if found:
@@ -172,12 +184,58 @@ def content_path(wrapper: dict, share: float = 0.6) -> list[str]:
         return max((p for m, p in found if m >= share * most), key=len)
     path, node = [], wrapper
     while True:
-        inner = [c for c in node["children"] if c["name"] not in _LEAF and c["name"] in _BLOCK and not c["apart"] and not c["repeat"]]
+        inner = [(at, c) for at, c in enumerate(node["children"]) if c["name"] not in _LEAF and c["name"] in _BLOCK and not c["apart"] and not c["repeat"]]
         total = mass(node)
-        big = max(inner, key=lambda c: (mass(c) * (1.5 if _CONTENT_NAME.search(c["tag"].partition(".")[2]) else 1), c["tag"]), default=None)
+        at, big = max(inner, key=lambda x: (mass(x[1]) * (1.5 if _CONTENT_NAME.search(x[1]["tag"].partition(".")[2]) else 1), x[1]["tag"]), default=(0, None))
         if big is None or mass(big) < share * total:
             return path
-        path, node = [*path, big["tag"]], big
+        path, node = [*path, step(node, at)], big
+
+
+def _placed(node: list, siblings: list) -> list[tuple[list, int]]:
+    """(child, number) of the children of a page's node that align with ``siblings`` of its wrapper; -1 stands for none.
+
+    Children align in order, as many as can be; of equally many those whose own children have the most tags in common.
+    """
+    own = [c for c in node[3] if not isinstance(c, str) or c.strip()]
+    tags = ["#text" if isinstance(c, str) else c[1] for c in own]
+    kids = [set() if isinstance(c, str) else {"#text" if isinstance(x, str) else x[1] for x in c[3] if not isinstance(x, str) or x.strip()} for c in own]
+    n, m = len(own), len(siblings)
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    move = [[(1, 0)] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            tag, repeat, inner = siblings[j]
+            ways = [(best[i + 1][j], (1, 0)), (best[i][j + 1], (0, 1))]
+            if tag == tags[i]:
+                gain = 1 + len(kids[i] & set(inner)) / (1 + len(kids[i] | set(inner)))
+                ways.append((gain + best[i + 1][j + 1], (1, 1)))
+                if repeat:
+                    ways.append((gain + best[i + 1][j], (1, 2)))
+            best[i][j], move[i][j] = max(ways)
+    out, i, j = [], 0, 0
+    while i < n:
+        di, dj = move[i][j] if j < m else (1, 0)
+        if di:
+            out.append((own[i], j if dj else -1))
+        i, j = i + di, j + (dj == 1)
+    return out
+
+
+def _at_place(root: list, path: list) -> list:
+    """All elements of a page at the place ``path`` of its wrapper, in page order."""
+    nodes = [root]
+    for step in path:
+        if isinstance(step, str):
+            nodes = [c for n in nodes for c in n[3] if not isinstance(c, str) and c[1] == step]
+        elif isinstance(step, dict):
+            nodes = [c for n in nodes for c in n[3] if not isinstance(c, str) and c[0] == step["name"] and not c[2]]
+        else:
+            tag, at, siblings = step
+            met = [_placed(n, siblings) for n in nodes]
+            # What aligns with no sibling may be the article too; a page without the place itself has none.
+            nodes = [c for m in met if any(k == at for _, k in m) for c, k in m if not isinstance(c, str) and c[1] == tag and k in (at, -1)]
+    return nodes
 
 
 def expression(wrapper: dict, most: int = 2000) -> str:
@@ -188,14 +246,10 @@ def expression(wrapper: dict, most: int = 2000) -> str:
     return (f"({body})?" if wrapper["optional"] else body)[:most]
 
 
-def main_text(page: str, path: list[str]) -> str:
-    """The blocks of a page's article, one a line. Without the wrapper's place: its article or main element, else its body."""
+def main_text(page: str, path: list) -> str:
+    """The blocks of a page's article, one a line. Without the wrapper's place: its article or main elements, else its body."""
     root = parse(page)
-    node = root
-    for tag in path:
-        node = next((c for c in node[3] if not isinstance(c, str) and c[1] == tag), None)
-        if node is None:
-            break
+    nodes = _at_place(root, path) if path else []
 
     def find(n: list, names: set[str]) -> list | None:
         for c in n[3]:
@@ -206,8 +260,17 @@ def main_text(page: str, path: list[str]) -> str:
                     return x
         return None
 
-    if node is None or not path:
-        node = find(root, _CONTENT) or (node if node is not None and path else None) or find(root, {"body"}) or root
+    def outermost(n: list) -> Iterator[list]:
+        todo = [n]
+        while todo:
+            c = todo.pop()
+            if c[0] in _CONTENT:
+                yield c
+            else:
+                todo.extend(x for x in reversed(c[3]) if not isinstance(x, str) and not x[2])
+
+    nodes = nodes or list(outermost(root)) or [find(root, {"body"}) or root]
+    tops = {id(n) for n in nodes}
     blocks, part = [], []
 
     def end() -> None:
@@ -216,14 +279,14 @@ def main_text(page: str, path: list[str]) -> str:
         if text:
             blocks.append(text)
 
-    todo: list = [node]
+    todo: list = list(reversed(nodes))
     while todo:  # no recursion: pages may be nested deeply
         n = todo.pop()
         if n is None:
             end()
         elif isinstance(n, str):
             part.append(n)
-        elif n[2] and n is not node or n[0] == "header" and not find(n, {"h1"}):
+        elif n[2] and id(n) not in tops or n[0] == "header" and not find(n, {"h1"}):
             continue
         else:
             if n[0] in ("br", "td", "th", "wbr"):

@@ -271,6 +271,19 @@ def test_wrapper_has_slots_and_groups():
     assert "#SLOT" in text and ")+" in text and "(<div.ad>Buy)?" in text
 
 
+def test_every_part_of_the_place_is_kept():
+    def texts(shape):
+        pages = [shape.format(f"a{i} is long enough", f"b{i} is long enough") for i in range(4)]
+        return [html_extract.main_text(p, html_extract.content_path(html_extract.infer_wrapper(pages))) for p in pages]
+
+    both = [f"a{i} is long enough\nb{i} is long enough" for i in range(4)]
+    assert texts("<html><body><main><article>{0}</article><article>{1}</article></main></body></html>") == both
+    assert texts("<html><body><article>{0}</article><hr><article>{1}</article></body></html>") == both
+    assert texts("<html><body><div>logo</div><nav>n</nav><div><p>{0}</p><p>{1}</p></div></body></html>") == both
+    # Without a wrapper's place every article counts.
+    assert html_extract.main_text("<body><article>x</article><hr><article>y</article></body>", []) == "x\ny"
+
+
 # ---- cases that every operator takes ---------------------------------------------------------------------------------
 
 EVERY = {
