@@ -29,6 +29,8 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _APART = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "button", "select", "menu", "dialog", "head", "title", "textarea", "object", "canvas", "audio", "video", "map"}
 _ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 _APART_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|aside|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|comments?|commentlist|disqus\w*|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|popup|modal|overlay|widgets?|login|signup|toolbar|masthead|site-header|page-header)(?:$|[\s_-])", re.I)
+#: A class of these says what its element has or lacks, not what it is.
+_HAS_NAME = re.compile(r"(?:has|no|not|with|without|hide|hides|show|shows)[_-]", re.I)
 _CONTENT = {"article", "main"}
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body-text|article-body)(?:$|[\s_-])", re.I)
 
@@ -36,17 +38,22 @@ _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|mai
 def parse(text: str) -> list:
     """[tag, signature, apart, children] of a page's root; children are elements or decoded texts.
 
-    ``apart``: whether name, role, class or id say that it is not part of the article. End tags that HTML implies are
+    ``apart``: whether name, role, class or id say that it is not part of the article. Class and id alone don't say so of an
+    element with the page's main element, or with most text of its articles, or, unless a whole class or id is such a name,
+    with most text of the page. End tags that HTML implies are
     put in; a tag cut off by the end of the page is dropped.
     """
     root = ["", "", False, []]
     stack, at = [root], 0
+    by_name: dict[int, tuple[list, bool]] = {}
     while True:
         m = _TOKEN.search(text, at)
         piece = text[at : m.start() if m else len(text)]
         if piece:
             stack[-1][3].append(html.unescape(piece))
         if not m:
+            if by_name:
+                _keep_large(root, by_name)
             return root
         at = m.end()
         tag = m[2].lower() if m[2] else ""
@@ -76,9 +83,13 @@ def parse(text: str) -> list:
                     break
         names = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if m[3] and "=" in m[3] else {}
         label = " ".join(filter(None, (names.get("class"), names.get("id"))))
-        apart = tag in _APART or names.get("role", "").lower() in _ROLES or "hidden" in m[3].lower().split() or bool(label and tag not in ("html", "body", "article", "main") and _APART_NAME.search(label))
+        apart = tag in _APART or names.get("role", "").lower() in _ROLES or "hidden" in m[3].lower().split()
+        said = [x for x in label.split() if _APART_NAME.search(x) and not _HAS_NAME.match(x)] if label and not apart and tag not in ("html", "body", "article", "main") else []
+        apart = apart or bool(said)
         node = [tag, f"{tag}.{re.sub(r'[0-9]+', '#', label)}" if label else tag, apart, []]
         stack[-1][3].append(node)
+        if said:
+            by_name[id(node)] = node, any(_APART_NAME.fullmatch(x) for x in said)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
         if tag in _RAW:
@@ -89,6 +100,28 @@ def parse(text: str) -> list:
         stack.append(node)
 
 
+def _keep_large(root: list, by_name: dict[int, tuple[list, bool]]) -> None:
+    """Takes back that an element is apart by its class or id where the article is inside."""
+    sizes: dict[int, tuple[int, int, bool]] = {}  # characters, those in articles below, whether a main element is inside
+    todo = [(root, False)]
+    while todo:
+        n, done = todo.pop()
+        if n[2] and id(n) not in by_name:
+            sizes[id(n)] = 0, 0, False
+        elif not done:
+            todo.append((n, True))
+            todo.extend((c, False) for c in n[3] if not isinstance(c, str))
+        else:
+            below = [sizes[id(c)] for c in n[3] if not isinstance(c, str)]
+            chars = sum(len(c.strip()) for c in n[3] if isinstance(c, str)) + sum(x[0] for x in below)
+            sizes[id(n)] = chars, chars if n[0] in _CONTENT else sum(x[1] for x in below), n[0] == "main" or any(x[2] for x in below)
+    chars, articles, _ = sizes[id(root)]
+    for k, (n, whole) in by_name.items():
+        a, b, c = sizes.get(k, (0, 0, False))  # nothing is known of what stands in an element apart by itself
+        if c or 2 * b > articles or not whole and 2 * a > chars:
+            n[2] = False
+
+
 # ---- wrappers --------------------------------------------------------------------------------------------------------
 
 

@@ -284,6 +284,15 @@ def test_every_part_of_the_place_is_kept():
     assert html_extract.main_text("<body><article>x</article><hr><article>y</article></body>", []) == "x\ny"
 
 
+@pytest.mark.parametrize("label", ["layout has-sidebar", "post no-comments", "story with-banner", "layout sidebar-right", "comments-off"])
+def test_classes_that_only_mention_a_part(label):
+    for inner in ("<article><p>the text</p></article>", "<p>the text of the page</p>"):
+        page = f"<html><body><nav>menu</nav><div class='{label}'>{inner}</div><div class='cookie-banner'>ok</div><div class='related'>more</div></body></html>"
+        for path in ([], html_extract.content_path(html_extract.infer_wrapper([page, page.replace("text", "word")]))):
+            assert html_extract.main_text(page, path).startswith("the text")
+            assert not {"ok", "more", "menu"} & set(html_extract.main_text(page, path).split())
+
+
 # ---- cases that every operator takes ---------------------------------------------------------------------------------
 
 EVERY = {
