@@ -114,8 +114,8 @@ class BlockMaxIndex:
         return rows[best], scores[best]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_examples: int = 6000, max_features: int = 20_000, min_z: float = 5.0, min_ratio: float = 8.0, min_count: int = 3, k: int = 15, doubt: float = 0.05) -> DataFrame:
-    """(doc_id, score, evidence) for every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, toxic).
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_examples: int = 6000, max_features: int = 20_000, min_z: float = 5.0, min_ratio: float = 8.0, min_count: int = 3, k: int = 15, doubt: float = 0.05, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """(doc_id, score, evidence) for every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, toxic), and the columns ``carry``.
 
     Examples: of each class the ``max_examples`` / 2 labelled documents of the smallest hash. Features are words and
     five-byte windows inside words whose share among toxic examples differs from that among others by ``min_z``
@@ -126,7 +126,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_examples: int = 60
     Several labels of one document count as the largest; null labels do not count. Rows are neither merged nor dropped.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    docs = whole.select("doc_id", "text")
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -220,9 +221,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_examples: int = 60
                     vote = cosine**2 * np.where(y > 0, stands[1], stands[0])
                     out[r] = (np.sum(vote * y) + doubt * prior) / (np.sum(vote) + doubt)
                     evidence[r] = index.ids[near].tolist()
-            yield pa.record_batch([batch.column("doc_id").slice(first, rows), pa.array(np.clip(out, 0, 1)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            yield pa.record_batch([batch.column("doc_id").slice(first, rows), pa.array(np.clip(out, 0, 1)), pa.array(evidence, pa.list_(pa.int64())), batch.column("rest").slice(first, rows)], ["doc_id", "score", "evidence", "rest"])
 
-    return docs.mapInArrow(scores, "doc_id long, score double, evidence array<long>")
+    rest = whole.schema["rest"].dataType.simpleString()
+    return whole.mapInArrow(scores, f"doc_id long, score double, evidence array<long>, rest {rest}").select("doc_id", "score", "evidence", *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
