@@ -33,7 +33,10 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     if key not in _powers or len(_powers[key]) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
-        _powers[key] = np.cumprod(steps, dtype=np.uint64)
+        found = np.cumprod(steps, dtype=np.uint64)
+        if n > 1 << 21:  # the powers for a very long text don't stay in the worker
+            return found
+        _powers[key] = found
     return _powers[key][:n]
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,111 +24,133 @@ _MOST = 256  # windows of a stretch
 # ---- suffix arrays ---------------------------------------------------------------------------------------------------
 
 
-def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray, width: int = 512) -> np.ndarray:
     """Suffixes in the order that sorting by induction gives from ``lms``, leftmost-smaller suffixes in their order.
 
     ``smaller``: which suffixes are smaller than the next one. ``starts``: where the bucket of each symbol begins, and the
-    end. Buckets are taken in turn; all that one pass over a bucket induces is put in place at once.
+    end. A sweep takes as many buckets at once, up to about ``width`` suffixes, as induce nothing into one another; a bucket
+    that induces into itself is taken alone, part by part.
     """
     n, letters = len(text), len(starts) - 1
-    order = np.empty(n, np.int64)
-    heads = starts[:-1].copy()
-    groups = np.searchsorted(text[lms], np.arange(letters + 1))
+    order = np.full(n, -1, np.int32)
+    own = text[lms]
+    groups = np.bincount(own, minlength=letters)
+    place = starts[1:][own] - np.cumsum(groups)[own] + np.arange(len(lms))  # at the end of each bucket
+    order[place] = lms
+    heads, tails = starts[:-1].copy(), starts[1:] - 1
 
     def put(found: np.ndarray, at: np.ndarray, sign: int) -> None:
+        if not len(found):
+            return
         letter = text[found]
-        by = np.argsort(letter, kind="stable")
+        by = letter.argsort(kind="stable")
         found, letter = found[by], letter[by]
-        n_of = np.bincount(letter, minlength=letters)
-        rank = np.arange(len(found)) - np.concatenate([[0], np.cumsum(n_of)[:-1]])[letter]
+        after = (letter[1:] != letter[:-1]).nonzero()[0] + 1
+        if len(after) == len(found) - 1:  # one suffix a bucket
+            order[at[letter]] = found
+            at[letter] += sign
+            return
+        first = np.concatenate(([0], after))
+        n_of = np.concatenate((after, [len(found)])) - first
+        rank = np.arange(len(found)) - first.repeat(n_of)
         order[at[letter] + sign * rank] = found
-        at += sign * n_of
+        at[letter[first]] += sign * n_of
 
     def left(found: np.ndarray, wanted: bool) -> np.ndarray:
         found = found[found > 0] - 1
         return found[smaller[found] == wanted]
 
-    for c in range(letters):
+    c = 0
+    while c < letters:
+        e = max(c + 1, int(np.searchsorted(starts, starts[c] + width, "right")) - 1)
+        found = left(order[starts[c] : starts[e]], False)
+        source, target = text[found + 1].astype(np.int64), text[found].astype(np.int64)
+        least = np.minimum.accumulate(target)
+        bad = np.flatnonzero(least <= source)[:1]
+        if len(bad):
+            found, e = found[: bad[0]], min(e, int(source[bad[0]]))
+        if len(found):
+            e = min(e, int(least[len(found) - 1]))
+        if e > c:
+            put(found[source[: len(found)] < e], heads, 1)
+            c = e
+            continue
         done = starts[c]
         while done < heads[c]:
             part, done = order[done : heads[c]].copy(), heads[c]
             put(left(part, False), heads, 1)
-        if groups[c] < groups[c + 1]:
-            put(left(lms[groups[c] : groups[c + 1]], False), heads, 1)
-    tails = starts[1:] - 1
+        put(left(order[starts[c + 1] - groups[c] : starts[c + 1]].copy(), False), heads, 1)
+        c += 1
+    order[place] = -1
     order[0] = n - 1  # the end mark
-    tails[0] = -1
-    for c in range(letters - 1, -1, -1):
+    c = letters
+    while c > 1:
+        e = min(c - 1, max(1, int(np.searchsorted(starts, starts[c] - width))))
+        found = left(order[starts[e] : starts[c]][::-1], True)
+        source, target = text[found + 1].astype(np.int64), text[found].astype(np.int64)
+        most = np.maximum.accumulate(target)
+        bad = np.flatnonzero(most >= source)[:1]
+        if len(bad):
+            found, e = found[: bad[0]], max(e, int(source[bad[0]]) + 1)
+        if len(found):
+            e = max(e, int(most[len(found) - 1]) + 1)
+        if e < c:
+            put(found[source[: len(found)] >= e], tails, -1)
+            c = e
+            continue
+        c -= 1
         done = starts[c + 1] - 1
         while done > tails[c]:
             part, done = order[tails[c] + 1 : done + 1][::-1].copy(), tails[c]
             put(left(part, True), tails, -1)
-        if starts[c] < heads[c]:
-            put(left(order[starts[c] : heads[c]][::-1].copy(), True), tails, -1)
+        put(left(order[starts[c] : heads[c]][::-1].copy(), True), tails, -1)
     return order
 
 
-def _by_doubling(rank: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of many different symbols, by ranks of prefixes of 1, 2, 4, ... symbols."""
-    n, k = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    first = np.append(True, np.diff(rank[order]) != 0)
-    place = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # of its group's first suffix
-    group = np.empty(n, np.int64)
-    group[order] = place
-    open_ = np.flatnonzero(~(first & np.append(first[1:], True)))  # places whose group has other suffixes
-    while len(open_):
-        own = order[open_]
-        after = np.full(len(own), -1, np.int64)
-        inside = own + k < n
-        after[inside] = group[own[inside] + k]
-        key = place[open_] * (n + 1) + after + 1
-        by = np.argsort(key, kind="stable")
-        own, key = own[by], key[by]
-        order[open_] = own
-        new = np.append(True, np.diff(key) != 0)
-        at = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-        place[open_] = open_[at]
-        group[own] = open_[at]
-        open_ = open_[~(new & np.append(new[1:], True))]
-        k *= 2
-    return order
-
-
-def suffix_array(text: np.ndarray, most_letters: int = 1024) -> np.ndarray:
+def suffix_array(text: np.ndarray, width: int = 512) -> np.ndarray:
     """Suffix array of small non-negative integers whose last one is a 0 that stands nowhere else.
 
     Suffixes are classified by whether the next one is larger; the leftmost of each smaller run start the substrings that
-    are sorted and named; their string of names is sorted in the same way (one of more than ``most_letters`` names by
-    doubling, as buckets of a suffix or two gain nothing); from their order all others are induced.
+    are sorted and named; their string of names is sorted in the same way; from their order all others are induced.
     """
     n = len(text)
     if n <= 2:
-        return np.arange(n)[::-1].copy()
-    if int(text.max()) >= most_letters:
-        return _by_doubling(text)
-    text = text.astype(np.uint16)  # whose stable sort takes linear time
-    step = np.sign(np.diff(text.astype(np.int32)))
-    last = np.where(step != 0, np.arange(n - 1), n)
+        return np.arange(n, dtype=np.int32)[::-1].copy()
+    letters = int(text.max()) + 1
+    text = text.astype(np.uint16 if letters <= 1 << 16 else np.int32)  # a stable sort of short symbols takes linear time
+    up, same = text[1:] > text[:-1], text[1:] == text[:-1]
+    last = np.where(same, np.int32(n), np.arange(n - 1, dtype=np.int32))
     last = np.minimum.accumulate(last[::-1])[::-1]  # the next place where neighbours differ
     smaller = np.ones(n, bool)
-    smaller[:-1] = step[last] > 0
-    marks = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    starts = np.concatenate([[0], np.cumsum(np.bincount(text))])
-    order = _induce(text, smaller, marks[np.argsort(text[marks], kind="stable")], starts)
+    smaller[:-1] = up[last]
+    del last, up, same
+    marks = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=letters))])
+    order = _induce(text, smaller, marks[np.argsort(text[marks], kind="stable")], starts, width)
     is_mark = np.zeros(n, bool)
     is_mark[marks] = True
     ranked = order[is_mark[order]]
+    del order, is_mark
     # Name each substring from one mark up to and with the next; equal strings get one name.
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n))])
+    code = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=code[1:])
     following = np.append(marks, n - 1)[np.searchsorted(marks, ranked) + 1]
-    code = (total[np.minimum(following + 1, n)] - total[ranked]) * _power(_INVERSE, n)[ranked] + mix((following - ranked).astype(np.uint64))
-    name = np.concatenate([[0], np.cumsum(code[1:] != code[:-1])])
-    names = np.empty(n, np.int64)
-    names[ranked] = name
+    code = (code[np.minimum(following + 1, n)] - code[ranked]) * _power(_INVERSE, n)[ranked] + mix((following - ranked).astype(np.uint64))
+    name = np.concatenate([[0], np.cumsum(code[1:] != code[:-1])]).astype(np.int32)
+    del code, following
     if name[-1] + 1 < len(marks):
-        ranked = marks[suffix_array(names[marks], most_letters)]
-    return _induce(text, smaller, ranked, starts)
+        # A name of one substring decides every comparison that reaches it: of such names in a row the first is enough.
+        at = np.searchsorted(marks, ranked)
+        once = np.bincount(name)[name] == 1
+        names, single = np.empty(len(marks), np.int32), np.empty(len(marks), bool)
+        names[at], single[at] = name, once
+        keep = ~single
+        keep[1:] |= ~single[:-1]
+        kept = np.flatnonzero(keep)
+        letter, short = np.unique(names[kept], return_inverse=True)
+        several = kept[suffix_array(np.append(short + 1, 0), width)[1:]]
+        ranked[~once] = marks[several[~single[several]]]
+    return _induce(text, smaller, ranked, starts, width)
 
 
 def permuted_lcp(text: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -137,43 +160,43 @@ def permuted_lcp(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     compared, four symbols at a time.
     """
     n = len(text)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[order[0]], before[order[1:]] = -1, order[:-1]
     first = np.ones(n, bool)
-    at = np.arange(1, n)
-    both = before[1:] > 0
-    first[1:][both] = text[at[both] - 1] != text[before[1:][both] - 1]
+    both = np.flatnonzero(before[1:] > 0).astype(np.int32) + 1
+    first[both] = text[both - 1] != text[before[both] - 1]
     first[1:] |= before[:-1] < 0
     four = np.zeros(n + 4, np.uint64)
     for k in range(4):
         four[: max(0, n - k)] |= (text[k:].astype(np.uint64) + np.uint64(1)) << np.uint64(48 - 16 * k)
-    i = np.flatnonzero(first & (before >= 0))
-    j, same, alive = before[i], np.zeros(len(i), np.int64), np.arange(len(i))
-    x, y = i.copy(), j.copy()
+    i = np.flatnonzero(first & (before >= 0)).astype(np.int32)
+    same, alive = np.zeros(len(i), np.int32), np.arange(len(i), dtype=np.int32)
+    x, y = i.copy(), before[i]
     while len(alive):
         diff = four[x] ^ four[y]
         equal = diff == 0
         stop, d = alive[~equal], diff[~equal]
-        same[stop] += (d < np.uint64(1 << 48)).astype(np.int64) + (d < np.uint64(1 << 32)) + (d < np.uint64(1 << 16))
+        same[stop] += (d < np.uint64(1 << 48)).astype(np.int32) + (d < np.uint64(1 << 32)) + (d < np.uint64(1 << 16))
         alive, x, y = alive[equal], x[equal] + 4, y[equal] + 4
         same[alive] += 4
         ended = (x >= n) | (y >= n)
         alive, x, y = alive[~ended], x[~ended], y[~ended]
-    lcp = np.zeros(n, np.int64)
+    lcp = np.zeros(n, np.int32)
     lcp[i] = same
-    source = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    return np.maximum(lcp[source] - (np.arange(n) - source), 0)
+    source = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), np.int32(0)))
+    return np.maximum(lcp[source] - (np.arange(n, dtype=np.int32) - source), 0)
 
 
-def repeated_windows(texts: list[bytes], span: int) -> list[np.ndarray]:
-    """Of each text, the places where a string of ``span`` bytes starts that also starts elsewhere in these texts."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) where a string of ``span`` bytes starts that also starts elsewhere in these texts, parts of ``data``, in their order."""
+    size = np.diff(offsets)
     ends = np.cumsum(size + 1)
-    joined = np.ones(int(ends[-1]) + 1, np.int64)  # 0 ends all, 1 each text
+    joined = np.ones(int(ends[-1]) + 1, np.uint16)  # 0 ends all, 1 each text
     joined[-1] = 0
     inside = np.ones(int(ends[-1]), bool)
     inside[ends - 1] = False
-    joined[:-1][inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 2
+    joined[:-1][inside] = data[offsets[0] : offsets[-1]].astype(np.uint16) + 2
+    del inside
     order = suffix_array(joined)
     lcp = permuted_lcp(joined, order)
     hit = np.zeros(len(joined), bool)
@@ -181,7 +204,11 @@ def repeated_windows(texts: list[bytes], span: int) -> list[np.ndarray]:
     hit[order[long]] = True
     hit[order[long - 1]] = True
     # Every string that counts lies inside one text, as text ends are symbols of their own: an equal one has no end inside.
-    return [np.flatnonzero(hit[e - 1 - n : max(e - 1 - n, e - span)]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    at = np.flatnonzero(hit)
+    text = np.searchsorted(ends, at, "right")
+    place = at - (ends - size - 1)[text]
+    fits = place <= size[text] - span
+    return text[fits], place[fits]
 
 
 # ---- Spark jobs ------------------------------------------------------------------------------------------------------
@@ -250,7 +277,7 @@ def _pack(start, windows, tag, twice):
     return (tag << 42) | (start << 10) | (twice.astype(np.int64) << 9) | windows
 
 
-def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard_bytes: int = 4 << 20, partitions: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 8_000, shard_bytes: int = 1 << 20, partitions: int | None = None) -> DataFrame:
     """(doc_id, tag, start, stop): byte ranges of ``docs`` (doc_id, text, tag) that together are what repeated strings of ``span`` bytes cover."""
     spark = docs.sparkSession
 
@@ -278,46 +305,59 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of each stretch that has to be compared."""
         for batch in batches:
-            for r in batch.to_pylist():
-                text = (r["text"] or "").encode()
-                out = []
-                for p in r["parts"]:
-                    start, long = (p["place"] >> 10) & 0xFFFFFFFF, p["place"] & 511
-                    out.append((p["low"], p["n"], p["kinds"], r["doc_id"], p["place"], text[start : start + long + span - 1]))
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 5 + (pa.binary(),), strict=True)], ["low", "n", "kinds", "doc_id", "place", "bytes"])
+            ids = batch.column("doc_id")
+            for first, data, offsets in text_blocks(batch.column("text")):
+                parts = batch.column("parts").slice(first, len(offsets) - 1)
+                row, flat = pc.list_parent_indices(parts).to_numpy(), parts.flatten()
+                place = flat.field("place").to_numpy()
+                start = offsets[row] + ((place >> 10) & 0xFFFFFFFF)
+                raw, at = data.tobytes(), start.tolist()
+                cuts = [raw[a:z] for a, z in zip(at, (start + (place & 511) + span - 1).tolist(), strict=True)]
+                yield pa.record_batch([*(flat.field(c) for c in ("low", "n", "kinds")), ids.take(pa.array(first + row)), flat.field("place"), pa.array(cuts, pa.binary())], ["low", "n", "kinds", "doc_id", "place", "bytes"])
 
     pieces = saved(docs.join(wanted, (docs.doc_id.eqNullSafe(wanted.doc_id)) & (docs.tag == wanted.tag)).select(docs.doc_id, docs.text, "parts").mapInArrow(cut, "low long, n long, kinds long, doc_id long, place long, bytes binary"), "pieces")
     columns = "doc_id long, tag long, start long, stop long"
 
-    def ranges(doc_ids: list, places: list[int], hits: list[np.ndarray]) -> pa.RecordBatch:
-        out = []
-        for d, p, hit in zip(doc_ids, places, hits, strict=True):
-            if len(hit):
-                start = (p >> 10) & 0xFFFFFFFF
-                edge = np.flatnonzero(np.diff(hit) > 1)
-                for a, b in zip(hit[np.append(0, edge + 1)].tolist(), hit[np.append(edge, len(hit) - 1)].tolist(), strict=True):
-                    out.append((d, p >> 42, start + a, start + b + span))
-        return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["doc_id", "tag", "start", "stop"])
+    def ranges(doc_id: pa.Array, where: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        """The runs of places of each text; ``doc_id`` and ``where`` are by text."""
+        cut = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1))) if len(text) else np.zeros(0, np.int64)
+        last = np.append(cut[1:], len(text)) - 1
+        own = text[cut]
+        start = (where[own] >> 10) & 0xFFFFFFFF
+        return pa.record_batch([doc_id.take(pa.array(own)), pa.array(where[own] >> 42), pa.array(start + place[cut]), pa.array(start + place[last] + span)], ["doc_id", "tag", "start", "stop"])
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of ``low``; a shard is as many whole groups as make about ``shard_bytes``."""
-        held: list[dict] = []
-        size = 0
-
-        def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            if rows:
-                hits = repeated_windows([r["bytes"] for r in rows], span)
-                own = [i for i, r in enumerate(rows) if r["n"] == 1]
-                yield ranges([rows[i]["doc_id"] for i in own], [rows[i]["place"] for i in own], [hits[i] for i in own])
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+                raw = rows["bytes"].combine_chunks().cast(pa.large_binary())
+                raw = raw if isinstance(raw, pa.Array) else pa.concat_arrays(raw.chunks)
+                offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+                text, place = repeated_windows(np.frombuffer(raw.buffers()[2], np.uint8), offsets, span)
+                own = rows["n"].to_numpy()[text] == 1
+                yield ranges(rows["doc_id"].combine_chunks(), rows["place"].to_numpy(), text[own], place[own])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if size > shard_bytes and held[-1]["low"] != r["low"]:
-                    yield from flush(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["bytes"])
-        yield from flush(held)
+            if not batch.num_rows:
+                continue
+            low = batch.column("low").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1, [len(low)]])
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            first = 0
+            for i in cuts[:-1].tolist():
+                if size + sizes[i] - sizes[first] > shard_bytes and low[i] != (low[i - 1] if i else last):
+                    if i > first:
+                        held.append(batch.slice(first, i - first))
+                    yield from flush()
+                    first, size = i, 0
+            held.append(batch.slice(first))
+            size, last = size + sizes[-1] - sizes[first], low[-1]
+        yield from flush()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Two hashes of every window of stretches of a very frequent lowest hash."""
@@ -341,7 +381,7 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
     return equal.unionByName(sorted_).unionByName(frequent)
 
 
-def remove_repeats(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard_bytes: int = 4 << 20, carry: list[str] = []) -> DataFrame:  # noqa: B006
+def remove_repeats(docs: DataFrame, *, span: int = 200, hot: int = 8_000, shard_bytes: int = 1 << 20, carry: list[str] = []) -> DataFrame:  # noqa: B006
     """(doc_id, kept binary, kept_text, n_bytes, n_removed, n_spans) of every row of ``docs`` (doc_id, text), and the columns ``carry``.
 
     ``kept_text`` is ``kept`` without the parts of characters that were cut. A byte goes if a string of ``span`` bytes covers it that also starts anywhere else in the texts, its own included.
@@ -357,29 +397,27 @@ def remove_repeats(docs: DataFrame, *, span: int = 200, hot: int = 20_000, shard
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sizes, gone, runs = [], [], [], []
-            lists = batch.column("spans")
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                raw = text.encode()
-                parts, at, n, removed = [], 0, 0, 0
-                end = -1
-                for s in sorted((s["start"], s["stop"]) for s in (lists[i].as_py() or ())):
-                    if s[0] > end:  # a run of its own; ranges that touch are one run
-                        parts.append(raw[max(at, 0) : s[0]])
-                        n += 1
-                        removed += s[1] - s[0]
-                        end = s[1]
-                    elif s[1] > end:
-                        removed += s[1] - end
-                        end = s[1]
-                    at = end
-                parts.append(raw[at:])
-                kept.append(b"".join(parts))
-                sizes.append(len(raw))
-                gone.append(removed)
-                runs.append(n)
-            texts = [k.decode(errors="ignore") for k in kept]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs)), batch.column("rest")], ["doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "rest"])
+            for first, data, offsets in text_blocks(batch.column("text")):
+                n = len(offsets) - 1
+                kept, gone, runs = [], [], []
+                for i, spans in enumerate(batch.column("spans").slice(first, n)):
+                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                    parts, end, count, removed = [], 0, 0, 0
+                    for a, z in sorted((s["start"], s["stop"]) for s in (spans.as_py() or ())):
+                        if a > end or not count:  # a run of its own; ranges that touch are one run
+                            parts.append(raw[end:a])
+                            count += 1
+                            removed += z - a
+                            end = z
+                        elif z > end:
+                            removed += z - end
+                            end = z
+                    parts.append(raw[end:])
+                    kept.append(b"".join(parts))
+                    gone.append(removed)
+                    runs.append(count)
+                texts = [k.decode(errors="ignore") for k in kept]
+                yield pa.record_batch([batch.column("doc_id").slice(first, n), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(np.diff(offsets)), *(pa.array(x, pa.int64()) for x in (gone, runs)), batch.column("rest").slice(first, n)], ["doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "rest"])
 
     rest = joined.schema["rest"].dataType.simpleString()
     return joined.mapInArrow(keep, f"doc_id long, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long, rest {rest}").select("doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", *(F.col("rest")[c].alias(c) for c in carry))
