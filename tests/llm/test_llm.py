@@ -260,8 +260,8 @@ PAGE = "<!DOCTYPE html><html><head><title>t</title><script>var a='</p>';</script
 def test_html(spark):
     rows = [(i, f"https://h{i % 2}.org/{i}", PAGE.format(f"x{i}"), "e") for i in range(20)] + [(50, None, None, "e"), (51, "https://h0.org/z", "", "e"), (52, "https://q.org", "plain text", "e"), (53, "https://h1.org/cut", PAGE.format("cut")[:250], "e")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string")
-    for most in (50_000, 0):
-        got = {r.page_id: r for r in html_extract.extract_text(pages, most_hosts=most).collect()}
+    for most in (1 << 25, -1):
+        got = {r.page_id: r for r in html_extract.extract_text(pages, broadcast_bytes=most).collect()}
         assert len(got) == len(rows)
         assert all(got[i].text == f"T & x{i}\nOne x{i}\ntwo\nunbelievable" for i in range(20))
         assert (got[50].text, got[51].text, got[52].text) == ("", "", "plain text")
@@ -276,23 +276,65 @@ def test_wrapper_has_slots_and_groups():
 def test_every_part_of_the_place_is_kept():
     def texts(shape):
         pages = [shape.format(f"a{i} is long enough", f"b{i} is long enough") for i in range(4)]
-        return [html_extract.main_text(p, html_extract.content_path(html_extract.infer_wrapper(pages))) for p in pages]
+        return [html_extract.main_text(p, html_extract.infer_wrapper(pages)) for p in pages]
 
     both = [f"a{i} is long enough\nb{i} is long enough" for i in range(4)]
     assert texts("<html><body><main><article>{0}</article><article>{1}</article></main></body></html>") == both
     assert texts("<html><body><article>{0}</article><hr><article>{1}</article></body></html>") == both
     assert texts("<html><body><div>logo</div><nav>n</nav><div><p>{0}</p><p>{1}</p></div></body></html>") == both
     # Without a wrapper's place every article counts.
-    assert html_extract.main_text("<body><article>x</article><hr><article>y</article></body>", []) == "x\ny"
+    assert html_extract.main_text("<body><article>x</article><hr><article>y</article></body>") == "x\ny"
 
 
 @pytest.mark.parametrize("label", ["layout has-sidebar", "post no-comments", "story with-banner", "layout sidebar-right", "comments-off"])
 def test_classes_that_only_mention_a_part(label):
     for inner in ("<article><p>the text</p></article>", "<p>the text of the page</p>"):
         page = f"<html><body><nav>menu</nav><div class='{label}'>{inner}</div><div class='cookie-banner'>ok</div><div class='related'>more</div></body></html>"
-        for path in ([], html_extract.content_path(html_extract.infer_wrapper([page, page.replace("text", "word")]))):
-            assert html_extract.main_text(page, path).startswith("the text")
-            assert not {"ok", "more", "menu"} & set(html_extract.main_text(page, path).split())
+        for wrapper in (None, html_extract.infer_wrapper([page, page.replace("text", "word")])):
+            assert html_extract.main_text(page, wrapper).startswith("the text")
+            assert not {"ok", "more", "menu"} & set(html_extract.main_text(page, wrapper).split())
+
+
+@pytest.mark.parametrize("label", ["class='related-work'", "class='menu-items'", "class='notice-period'", "id='comments-on-theory'"])
+def test_an_article_keeps_blocks_whose_names_only_begin_like_a_part(label):
+    pages = [f"<html><body><nav>menu</nav><article><h1>Title {i}</h1><p>the long text of page {i}</p><div {label}><p>and more of {i}</p></div></article></body></html>" for i in range(4)]
+    wrapper = html_extract.infer_wrapper(pages)
+    assert [html_extract.main_text(p, wrapper) for p in pages] == [f"Title {i}\nthe long text of page {i}\nand more of {i}" for i in range(4)]
+
+
+def test_text_that_a_host_repeats_is_not_the_article():
+    """No class says which block is the menu: the wrapper does, as its text is the same on every page."""
+    shape = "<html><body><div><a href='/'>Home</a> <a href='/n'>News</a></div><h2>Page {0}</h2><p>words of page {0} go here</p><h3>Details</h3><p>and {0} more</p><div><a href='/x'>Imprint</a></div></body></html>"
+    pages = [shape.format(i) for i in range(5)]
+    wrapper = html_extract.infer_wrapper(pages)
+    assert [html_extract.main_text(p, wrapper) for p in pages] == [f"Page {i}\nwords of page {i} go here\nDetails\nand {i} more" for i in range(5)]
+    # Copies of one page say nothing about what is the site's: all is kept.
+    same = html_extract.infer_wrapper(pages[:1] * 5)
+    assert "words of page 0 go here" in html_extract.main_text(pages[0], same)
+
+
+def test_deep_and_wide_pages():
+    import time
+
+    deep = "<html><body>" + "<div>" * 5000 + "<p>inmost</p>" + "</div>" * 5000 + "</body></html>"
+    lines = "<html><body><article>" + "".join(f"line {i}<br>" for i in range(20_000)) + "</article></body></html>"
+    pairs = "<html><body><dl>" + "".join(f"<dt>t{i}<dd>d{i}" for i in range(5000)) + "</dl></body></html>"
+    mixed = "<html><body><article>" + "".join(f"<{'p h2 ul pre blockquote'.split()[(i * i + i // 7) % 5]}>part {i}" for i in range(5000)) + "</article></body></html>"
+    for page, n in ((deep, 1), (lines, 20_000), (pairs, 10_000), (mixed, 5000)):
+        started = time.time()
+        wrapper = html_extract.infer_wrapper([page, page.replace("1", "2")])
+        text = html_extract.main_text(page, wrapper)
+        html_extract.expression(html_extract.Part.load(wrapper.dump()))
+        assert time.time() - started < 30
+        assert len(text.split()) >= n
+
+
+def test_html_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "https://h.org/1", PAGE.format("x"), "a", "b")] * 2 + [(2, None, PAGE.format("y"), None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string")
+    got = html_extract.extract_text(pages).collect()
+    assert sorted((r.page_id, r.text.split("\n")[0]) for r in got) == [(1, "T & x"), (1, "T & x"), (2, "T & y")]
+    assert html_extract.extract_text(pages.limit(0)).collect() == []
 
 
 # ---- cases that every operator takes ---------------------------------------------------------------------------------
