@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -139,21 +140,23 @@ def _best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
     return at, place
 
 
-def pack(items: DataFrame, *, capacity: int = 4096, slack: int = 16, fan_in: int = 8, items_a_task: int = 50_000) -> DataFrame:
+def pack(items: DataFrame, *, capacity: int = 4096, slack: int = 16, items_a_task: int = 50_000, progress: float = 0.02) -> DataFrame:
     """(item, sequence_id, offset) of each row of ``items`` (item long, length long; lengths from 1 to ``capacity``).
 
-    Each round, every partition best-fits its items and emits the bins with at most ``slack`` room; the other bins
-    become items of their size for the next round, in a ``fan_in``-th of the partitions. The last round is one partition: what
-    reaches it is underfull bins alone, and if these are more than ``items_a_task`` a further round merges them first.
+    Each round, every partition best-fits its items and emits the bins with at most ``slack`` room; of the other bins those
+    that have room for the smallest of all become items of their size for the next round, dealt anew into as many partitions
+    as hold ``items_a_task`` each, one in the end. It ends when no bin has a partner, or when a round over several
+    partitions has made less than ``progress`` of the items into others, so that no task ever gets more than its share.
     """
-    spark = items.sparkSession
     items = saved(items.select(F.col("item").alias("id"), F.col("length").alias("size")), "pack-items")
-    partitions = max(1, -(-items.count() // items_a_task))
     rounds: list[DataFrame] = []
+    n = items.count()
     while True:
         level = len(rounds)
+        share = items_a_task - 4 * math.isqrt(items_a_task)  # dealt by hash, so not quite evenly
+        partitions = 1 if n <= items_a_task else -(-n // max(1, share))
 
-        def fit(batches: Iterator[pa.RecordBatch], level=level, last=partitions == 1) -> Iterator[pa.RecordBatch]:
+        def fit(batches: Iterator[pa.RecordBatch], level=level) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("size", pa.int64())]))
@@ -164,19 +167,23 @@ def pack(items: DataFrame, *, capacity: int = 4096, slack: int = 16, fan_in: int
             name = (np.int64(level + 1) << 56) | (np.int64(TaskContext.get().partitionId()) << 32) | at
             for i in range(0, len(ids), 50_000):
                 cut = slice(i, i + 50_000)
-                yield pa.record_batch([pa.array(ids[cut]), pa.array(name[cut]), pa.array(place[cut]), pa.array(filled[at[cut]]), pa.array((filled[at[cut]] >= capacity - slack) | last)], ["id", "bin", "place", "filled", "closed"])
+                yield pa.record_batch([pa.array(ids[cut]), pa.array(name[cut]), pa.array(place[cut]), pa.array(filled[at[cut]])], ["id", "bin", "place", "filled"])
 
-        dealt = items.repartition(partitions, F.xxhash64("id")) if partitions > 1 else items.coalesce(1)
-        done = saved(dealt.mapInArrow(fit, "id long, bin long, place long, filled long, closed boolean"), f"pack-{level}")
+        dealt = items.repartition(partitions, F.xxhash64("id", F.lit(level))) if partitions > 1 else items.coalesce(1)
+        done = saved(dealt.mapInArrow(fit, "id long, bin long, place long, filled long"), f"pack-{level}")
         rounds.append(done)
         if partitions == 1:
             break
-        items = done.filter(~F.col("closed")).groupBy("bin").agg(F.first("filled").alias("size")).withColumnRenamed("bin", "id")
-        partitions = max(1, -(-partitions // fan_in))
-    found = rounds[0].select(F.col("id").alias("item"), "bin", F.col("place").alias("offset"), "closed")
+        open_ = done.filter(F.col("filled") < capacity - slack).groupBy("bin").agg(F.first("filled").alias("size")).withColumnRenamed("bin", "id")
+        least = open_.agg(F.min("size")).first()[0]
+        items = open_.filter(F.col("size") <= capacity - (capacity if least is None else least))
+        before, n = n, items.count()
+        if n == 0 or level and n > (1 - progress) * before:
+            break
+    found = rounds[0].select(F.col("id").alias("item"), "bin", F.col("place").alias("offset"))
     for done in rounds[1:]:
-        merged = done.select(F.col("id").alias("bin"), F.col("bin").alias("_bin"), F.col("place").alias("_place"), F.col("closed").alias("_closed"))
-        found = found.join(merged, "bin", "left").select("item", F.coalesce("_bin", "bin").alias("bin"), (F.col("offset") + F.coalesce("_place", F.lit(0))).alias("offset"), F.coalesce("_closed", "closed").alias("closed"))
+        merged = done.select(F.col("id").alias("bin"), F.col("bin").alias("_bin"), F.col("place").alias("_place"))
+        found = found.join(merged, "bin", "left").select("item", F.coalesce("_bin", "bin").alias("bin"), (F.col("offset") + F.coalesce("_place", F.lit(0))).alias("offset"))
     return found.select("item", F.col("bin").alias("sequence_id"), "offset")
 
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -92,6 +93,21 @@ def test_packing_merges_partitions(spark):
     assert got.sequence_id.nunique() <= 1.03 * sizes.sum() / 100
 
 
+def test_packing_ends_where_nothing_fits(spark, monkeypatch):
+    """Items of which no two fit stay as they are, and no task gets more of them than its share."""
+    seen = []
+    plain = packing.saved
+    monkeypatch.setattr(packing, "saved", lambda frame, name: (lambda out: (name != "pack-items" and seen.append(out.groupBy(F.shiftright("bin", 32)).count().agg(F.max("count")).first()[0]), out)[1])(plain(frame, name)))
+    items = spark.createDataFrame([(i, 2100) for i in range(4000)], "item long, length long")
+    got = packing.pack(items, items_a_task=200).toPandas()
+    assert got.sequence_id.nunique() == 4000 and (got.offset == 0).all()
+    mixed = spark.createDataFrame([(i, 2100 if i % 3 else 300 + i % 1500) for i in range(3000)], "item long, length long")
+    got = packing.pack(mixed, items_a_task=200).toPandas().merge(mixed.toPandas(), on="item")
+    assert len(got) == 3000 and (got.groupby("sequence_id").length.sum() <= 4096).all() and got.sequence_id.nunique() <= 1.03 * max(2000, got.length.sum() / 4096)
+    assert max(seen) <= 200
+    assert packing.pack(items.limit(0)).collect() == []
+
+
 # ---- near duplicates -------------------------------------------------------------------------------------------------
 
 
@@ -191,6 +207,57 @@ def test_url_rules_and_mined_rules(spark):
     assert got[903].rule == "org/"
 
 
+def plain_rules(rows, min_support, min_confidence):
+    need = min_support * len(rows)
+    sets, labelled = collections.Counter(), collections.Counter()
+    for tokens, verdict in rows:
+        for k in (1, 2, 3):
+            for s in itertools.combinations(sorted(set(tokens)), k):
+                sets[s] += 1
+                labelled[s, verdict] += 1
+    return {(s, v): n / sets[s] for (s, v), n in labelled.items() if n >= need - 1e-9 and n / sets[s] >= min_confidence - 1e-12}
+
+
+@pytest.mark.parametrize("segments", [3, 20])
+def test_mined_rules_match_brute_force(spark, segments):
+    """Also where whole baskets have millions of frequent sets."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(200):
+        x = rng.integers(0, 3 if segments == 3 else 2, segments) * (rng.random(segments) < 0.6)
+        rows.append(([f"t{k}:{v}" for k, v in enumerate(x)] + ["host:a"], "block" if x[0] and x[-1] else "allow"))
+    got = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.05).collect()
+    want = plain_rules(rows, 0.05, 0.8)
+    assert len(got) == len(want)
+    assert all(abs(want[tuple(sorted(r.antecedent)), r.verdict] - r.confidence) < 1e-9 for r in got)
+    count = collections.Counter(t for tokens, _ in rows for t in set(tokens))
+    assert all(count[r.rarest] == min(count[t] for t in r.antecedent) for r in got)
+
+
+def test_url_verdicts_match_mined_rules(spark):
+    """Verdicts of URLs without a given rule, by looking at every rule for every URL; long and repeated ones, and a null."""
+    langs = ("en", "fr", "de", "it")
+    urls = [f"https://s{i % 7}.example.{'com' if i % 3 else 'net'}/{langs[i % 4]}/a{i % 5}/{'x/' * (i % 12)}p{i}?q={i}" for i in range(600)]
+    rows = [(i, u, "t", "h") for i, u in enumerate([*urls, *urls[:5], None, "no scheme", "https://s1.example.net/" + "z/" * 3000])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, token string, mined string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    read = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("fit", url_filter.longest_rule(F.col("host"), F.col("path"), url_filter.RULES))
+    read = read.withColumn("tokens", F.when(F.col("host") != "", url_filter.url_tokens(F.col("url"), F.col("host"), F.col("path")))).collect()
+    rules = plain_rules([(r.tokens, r.fit.verdict) for r in read if r.fit], 0.005, 0.8)
+    labelled = [r for r in read if r.fit]
+    got = sorted(url_filter.filter_urls(pages, url_filter.RULES).collect(), key=lambda r: r.page_id)
+    assert len(got) == len(rows)
+    for r, one in zip(sorted(read, key=lambda r: r.page_id), got, strict=True):
+        if r.fit:
+            assert one.verdict == r.fit.verdict
+            continue
+        own = [(c, v) for (s, v), c in rules.items() if set(s) <= set(r.tokens or ())]
+        best = max((c for c, _ in own), default=None)
+        assert one.verdict in ({v for c, v in own if abs(c - best) < 1e-9} if own else {"allow"})
+    assert labelled and url_filter.filter_urls(pages.limit(0), url_filter.RULES).collect() == []
+    assert {r.verdict for r in url_filter.filter_urls(pages.filter("url like '%.net%'"), url_filter.RULES).collect()} == {"allow"}
+
+
 def test_licences(spark):
     rows = [(1, prose(1, 50) + " Licensed under the Apache License, Version 2.0. " + prose(2, 50), "e"), (2, prose(3, 90), "e"), (3, "Released under the MIT License.", "e"), *odd_rows()]
     got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
