@@ -151,8 +151,8 @@ def test_every_pair_of_a_bucket_is_compared(spark, block):
         if s >= 0.8:
             label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
     assert len(set(label)) > 20 and max(label.count(x) for x in label) > 1
-    # Bands of one sample put most texts into large buckets; without a spread the similarity is plain Jaccard.
-    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), bands=16, rows=1, spread=0.0, block=block).collect()}
+    # Bands of one sample put most texts into large buckets; without frequencies the similarity is plain Jaccard.
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), bands=16, rows=1, idf=False, block=block).collect()}
     assert [got[k] for k in range(len(rows))] == label
 
 
