@@ -99,12 +99,11 @@ class LanguageFilter:
         return found
 
 
-def fit_filter(train: DataFrame, min_rate: float = 1e-5, share: float = 0.5, slot_bits: int = 22, probes: int = 3) -> tuple[LanguageFilter, str]:
+def fit_filter(train: DataFrame, min_rate: float = 1e-4, slot_bits: int = 22, probes: int = 3) -> tuple[LanguageFilter, str]:
     """Filter over all texts of ``train`` (lang, text), and the commonest language.
 
-    A language has the n-grams that make at least ``min_rate`` of its n-grams and come at no less than ``share`` of the
-    highest rate of any language. By the first rule a language has at most 1 / ``min_rate`` of them, so what the driver
-    gets is bounded by the number of languages alone.
+    A language has every n-gram that makes at least ``min_rate`` of its n-grams, whatever other languages have it too: at
+    most 1 / ``min_rate`` of them, so what the driver gets is bounded by the number of languages alone.
     """
     counts = train.select("lang", "text").mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
@@ -115,8 +114,7 @@ def fit_filter(train: DataFrame, min_rate: float = 1e-5, share: float = 0.5, slo
             return LanguageFilter([], np.zeros(0, np.int64), np.zeros(0, np.int64), slot_bits, probes), "und"
         sizes = F.create_map(*[F.lit(x) for k in langs for x in (k, float(totals[k]))])
         rated = counts.select("lang", "gram", (F.col("n") / sizes[F.col("lang")]).alias("rate")).filter(F.col("rate") >= min_rate)
-        best = rated.groupBy("gram").agg(F.collect_list(F.struct("lang", "rate")).alias("by"), F.max("rate").alias("top"))
-        table = best.select("gram", F.explode("by").alias("x"), "top").filter(F.col("x.rate") >= share * F.col("top")).select("gram", F.col("x.lang").alias("lang")).toPandas()
+        table = rated.select("gram", "lang").toPandas()
     finally:
         counts.unpersist()
     index = {k: i for i, k in enumerate(langs)}
@@ -124,7 +122,7 @@ def fit_filter(train: DataFrame, min_rate: float = 1e-5, share: float = 0.5, slo
     return found, max(langs, key=lambda k: (totals[k], k))
 
 
-def identify_language(docs: DataFrame, train: DataFrame, *, min_rate: float = 1e-5, share: float = 0.5, slot_bits: int = 22, probes: int = 3) -> DataFrame:
+def identify_language(docs: DataFrame, train: DataFrame, *, min_rate: float = 1e-4, slot_bits: int = 22, probes: int = 3) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text), learnt from ``train`` (lang, text).
 
     Each n-gram of a text adds one to every language whose filter has it. The count c of n n-grams is corrected to
@@ -133,7 +131,7 @@ def identify_language(docs: DataFrame, train: DataFrame, *, min_rate: float = 1e
     n-gram give the commonest language and 0. Rows are neither merged nor dropped; nulls in other columns do not matter,
     and columns other than those named are ignored.
     """
-    model, common = fit_filter(train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), min_rate, share, slot_bits, probes)
+    model, common = fit_filter(train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), min_rate, slot_bits, probes)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.langs)
