@@ -14,15 +14,15 @@ from ._text import saved
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
-    """(id, v): the vectors of length other than zero whose components are all finite, of the commonest dimension.
+    """(id, vec_id, v): the vectors of length other than zero whose components are all finite, of the commonest dimension.
 
-    Rows without an id are left out; of several rows of one id the least vector stays.
+    ``id`` is the row's own, as several rows may have one vec_id. Rows without a vec_id are left out.
     """
-    typed = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = typed.filter(finite & F.exists("v", lambda x: x != 0))
     size = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).select("d")
-    return good.join(F.broadcast(size), F.size("v") == F.col("d"), "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    return good.join(F.broadcast(size), F.size("v") == F.col("d"), "left_semi").select(F.monotonically_increasing_id().alias("id"), "vec_id", "v")
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -98,12 +98,13 @@ def _propose(ids: np.ndarray, row: np.ndarray, partner: np.ndarray, sim: np.ndar
     return pa.record_batch([pa.array(ids[row[at]], pa.int64()), _lists(partner, sizes, pa.int64()), _lists(sim.astype(np.float32), sizes, pa.float32())], ["id", "near", "sim"])
 
 
-def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 24, rounds: int = 9, least: float = 0.005, leaf: int = 256, deals: int = 3) -> DataFrame:
+def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 24, rounds: int = 9, least: float = 0.005, leaf: int = 256, deals: int = 3, proposals: int = 8) -> DataFrame:
     """(id, near, sim): about the k nearest of every row of ``points`` (id, h binary of 16-bit floats, code).
 
     First neighbours: the best inside groups of equal signs on random planes, these dealt by hash into groups of about
     ``leaf``, in ``deals`` ways, so that paths lead from each group to others. Each round joins every node with its neighbours and a hashed choice of ``reverse`` nodes that have it as a neighbour,
-    compares these among one another, and keeps each one's k best; it ends when fewer than ``least`` of all entries change.
+    compares these among one another, and keeps each one's k best; a node proposes to each of these its ``proposals`` best others, what is
+    left comes again in the next round. It ends when fewer than ``least`` of all entries change.
     """
     n = points.count()
     width = max(1, -(-n // leaf))
@@ -139,7 +140,7 @@ def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 24, rounds
             at = np.flatnonzero(np.append(True, np.diff(keys) != 0))
             found = []
             for a, b in zip(at, [*at[1:], len(keys)], strict=True):
-                row, partner, sim = _pairs_inside(x[a:b], radius[a:b], 8)
+                row, partner, sim = _pairs_inside(x[a:b], radius[a:b], proposals)
                 found.append((row + a, partner + a, sim))
             row, partner, sim = (np.concatenate(c) for c in zip(*found, strict=True))
             best = _best(ids[row], ids[partner], sim, k)
@@ -166,16 +167,17 @@ def neighbour_graph(points: DataFrame, *, k: int = 20, reverse: int = 24, rounds
     return graph
 
 
-def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, *, beam: int = 160, width: int = 40, hops: int = 8, sample: int = 2048, reverse: int = 20, block: int = 16_384) -> DataFrame:
+def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, *, beam: int = 160, width: int = 40, hops: int = 8, sample: int = 2048, least: int = 16, share: float = 0.04, reverse: int = 20, block: int = 16_384) -> DataFrame:
     """(query_id, id): for each row of ``queries`` (query_id, v) the ``beam`` best points that a greedy search has met.
 
-    A query begins at the best of ``sample`` points and, hop by hop, looks at the neighbours (in either direction) of the
+    A query begins at the best of ``sample`` points, at most a ``share`` of all but for ``least``, and, hop by hop, looks at the neighbours (in either direction) of the
     ``width`` best points that it has not yet left from, keeping the ``beam`` best. Queries go in blocks of at most ``block``, whose vectors are sent
     to the tasks; the number of points does not bear on what is sent.
     """
     back = graph.select(F.explode("near").alias("id"), F.col("id").alias("near"))
     back = back.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "near"), "near"))).filter(F.col("rank") <= reverse).groupBy("id").agg(F.collect_list("near").alias("back"))
     adjacent = saved(graph.select("id", "near").join(back, "id", "full").select("id", F.array_union(F.coalesce("near", F.array().cast("array<long>")), F.coalesce("back", F.array().cast("array<long>"))).alias("near")), "adjacent")
+    sample = min(sample, max(least, int(points.count() * share)))
     some = points.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").collect()
     entry_ids, entry = np.array([r["id"] for r in some], np.int64), np.array([np.frombuffer(r["v"], "<f4") for r in some])
     blocks = max(1, -(-queries.count() // block))
@@ -222,7 +224,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, graph_k: int
 
     ``vectors``: (vec_id, embedding). Scores are exact cosines in double precision of the original vectors; ties go to
     the smaller vec_id; the query itself is no candidate. Null, zero and non-finite vectors, ones with null components and ones of a
-    dimension other than the commonest take no part. Repeated rows of one vec_id count once. An empty table gives no rows. Other columns are ignored.
+    dimension other than the commonest take no part, nor do rows without a vec_id. Every row counts for itself, also of a repeated vec_id: as a query,
+    and as a candidate of all other rows. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     usable = saved(usable_vectors(vectors), "vectors")
@@ -230,21 +233,21 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, graph_k: int
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     points = saved(usable.mapInArrow(_encode, "id long, v binary, h binary, code long"), "points")
     graph = neighbour_graph(points, k=graph_k)
-    queries = points.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "v")
+    queries = points.join(usable.filter(is_query(F.col("vec_id"))).select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), "v")
     found = search_graph(points, graph, queries, **search)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    pairs = found.filter("query_id <> id").join(usable.select("id", "v"), "id").join(usable.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    pairs = found.filter("query_id <> id").join(usable.select("id", "vec_id", "v"), "id").join(usable.select(F.col("id").alias("query_id"), F.col("vec_id").alias("query"), F.col("v").alias("q")), "query_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1)) for c in ("v", "q"))
             s = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-            yield pa.record_batch([batch.column("query_id"), batch.column("id"), pa.array(s)], ["query_id", "vec_id", "score"])
+            yield pa.record_batch([*(batch.column(c) for c in ("query_id", "query", "id", "vec_id")), pa.array(s)], ["row", "query_id", "id", "vec_id", "score"])
 
-    scored = pairs.select("query_id", "id", "v", "q").mapInArrow(exact, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    scored = pairs.select("query_id", "query", "id", "vec_id", "v", "q").mapInArrow(exact, "row long, query_id long, id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
