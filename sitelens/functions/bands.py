@@ -52,8 +52,9 @@ def confidence_label(c: Column) -> Column:
 
 
 def priority_label(p: Column) -> Column:
-    return F.when(p >= 0.55, "high").when(p >= 0.3, "medium").otherwise("low")
+    return F.when(p >= 0.55, "P1").when(p >= 0.3, "P2").otherwise("P3")
 
 
-def band_word(band: Column) -> Column:
-    return F.when(band == "act", "clear").when(band == "review", "check").otherwise("ask")
+def band_word(band: Column, needs_human: Column) -> Column:
+    """The band in words; who needs a person outranks it. Null stays null."""
+    return F.when(band.isNull(), None).when((band == "escalate") | needs_human, "needs a human").when(band == "act", "decisive").otherwise("to verify")

@@ -53,11 +53,26 @@ def _split(text: Column, pattern: str) -> Column:
 
 
 def topic_tokens(text: Column) -> Column:
-    return F.filter(_split(text, "[^a-z0-9]+"), lambda t: F.length(t).between(3, 28) & ~F.array_contains(_one_of(STOP_WORDS), t) & ~t.rlike("^[0-9]+$"))
+    return F.filter(_split(text, "[^a-z0-9]+"), lambda t: F.length(t).between(3, 28) & ~t.isin(STOP_WORDS) & ~t.rlike("^[0-9]+$"))
 
 
 def keyword_tokens(text: Column) -> Column:
-    return F.filter(_split(text, "[^a-z0-9'-]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(_one_of(NOISE), t) & ~t.rlike("^[0-9]+$"))
+    return F.filter(_split(text, "[^a-z0-9'-]+"), lambda t: (F.length(t) > 1) & ~t.isin(NOISE) & ~t.rlike("^[0-9]+$"))
+
+
+#: Words that don't tell one opportunity from another.
+OPPORTUNITY_STOP = "a an the and or of for to in on at by with from is are be my your our it this that you we i s vs".split()
+
+
+def opportunity_tokens(text: Column) -> Column:
+    """Words of three letters or more, repeats kept; anything but letters, digits, space and dash parts words."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s-]", " "), r"[\s-]+"), lambda t: (F.length(t) > 2) & ~t.isin(OPPORTUNITY_STOP))
+
+
+def opportunity_slug(text: Column) -> Column:
+    """The opportunity tokens with dashes, or if there are none the text with anything else a dash."""
+    words = F.array_join(opportunity_tokens(text), "-")
+    return F.when(words != "", words).otherwise(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
 
 
 def pair_tokens(text: Column) -> Column:

@@ -10,6 +10,11 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def domain_of(url: Column) -> Column:
+    """What is left without ``http://`` or ``https://`` and anything from the first slash on."""
+    return F.regexp_replace(F.regexp_replace(url, "^https?://", ""), "/.*$", "")
+
+
 def host_key(url: Column) -> Column:
     """Host in lower case without ``www.``"""
     return F.regexp_replace(host_of(url), r"^www\.", "")

@@ -1,58 +1,13 @@
-"""Post-processing of typed answers (site, item_id, question_id, type, p), run history and events."""
+"""Scores and ledgers of runs, run history and events."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.bands import NO, band_noul
 from ..functions.numbers import half_up
 
-#: What each answer adds to a gap's priority, and what a bucket keeps of it.
-GAP_WEIGHTS = {"buyer": 0.26, "rival": 0.20, "uncovered": 0.14, "weak": 0.10, "own": 0.08}
-BUCKET_WEIGHT = {"missing": 1.0, "weak": 0.8, "untapped": 0.35, "shared": 0.2, "unique": 0.5, "strong": 0.15}
-MISSING = 0.5
-
-
-def pivot_answers(answers: DataFrame, questions: list[str], default: float | None = MISSING) -> DataFrame:
-    """One row of each (site, item_id) with a column a question; a missing answer is ``default``."""
-    value = lambda q: F.max(F.when(F.col("question_id") == q, F.col("p")))
-    return answers.groupBy("site", "item_id").agg(*[(F.coalesce(value(q), F.lit(default)) if default is not None else value(q)).alias(q) for q in questions])
-
-
-def gap_bucket(rival: Column, ours: Column, own: Column, coverage: Column, strong_at: float = 2.0) -> Column:
-    yes = lambda c: c >= 0.5
-    return F.when(yes(rival) & ~yes(ours), "missing").when(~yes(rival) & ~yes(ours), "untapped").when(yes(rival), "shared").when(yes(own), "unique").when(coverage >= strong_at, "strong").otherwise("weak")
-
-
-def gap_rows(answers: DataFrame) -> DataFrame:
-    """Bucket, priority and whether a person should look, of each term."""
-    t = pivot_answers(answers, ["is_real_query", "is_buyer_query", "rival_serves", "our_serves", "our_own_subject", "our_coverage"])
-    t = t.withColumn("bucket", gap_bucket(F.col("rival_serves"), F.col("our_serves"), F.col("our_own_subject"), F.col("our_coverage") * 3))
-    w = GAP_WEIGHTS
-    parts = w["buyer"] * F.col("is_buyer_query") + w["rival"] * F.col("rival_serves") + w["uncovered"] * F.when(F.col("our_serves") < 0.5, 1.0).otherwise(0.0) + w["weak"] * F.when(F.col("bucket") == "weak", 1.0).otherwise(0.0) + w["own"] * F.col("our_own_subject")
-    keeps = F.create_map(*[F.lit(x) for kv in BUCKET_WEIGHT.items() for x in kv])[F.col("bucket")]
-    gate = F.when(F.col("is_real_query") <= NO, 0.0).otherwise(F.least(F.lit(1.0), (F.col("is_real_query") - NO) / (0.5 - NO)))
-    human = (F.col("is_real_query") < 0.5) | ((F.col("bucket") == "missing") & (F.col("our_serves") > 0.35)) | ((F.col("bucket") == "untapped") & (F.col("rival_serves") > 0.65)) | (band_noul(F.col("our_serves")) == "review")
-    return t.select("site", "item_id", "bucket", half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts * keeps * gate)), 6).alias("priority"), human.alias("needs_human"))
-
-
-def gap_candidates(answers: DataFrame, most: int = 12) -> DataFrame:
-    """The ``most`` terms of a site that someone types (0.5 or more), by opportunity."""
-    t = pivot_answers(answers, ["is_real_query", "is_buyer_query", "our_coverage"])
-    score = half_up(0.4 * F.when(F.col("is_buyer_query") >= 0.5, 1.0).otherwise(0.0) + 0.35 * (1 - F.col("our_coverage")), 6)
-    ranked = t.filter("is_real_query >= 0.5").withColumn("opportunity", score)
-    return ranked.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("opportunity"), "item_id"))).filter(F.col("r") <= most).select("site", "item_id", "opportunity")
-
-
-def page_judgements(answers: DataFrame) -> DataFrame:
-    """Importance and band of each item: act without a grey answer, review with up to two, else escalate."""
-    grey = F.count_if((F.col("type") == "noul") & F.col("p").between(0.2, 0.8))
-    t = answers.groupBy("site", "item_id").agg(F.coalesce(F.max(F.when(F.col("question_id") == "importance", F.col("p"))), F.lit(MISSING)).alias("importance"), grey.alias("reasons"))
-    return t.select("site", "item_id", "importance", "reasons", F.when(F.col("reasons") == 0, "act").when(F.col("reasons") <= 2, "review").otherwise("escalate").alias("band"))
-
-
 def site_score(judged: DataFrame, findings: DataFrame, penalties: DataFrame) -> DataFrame:
     """Mean of pages weighed by 0.35 + importance, each less the weights of its findings in hundredths, less the site's rule penalty."""
     load = findings.groupBy("site", "item_id").agg(F.sum("points").alias("load"))
@@ -62,19 +17,16 @@ def site_score(judged: DataFrame, findings: DataFrame, penalties: DataFrame) ->
     return own.join(penalties, "site", "left").select("site", half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("num") / F.col("den") * 100 - F.coalesce("penalty", F.lit(0))))).cast("int").alias("score"))
 
 
-def pattern_counts(answers: DataFrame) -> DataFrame:
-    """How often each (question, label) comes, and its share of the question's answers in the site."""
-    label = F.when(F.col("p") >= 0.8, "yes").when(F.col("p") <= 0.2, "no").otherwise("grey")
-    n = answers.withColumn("label", label).groupBy("site", "question_id", "label").agg(F.count("*").alias("n"))
-    return n.select("site", "question_id", "label", "n", half_up(F.col("n") / F.sum("n").over(Window.partitionBy("site", "question_id")), 3).alias("share"))
-
-
 def ledger_totals(calls: DataFrame) -> DataFrame:
-    """(site, cost) calls: number, sum, median and 95th percentile by place in order, floor(0.95 n)."""
-    by = Window.partitionBy("site")
-    t = calls.withColumn("n", F.count("*").over(by)).withColumn("r", F.row_number().over(by.orderBy("cost")) - 1)
-    at = lambda k: F.max(F.when(F.col("r") == k, F.col("cost")))
-    return t.groupBy("site").agg(F.max("n").alias("calls"), F.sum(F.col("cost").cast("decimal(18,8)")).cast("double").alias("total"), half_up((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2, 6).alias("median"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"))
+    """(site, tokens, cost, ms) calls: number, sums, median (rounded between two) and 95th percentile of ms by place in order, floor(0.95 n).
+
+    Places are found in the counts of the different durations, so a site's calls are never ordered in one task.
+    """
+    sums = calls.groupBy("site").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.sum(F.col("cost").cast("decimal(18,8)")).cast("double").alias("cost"))
+    counts = calls.groupBy("site", "ms").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("site").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("ms")))
+    t = counts.join(sums, "site").groupBy("site", "calls", "tokens", "cost").agg(at(F.floor((F.col("calls") - 1) / 2)).alias("a"), at(F.floor(F.col("calls") / 2)).alias("b"), at(F.least(F.col("calls") - 1, F.floor(F.col("calls") * 0.95))).alias("p95"))
+    return t.select("site", "calls", "tokens", half_up(F.col("cost"), 6).alias("cost"), half_up((F.col("a") + F.col("b")) / 2).cast("long").alias("median_ms"), F.col("p95").alias("p95_ms"))
 
 
 # ---- run history -----------------------------------------------------------------------------------------------------
@@ -114,12 +66,19 @@ def delta_summary(states: DataFrame) -> DataFrame:
     return states.groupBy("root").agg(F.count("*").alias("pages"), n("regressed", "changed", "still_open", "not_longer_raised", "clean").alias("comparable"), n("clean").alias("clean"), n("unreachable_before", "not_comparable").alias("unreachable"), n("not_longer_raised", "newly_raised", "regressed").alias("moved"))
 
 
+def score_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(root, score_delta) of two runs' heads (root, score, model); null unless one model judged both."""
+    p = previous.select("root", F.col("score").alias("before"), F.col("model").alias("other"))
+    return current.join(p, "root", "left").select("root", F.when(F.col("model") == F.col("other"), F.col("score") - F.col("before")).alias("score_delta"))
+
+
 # ---- event log, batch forms ------------------------------------------------------------------------------------------
 
 
 def live_counters(events: DataFrame) -> DataFrame:
+    """Counts and cost of each run; a replayed event (of the same seq) counts once."""
     n = lambda t: F.count_if(F.col("type") == t)
-    return events.groupBy("run_id").agg(n("page-done").alias("pages"), n("keyword-done").alias("keywords"), n("gap-done").alias("gaps"), n("error").alias("errors"), F.sum(F.col("cost").cast("decimal(18,8)")).cast("double").alias("cost"))
+    return events.dropDuplicates(["run_id", "seq"]).groupBy("run_id").agg(n("page-done").alias("pages"), n("keyword-done").alias("keywords"), n("gap-done").alias("gaps"), n("error").alias("errors"), F.sum(F.col("cost").cast("decimal(18,8)")).cast("double").alias("cost"))
 
 
 def latest_by_key(events: DataFrame) -> DataFrame:
@@ -139,7 +98,9 @@ def slots(events: DataFrame) -> DataFrame:
 
 
 def stage_of_run(events: DataFrame) -> DataFrame:
-    return events.groupBy("run_id").agg(F.max_by("type", "seq").alias("stage"))
+    """The last stage of each run: crawl, keywords, rivals or site; a problem is no stage."""
+    stage = F.when(F.col("type").startswith("crawl"), "crawl").when(F.col("type").startswith("keyword"), "keywords").when(F.col("type").startswith("competitor"), "rivals").otherwise("site")
+    return events.filter("type <> 'error'").groupBy("run_id").agg(F.max_by(stage, "seq").alias("stage"))
 
 
 def recent_log(events: DataFrame, most: int = 200) -> DataFrame:
@@ -147,6 +108,23 @@ def recent_log(events: DataFrame, most: int = 200) -> DataFrame:
     return events.withColumn("r", rank).filter(F.col("r") <= most).select("run_id", "seq", "type")
 
 
+def recent_problems(events: DataFrame, most: int = 12) -> DataFrame:
+    """The last problem lines of each run."""
+    return recent_log(events.filter("type = 'error'"), most)
+
+
+def crawl_rows(live: DataFrame, final: DataFrame) -> DataFrame:
+    """(site, path, words, title): rows seen live, overlaid by the final report, and rows of the report alone."""
+    both = live.select("site", "path", F.col("words").alias("w"), F.col("title").alias("t")).join(final.select("site", "path", "words", "title"), ["site", "path"], "full")
+    return both.select("site", "path", F.coalesce("words", "w").alias("words"), F.coalesce("title", "t").alias("title"))
+
+
+def log_counters(lines: DataFrame) -> DataFrame:
+    """(run_id, text) lines of a session: searches, tool calls and messages."""
+    text, tool = F.col("text"), r"^— \S+ (completed|running|pending|error)$"
+    return lines.groupBy("run_id").agg(F.count_if(text.rlike(r"^— \S+ (completed|error|pending)")).alias("searches"), F.count_if(text.rlike(tool)).alias("tools"), F.count_if(text.startswith("— ") & ~text.rlike(tool)).alias("messages"))
+
+
 def event_windows(events: DataFrame, size: str = "1 hour") -> DataFrame:
     w = F.window(F.col("ts").cast("timestamp"), size)
     return events.groupBy(w.alias("w"), "type").agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("start"), "type", "n")

@@ -1,119 +1,11 @@
-"""Findings, decisions, subjects, boards and provenance checks: tables in, tables out."""
+"""Export of decisions, provenance checks and throughput: tables in, tables out."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.bands import DECISIVE_BY_QUESTION, GATE_FLOOR_BY_QUESTION, confidence_label, priority_label
 from ..functions.numbers import half_up
-from ..functions.text import leading_content_word
-from .audit import pivot_answers
-
-
-def score_findings(answers: DataFrame, ceiling: float = 0.45, bar: float = 0.85) -> DataFrame:
-    """Score answers whose value is below ``ceiling`` and whose mass on that side is decisive; unimportant pages are left out."""
-    importance = answers.filter("question_id = 'importance'").select("site", "item_id", F.col("p").alias("importance"))
-    scored = answers.filter("type = 'score' and question_id <> 'importance'").join(importance, ["site", "item_id"], "left")
-    return scored.filter((F.col("p") < ceiling) & (1 - F.col("p") >= bar) & (F.coalesce("importance", F.lit(0.5)) >= 0.2)).select("site", "item_id", "question_id", F.when(F.col("importance") >= 0.6, "serious").otherwise("moderate").alias("severity"))
-
-
-def gate_findings(answers: DataFrame) -> DataFrame:
-    """Yes/no gates: grey ones give a reason, those below the floor a finding."""
-    gates = answers.filter("type = 'noul'")
-    kind = F.when(F.col("p") <= 0.2, "finding").when(F.col("p") < 0.8, "reason")
-    return gates.withColumn("kind", kind).filter("kind is not null").select("site", "item_id", "question_id", "kind")
-
-
-def keyword_judgements(answers: DataFrame) -> DataFrame:
-    """Reasons and band of each keyword: act without a reason, review with one, else escalate; missing gates count as 0."""
-    t = pivot_answers(answers, ["is_real_query", "is_buyer_query", "our_coverage"], 0.0)
-    reasons = F.array_compact(F.array(F.when(F.col("is_real_query").between(0.2, 0.8), "real-query"), F.when(F.col("is_buyer_query").between(0.2, 0.8), "buyer-query"), F.when(F.col("our_coverage").between(0.4, 0.6), "coverage")))
-    n = F.size(reasons)
-    return t.select("site", "item_id", "is_real_query", "is_buyer_query", "our_coverage", F.array_join(reasons, ",").alias("reasons"), F.when(n == 0, "act").when(n == 1, "review").otherwise("escalate").alias("band"))
-
-
-def keyword_opportunity(judged: DataFrame) -> DataFrame:
-    """0.4 buyer and real, 0.35 gap in coverage; headings and spread come with the mined term."""
-    both = F.when((F.col("is_buyer_query") >= 0.5) & (F.col("is_real_query") >= 0.5), 1.0).otherwise(0.0)
-    return judged.withColumn("opportunity", half_up(0.4 * both + 0.35 * (1 - F.col("our_coverage")), 3))
-
-
-def actionable_keywords(judged: DataFrame, most: int = 12) -> DataFrame:
-    kept = keyword_opportunity(judged).filter("is_real_query >= 0.5 and is_buyer_query >= 0.2 and band <> 'escalate'")
-    return kept.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("opportunity"), "item_id"))).filter(F.col("r") <= most).select("site", "item_id", "opportunity")
-
-
-def rejection_summary(judged: DataFrame) -> DataFrame:
-    """Why keywords are not acted on: chrome, greyZone, notBuyer."""
-    why = F.when(F.col("is_real_query") < 0.2, "chrome").when((F.col("is_real_query") < 0.5) | (F.col("band") == "escalate"), "greyZone").when(F.col("is_buyer_query") < 0.2, "notBuyer")
-    return judged.withColumn("why", why).filter("why is not null").groupBy("site", "why").agg(F.count("*").alias("n"))
-
-
-def opportunity_board(judged: DataFrame) -> DataFrame:
-    """Rows with priority, its word, and confidence from the answers' distance to grey."""
-    board = keyword_opportunity(judged)
-    priority = 0.5 * F.col("opportunity") + 0.3 * (1 - F.col("our_coverage")) + 0.2 * F.col("is_buyer_query")
-    sure = lambda c: F.greatest(F.col(c), 1 - F.col(c))
-    board = board.withColumn("priority", half_up(priority, 6)).withColumn("confidence", half_up((sure("is_real_query") + sure("is_buyer_query") + sure("our_coverage")) / 3, 6))
-    return board.select("site", "item_id", "priority", priority_label(F.col("priority")).alias("priority_word"), "confidence", confidence_label(F.col("confidence")).alias("confidence_word"))
-
-
-def subjects(gaps: DataFrame, most: int = 4) -> DataFrame:
-    """Gaps (site, term, content_type, own, priority) by content type, own subject and leading word; named by the best term."""
-    keyed = gaps.withColumn("lead", leading_content_word(F.col("term")))
-    by = ["site", "content_type", "own", "lead"]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("priority"), "term"))
-    return keyed.withColumn("r", rank).groupBy(*by).agg(F.count("*").alias("terms"), F.max("priority").alias("priority"), F.max(F.when(F.col("r") == 1, F.col("term"))).alias("label"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("term")))), "|").alias("phrases"))
-
-
-def top_changes(options: DataFrame, least: float = 0.5, margin: float = 0.2) -> DataFrame:
-    """Options (site, item_id, choice, p): the best of each item if it is something, at its bar or ahead by ``margin``; and the runner-up."""
-    by = Window.partitionBy("site", "item_id").orderBy(F.desc("p"), "choice")
-    r = options.withColumn("r", F.row_number().over(by)).filter("r <= 2").groupBy("site", "item_id").agg(*[F.max(F.when(F.col("r") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2) for c in ("choice", "p")])
-    bar = DECISIVE_BY_QUESTION["highest_impact_change"]
-    ahead = F.col("p1") - F.coalesce("p2", F.lit(0.0)) >= margin
-    return r.filter((F.col("choice1") != "nothing_missing") & ((F.col("p1") >= bar) | (ahead & (F.col("p1") >= least)))).select("site", "item_id", F.col("choice1").alias("change"), F.col("p1").alias("p"), F.col("choice2").alias("runner_up"))
-
-
-def decisions(changes: DataFrame, importance: DataFrame, shares: DataFrame) -> DataFrame:
-    """Changes with their pages' priority: 0.55 importance and 0.45 share of inbound links, 4 decimals."""
-    joined = changes.join(importance, ["site", "item_id"], "left").join(shares, ["site", "item_id"], "left")
-    return joined.select("site", "item_id", "change", half_up(0.55 * F.coalesce("importance", F.lit(0.5)) + 0.45 * F.coalesce("inbound_share", F.lit(0.0)), 4).alias("priority"))
-
-
-def not_decided(pages: DataFrame, decided: DataFrame) -> DataFrame:
-    return pages.select("site", "item_id").distinct().join(decided, ["site", "item_id"], "left_anti").withColumn("reason", F.lit("no change stands out"))
-
-
-def link_suggestions(findings: DataFrame, pages: DataFrame, most: int = 20) -> DataFrame:
-    """For each page with a finding, the most important other page of the site with its intent, else of the site; two candidates a group are enough."""
-    key = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("importance"), "item_id"))
-    best = lambda by, n: pages.withColumn("k", key(by)).filter("k <= 2").groupBy(*by).agg(F.max(F.when(F.col("k") == 1, F.col("item_id"))).alias(f"{n}1"), F.max(F.when(F.col("k") == 2, F.col("item_id"))).alias(f"{n}2"))
-    own = findings.select("site", "item_id").distinct().join(pages, ["site", "item_id"]).join(best(["site", "intent"], "s"), ["site", "intent"]).join(best(["site"], "a"), "site")
-    pick = lambda n: F.when(F.col(f"{n}1") != F.col("item_id"), F.col(f"{n}1")).otherwise(F.col(f"{n}2"))
-    found = own.select("site", "item_id", F.coalesce(pick("s"), pick("a")).alias("target"), pick("s").isNotNull().alias("same_intent")).filter("target is not null")
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy("item_id"))).filter(F.col("r") <= most).drop("r")
-
-
-def threshold_coverage(registry: DataFrame) -> DataFrame:
-    """Questions (question_id, type) without a bar of their own."""
-    bars = [*DECISIVE_BY_QUESTION, *GATE_FLOOR_BY_QUESTION]
-    return registry.select("question_id", "type").distinct().filter(~F.col("question_id").isin(bars))
-
-
-def rival_cap(rivals: DataFrame, most: int = 5) -> DataFrame:
-    """Which rivals (site, rival, reachable) of a site are tried, in order of their keys."""
-    r = F.row_number().over(Window.partitionBy("site").orderBy("rival"))
-    return rivals.withColumn("r", r).select("site", "rival", F.when(F.col("r") > most, "past_the_cap").when(F.col("reachable"), "attempted").otherwise("unreachable").alias("state"))
-
-
-def run_snapshot(judged: DataFrame, decided: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per page: reachable (judged), raised (has a decision or a finding), key of the change, number of findings."""
-    n = findings.groupBy("site", "item_id").agg(F.count("*").alias("findings"))
-    t = judged.join(decided.select("site", "item_id", "change"), ["site", "item_id"], "left").join(n, ["site", "item_id"], "left")
-    return t.select("site", "item_id", F.lit(True).alias("reachable"), (F.col("change").isNotNull() | F.col("findings").isNotNull()).alias("raised"), F.col("change").alias("change_key"), F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
 def csv_cell(value: Column) -> Column:

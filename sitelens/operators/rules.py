@@ -61,10 +61,10 @@ def severity_points(severity: Column) -> Column:
 
 
 def rule_only_score(findings: DataFrame, stats: DataFrame) -> DataFrame:
-    """80 less the weights of a site's findings, 10 more if all its titles fit and 10 if it has structured data, within 0 and 100."""
+    """80 less the weights of a site's findings, up to 10, 8 and 8 more by its pages' shares with structured data, description and H1, 8 with https; within 0 and 100."""
     load = findings.groupBy("site").agg(F.sum(severity_points(F.col("severity"))).alias("load"))
-    bonus = F.when(F.col("title_length_ok") == F.col("pages"), 10).otherwise(0) + F.when(F.col("with_schema") > 0, 10).otherwise(0)
-    return stats.join(load, "site", "left").select("site", F.greatest(F.lit(0), F.least(F.lit(100), 80 - F.coalesce("load", F.lit(0)) + bonus)).cast("int").alias("score"))
+    bonus = F.col("with_schema") / F.col("pages") * 10 + F.col("with_description") / F.col("pages") * 8 + F.col("with_h1") / F.col("pages") * 8 + F.when(F.col("https"), 8).otherwise(0)
+    return stats.join(load, "site", "left").select("site", half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 80 - F.coalesce("load", F.lit(0)) + bonus))).cast("int").alias("score"))
 
 
 def rule_count_per_page(pages: DataFrame, hits: DataFrame) -> DataFrame:
@@ -76,8 +76,25 @@ def crawl_totals(pages: DataFrame, counts: DataFrame) -> DataFrame:
     return pages.join(counts, ["site", "path"], "left").groupBy("site").agg(F.sum("words").alias("words"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"), F.count_if(F.col("words") < 200).alias("thin"))
 
 
-def entity_block(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("site").agg(F.count_distinct("lang").alias("langs"), F.count_if("has_schema").alias("with_schema"), F.count_if(F.col("description") != "").alias("described"), F.count("*").alias("pages"), half_up(F.avg("words"), 1).alias("avg_words"))
+def _some(column: str, most: int) -> Column:
+    """The first values by name of an array column, of a whole group; empty ones don't count."""
+    return F.array_join(F.slice(F.array_sort(F.array_except(F.array_distinct(F.flatten(F.collect_set(column))), F.array(F.lit("")))), 1, most), "|")
+
+
+def entity_facts(pages: DataFrame, most_types: int = 12, most_authors: int = 8) -> DataFrame:
+    """Who a site says it is (site, schema_types, authors, lang, has_schema, h1, has_https): types, named authors, languages, counts.
+
+    The values are distinct names, of which a site has few.
+    """
+    return pages.groupBy("site").agg(_some("schema_types", most_types).alias("schema_types"), _some("authors", most_authors).alias("named_authors"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("lang") != "", F.col("lang")))), "|").alias("languages"), F.count_if("has_schema").alias("pages_with_schema"), F.count_if(F.col("h1") != "").alias("pages_with_h1"), F.bool_or("has_https").alias("https"))
+
+
+def proof_block(pages: DataFrame, graph: DataFrame) -> DataFrame:
+    """What a site can prove (site, authors, text, has_schema, words, external_hosts), with its orphans and dead ends (site, orphan, dead_end)."""
+    own = pages.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(F.size("authors") > 0).alias("with_author"), F.count_if(F.col("text").rlike(r"\b(19|20)[0-9]{2}\b")).alias("with_date"), F.count_if("has_schema").alias("with_schema"), half_up(F.sum("words") / F.count("*")).cast("long").alias("avg_words"))
+    hosts = pages.select("site", F.explode("external_hosts").alias("h")).distinct().groupBy("site").agg(F.count("*").alias("external_sources"))
+    ends = graph.groupBy("site").agg(F.count_if("orphan").alias("orphans"), F.count_if("dead_end").alias("dead_ends"))
+    return own.join(hosts, "site", "left").join(ends, "site", "left").fillna(0, ["external_sources", "orphans", "dead_ends"])
 
 
 def content_quality(docs: DataFrame) -> DataFrame:
@@ -94,7 +111,7 @@ def content_quality(docs: DataFrame) -> DataFrame:
     again = F.size(F.array_distinct(F.array_compact(F.transform("p", lambda x, i: F.when((i > 0) & (F.get("p", i - 1) == x), x)))))
     lower = F.lower("text")
     filler = sum(F.contains(lower, F.lit(x)).cast("int") for x in FILLER_PHRASES)
-    figures = F.size(F.regexp_extract_all("text", F.lit(r"\b[0-9]+(?:[.,][0-9]+)?"), F.lit(0)))
+    figures = F.size(F.regexp_extract_all("text", F.lit(r"\b[0-9]+(?:[.,][0-9]+)?(?:%|st|nd|rd|th)?\b"), F.lit(0)))
     names = F.size(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), F.lit(0)))
     d = d.withColumns({"unique_tokens": F.size(F.array_distinct("w")), "density": half_up(F.least(F.lit(1.0), (figures + names) * 10.0 / F.greatest(F.lit(1), F.col("n"))), 3), "repetition": F.bround(again * 100.0 / F.greatest(F.lit(1), F.col("kinds")), 0).cast("int"), "filler": F.least(F.lit(100), F.bround(filler * 25.0 / F.greatest(F.lit(1.0), F.col("n") / 1000.0), 0).cast("int"))})
     overall = half_up((100 - F.col("filler")) * 0.35 + F.col("density") * 35.0 + (100 - F.col("repetition")) * 0.2 + F.least(F.lit(100.0), F.col("n") / 10.0) * 0.1).cast("int")

@@ -149,11 +149,15 @@ def search_alerts(rows: DataFrame, as_of: date, days: int = 28, share: float = 0
     return pairs.withColumn("type", kind).filter("type is not null").select("site", "page", "query", "type", F.when(F.col("type") == "traffic_concentration", "high").otherwise("medium").alias("severity"), "clicks", "impressions", "position")
 
 
-def sitemap_audit(declared: DataFrame, seen: DataFrame, partial: float = 0.2) -> DataFrame:
+def sitemap_audit(declared: DataFrame, seen: DataFrame, partial: float = 0.2, samples: int = 20) -> DataFrame:
     """Declared URLs against those with search rows, by trimmed lower-case URL: (site, url) each."""
     key = lambda f: f.select("site", F.lower(F.regexp_replace("url", "/+$", "")).alias("url")).distinct()
     a, b = key(declared).withColumn("_d", F.lit(1)), key(seen).withColumn("_s", F.lit(1))
-    both = a.join(b, ["site", "url"], "full").groupBy("site").agg(F.count("_d").alias("declared"), F.count("_s").alias("seen"), F.count_if(F.col("_d").isNotNull() & F.col("_s").isNotNull()).alias("in_both"), F.count_if(F.col("_d").isNotNull() & F.col("_s").isNull()).alias("only_declared"), F.count_if(F.col("_d").isNull()).alias("only_seen"))
+    joined = a.join(b, ["site", "url"], "full")
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("url"))
+    sample = joined.filter(F.col("_s").isNull()).withColumn("r", rank).filter(F.col("r") <= samples).groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("url")), "|").alias("missing_sample"))
+    both = joined.groupBy("site").agg(F.count("_d").alias("declared"), F.count("_s").alias("seen"), F.count_if(F.col("_d").isNotNull() & F.col("_s").isNotNull()).alias("in_both"), F.count_if(F.col("_d").isNotNull() & F.col("_s").isNull()).alias("only_declared"), F.count_if(F.col("_d").isNull()).alias("only_seen"))
     missing = F.when(F.col("declared") > 0, F.col("only_declared") / F.col("declared")).otherwise(0.0)
-    verdict = F.when(F.col("declared") == 0, "empty").when(missing > partial, "partial").otherwise("ok")
-    return both.withColumn("missing_ratio", half_up(missing, 4)).withColumn("verdict", verdict)
+    verdict = F.when(F.col("declared") == 0, "empty").when(missing > partial, "partial").otherwise("healthy")
+    both = both.withColumn("missing_ratio", half_up(missing, 4)).withColumn("verdict", verdict)
+    return both.join(sample, "site", "left").withColumn("missing_sample", F.coalesce("missing_sample", F.lit("")))

@@ -33,11 +33,22 @@ _POINTS = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERIT
 over("rule_findings", "fx_evidence", f"WITH {_HITS}, {_FIND} SELECT * FROM find")(lambda p: R.rule_findings(R.rule_hits(p)))
 over("duplicate_titles", "fx_evidence", f"SELECT * FROM ({_DUPES}) d WHERE n > 1")(R.duplicate_titles)
 over("rule_stats", "fx_evidence", f"WITH {_STATS} SELECT * FROM stats")(R.rule_stats)
-over("rule_only_score", "fx_evidence", f"WITH {_HITS}, {_FIND}, {_STATS} SELECT s.site, CAST(greatest(0, least(100, 80 - coalesce(load, 0) + CASE WHEN title_length_ok = pages THEN 10 ELSE 0 END + CASE WHEN with_schema > 0 THEN 10 ELSE 0 END)) AS INTEGER) AS score FROM stats s LEFT JOIN (SELECT site, sum({_POINTS}) AS load FROM find GROUP BY site) l ON l.site = s.site")(lambda p: R.rule_only_score(R.rule_findings(R.rule_hits(p)), R.rule_stats(p)))
+over("rule_only_score", "fx_evidence", f"WITH {_HITS}, {_FIND}, {_STATS} SELECT s.site, CAST({h('greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), 80 - coalesce(load, 0) + (CAST(with_schema AS DOUBLE) / pages * 10 + CAST(with_description AS DOUBLE) / pages * 8 + CAST(with_h1 AS DOUBLE) / pages * 8 + CASE WHEN https THEN 8 ELSE 0 END)))')} AS INTEGER) AS score FROM stats s LEFT JOIN (SELECT site, sum({_POINTS}) AS load FROM find GROUP BY site) l ON l.site = s.site")(lambda p: R.rule_only_score(R.rule_findings(R.rule_hits(p)), R.rule_stats(p)))
 _PER = "per AS (SELECT p.site, p.path, count(DISTINCT rule_id) AS findings FROM (SELECT DISTINCT site, path FROM fx_evidence) p LEFT JOIN hits USING (site, path) GROUP BY p.site, p.path)"
 over("rule_count_per_page", "fx_evidence", f"WITH {_HITS}, {_PER} SELECT * FROM per")(lambda p: R.rule_count_per_page(p, R.rule_hits(p)))
 over("crawl_totals", "fx_evidence", f"WITH {_HITS}, {_PER} SELECT e.site, CAST(sum(words) AS BIGINT) AS words, CAST(sum(findings) AS BIGINT) AS findings, count(*) FILTER (words < 200) AS thin FROM fx_evidence e JOIN per USING (site, path) GROUP BY e.site")(lambda p: R.crawl_totals(p, R.rule_count_per_page(p, R.rule_hits(p))))
-over("entity_block", "fx_evidence", f"SELECT site, count(DISTINCT lang) AS langs, count(*) FILTER (has_schema) AS with_schema, count(*) FILTER (description <> '') AS described, count(*) AS pages, {h('avg(words)', 1)} AS avg_words FROM fx_evidence GROUP BY site")(R.entity_block)
+_KIND, _AUTHOR = "CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Article' ELSE concat('Type', CAST(page_id % 17 AS VARCHAR)) END", "CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('author ', CAST(page_id % 11 AS VARCHAR)) END"
+
+
+def _named(p):
+    text = lambda x: F.expr(x.replace("VARCHAR", "STRING"))
+    p = p.withColumns({"schema_types": F.array(text(_KIND)), "authors": F.filter(F.array(text(_AUTHOR)), lambda x: x != ""), "external_hosts": F.array(F.concat(F.lit("x"), F.col("page_id") % 7)), "text": F.concat(F.lit("in "), F.col("page_id") % 4000, F.lit(" and on"))})
+    return p
+
+
+_LISTED = lambda x, n: f"array_to_string(list_slice(list_sort(list(DISTINCT {x}) FILTER ({x} <> '')), 1, {n}), '|')"
+over("entity_block", "fx_evidence", f"SELECT site, coalesce({_LISTED(_KIND, 12)}, '') AS schema_types, coalesce({_LISTED(_AUTHOR, 8)}, '') AS named_authors, coalesce({_LISTED('lang', 99)}, '') AS languages, count(*) FILTER (has_schema) AS pages_with_schema, count(*) FILTER (h1 <> '') AS pages_with_h1, bool_or(has_https) AS https FROM fx_evidence GROUP BY site")(lambda p: R.entity_facts(_named(p)))
+over("proof_block", "fx_evidence", f"SELECT site, count(*) AS pages, count(*) FILTER ({_AUTHOR} <> '') AS with_author, count(*) FILTER (page_id % 4000 BETWEEN 1900 AND 2099) AS with_date, count(*) FILTER (has_schema) AS with_schema, CAST({h('sum(words) / CAST(count(*) AS DOUBLE)')} AS BIGINT) AS avg_words, count(DISTINCT page_id % 7) AS external_sources, count(*) FILTER (page_id % 6 = 0) AS orphans, count(*) FILTER (page_id % 10 = 1) AS dead_ends FROM fx_evidence GROUP BY site")(lambda p: R.proof_block(_named(p), p.select("site", (F.col("page_id") % 6 == 0).alias("orphan"), (F.col("page_id") % 10 == 1).alias("dead_end"))))
 _CATEGORY = "CASE WHEN page_id % 3 = 0 THEN 'indexed' WHEN page_id % 7 = 1 THEN 'robots_blocked' WHEN page_id % 11 = 2 THEN 'fetch_error' WHEN page_id % 5 = 1 AND page_id % 13 <> 4 THEN 'canonical_issue' WHEN page_id % 6 = 1 THEN 'unknown' WHEN page_id % 6 = 2 THEN 'discovered_not_indexed' WHEN page_id % 6 = 4 THEN 'crawled_not_indexed' WHEN page_id % 6 = 5 AND page_id % 4 = 1 THEN 'duplicate' WHEN page_id % 6 = 5 AND page_id % 4 = 3 THEN 'excluded' ELSE 'not_indexed' END"
 
 
@@ -56,7 +67,7 @@ _PLAIN = "regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
 _QUALITY = f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''\\-]*'), lambda t: lower(t)) AS w FROM documents),
 b AS (SELECT *, len(w) AS n, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS p FROM a),
 c AS (SELECT *, len(list_distinct(p)) AS kinds, (SELECT count(*) FROM (SELECT x FROM unnest(p) u(x) GROUP BY x HAVING count(*) > 1)) AS again, {_FILLER} AS hits,
-  len(regexp_extract_all({_PLAIN}, '\\b[0-9]+(?:[.,][0-9]+)?')) + len(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b')) AS facts FROM b),
+  len(regexp_extract_all({_PLAIN}, '\\b[0-9]+(?:[.,][0-9]+)?(?:%|st|nd|rd|th)?\\b')) + len(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b')) AS facts FROM b),
 d AS (SELECT *, {h('least(1.0, facts * CAST(10.0 AS DOUBLE) / greatest(1, n))', 3)} AS density, CAST(round_even(again * CAST(100.0 AS DOUBLE) / greatest(1, kinds), 0) AS INTEGER) AS repetition, least(100, CAST(round_even(hits * CAST(25.0 AS DOUBLE) / greatest(1.0, n / CAST(1000.0 AS DOUBLE)), 0) AS INTEGER)) AS filler FROM c),
 e AS (SELECT *, CAST({h('(100 - filler) * CAST(0.35 AS DOUBLE) + density * CAST(35.0 AS DOUBLE) + (100 - repetition) * CAST(0.2 AS DOUBLE) + least(CAST(100.0 AS DOUBLE), n / CAST(10.0 AS DOUBLE)) * CAST(0.1 AS DOUBLE)')} AS INTEGER) AS overall FROM d)
 SELECT doc_id, CAST(n AS INTEGER) AS word_count, CAST(len(list_distinct(w)) AS INTEGER) AS unique_tokens, filler, density, repetition, overall, array_to_string(list_filter([CASE WHEN filler >= 50 THEN 'filler' END, CASE WHEN density < 0.2 THEN 'low-density' END, CASE WHEN repetition >= 30 THEN 'repetitive' END, CASE WHEN n < 300 THEN 'thin-content' END], lambda x: x IS NOT NULL), ',') AS flags, CASE WHEN n < 300 THEN 'thin_content' WHEN overall >= 60 THEN 'good' ELSE 'needs_work' END AS verdict FROM e"""
@@ -115,20 +126,17 @@ graph_query("crawl_frontier", f"SELECT DISTINCT 'net' AS site, dst AS path FROM
 
 # ---- answers ---------------------------------------------------------------------------------------------------------
 
-_PIVOT = "piv AS (SELECT site, item_id, " + ", ".join(f"coalesce(max(CASE WHEN question_id = '{q}' THEN p END), 0.5) AS {q}" for q in ("is_real_query", "is_buyer_query", "rival_serves", "our_serves", "our_own_subject", "our_coverage", "importance")) + " FROM fx_answers GROUP BY site, item_id)"
-_BUCKET = "buc AS (SELECT *, CASE WHEN rival_serves >= 0.5 AND our_serves < 0.5 THEN 'missing' WHEN rival_serves < 0.5 AND our_serves < 0.5 THEN 'untapped' WHEN rival_serves >= 0.5 THEN 'shared' WHEN our_own_subject >= 0.5 THEN 'unique' WHEN our_coverage * 3 >= 2.0 THEN 'strong' ELSE 'weak' END AS bucket FROM piv)"
 _D = lambda x: f"CAST({x} AS DOUBLE)"
-_PRIORITY = f"({_D(0.26)} * is_buyer_query + {_D(0.2)} * rival_serves + {_D(0.14)} * CASE WHEN our_serves < 0.5 THEN 1.0 ELSE 0.0 END + {_D(0.1)} * CASE WHEN bucket = 'weak' THEN 1.0 ELSE 0.0 END + {_D(0.08)} * our_own_subject) * " + "CAST(CASE bucket " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in A.BUCKET_WEIGHT.items()) + f" END AS DOUBLE) * CASE WHEN is_real_query <= 0.2 THEN 0.0 ELSE least(1.0, (is_real_query - {_D(0.2)}) / ({_D(0.5)} - {_D(0.2)})) END"
-_GAPS = f"SELECT site, item_id, bucket, {h(f'greatest(0.0, least(1.0, {_PRIORITY}))', 6)} AS priority, is_real_query < 0.5 OR (bucket = 'missing' AND our_serves > 0.35) OR (bucket = 'untapped' AND rival_serves > 0.65) OR (our_serves < 0.8 AND our_serves > 0.2) AS needs_human FROM buc"
-over("gap_rows", "fx_answers", f"WITH {_PIVOT}, {_BUCKET} {_GAPS}")(A.gap_rows)
-over("gap_candidates", "fx_answers", f"WITH {_PIVOT} SELECT site, item_id, opportunity FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY opportunity DESC, item_id) AS r FROM (SELECT site, item_id, {h(f'{_D(0.4)} * CASE WHEN is_buyer_query >= 0.5 THEN 1.0 ELSE 0.0 END + {_D(0.35)} * (1 - our_coverage)', 6)} AS opportunity FROM piv WHERE is_real_query >= 0.5) a) b WHERE r <= 12")(A.gap_candidates)
-_JUDGED = "jud AS (SELECT site, item_id, coalesce(max(CASE WHEN question_id = 'importance' THEN p END), 0.5) AS importance, count(*) FILTER (type = 'noul' AND p BETWEEN 0.2 AND 0.8) AS reasons FROM fx_answers GROUP BY site, item_id)"
-over("page_judgements", "fx_answers", f"WITH {_JUDGED} SELECT *, CASE WHEN reasons = 0 THEN 'act' WHEN reasons <= 2 THEN 'review' ELSE 'escalate' END AS band FROM jud")(A.page_judgements)
+_JUDGED = "jud AS (SELECT site, item_id, coalesce(max(CASE WHEN question_id = 'importance' THEN p END), 0.5) AS importance FROM fx_answers GROUP BY site, item_id)"
+
+
+def _weighed(a):
+    return a.groupBy("site", "item_id").agg(F.coalesce(F.max(F.when(F.col("question_id") == "importance", F.col("p"))), F.lit(0.5)).alias("importance"))
+
+
 _W = "(0.35 + importance)"
-over("site_score", "fx_answers", f"WITH {_JUDGED}, fin AS (SELECT site, item_id, sum(CASE WHEN p < 0.1 THEN 9 ELSE 4 END) AS load FROM fx_answers WHERE p < 0.3 GROUP BY site, item_id) SELECT site, CAST({h(f'''greatest(0.0, least(100.0, sum({h(f'(CAST(0.35 AS DOUBLE) + importance) * greatest(0.0, 1 - coalesce(load, 0) / CAST(100.0 AS DOUBLE))', 9)}) / sum({h('CAST(0.35 AS DOUBLE) + importance', 9)}) * 100 - 7))''')} AS INTEGER) AS score FROM jud LEFT JOIN fin USING (site, item_id) GROUP BY site")(lambda a: A.site_score(A.page_judgements(a), a.filter("p < 0.3").select("site", "item_id", F.when(F.col("p") < 0.1, 9).otherwise(4).alias("points")), a.select("site").distinct().withColumn("penalty", F.lit(7))))
-over("pattern_counts", "fx_answers", f"SELECT site, question_id, label, n, {h('n / CAST(sum(n) OVER (PARTITION BY site, question_id) AS DOUBLE)', 3)} AS share FROM (SELECT site, question_id, CASE WHEN p >= 0.8 THEN 'yes' WHEN p <= 0.2 THEN 'no' ELSE 'grey' END AS label, count(*) AS n FROM fx_answers GROUP BY 1, 2, 3) x")(A.pattern_counts)
-over("needs_human", "fx_answers", f"WITH {_PIVOT}, {_BUCKET} SELECT site, count(*) AS flagged FROM ({_GAPS}) g WHERE needs_human GROUP BY site")(lambda a: A.gap_rows(a).filter("needs_human").groupBy("site").agg(F.count("*").alias("flagged")))
-over("ledger_totals", "fx_events", f"SELECT run_id AS site, count(*) AS calls, CAST(sum(CAST(cost AS DECIMAL(18,8))) AS DOUBLE) AS total, {h('(max(CASE WHEN r = (n - 1) // 2 THEN cost END) + max(CASE WHEN r = n // 2 THEN cost END)) / 2', 6)} AS median, max(CASE WHEN r = least(n - 1, CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT)) THEN cost END) AS p95 FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY cost) - 1 AS r FROM fx_events) x GROUP BY run_id")(lambda e: A.ledger_totals(e.select(F.col("run_id").alias("site"), "cost")))
+over("site_score", "fx_answers", f"WITH {_JUDGED}, fin AS (SELECT site, item_id, sum(CASE WHEN p < 0.1 THEN 9 ELSE 4 END) AS load FROM fx_answers WHERE p < 0.3 GROUP BY site, item_id) SELECT site, CAST({h(f'''greatest(0.0, least(100.0, sum({h(f'(CAST(0.35 AS DOUBLE) + importance) * greatest(0.0, 1 - coalesce(load, 0) / CAST(100.0 AS DOUBLE))', 9)}) / sum({h('CAST(0.35 AS DOUBLE) + importance', 9)}) * 100 - 7))''')} AS INTEGER) AS score FROM jud LEFT JOIN fin USING (site, item_id) GROUP BY site")(lambda a: A.site_score(_weighed(a), a.filter("p < 0.3").select("site", "item_id", F.when(F.col("p") < 0.1, 9).otherwise(4).alias("points")), a.select("site").distinct().withColumn("penalty", F.lit(7))))
+over("ledger_totals", "fx_events", f"SELECT run_id AS site, count(*) AS calls, CAST(sum(CAST(floor(cost * 10) AS BIGINT)) AS BIGINT) AS tokens, {h('CAST(sum(CAST(cost AS DECIMAL(18,8))) AS DOUBLE)', 6)} AS cost, CAST({h('(max(CASE WHEN r = (n - 1) // 2 THEN ms END) + max(CASE WHEN r = n // 2 THEN ms END)) / CAST(2 AS DOUBLE)')} AS BIGINT) AS median_ms, max(CASE WHEN r = least(n - 1, CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT)) THEN ms END) AS p95_ms FROM (SELECT *, CAST(floor(cost) AS BIGINT) AS ms, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY CAST(floor(cost) AS BIGINT)) - 1 AS r FROM fx_events) x GROUP BY run_id")(lambda e: A.ledger_totals(e.select(F.col("run_id").alias("site"), F.floor(F.col("cost") * 10).cast("long").alias("tokens"), "cost", F.floor("cost").cast("long").alias("ms"))))
 
 # ---- history ---------------------------------------------------------------------------------------------------------
 
@@ -151,7 +159,20 @@ over("live_counters", "fx_events", f"SELECT run_id, {_N('page-done')} AS pages,
 over("latest_by_key", "fx_events", "SELECT run_id, item_key, arg_max(type, seq) AS type, max(seq) AS seq FROM fx_events GROUP BY run_id, item_key")(A.latest_by_key)
 over("pending_items", "fx_events", "SELECT DISTINCT run_id, item_key FROM fx_events s WHERE type = 'page-start' AND NOT EXISTS (SELECT 1 FROM fx_events d WHERE d.type = 'page-done' AND d.run_id = s.run_id AND d.item_key = s.item_key)")(A.pending_items)
 over("rival_slots", "fx_events", "SELECT run_id, item_key, min(CASE WHEN type = 'page-start' THEN seq END) AS started, min(CASE WHEN type = 'page-done' THEN seq END) AS done FROM fx_events WHERE type IN ('page-start', 'page-done') GROUP BY run_id, item_key")(A.slots)
-over("stage_of_run", "fx_events", "SELECT run_id, arg_max(type, seq) AS stage FROM fx_events GROUP BY run_id")(A.stage_of_run)
+_HEADS = "heads AS (SELECT DISTINCT root, run_no, CAST(length(root) * 3 + run_no * 5 AS INTEGER) AS score, CASE WHEN run_no = 1 OR length(root) % 2 = 0 THEN 'm1' ELSE 'm2' END AS model FROM fx_runs)"
+
+
+def _heads(r, k):
+    return r.filter(F.col("run_no") == k).select("root", (F.length("root") * 3 + 5 * k).cast("int").alias("score"), F.when((F.lit(k) == 1) | (F.length("root") % 2 == 0), "m1").otherwise("m2").alias("model")).distinct()
+
+
+over("score_delta", "fx_runs", f"WITH {_HEADS} SELECT c.root, CASE WHEN c.model = p.model THEN c.score - p.score END AS score_delta FROM heads c LEFT JOIN heads p ON p.root = c.root AND p.run_no = 1 WHERE c.run_no = 2")(lambda r: A.score_delta(_heads(r, 2), _heads(r, 1)))
+over("recent_problems", "fx_events", "SELECT run_id, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS r FROM fx_events WHERE type = 'error') x WHERE r <= 12")(A.recent_problems)
+over("crawl_rows", "fx_evidence", "SELECT coalesce(b.site, a.site) AS site, coalesce(b.path, a.path) AS path, coalesce(b.words, a.words) AS words, coalesce(b.title, a.title) AS title FROM (SELECT site, concat(path, page_id) AS path, words, title FROM fx_evidence WHERE page_id % 3 <> 0) a FULL JOIN (SELECT site, concat(path, page_id) AS path, words + 1 AS words, concat(title, '!') AS title FROM fx_evidence WHERE page_id % 4 <> 0) b ON a.site = b.site AND a.path = b.path")(lambda p: (lambda q: A.crawl_rows(q.filter("page_id % 3 <> 0"), q.filter("page_id % 4 <> 0").withColumns({"words": F.col("words") + 1, "title": F.concat("title", F.lit("!"))})))(p.withColumn("path", F.concat("path", "page_id"))))
+_LINE = "CASE CAST(seq % 4 AS INT) WHEN 0 THEN concat('— ', type, ' completed') WHEN 1 THEN concat('— ', type, ' running') WHEN 2 THEN concat('— note about ', type) ELSE concat('▶ ', type) END"
+_TOOL = "'^— \\S+ (completed|running|pending|error)$'"
+over("log_counters", "fx_events", f"SELECT run_id, count(*) FILTER (regexp_matches(t, '^— \\S+ (completed|error|pending)')) AS searches, count(*) FILTER (regexp_matches(t, {_TOOL})) AS tools, count(*) FILTER (starts_with(t, '— ') AND NOT regexp_matches(t, {_TOOL})) AS messages FROM (SELECT run_id, {_LINE} AS t FROM fx_events) x GROUP BY run_id")(lambda e: A.log_counters(e.select("run_id", F.expr(_LINE).alias("text"))))
+over("stage_of_run", "fx_events", "SELECT run_id, arg_max(CASE WHEN starts_with(type, 'crawl') THEN 'crawl' WHEN starts_with(type, 'keyword') THEN 'keywords' WHEN starts_with(type, 'competitor') THEN 'rivals' ELSE 'site' END, seq) AS stage FROM fx_events WHERE type <> 'error' GROUP BY run_id")(A.stage_of_run)
 over("recent_log", "fx_events", "SELECT run_id, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS r FROM fx_events) x WHERE r <= 200")(A.recent_log)
 over("event_windows", "fx_events", "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS start, type, count(*) AS n FROM fx_events GROUP BY 1, 2")(A.event_windows)
 over("session_counters", "fx_events", "SELECT run_id, session, count(*) AS n, count(*) FILTER (type = 'error') AS errors FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, seq) AS BIGINT) AS session FROM (SELECT *, CASE WHEN CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY run_id ORDER BY ts, seq) <= 21600 THEN 0 ELSE 1 END AS fresh FROM fx_events) a) b GROUP BY run_id, session")(A.sessions)

@@ -36,4 +36,6 @@ from . import page_plans  # noqa: E402, F401
 
 from . import stream_plans  # noqa: E402, F401
 
+from . import judgement_plans  # noqa: E402, F401
+
 from . import decision_plans  # noqa: E402, F401

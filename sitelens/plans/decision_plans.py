@@ -1,64 +1,15 @@
-"""Queries of findings, decisions, boards and provenance, with their SQL."""
+"""Queries of exports, provenance and throughput, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up_sql as h
-from ..functions.text import LEADING_NOISE
 from ..operators import decisions as D
 from .audit_plans import over
-from .catalog import query
-from .fixtures import table
+from .judgement_plans import DECIDED_SQL, decided, judged
 
-_D = lambda x: f"CAST({x} AS DOUBLE)"
-_LABELS = "CASE WHEN {0} >= 0.55 THEN 'high' WHEN {0} >= 0.3 THEN 'medium' ELSE 'low' END"
-over("score_findings", "fx_answers", "SELECT a.site, a.item_id, a.question_id, CASE WHEN i.p >= 0.6 THEN 'serious' ELSE 'moderate' END AS severity FROM fx_answers a LEFT JOIN fx_answers i ON i.site = a.site AND i.item_id = a.item_id AND i.question_id = 'importance' WHERE a.type = 'score' AND a.question_id <> 'importance' AND a.p < 0.45 AND 1 - a.p >= 0.85 AND coalesce(i.p, 0.5) >= 0.2")(D.score_findings)
-over("gate_findings", "fx_answers", "SELECT site, item_id, question_id, CASE WHEN p <= 0.2 THEN 'finding' ELSE 'reason' END AS kind FROM fx_answers WHERE type = 'noul' AND p < 0.8")(D.gate_findings)
-_KJ = "kj AS (SELECT *, CASE WHEN n = 0 THEN 'act' WHEN n = 1 THEN 'review' ELSE 'escalate' END AS band FROM (SELECT *, CAST(is_real_query BETWEEN 0.2 AND 0.8 AS INT) + CAST(is_buyer_query BETWEEN 0.2 AND 0.8 AS INT) + CAST(our_coverage BETWEEN 0.4 AND 0.6 AS INT) AS n, array_to_string(list_filter([CASE WHEN is_real_query BETWEEN 0.2 AND 0.8 THEN 'real-query' END, CASE WHEN is_buyer_query BETWEEN 0.2 AND 0.8 THEN 'buyer-query' END, CASE WHEN our_coverage BETWEEN 0.4 AND 0.6 THEN 'coverage' END], lambda x: x IS NOT NULL), ',') AS reasons FROM (SELECT site, item_id, " + ", ".join(f"coalesce(max(CASE WHEN question_id = '{q}' THEN p END), 0.0) AS {q}" for q in ("is_real_query", "is_buyer_query", "our_coverage")) + " FROM fx_answers GROUP BY site, item_id) a) b)"
-_OPP = h(f"{_D(0.4)} * CASE WHEN is_buyer_query >= 0.5 AND is_real_query >= 0.5 THEN 1.0 ELSE 0.0 END + {_D(0.35)} * (1 - our_coverage)", 3)
-over("keyword_judgements", "fx_answers", f"WITH {_KJ} SELECT site, item_id, is_real_query, is_buyer_query, our_coverage, reasons, band FROM kj")(D.keyword_judgements)
-over("keyword_opportunity", "fx_answers", f"WITH {_KJ} SELECT site, item_id, {_OPP} AS opportunity FROM kj")(lambda a: D.keyword_opportunity(D.keyword_judgements(a)).select("site", "item_id", "opportunity"))
-over("actionable_keywords", "fx_answers", f"WITH {_KJ} SELECT site, item_id, opportunity FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY opportunity DESC, item_id) AS r FROM (SELECT site, item_id, {_OPP} AS opportunity FROM kj WHERE is_real_query >= 0.5 AND is_buyer_query >= 0.2 AND band <> 'escalate') a) b WHERE r <= 12")(lambda a: D.actionable_keywords(D.keyword_judgements(a)))
-over("rejection_summary", "fx_answers", f"WITH {_KJ} SELECT site, why, count(*) AS n FROM (SELECT site, CASE WHEN is_real_query < 0.2 THEN 'chrome' WHEN is_real_query < 0.5 OR band = 'escalate' THEN 'greyZone' WHEN is_buyer_query < 0.2 THEN 'notBuyer' END AS why FROM kj) a WHERE why IS NOT NULL GROUP BY site, why")(lambda a: D.rejection_summary(D.keyword_judgements(a)))
-_SURE = " + ".join(f"greatest({c}, 1 - {c})" for c in ("is_real_query", "is_buyer_query", "our_coverage"))
-over("opportunity_board", "fx_answers", f"WITH {_KJ}, b AS (SELECT site, item_id, {h(f'{_D(0.5)} * {_OPP} + {_D(0.3)} * (1 - our_coverage) + {_D(0.2)} * is_buyer_query', 6)} AS priority, {h(f'({_SURE}) / 3', 6)} AS confidence FROM kj) SELECT site, item_id, priority, {_LABELS.format('priority')} AS priority_word, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS confidence_word FROM b")(lambda a: D.opportunity_board(D.keyword_judgements(a)))
-_TERMS = "SELECT source AS site, lower(substring(text, 1, 24)) AS term, CASE doc_id % 3 WHEN 0 THEN 'guide' WHEN 1 THEN 'product' ELSE 'refresh' END AS content_type, doc_id % 2 = 0 AS own, CAST((doc_id * 7919) % 1001 AS DOUBLE) / 1000 AS priority FROM documents"
-_LEAD = f"coalesce(list_filter(w, lambda t: length(t) > 2 AND NOT list_contains([{', '.join(repr(x) for x in LEADING_NOISE)}], t))[1], w[1], term)"
-
-
-@query("subjects", f"SELECT site, content_type, own, lead, count(*) AS terms, max(priority) AS priority, max(CASE WHEN r = 1 THEN term END) AS label, array_to_string(list_sort(list(term) FILTER (r <= 4)), '|') AS phrases FROM (SELECT *, row_number() OVER (PARTITION BY site, content_type, own, lead ORDER BY priority DESC, term) AS r FROM (SELECT *, {_LEAD} AS lead FROM (SELECT *, list_filter(string_split_regex(term, '[^a-z0-9]+'), lambda t: t <> '') AS w FROM ({_TERMS}) t) u) v) x GROUP BY site, content_type, own, lead")
-def _subjects(spark, folder):
-    d = table(spark, folder, "documents")
-    kind = F.when(F.col("doc_id") % 3 == 0, "guide").when(F.col("doc_id") % 3 == 1, "product").otherwise("refresh")
-    return D.subjects(d.select(F.col("source").alias("site"), F.lower(F.substring("text", 1, 24)).alias("term"), kind.alias("content_type"), (F.col("doc_id") % 2 == 0).alias("own"), (((F.col("doc_id") * 7919) % 1001).cast("double") / 1000).alias("priority")))
-
-
-_OPTIONS = "opt AS (SELECT site, item_id, CASE question_id WHEN 'our_coverage' THEN 'nothing_missing' ELSE question_id END AS choice, p FROM fx_answers)"
-_TOP = f"{_OPTIONS}, two AS (SELECT site, item_id, max(CASE WHEN r = 1 THEN choice END) AS c1, max(CASE WHEN r = 1 THEN p END) AS p1, max(CASE WHEN r = 2 THEN choice END) AS c2, max(CASE WHEN r = 2 THEN p END) AS p2 FROM (SELECT *, row_number() OVER (PARTITION BY site, item_id ORDER BY p DESC, choice) AS r FROM opt) x GROUP BY site, item_id), topc AS (SELECT site, item_id, c1 AS change, p1 AS p, c2 AS runner_up FROM two WHERE c1 <> 'nothing_missing' AND (p1 >= {_D(0.88)} OR (p1 - coalesce(p2, 0.0) >= {_D(0.2)} AND p1 >= 0.5)))"
-
-
-def _options(a):
-    return a.select("site", "item_id", F.when(F.col("question_id") == "our_coverage", "nothing_missing").otherwise(F.col("question_id")).alias("choice"), "p")
-
-
-def _decided(a):
-    items = a.filter("question_id = 'importance'").select("site", "item_id", F.col("p").alias("importance"))
-    shares = a.filter("question_id = 'our_serves'").select("site", "item_id", F.col("p").alias("inbound_share"))
-    return D.decisions(D.top_changes(_options(a)), items, shares)
-
-
-_DECIDED = f"dec AS (SELECT t.site, t.item_id, change, {h(f'{_D(0.55)} * coalesce(i.p, 0.5) + {_D(0.45)} * coalesce(s.p, 0.0)', 4)} AS priority FROM topc t LEFT JOIN fx_answers i ON i.site = t.site AND i.item_id = t.item_id AND i.question_id = 'importance' LEFT JOIN fx_answers s ON s.site = t.site AND s.item_id = t.item_id AND s.question_id = 'our_serves')"
-over("top_changes", "fx_answers", f"WITH {_TOP} SELECT * FROM topc")(lambda a: D.top_changes(_options(a)))
-over("decisions", "fx_answers", f"WITH {_TOP}, {_DECIDED} SELECT * FROM dec")(_decided)
-over("not_decided", "fx_answers", f"WITH {_TOP} SELECT DISTINCT site, item_id, 'no change stands out' AS reason FROM fx_answers WHERE (site, item_id) NOT IN (SELECT (site, item_id) FROM topc)")(lambda a: D.not_decided(a, D.top_changes(_options(a))))
-over("threshold_coverage", "fx_answers", "SELECT DISTINCT question_id, type FROM fx_answers WHERE question_id <> 'highest_impact_change'")(D.threshold_coverage)
-_SCORED = "SELECT a.site, a.item_id FROM fx_answers a LEFT JOIN fx_answers i ON i.site = a.site AND i.item_id = a.item_id AND i.question_id = 'importance' WHERE a.type = 'score' AND a.question_id <> 'importance' AND a.p < 0.45 AND 1 - a.p >= 0.85 AND coalesce(i.p, 0.5) >= 0.2"
-over("run_snapshot", "fx_answers", f"WITH {_TOP}, f AS (SELECT site, item_id, count(*) AS n FROM ({_SCORED}) s GROUP BY site, item_id) SELECT j.site, j.item_id, true AS reachable, change IS NOT NULL OR f.n IS NOT NULL AS raised, change AS change_key, coalesce(f.n, 0) AS findings FROM (SELECT DISTINCT site, item_id FROM fx_answers) j LEFT JOIN topc t ON t.site = j.site AND t.item_id = j.item_id LEFT JOIN f ON f.site = j.site AND f.item_id = j.item_id")(lambda a: D.run_snapshot(a.select("site", "item_id").distinct(), D.top_changes(_options(a)), D.score_findings(a)))
-over("export_decisions_csv", "fx_answers", f"WITH {_TOP}, {_DECIDED} SELECT site, item_id, concat(change, ',', CAST(priority AS VARCHAR), ',', CASE WHEN item_id % 2 = 0 THEN '''=new' ELSE '\"old, \"\"still\"\"\"' END) AS line FROM dec")(lambda a: D.export_decisions_csv(_decided(a), a.select("site", "item_id").distinct().withColumn("state", F.when(F.col("item_id") % 2 == 0, "=new").otherwise('old, "still"'))))
-_PAGES = "pg AS (SELECT site, item_id, p AS importance, CASE item_id % 4 WHEN 0 THEN 'buy' WHEN 1 THEN 'learn' ELSE concat('own', CAST(item_id AS VARCHAR)) END AS intent FROM fx_answers WHERE question_id = 'importance')"
-over("link_suggestions", "fx_answers", f"WITH {_PAGES}, f AS (SELECT DISTINCT site, item_id FROM ({_SCORED}) s), c AS (SELECT f.site, f.item_id, o.item_id AS target, o.intent = p.intent AS same_intent, row_number() OVER (PARTITION BY f.site, f.item_id ORDER BY o.intent = p.intent DESC, o.importance DESC, o.item_id) AS k FROM f JOIN pg p ON p.site = f.site AND p.item_id = f.item_id JOIN pg o ON o.site = f.site AND o.item_id <> f.item_id) SELECT site, item_id, target, same_intent FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY item_id) AS r FROM c WHERE k = 1) x WHERE r <= 20")(lambda a: D.link_suggestions(D.score_findings(a), a.filter("question_id = 'importance'").select("site", "item_id", F.col("p").alias("importance"), F.when(F.col("item_id") % 4 == 0, "buy").when(F.col("item_id") % 4 == 1, "learn").otherwise(F.concat(F.lit("own"), F.col("item_id"))).alias("intent"))))
-over("rival_cap", "fx_runs", "SELECT root AS site, path AS rival, CASE WHEN r > 5 THEN 'past_the_cap' WHEN reachable THEN 'attempted' ELSE 'unreachable' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS r FROM fx_runs WHERE run_no = 1) x")(lambda r: D.rival_cap(r.filter("run_no = 1").select(F.col("root").alias("site"), F.col("path").alias("rival"), "reachable")))
+judged("export_decisions_csv", f"WITH {DECIDED_SQL} SELECT site, item_id, concat(change, ',', CAST(priority AS VARCHAR), ',', CASE WHEN item_id % 2 = 0 THEN '''=new' ELSE '\"old, \"\"still\"\"\"' END) AS line FROM dec")(lambda fx: D.export_decisions_csv(decided(fx), fx("items").select("site", "item_id", F.when(F.col("item_id") % 2 == 0, "=new").otherwise('old, "still"').alias("state"))))
 over("throughput", "fx_events", f"SELECT run_id, judged, seconds, CASE WHEN seconds > 0 THEN {h('judged / CAST(seconds AS DOUBLE)', 6)} END AS per_second FROM (SELECT run_id, count(*) FILTER (type IN ('page-done', 'keyword-done', 'gap-done')) AS judged, CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT) AS seconds FROM fx_events GROUP BY run_id) x")(D.throughput)
 over("ungranted_tool_calls", "fx_events", "SELECT DISTINCT run_id, type AS tool FROM fx_events e WHERE NOT EXISTS (SELECT 1 FROM fx_events g WHERE g.run_id = e.run_id AND g.type = e.type AND g.cost > 90)")(lambda e: D.ungranted_tool_calls(e.select("run_id", F.col("type").alias("tool")), e.filter("cost > 90").select("run_id", F.col("type").alias("tool")).distinct()))
 over("unsourced_metrics", "fx_events", "SELECT seq, run_id, type AS tool FROM fx_events e WHERE seq % 10 = 0 AND NOT EXISTS (SELECT 1 FROM fx_events g WHERE g.run_id = e.run_id AND g.type = e.type AND g.cost > 90)")(lambda e: D.unsourced_metrics(e.filter("seq % 10 = 0").select("seq", "run_id", F.col("type").alias("tool")), e.filter("cost > 90").select("run_id", F.col("type").alias("tool"))))

@@ -72,6 +72,45 @@ SELECT event_id AS seq, ts, concat('run', CAST(user_id % 20 AS STRING)) AS run_i
             WHEN 'signup' THEN 'keyword-done' WHEN 'purchase' THEN 'gap-done' ELSE 'error' END AS type,
        concat('i', CAST(user_id AS STRING)) AS item_key, value AS cost
 FROM events""",
+    "fx_typed": """
+SELECT q.scope, d.source AS site, d.doc_id AS item_id, q.question_id, q.type,
+       CASE q.type WHEN 'choice' THEN split_part(q.options, ',', CAST((d.doc_id * 31 + q.k * 17) % q.n AS INT) + 1) END AS choice,
+       CASE q.type WHEN 'choice' THEN split_part(q.options, ',', CAST((d.doc_id * 31 + q.k * 17 + 1 + d.doc_id % (q.n - 1)) % q.n AS INT) + 1) END AS other,
+       CASE q.type WHEN 'choice' THEN CAST(300 + (d.doc_id * 7919 + q.k * 104729) % 701 AS DOUBLE) / 1000 END AS confidence,
+       CASE q.type WHEN 'score' THEN CAST(least(3000, ((d.doc_id + q.k) % 4) * 1000 + (d.doc_id * 7919 + q.k * 104729) % 1001) AS DOUBLE) / 1000 END AS score,
+       CASE q.type WHEN 'noul' THEN CAST((d.doc_id * 7919 + q.k * 104729) % 1001 AS DOUBLE) / 1000 END AS noul, q.n AS levels, d.doc_id * 7919 + q.k * 104729 AS h, (d.doc_id + q.k) % 4 AS low
+FROM documents d CROSS JOIN (
+  SELECT 'page' AS scope, 1 AS k, 'page_type' AS question_id, 'choice' AS type, 11 AS n, 'homepage,product_or_service,category_or_listing,article_or_guide,about_or_team,contact_or_location,pricing,case_study_or_proof,support_or_docs,legal_or_policy,other' AS options
+  UNION ALL SELECT 'page', 2, 'intent', 'choice', 6, 'informational,commercial,transactional,navigational,local,unclear'
+  UNION ALL SELECT 'page', 3, 'action', 'choice', 4, 'keep_or_improve,rewrite,merge_or_remove,cannot_tell'
+  UNION ALL SELECT 'page', 4, 'highest_impact_change', 'choice', 10, 'answer_in_the_first_two_sentences,add_self_contained_facts,add_proof_and_sources,name_an_author,link_onward,break_it_into_sections,name_one_action,retitle_for_the_searcher,narrow_or_split_the_page,nothing_missing'
+  UNION ALL SELECT 'page', 5, 'importance', 'score', 4, '' UNION ALL SELECT 'page', 6, 'helpfulness', 'score', 4, '' UNION ALL SELECT 'page', 7, 'specificity', 'score', 4, ''
+  UNION ALL SELECT 'page', 8, 'citable', 'score', 4, '' UNION ALL SELECT 'page', 9, 'trust', 'score', 4, '' UNION ALL SELECT 'page', 10, 'title_fit', 'score', 4, ''
+  UNION ALL SELECT 'page', 11, 'meta_fit', 'score', 4, '' UNION ALL SELECT 'page', 12, 'structure_ease', 'score', 4, '' UNION ALL SELECT 'page', 13, 'content_freshness', 'score', 4, ''
+  UNION ALL SELECT 'page', 14, 'h1_fit', 'noul', 0, '' UNION ALL SELECT 'page', 15, 'answer_first', 'noul', 0, '' UNION ALL SELECT 'page', 16, 'clear_next_step', 'noul', 0, '' UNION ALL SELECT 'page', 17, 'competitor_distinctiveness', 'noul', 0, ''
+  UNION ALL SELECT 'keyword', 21, 'intent', 'choice', 6, 'informational,commercial,transactional,navigational,local,unclear'
+  UNION ALL SELECT 'keyword', 22, 'cluster', 'choice', 7, 'products_or_services,pricing_or_commercial,trust_and_proof,how_to_and_support,location_and_local,brand,other'
+  UNION ALL SELECT 'keyword', 23, 'is_buyer_query', 'noul', 0, '' UNION ALL SELECT 'keyword', 24, 'is_real_query', 'noul', 0, '' UNION ALL SELECT 'keyword', 25, 'coverage_gap', 'noul', 0, ''
+  UNION ALL SELECT 'keyword', 26, 'trust_bar', 'noul', 0, '' UNION ALL SELECT 'keyword', 27, 'difficulty_proxy', 'score', 4, ''
+  UNION ALL SELECT 'gap', 31, 'is_real_query', 'noul', 0, '' UNION ALL SELECT 'gap', 32, 'is_buyer_query', 'noul', 0, '' UNION ALL SELECT 'gap', 33, 'rival_serves', 'noul', 0, '' UNION ALL SELECT 'gap', 34, 'our_serves', 'noul', 0, ''
+  UNION ALL SELECT 'gap', 35, 'our_own_subject', 'noul', 0, '' UNION ALL SELECT 'gap', 36, 'our_coverage', 'score', 4, '' UNION ALL SELECT 'gap', 37, 'deliverable', 'choice', 7, 'pillar,how_to,comparison,faq,product,refresh_existing,none'
+  UNION ALL SELECT 'competitor', 41, 'business_model', 'choice', 4, 'services,shop,software,other' UNION ALL SELECT 'competitor', 42, 'ai_gap', 'choice', 4, 'facts,authors,structure,none' UNION ALL SELECT 'competitor', 43, 'worth_copying', 'noul', 0, ''
+  UNION ALL SELECT 'competitor', 44, 'value_prop', 'score', 4, '' UNION ALL SELECT 'competitor', 45, 'topical_focus', 'score', 4, '') q
+WHERE (d.doc_id + q.k) % 23 <> 0""",
+    "fx_probs": """
+SELECT scope, site, item_id, question_id, type, levels, choice AS label, confidence AS p FROM fx_typed WHERE type = 'choice'
+UNION ALL SELECT scope, site, item_id, question_id, type, levels, other, CAST((700 - h % 701) * 6 AS DOUBLE) / 10000 FROM fx_typed WHERE type = 'choice'
+UNION ALL SELECT scope, site, item_id, question_id, type, levels, CAST(least(3, low + 1) AS STRING), CAST(h % 1001 AS DOUBLE) / 1000 FROM fx_typed WHERE type = 'score'
+UNION ALL SELECT scope, site, item_id, question_id, type, levels, CAST(low AS STRING), CAST(1000 - h % 1001 AS DOUBLE) / 1000 FROM fx_typed WHERE type = 'score'
+UNION ALL SELECT scope, site, item_id, question_id, type, levels, 'yes', noul FROM fx_typed WHERE type = 'noul'""",
+    "fx_items": """
+SELECT source AS site, doc_id AS item_id, concat('/d/', CAST(doc_id AS STRING)) AS path, concat('The ', CASE doc_id % 5 WHEN 0 THEN 'boiler' WHEN 1 THEN 'drain' WHEN 2 THEN 'heat-pump' WHEN 3 THEN 'tap' ELSE 'of it' END, ' repair plan ', CAST(doc_id % 97 AS STRING)) AS term,
+       CAST(floor(n_chars / 6.0) AS BIGINT) AS words, CAST((doc_id * 37) % 100 AS DOUBLE) / 1000 AS inbound_share, CAST(doc_id % 5 AS BIGINT) AS in_headings, CAST(doc_id % 6 AS BIGINT) AS page_count, CAST(doc_id % 3 AS BIGINT) AS rival_pages,
+       CASE WHEN doc_id % 6 <> 0 AND doc_id % 2 = 0 THEN concat('/own/', CAST(doc_id % 11 AS STRING)) END AS existing, CASE WHEN doc_id % 6 <> 0 THEN concat('/first/', CAST(doc_id % 7 AS STRING)) END AS first_path, doc_id % 4 = 0 AS is_seed
+FROM documents""",
+    "fx_titles": """
+SELECT source AS site, concat('https://rival', CAST(doc_id % 4 AS STRING), '.org/x') AS rival, doc_id AS place, concat(CASE doc_id % 5 WHEN 0 THEN 'Boiler' WHEN 1 THEN 'A drain' WHEN 2 THEN 'Heat pump' WHEN 3 THEN 'Tap' ELSE 'Roof' END, ' repair, ', CAST(doc_id % 31 AS STRING)) AS title
+FROM documents WHERE doc_id % 7 = 0 AND CAST(right(source, 1) AS STRING) NOT IN ('3', '8')""",
 }
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -92,7 +131,11 @@ def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def with_adapters(sql: str) -> str:
     """SQL with the adapters that it names put before it."""
-    names = [n for n in ADAPTERS if re.search(rf"\b{n}\b", sql) or n == "fx_pages" and "fx_evidence" in sql]
+    names, text = [], sql
+    for n in reversed(ADAPTERS):  # an adapter reads only those before it
+        if re.search(rf"\b{n}\b", text):
+            names.insert(0, n)
+            text += ADAPTERS[n]
     ctes = ",\n".join(f"{n} AS ({ADAPTERS[n]})" for n in names)
     if not names:
         return sql.strip()

@@ -68,4 +68,4 @@ for _name, _cut in (("query_cannibalization", 0.1), ("query_cannibalization_stri
 search_query("lost_queries", f"SELECT site, query, clicks_a AS clicks_previous, coalesce(clicks_b, 0) AS clicks_current, (CAST(floor(((clicks_a - coalesce(clicks_b, 0)) / CAST(clicks_a AS DOUBLE) * 100) * 10.0 + 0.5) AS DOUBLE) / 10.0) AS drop_pct FROM ({_RECENT}) p WHERE clicks_a >= 5 AND (clicks_a - coalesce(clicks_b, 0)) / CAST(clicks_a AS DOUBLE) >= 0.8")(lambda r: S.lost_queries(r, AS_OF))
 search_query("search_alerts", f"SELECT site, page, query, type, CASE WHEN type = 'traffic_concentration' THEN 'high' ELSE 'medium' END AS severity, clicks, impressions, position FROM (SELECT *, CASE WHEN sum(clicks) OVER (PARTITION BY site) > 0 AND clicks / CAST(sum(clicks) OVER (PARTITION BY site) AS DOUBLE) > 0.5 THEN 'traffic_concentration' WHEN position > 10 AND impressions > 900 THEN 'high_impression_low_rank' END AS type FROM ({grouped('site, page, query')}) g) a WHERE type IS NOT NULL")(lambda r: S.search_alerts(r, AS_OF, impressions=900))
 _A, _B = "SELECT DISTINCT site, page AS url FROM fx_search WHERE device <> 'TABLET'", "SELECT DISTINCT site, page AS url FROM fx_search WHERE date BETWEEN DATE '2001-10-17' AND DATE '2001-10-23' AND search_type = 'web'"
-search_query("sitemap_audit", f"SELECT *, (CAST(floor((CASE WHEN declared > 0 THEN only_declared / CAST(declared AS DOUBLE) ELSE 0.0 END) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS missing_ratio, CASE WHEN declared = 0 THEN 'empty' WHEN only_declared / CAST(declared AS DOUBLE) > 0.2 THEN 'partial' ELSE 'ok' END AS verdict FROM (SELECT coalesce(a.site, b.site) AS site, count(a.url) AS declared, count(b.url) AS seen, count(*) FILTER (a.url IS NOT NULL AND b.url IS NOT NULL) AS in_both, count(*) FILTER (a.url IS NOT NULL AND b.url IS NULL) AS only_declared, count(*) FILTER (a.url IS NULL) AS only_seen FROM ({_A}) a FULL JOIN ({_B}) b ON a.site = b.site AND a.url = b.url GROUP BY 1) x")(lambda r: S.sitemap_audit(r.filter("device <> 'TABLET'").select("site", r.page.alias("url")), S.window_of(r.filter("search_type = 'web'"), AS_OF, 7).select("site", r.page.alias("url"))))
+search_query("sitemap_audit", f"SELECT *, (CAST(floor((CASE WHEN declared > 0 THEN only_declared / CAST(declared AS DOUBLE) ELSE 0.0 END) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS missing_ratio, CASE WHEN declared = 0 THEN 'empty' WHEN only_declared / CAST(declared AS DOUBLE) > 0.2 THEN 'partial' ELSE 'healthy' END AS verdict, coalesce((SELECT string_agg(u, '|' ORDER BY u) FROM (SELECT a.url AS u FROM ({_A}) a LEFT JOIN ({_B}) b ON a.site = b.site AND a.url = b.url WHERE a.site = x.site AND b.url IS NULL ORDER BY u LIMIT 20) m), '') AS missing_sample FROM (SELECT coalesce(a.site, b.site) AS site, count(a.url) AS declared, count(b.url) AS seen, count(*) FILTER (a.url IS NOT NULL AND b.url IS NOT NULL) AS in_both, count(*) FILTER (a.url IS NOT NULL AND b.url IS NULL) AS only_declared, count(*) FILTER (a.url IS NULL) AS only_seen FROM ({_A}) a FULL JOIN ({_B}) b ON a.site = b.site AND a.url = b.url GROUP BY 1) x")(lambda r: S.sitemap_audit(r.filter("device <> 'TABLET'").select("site", r.page.alias("url")), S.window_of(r.filter("search_type = 'web'"), AS_OF, 7).select("site", r.page.alias("url"))))

@@ -72,7 +72,7 @@ pages_query("slug_for", lambda: {"slug": X.slug(F.col("title"))}, {"slug": f"reg
 pages_query("leading_content_word", lambda: {"word": X.leading_content_word(F.col("title"))}, {"word": f"coalesce(list_filter(w, lambda t: length(t) > 2 AND NOT list_contains({_list(X.LEADING_NOISE)}, t))[1], w[1], lower(title))"}, inner=f"(SELECT *, list_filter({_split('title', '[^a-z0-9]+')}, lambda t: t <> '') AS w FROM fx_pages) p")
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-pages_query("url_keys", lambda: {"host_key": U.host_key(F.col("url")), "link_key": U.link_key(F.col("url")), "rival_key": U.rival_key(F.col("url")), "site_key": U.site_key(F.col("url")), "domain_of": U.host_of(F.col("url"))}, {"host_key": rf"regexp_replace({_HOST}, '^www\.', '')", "link_key": f"CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END", "rival_key": "regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '/+$', '')", "site_key": f"concat(lower(regexp_extract(url, '^([A-Za-z]+)://', 1)), '://', {_HOST})", "domain_of": _HOST})
+pages_query("url_keys", lambda: {"host_key": U.host_key(F.col("url")), "link_key": U.link_key(F.col("url")), "rival_key": U.rival_key(F.col("url")), "site_key": U.site_key(F.col("url")), "domain_of": U.domain_of(F.col("url"))}, {"host_key": rf"regexp_replace({_HOST}, '^www\.', '')", "link_key": f"CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END", "rival_key": "regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '/+$', '')", "site_key": f"concat(lower(regexp_extract(url, '^([A-Za-z]+)://', 1)), '://', {_HOST})", "domain_of": "regexp_replace(regexp_replace(url, '^https?://', ''), '/.*$', '')"})
 pages_query("is_public_url", lambda: {"public": U.is_public_url(F.col("url"))}, {"public": f"regexp_matches(url, '^(?i)https?://') AND {_HOST} <> '' AND NOT regexp_full_match({_HOST}, '{U._PRIVATE[1:-1]}')"})
 _RISK = f"CASE WHEN regexp_matches(lower({_PATH}), '{'|'.join(U.PARASITE_HIGH)}') THEN 'high' WHEN regexp_matches(lower({_PATH}), '{'|'.join(U.PARASITE_MEDIUM)}') THEN 'medium' WHEN regexp_matches(lower(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)), '{'|'.join(U.PARASITE_LOW)}') THEN 'low' ELSE 'none' END"
 pages_query("parasite_risk_of", lambda: {"risk": U.parasite_risk(F.col("url"))}, {"risk": _RISK})
@@ -105,10 +105,10 @@ _BAND = "CASE WHEN p >= coalesce(MAP {" + ", ".join(f"'{k}': {v}" for k, v in B.
 _FLOOR = "coalesce(MAP {" + ", ".join(f"'{k}': {v}" for k, v in B.GATE_FLOOR_BY_QUESTION.items()) + "}[question_id], 0.5)"
 
 
-@query("answer_bands", with_adapters(f"SELECT item_id, question_id, {_BAND} AS choice_band, CASE WHEN p >= 0.8 OR p <= 0.2 THEN 'act' ELSE 'review' END AS noul_band, CAST({_FLOOR} AS DOUBLE) AS gate_floor, CASE WHEN p * 100 >= 85 THEN 'A' WHEN p * 100 >= 72 THEN 'B' WHEN p * 100 >= 58 THEN 'C' WHEN p * 100 >= 42 THEN 'D' ELSE 'E' END AS grade, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN p >= 0.55 THEN 'high' WHEN p >= 0.3 THEN 'medium' ELSE 'low' END AS priority FROM fx_answers"))
+@query("answer_bands", with_adapters(f"SELECT item_id, question_id, {_BAND} AS choice_band, CASE WHEN p >= 0.8 OR p <= 0.2 THEN 'act' ELSE 'review' END AS noul_band, CAST({_FLOOR} AS DOUBLE) AS gate_floor, CASE WHEN p * 100 >= 85 THEN 'A' WHEN p * 100 >= 72 THEN 'B' WHEN p * 100 >= 58 THEN 'C' WHEN p * 100 >= 42 THEN 'D' ELSE 'E' END AS grade, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN p >= 0.55 THEN 'P1' WHEN p >= 0.3 THEN 'P2' ELSE 'P3' END AS priority, CASE WHEN p >= 0.9 THEN 'needs a human' WHEN p >= 0.8 THEN 'decisive' WHEN p >= 0.2 THEN 'to verify' ELSE 'needs a human' END AS band_word FROM fx_answers"))
 def _bands(spark, folder):
     p, q = F.col("p"), F.col("question_id")
-    return frame(spark, folder, "fx_answers").select("item_id", "question_id", B.band_choice(q, p).alias("choice_band"), B.band_noul(p).alias("noul_band"), B.gate_floor(q).alias("gate_floor"), B.grade(p * 100).alias("grade"), B.confidence_label(p).alias("confidence"), B.priority_label(p).alias("priority"))
+    return frame(spark, folder, "fx_answers").select("item_id", "question_id", B.band_choice(q, p).alias("choice_band"), B.band_noul(p).alias("noul_band"), B.gate_floor(q).alias("gate_floor"), B.grade(p * 100).alias("grade"), B.confidence_label(p).alias("confidence"), B.priority_label(p).alias("priority"), B.band_word(F.when(p >= 0.8, "act").when(p >= 0.2, "review").otherwise("escalate"), p >= 0.9).alias("band_word"))
 
 
 @query("side_mass", with_adapters(f"SELECT item_id, {h('CASE WHEN p > 0.5 THEN p ELSE 0.0 END + (1 - p) / 2', 6)} AS above, {h('CASE WHEN p > 0.5 THEN 0.0 ELSE p END + (1 - p) / 2', 6)} AS below FROM fx_answers WHERE question_id = 'our_coverage'"))
@@ -120,9 +120,9 @@ def _sides(spark, folder):
     return frame(spark, folder, "fx_answers").filter("question_id = 'our_coverage'").select("item_id", half_up(mass["above"], 6).alias("above"), half_up(mass["below"], 6).alias("below"))
 
 
-@query("raw_contains_value", "SELECT doc_id, regexp_replace(CAST(n_chars AS VARCHAR), '[^0-9]', '', 'g') <> '' AND contains(regexp_replace(text, '[^0-9]', '', 'g'), regexp_replace(CAST(doc_id AS VARCHAR), '[^0-9]', '', 'g')) AS found FROM documents")
+@query("raw_contains_value", "SELECT doc_id, regexp_replace(CAST(n_chars AS VARCHAR), '[^0-9]', '', 'g') <> '' AND contains(regexp_replace(text, '[^0-9]', '', 'g'), regexp_replace(CAST(n_chars AS VARCHAR), '[^0-9]', '', 'g')) AS found FROM documents")
 def _raw(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.raw_contains_value(F.col("text"), F.col("doc_id").cast("string")).alias("found"))
+    return table(spark, folder, "documents").select("doc_id", X.raw_contains_value(F.col("text"), F.col("n_chars").cast("string")).alias("found"))
 
 
 # ---- keywords --------------------------------------------------------------------------------------------------------
