@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sitelens.operators import audit, graph, keywords, search
+from sitelens.operators import audit, graph, keywords, search, judgements
 from sitelens.session import ensure_checkpoint
 
 
@@ -33,7 +33,7 @@ def test_robots(spark):
 
 @pytest.mark.parametrize(("rival", "ours", "own"), list(itertools.product([0.2, 0.8], repeat=3)))
 def test_gap_buckets(spark, rival, ours, own):
-    got = [spark.range(1).select(audit.gap_bucket(F.lit(rival), F.lit(ours), F.lit(own), F.lit(c)).alias("b")).first().b for c in (0.0, 3.0)]
+    got = [spark.range(1).select(judgements.gap_bucket(F.lit(rival), F.lit(ours), F.lit(own), F.lit(c)).alias("b")).first().b for c in (0.0, 3.0)]
     if rival < 0.5 and ours < 0.5:
         want = ["untapped"] * 2
     elif ours < 0.5:
