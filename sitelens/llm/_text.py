@@ -111,6 +111,19 @@ def shingle_block(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
     return shingles(span_hashes(data, starts, ends), row_of(offsets, starts), size)
 
 
+def give_back() -> None:
+    """Returns what earlier tasks of this worker have freed to the system: workers live on from stage to stage."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def shared_folder(spark) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one below the working folder where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import row_of, saved, span_hashes, text_blocks, word_spans
+from ._text import give_back, row_of, saved, span_hashes, text_blocks, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -29,7 +29,7 @@ class WordTokenizer:
     a word, so the ids of a text are those of its words in order.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 150_000):
         from tokenizers import Tokenizer, normalizers
 
         self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -95,6 +95,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096,
     """(doc_id, piece, start, length, ids_crc32) of each row of ``docs``: its ids and ``end_id``, cut every ``capacity``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tokenizer = WordTokenizer(tokenizer_path)
         for batch in batches:
             ids_of = batch.column("doc_id")
