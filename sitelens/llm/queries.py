@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, divergence, html_extract, language_id, license_scan, near_dup, packing, suffix_dedup, token_align, toxicity, url_filter
+from . import ann, decontaminate, divergence, html_extract, language_id, license_scan, near_dup, packing, sharding, suffix_dedup, token_align, toxicity, url_filter
 
-_MODULES = [html_extract, license_scan, packing, suffix_dedup, ann, near_dup, url_filter, toxicity, decontaminate, language_id, divergence, token_align]
+_MODULES = [html_extract, license_scan, packing, suffix_dedup, ann, near_dup, url_filter, toxicity, decontaminate, language_id, sharding, divergence, token_align]
 
 
 def queries() -> dict:
