@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ._text import row_of, saved, span_hashes, text_blocks
 
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _PIECES = 1 << 15  # ids of the second tokenizer; a pair of ids is first * _PIECES + second
 
 
@@ -33,6 +37,10 @@ class _Vocabulary:
         self.n_digits = np.array([len(d) for d in digits], np.int64)
         self.digits = np.frombuffer(b"".join(d.ljust(6, b",") for d in digits), np.uint8).reshape(-1, 6)
 
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        found = np.cumsum(self.length[ids])
+        return found.astype(np.int32) if len(found) and found[-1] < 1 << 31 else found
+
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         size = self.length[ids]
         before = np.cumsum(size) - size
@@ -49,9 +57,10 @@ def _may_cut(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class TokenizerPair:
     """Ids of whole texts by two tokenizers, from the ids of their stretches, each different stretch being encoded once a task.
 
-    A stretch begins at a space after a character that is none. The first tokenizer never looks across such a place; nor
-    does the second, if no piece of it holds the mark of a space after something else, which is looked up (else a text is
-    one stretch). What comes out is compared with the bytes of the text, and texts that differ are encoded whole.
+    A stretch begins at a space after a character that is none, or at a mark of punctuation after an ASCII letter or digit.
+    The first tokenizer never looks across such a place; nor does the second, if no piece of it holds the sign of a space
+    after something else, or such a mark after a letter or digit, which is looked up (else those are no cuts). What comes
+    out is compared with the bytes of the text, and texts that differ are encoded whole.
     """
 
     def __init__(self, byte_path: str, piece_path: str, most_stretches: int = 250_000):
@@ -70,7 +79,9 @@ class TokenizerPair:
             raise ValueError(f"the second tokenizer may have {_PIECES} ids at most")
         self.b = _Vocabulary([bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.marks = self.cuts and not any(re.search(r"[A-Za-z0-9][.,;:!?]", p) for p in pieces)
         self.known: dict[int, tuple[bytes, bytes]] = {}
+        self.older: dict[int, tuple[bytes, bytes]] = {}  # what was known a while ago and hasn't been asked for since
         self.most_stretches = most_stretches
 
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +89,11 @@ class TokenizerPair:
         b = self.second.encode(text[1:], num_threads=1) if len(text) > 1 else [self.second.piece_to_id("▁")]
         return np.array(self.first.encode(text, add_special_tokens=False).ids, np.int64), np.array(b, np.int64)
 
+    def _alone(self, stretch: bytes) -> list[np.ndarray]:
+        if stretch[0] == 32:
+            return list(self._whole(stretch.decode()))
+        return [ids[np.searchsorted(np.cumsum(v.length[ids]), 2) + 1 :] for ids, v in zip(self._whole(" a" + stretch.decode()), (self.a, self.b), strict=True)]
+
     def _learn(self, stretches: dict[int, bytes], safe: set[int]) -> dict[int, tuple[bytes, bytes]]:
         """Ids of stretches. Those that end where it is safe to cut are encoded many at a time, as one text of them all."""
         found = {}
@@ -88,23 +104,26 @@ class TokenizerPair:
             while j < len(keys) and size < 32_768:
                 size += len(stretches[keys[j]])
                 j += 1
-            part = [stretches[h] for h in keys[i:j]]
-            ends = np.cumsum([len(s) for s in part])
-            sides, raw_part = [], b"".join(part)
-            for ids, v in zip(self._whole(raw_part.decode()), (self.a, self.b), strict=True):
-                at = np.cumsum(v.length[ids])
-                stop = np.searchsorted(at, ends)
-                if v.bytes_of(ids).tobytes() != raw_part or not np.array_equal(at[stop], ends):
+            # One that begins with a mark gets a letter before it, the ids of which are taken off again.
+            extra = [0 if stretches[h][0] == 32 else 2 for h in keys[i:j]]
+            part = b"".join(b" a" + stretches[h] if x else stretches[h] for h, x in zip(keys[i:j], extra, strict=True))
+            ends = np.cumsum([len(stretches[h]) + x for h, x in zip(keys[i:j], extra, strict=True)])
+            begins = np.concatenate([[0], ends[:-1]]) + extra
+            sides = []
+            for ids, v in zip(self._whole(part.decode()), (self.a, self.b), strict=True):
+                at = np.concatenate([[0], np.cumsum(v.length[ids])])
+                start, stop = np.searchsorted(at, begins), np.searchsorted(at, ends)
+                if v.bytes_of(ids).tobytes() != part or not (np.array_equal(at[start], begins) and np.array_equal(at[stop], ends)):
                     break
-                raw, stop = ids.astype("<u2").tobytes(), (2 * (stop + 1)).tolist()
-                sides.append([raw[x:y] for x, y in zip([0, *stop], stop, strict=False)])
+                raw = ids.astype("<u2").tobytes()
+                sides.append([raw[x:y] for x, y in zip((2 * start).tolist(), (2 * stop).tolist(), strict=True)])
             if len(sides) == 2:
                 found.update(zip(keys[i:j], zip(*sides, strict=True), strict=True))
             else:
                 alone += keys[i:j]
             i = j
         for h in alone:
-            both = self._whole(stretches[h].decode())
+            both = self._alone(stretches[h])
             same = all(v.bytes_of(ids).tobytes() == stretches[h] for ids, v in zip(both, (self.a, self.b), strict=True))
             found[h] = tuple(ids.astype("<u2").tobytes() for ids in both) if same else (b"", b"")
         return found
@@ -120,16 +139,19 @@ class TokenizerPair:
         if self.cuts:
             spaces = np.flatnonzero(data == 32)
             first[spaces[_may_cut(data, spaces)]] = True
+        if self.marks:
+            first[1:-1] |= _MARK[data[1:]] & _ALNUM[data[:-1]]
         starts = np.flatnonzero(first[:-1])
         ends = np.append(starts[1:], len(data))[: len(starts)]
         unique, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         keys = unique.tolist()
-        raw, safe, known = data.tobytes(), _may_cut(data, ends), self.known
+        if len(self.known) > self.most_stretches // 2:
+            self.known, self.older = {}, self.known
+        raw, safe, known, older = data.tobytes(), _may_cut(data, ends), self.known, self.older
+        known.update((h, older[h]) for h in keys if h in older and h not in known)
         fresh = [(h, i) for h, i in zip(keys, at.tolist(), strict=True) if h not in known]
         learnt = self._learn({h: raw[starts[i] : ends[i]] for h, i in fresh}, {h for h, i in fresh if safe[i]})
         both = [known.get(h) or learnt[h] for h in keys]
-        if len(known) + len(learnt) > self.most_stretches:
-            known.clear()
         known.update((h, x) for h, x in learnt.items() if len(x[0]) + len(x[1]) <= 128)  # long stretches hardly come again
         row = row_of(offsets, starts)
         sides, right = [], np.ones(len(starts), bool)
@@ -177,10 +199,14 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray, bounds_a: np.ndarray, bounds_b
         low, high = todo[0], todo[1] - 2  # the cut comes after one of these tokens
         middle = (low + high) // 2
         cut, place = np.full(len(low), -1), np.zeros(len(low), np.int64)
-        left, near, width = np.arange(len(low)), 0, 1
+        end = ends_a[middle]
+        found = np.searchsorted(ends_b, end)
+        hit = ends_b[found] == end
+        cut[hit], place[hit] = middle[hit], found[hit]
+        left, near, width = np.flatnonzero(~hit & (high > low)), 1, 1
         while len(left):  # places from near to near + width - 1 away from the middle, on both sides
             away = np.arange(near, near + width)
-            away = np.concatenate([away, -away]) if near else away
+            away = np.concatenate([away, -away])
             at_once = max(1, (1 << 20) // len(away))
             for i in range(0, len(left), at_once):
                 part = left[i : i + at_once]
@@ -192,7 +218,7 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray, bounds_a: np.ndarray, bounds_b
                 k = np.argmin(np.where(hit, np.abs(away), near + width), axis=1)
                 some, each = hit[np.arange(len(part)), k], np.arange(len(part))
                 cut[part[some]], place[part[some]] = tried[each, k][some], found[each, k][some]
-            near, width = near + width, min(max(1, 2 * (width if near else 0)), 1 << 16)
+            near, width = near + width, min(2 * width, 1 << 16)
             left = left[(cut[left] < 0) & ((middle[left] - near >= low[left]) | (middle[left] + near <= high[left]))]
         none = cut < 0
         groups.append(todo[:, none])
@@ -274,7 +300,7 @@ def _aligned_block(tokenizers: TokenizerPair, doc_ids: pa.Array, first: int, dat
     offsets = offsets + np.concatenate([[0], np.cumsum(some)])
     n_rows = len(offsets) - 1
     (a, bounds_a), (b, bounds_b) = tokenizers.encode(data, offsets)
-    groups = align(np.cumsum(tokenizers.a.length[a]), np.cumsum(tokenizers.b.length[b]), bounds_a, bounds_b)
+    groups = align(tokenizers.a.ends(a), tokenizers.b.ends(b), bounds_a, bounds_b)
     rows = row_of(bounds_a, groups[:, 0]) if len(groups) else np.zeros(0, np.int64)
     row, pair, n = linked_pairs(groups, rows, a, b)
     text, at = group_texts(groups, rows, n_rows, a, b, tokenizers.a, tokenizers.b)
