@@ -29,7 +29,7 @@ class WordTokenizer:
     a word, so the ids of a text are those of its words in order.
     """
 
-    def __init__(self, path: str, most_words: int = 150_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         from tokenizers import Tokenizer, normalizers
 
         self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -38,6 +38,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}  # words not met since the newer ones were half of ``most_words``
         self.most_words = most_words
 
     def _learn(self, words: dict[int, str]) -> None:
@@ -75,8 +76,10 @@ class WordTokenizer:
         hashes = span_hashes(data, first, stop)
         unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         keys = unique.tolist()
-        if len(self.words) > self.most_words:
-            self.words.clear()
+        if len(self.words) > self.most_words // 2:
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        words.update((h, older[h]) for h in keys if h in older and h not in words)
         raw = data.tobytes()
         self._learn({h: raw[first[i] : stop[i]].decode() for h, i in zip(keys, at.tolist(), strict=True) if h not in self.words})
         parts = [self.words[h] for h in keys]
