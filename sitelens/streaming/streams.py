@@ -6,12 +6,14 @@ runs one over all that there is and gives the result as a table.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from .sink import fresh_folder, run_to_table
+
+
+#: The audit's event log as lines of JSON.
+EVENT_SCHEMA = "seq long, ts timestamp, run_id string, type string, item_key string, cost double"
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,15 +24,39 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("run"), F.col("user_id") % 20).alias("run_id"), F.coalesce(kind, F.lit("error")).alias("type"), F.concat(F.lit("i"), "user_id").alias("item_key"), F.col("value").alias("cost"))
 
 
-def live_counters(events: DataFrame) -> DataFrame:
+def read_event_lines(spark: SparkSession, path: str, *, stream: bool = True) -> DataFrame:
+    """Events from files with one JSON object a line, as a stream or a table; ``bad`` holds a line that is none, else null.
+
+    Fields that a line lacks are null; so are those of a line that does not parse.
+    """
+    lines = (spark.readStream if stream else spark.read).format("text").load(path).filter("trim(value) <> ''")
+    parsed = F.from_json("value", EVENT_SCHEMA + ", bad string", {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})
+    return lines.select(parsed.alias("e")).select("e.*")
+
+
+def live_counters(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Counts and cost of each run. An event that comes again counts once: while the watermark has not passed it, it is known
+    by run and seq, and after that it is too late."""
     n = lambda t: F.count_if(F.col("type") == t)
-    return events.groupBy("run_id").agg(n("page-done").alias("pages"), n("keyword-done").alias("keywords"), n("gap-done").alias("gaps"), n("error").alias("errors"), F.sum(F.col("cost").cast("decimal(18,8)")).cast("double").alias("cost"))
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "seq"])
+    return once.groupBy("run_id").agg(n("page-done").alias("pages"), n("keyword-done").alias("keywords"), n("gap-done").alias("gaps"), n("error").alias("errors"), F.sum(F.col("cost").cast("decimal(18,8)")).cast("double").alias("cost"))
 
 
 def latest_by_key(events: DataFrame) -> DataFrame:
-    """The last event of each item; replays are dropped within the watermark before they reach the state."""
-    once = events.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["seq"])
-    return once.groupBy("run_id", "item_key").agg(F.max_by("type", "seq").alias("type"), F.max("seq").alias("seq"))
+    """Events by item, for a table of keys (run_id, item_key) and order seq: the sink keeps each item's last, replays change nothing."""
+    return events.select("run_id", "item_key", "type", "seq")
+
+
+def rival_slots(events: DataFrame, wait: str = "2 hours", late: str = "10 minutes") -> DataFrame:
+    """(run_id, item_key, started, done): starts with what finished them within ``wait``; lone starts and lone ends once the watermark passed them.
+
+    A full outer join of two streams. The time range bounds both states: an end is kept until no start from before it can
+    come, a start until no end within ``wait`` can.
+    """
+    side = lambda kind, *names: events.select("run_id", "item_key", "seq", "ts", "type").withWatermark("ts", late).filter(F.col("type") == kind).select(*[F.col(c).alias(n) for c, n in zip(("run_id", "item_key", "seq", "ts"), names, strict=True)])
+    a, b = side("page-start", "r1", "i1", "started", "t1"), side("page-done", "r2", "i2", "done", "t2")
+    met = a.join(b, F.expr(f"r1 = r2 AND i1 = i2 AND t2 >= t1 AND t2 <= t1 + INTERVAL {wait}"), "full_outer")
+    return met.select(F.coalesce("r1", "r2").alias("run_id"), F.coalesce("i1", "i2").alias("item_key"), "started", "done")
 
 
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -51,11 +77,9 @@ def pending_items(events: DataFrame, wait: str = "2 hours", late: str = "10 minu
     return a.join(b, F.expr(f"run_id = r and item_key = i and t2 >= t1 and t2 <= t1 + interval {wait}"), "left_outer").filter("done is null").select("run_id", "item_key", "started")
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now. ``complete`` gives the last state, ``append`` all rows given out."""
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{base}/rows")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+def drain(stream: DataFrame, mode: str = "complete", keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what there is now and gives the result as a table: in mode ``complete`` the state after the last batch."""
+    folder = fresh_folder(stream.sparkSession, "stream")
+    if mode == "complete":  # every batch gives all rows, so the last one replaces the others
+        return run_to_table(stream.withColumn("_all", F.lit(1)), folder, mode=mode, keys=["_all"]).read().drop("_all")
+    return run_to_table(stream, folder, mode=mode, keys=keys, order=order).read()
