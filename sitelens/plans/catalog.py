@@ -39,3 +39,5 @@ from . import stream_plans  # noqa: E402, F401
 from . import judgement_plans  # noqa: E402, F401
 
 from . import decision_plans  # noqa: E402, F401
+
+from . import source_plans  # noqa: E402, F401

@@ -111,6 +111,41 @@ FROM documents""",
     "fx_titles": """
 SELECT source AS site, concat('https://rival', CAST(doc_id % 4 AS STRING), '.org/x') AS rival, doc_id AS place, concat(CASE doc_id % 5 WHEN 0 THEN 'Boiler' WHEN 1 THEN 'A drain' WHEN 2 THEN 'Heat pump' WHEN 3 THEN 'Tap' ELSE 'Roof' END, ' repair, ', CAST(doc_id % 31 AS STRING)) AS title
 FROM documents WHERE doc_id % 7 = 0 AND CAST(right(source, 1) AS STRING) NOT IN ('3', '8')""",
+    "fx_robots": """
+SELECT s_suppkey AS n, concat('site', CAST(s_suppkey AS STRING)) AS site, concat('/p/', CAST(s_suppkey % 37 AS STRING)) AS path,
+       CASE WHEN s_suppkey % 11 = 0 THEN NULL
+            WHEN s_suppkey % 3 = 0 THEN concat_ws(chr(10), '# made by hand', 'User-agent: *', 'Disallow: /private # not this', concat('Disallow: /p/', CAST(s_suppkey % 5 AS STRING)), 'Disallow:', '', 'Sitemap: https://x.example/sitemap.xml', 'Disallow: /after')
+            WHEN s_suppkey % 3 = 1 THEN concat_ws(chr(10), 'User-agent: GPTBot', 'User-agent: CCBot', 'Disallow: /', '', 'USER-AGENT: *', ' Allow : /p/1', 'Disallow: /p', 'Crawl-delay: 5', 'no directive')
+            ELSE concat_ws(chr(10), 'User-agent: *', 'User-agent: claudebot', 'Disallow: /p/2', 'Allow: /p/21', '', 'Disallow: /p/3', 'User-agent: perplexitybot', '', 'User-agent: spider', 'Disallow: /p', 'sitemap: https://y.example/a.xml') END AS text
+FROM supplier""",
+    "fx_sitemaps": """
+SELECT p_partkey AS n, concat('https://m.example/', CAST(p_partkey AS STRING), '.xml') AS url,
+       CASE WHEN p_partkey % 5 = 0 THEN concat('<?xml version="1.0"?><SitemapIndex><sitemap><loc> https://m.example/', CAST(p_partkey + 1 AS STRING), '.xml </loc></sitemap><sitemap><LOC>https://m.example/', CAST((p_partkey * 3) % 40 AS STRING), '.xml</LOC></sitemap><sitemap><loc>https://m.example/', CAST(p_partkey AS STRING), '.xml</loc></sitemap><loc>https://m.example/', CASE WHEN p_partkey % 20 = 0 THEN 'none' ELSE CAST(p_partkey - 5 AS STRING) END, '.xml</loc></SitemapIndex>')
+            ELSE concat('<urlset><url><loc>https://w.example/', CAST(p_partkey % 83 AS STRING), '</loc></url><url><loc>https://w.example/n', CAST(p_partkey AS STRING), '</loc></url><url><loc></loc></url></urlset>') END AS body
+FROM part""",
+    "fx_hreflang": """
+SELECT page_id, c, k, concat('https://s.example/', CASE m WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END, '/', CAST(c AS STRING)) AS url, CASE WHEN c % 4 = 0 THEN '' ELSE concat('https://s.example/', CASE m WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END, '/', CAST(c AS STRING), '/') END AS canonical,
+       CASE WHEN k = 3 THEN 'x-default' WHEN k = 0 THEN CASE c % 9 WHEN 0 THEN 'jp' WHEN 1 THEN 'eng-US' WHEN 2 THEN 'en-UK' WHEN 3 THEN 'zh-Hans' WHEN 4 THEN 'xx' WHEN 5 THEN 'EN-gb' ELSE 'en' END WHEN k = 1 THEN 'de' ELSE 'fr-CA' END AS lang,
+       concat(CASE WHEN c % 11 = 0 AND k = 2 THEN 'http' ELSE 'https' END, '://s.example/', CASE k WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'en' END, '/', CAST(c AS STRING), CASE WHEN k = 1 THEN '/' ELSE '' END) AS href,
+       NOT (k = 3 AND c % 2 = 1 OR k = m AND c % 5 = 0 OR m = 2 AND k = 0 AND c % 3 = 0 OR c % 13 = 0) AS used
+FROM (SELECT page_id, CAST(floor(page_id / 3.0) AS BIGINT) AS c, page_id % 3 AS m, k FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ks) t""",
+    "fx_blocks": """
+SELECT page_id, concat('https://s.example/', CASE page_id % 5 WHEN 0 THEN 'FAQ' WHEN 1 THEN 'blog/x' WHEN 2 THEN 'products' WHEN 3 THEN 'contact' ELSE 'a' END, '/', CAST(page_id AS STRING)) AS url, k AS place,
+       CASE (page_id + k * 3) % 8 WHEN 0 THEN '{"@type": "Article", "headline": "h", "datePublished": "2024-01-01"}'
+            WHEN 1 THEN '[{"@type": "Product", "name": "a", "offers": {}}, 5, {"@type": ["WebSite", "Thing", 3], "name": "n", "url": "u"}]'
+            WHEN 2 THEN '{"@context": "c", "@graph": [{"@type": "Organization", "name": "o", "@graph": [{"@type": "FAQPage"}, [1], {"name": "no type"}]}, {"@type": 7}, "text"]}'
+            WHEN 3 THEN 'not json {'
+            WHEN 4 THEN '{"@type": "A0", "@graph": [{"@type": "A1", "@graph": [{"@type": "A2", "@graph": [{"@type": "A3", "@graph": [{"@type": "A4", "@graph": [{"@type": "A5"}]}]}]}]}]}'
+            WHEN 5 THEN NULL WHEN 6 THEN '{"@type": "FAQPage", "mainEntity": [1, 2]}' ELSE '{"@type": "BlogPosting", "headline": "h", "author": {"name": "n"}, "datePublished": null}' END AS block
+FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) ks""",
+    "fx_replies": """
+SELECT scope, site, item_id, question_id,
+       CASE WHEN item_id % 13 = 5 THEN '{"cut": {"type": "no' WHEN item_id % 13 = 6 THEN '[1, 2]'
+            ELSE concat('{"', question_id, '": {', CASE WHEN item_id % 3 = 0 THEN '' ELSE concat('"type": "', upper(type), '", ') END,
+                 CASE type WHEN 'choice' THEN concat('"choice": "', choice, '", "confidence": ', CAST(confidence AS STRING), ', "probabilities": {"', choice, '": ', CAST(confidence AS STRING), ', "', other, '": 0.25}')
+                      WHEN 'score' THEN concat('"score": ', CAST(score AS STRING), ', "confidence": "0.5"') ELSE concat('"noul": ', CAST(noul AS STRING)) END,
+                 '}, "note": "text", "half": {"confidence": 1}}') END AS reply
+FROM fx_typed""",
 }
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -121,11 +156,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The adapter ``name`` over the tables of ``folder``."""
-    if re.search(r"\bFROM fx_", ADAPTERS[name]):
-        inner = re.search(r"\bFROM (fx_\w+)", ADAPTERS[name])[1]
-        return spark.sql(ADAPTERS[name].replace(f"FROM {inner}", f"FROM {{{inner}}}"), **{inner: frame(spark, folder, inner)})
-    used = [t for t in _TABLES if re.search(rf"\bFROM {t}\b", ADAPTERS[name])]
-    text = re.sub(r"\bFROM (\w+)\b", lambda m: f"FROM {{{m[1]}}}" if m[1] in used else m[0], ADAPTERS[name])
+    plain = ADAPTERS[name].replace("{", "{{").replace("}", "}}")
+    if re.search(r"\bFROM fx_", plain):
+        inner = re.search(r"\bFROM (fx_\w+)", plain)[1]
+        return spark.sql(plain.replace(f"FROM {inner}", f"FROM {{{inner}}}"), **{inner: frame(spark, folder, inner)})
+    used = [t for t in _TABLES if re.search(rf"\bFROM {t}\b", plain)]
+    text = re.sub(r"\bFROM (\w+)\b", lambda m: f"FROM {{{m[1]}}}" if m[1] in used else m[0], plain)
     return spark.sql(text, **{t: table(spark, folder, t) for t in used})
 
 
