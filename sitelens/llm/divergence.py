@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._text import row_of, saved, text_blocks
+from ._text import row_of, saved, text_blocks, tidy
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -121,7 +121,7 @@ def term_counts(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
                     yield pa.record_batch([langs.take(at), sources.take(at), terms.cast(pa.string()), pa.array(n), pa.array(rows)], ["lang", "source", "term", "n", "docs"])
 
     read = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return read.mapInArrow(count, _SCHEMA).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return read.mapInArrow(tidy(count), _SCHEMA).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: str, total: str, kinds: str) -> Column:

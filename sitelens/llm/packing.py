@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import give_back, row_of, saved, span_hashes, text_blocks, word_spans
+from ._text import row_of, saved, span_hashes, text_blocks, tidy, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,7 +98,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096,
     """(doc_id, piece, start, length, ids_crc32) of each row of ``docs``: its ids and ``end_id``, cut every ``capacity``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         tokenizer = WordTokenizer(tokenizer_path)
         for batch in batches:
             ids_of = batch.column("doc_id")
@@ -117,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096,
                 yield pa.record_batch([ids_of.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return typed.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return typed.mapInArrow(tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +173,7 @@ def pack(items: DataFrame, *, capacity: int = 4096, slack: int = 16, items_a_tas
                 yield pa.record_batch([pa.array(ids[cut]), pa.array(name[cut]), pa.array(place[cut]), pa.array(filled[at[cut]])], ["id", "bin", "place", "filled"])
 
         dealt = items.repartition(partitions, F.xxhash64("id", F.lit(level))) if partitions > 1 else items.coalesce(1)
-        done = saved(dealt.mapInArrow(fit, "id long, bin long, place long, filled long"), f"pack-{level}")
+        done = saved(dealt.mapInArrow(tidy(fit), "id long, bin long, place long, filled long"), f"pack-{level}")
         rounds.append(done)
         if partitions == 1:
             break

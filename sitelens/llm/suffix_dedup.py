@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import _BASE, _BYTE, _INVERSE, _power, mix, row_of, saved, span_hashes, text_blocks
+from ._text import _BASE, _BYTE, _INVERSE, _power, mix, row_of, saved, span_hashes, text_blocks, tidy
 
 _GRAM = 32
 _MOST = 256  # windows of a stretch
@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 8_000, shard_
                     where = _pack(start[i : i + 50_000] - offsets[r], long[i : i + 50_000], tags[first + r], twice[i : i + 50_000])
                     yield pa.record_batch([pa.array(low[i : i + 50_000].view(np.int64)), pa.array(code[i : i + 50_000].view(np.int64)), ids.take(pa.array(first + r)), pa.array(where)], ["low", "code", "doc_id", "place"])
 
-    found = saved(docs.select("doc_id", "text", "tag").mapInArrow(scan, "low long, code long, doc_id long, place long"), "stretches")
+    found = saved(docs.select("doc_id", "text", "tag").mapInArrow(tidy(scan), "low long, code long, doc_id long, place long"), "stretches")
     twice = F.max(F.col("place").bitwiseAND(F.lit(512))) > 0
     again = found.groupBy("low").agg(F.count("*").alias("n"), twice.alias("twice")).filter("n > 1 or twice").select("low")
     rows = saved(found.join(again, "low", "left_semi"), "repeats")
@@ -315,7 +315,7 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 8_000, shard_
                 cuts = [raw[a:z] for a, z in zip(at, (start + (place & 511) + span - 1).tolist(), strict=True)]
                 yield pa.record_batch([*(flat.field(c) for c in ("low", "n", "kinds")), ids.take(pa.array(first + row)), flat.field("place"), pa.array(cuts, pa.binary())], ["low", "n", "kinds", "doc_id", "place", "bytes"])
 
-    pieces = saved(docs.join(wanted, (docs.doc_id.eqNullSafe(wanted.doc_id)) & (docs.tag == wanted.tag)).select(docs.doc_id, docs.text, "parts").mapInArrow(cut, "low long, n long, kinds long, doc_id long, place long, bytes binary"), "pieces")
+    pieces = saved(docs.join(wanted, (docs.doc_id.eqNullSafe(wanted.doc_id)) & (docs.tag == wanted.tag)).select(docs.doc_id, docs.text, "parts").mapInArrow(tidy(cut), "low long, n long, kinds long, doc_id long, place long, bytes binary"), "pieces")
     columns = "doc_id long, tag long, start long, stop long"
 
     def ranges(doc_id: pa.Array, where: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -372,8 +372,8 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 8_000, shard_
 
     shards = pieces.filter(F.col("kinds") <= hot)
     shards = shards.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "low").sortWithinPartitions("low")
-    sorted_ = shards.mapInArrow(sort_shard, columns)
-    each = pieces.filter(F.col("kinds") > hot).mapInArrow(windows, "a long, b long, doc_id long, tag long, start long")
+    sorted_ = shards.mapInArrow(tidy(sort_shard), columns)
+    each = pieces.filter(F.col("kinds") > hot).mapInArrow(tidy(windows), "a long, b long, doc_id long, tag long, start long")
     equal_ = each.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
     frequent = each.join(equal_, ["a", "b"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + span).alias("stop"))
     start = F.shiftright("place", 10).bitwiseAND(F.lit(0xFFFFFFFF))
@@ -420,7 +420,7 @@ def remove_repeats(docs: DataFrame, *, span: int = 200, hot: int = 8_000, shard_
                 yield pa.record_batch([batch.column("doc_id").slice(first, n), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(np.diff(offsets)), *(pa.array(x, pa.int64()) for x in (gone, runs)), batch.column("rest").slice(first, n)], ["doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "rest"])
 
     rest = joined.schema["rest"].dataType.simpleString()
-    return joined.mapInArrow(keep, f"doc_id long, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long, rest {rest}").select("doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", *(F.col("rest")[c].alias(c) for c in carry))
+    return joined.mapInArrow(tidy(keep), f"doc_id long, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long, rest {rest}").select("doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import row_of, saved, span_hashes, text_blocks
+from ._text import row_of, saved, span_hashes, text_blocks, tidy
 
 _MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
@@ -351,7 +351,7 @@ def _aligned(docs: DataFrame, byte_path: str, piece_path: str, block_bytes: int)
         held = totals()
         yield from summary()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(work), _SCHEMA)
 
 
 def _marked(docs: pa.Table, marks: pa.Table) -> pa.Table:

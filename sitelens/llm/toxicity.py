@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import mix, row_of, shingle_block, span_hashes, text_blocks, word_spans
+from ._text import mix, row_of, shingle_block, span_hashes, text_blocks, tidy, word_spans
 from .language_id import held_out
 
 _BITS = 22
@@ -224,7 +224,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_examples: int = 60
             yield pa.record_batch([batch.column("doc_id").slice(first, rows), pa.array(np.clip(out, 0, 1)), pa.array(evidence, pa.list_(pa.int64())), batch.column("rest").slice(first, rows)], ["doc_id", "score", "evidence", "rest"])
 
     rest = whole.schema["rest"].dataType.simpleString()
-    return whole.mapInArrow(scores, f"doc_id long, score double, evidence array<long>, rest {rest}").select("doc_id", "score", "evidence", *(F.col("rest")[c].alias(c) for c in carry))
+    return whole.mapInArrow(tidy(scores), f"doc_id long, score double, evidence array<long>, rest {rest}").select("doc_id", "score", "evidence", *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
