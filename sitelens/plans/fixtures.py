@@ -70,15 +70,15 @@ WHERE (d.doc_id + r.run_no * 7) % 13 <> 0""",
 SELECT event_id AS seq, ts, concat('run', CAST(user_id % 20 AS STRING)) AS run_id,
        CASE event_type WHEN 'view' THEN 'page-start' WHEN 'click' THEN 'page-done'
             WHEN 'signup' THEN 'keyword-done' WHEN 'purchase' THEN 'gap-done' ELSE 'error' END AS type,
-       concat('i', CAST(user_id AS STRING)) AS item_key, value AS cost
+       concat('i', CAST(user_id AS STRING), '.', CAST(event_id % 37 AS STRING)) AS item_key, value AS cost
 FROM events""",
     "fx_typed": """
 SELECT q.scope, d.source AS site, d.doc_id AS item_id, q.question_id, q.type,
        CASE q.type WHEN 'choice' THEN split_part(q.options, ',', CAST((d.doc_id * 31 + q.k * 17) % q.n AS INT) + 1) END AS choice,
        CASE q.type WHEN 'choice' THEN split_part(q.options, ',', CAST((d.doc_id * 31 + q.k * 17 + 1 + d.doc_id % (q.n - 1)) % q.n AS INT) + 1) END AS other,
-       CASE q.type WHEN 'choice' THEN CAST(300 + (d.doc_id * 7919 + q.k * 104729) % 701 AS DOUBLE) / 1000 END AS confidence,
-       CASE q.type WHEN 'score' THEN CAST(least(3000, ((d.doc_id + q.k) % 4) * 1000 + (d.doc_id * 7919 + q.k * 104729) % 1001) AS DOUBLE) / 1000 END AS score,
-       CASE q.type WHEN 'noul' THEN CAST((d.doc_id * 7919 + q.k * 104729) % 1001 AS DOUBLE) / 1000 END AS noul, q.n AS levels, d.doc_id * 7919 + q.k * 104729 AS h, (d.doc_id + q.k) % 4 AS low
+       CASE q.type WHEN 'choice' THEN CAST(CASE WHEN q.scope = 'keyword' AND d.doc_id % 3 = 1 THEN (CASE WHEN q.scope = 'keyword' AND d.doc_id % 3 = 1 THEN 960 + (d.doc_id * 7919 + q.k * 104729) % 41 ELSE (d.doc_id * 7919 + q.k * 104729) END) ELSE 300 + (CASE WHEN q.scope = 'keyword' AND d.doc_id % 3 = 1 THEN 960 + (d.doc_id * 7919 + q.k * 104729) % 41 ELSE (d.doc_id * 7919 + q.k * 104729) END) % 701 END AS DOUBLE) / 1000 END AS confidence,
+       CASE q.type WHEN 'score' THEN CAST(least(3000, ((d.doc_id + q.k) % 4) * 1000 + (CASE WHEN q.scope = 'keyword' AND d.doc_id % 3 = 1 THEN 960 + (d.doc_id * 7919 + q.k * 104729) % 41 ELSE (d.doc_id * 7919 + q.k * 104729) END) % 1001) AS DOUBLE) / 1000 END AS score,
+       CASE q.type WHEN 'noul' THEN CAST((CASE WHEN q.scope = 'keyword' AND d.doc_id % 3 = 1 THEN 960 + (d.doc_id * 7919 + q.k * 104729) % 41 ELSE (d.doc_id * 7919 + q.k * 104729) END) % 1001 AS DOUBLE) / 1000 END AS noul, q.n AS levels, (CASE WHEN q.scope = 'keyword' AND d.doc_id % 3 = 1 THEN 960 + (d.doc_id * 7919 + q.k * 104729) % 41 ELSE (d.doc_id * 7919 + q.k * 104729) END) AS h, (d.doc_id + q.k) % 4 AS low
 FROM documents d CROSS JOIN (
   SELECT 'page' AS scope, 1 AS k, 'page_type' AS question_id, 'choice' AS type, 11 AS n, 'homepage,product_or_service,category_or_listing,article_or_guide,about_or_team,contact_or_location,pricing,case_study_or_proof,support_or_docs,legal_or_policy,other' AS options
   UNION ALL SELECT 'page', 2, 'intent', 'choice', 6, 'informational,commercial,transactional,navigational,local,unclear'
@@ -99,7 +99,7 @@ FROM documents d CROSS JOIN (
 WHERE (d.doc_id + q.k) % 23 <> 0""",
     "fx_probs": """
 SELECT scope, site, item_id, question_id, type, levels, choice AS label, confidence AS p FROM fx_typed WHERE type = 'choice'
-UNION ALL SELECT scope, site, item_id, question_id, type, levels, other, CAST((700 - h % 701) * 6 AS DOUBLE) / 10000 FROM fx_typed WHERE type = 'choice'
+UNION ALL SELECT scope, site, item_id, question_id, type, levels, other, CAST(CASE WHEN h <= 1000 THEN 1000 - h ELSE 700 - h % 701 END * 6 AS DOUBLE) / 10000 FROM fx_typed WHERE type = 'choice'
 UNION ALL SELECT scope, site, item_id, question_id, type, levels, CAST(least(3, low + 1) AS STRING), CAST(h % 1001 AS DOUBLE) / 1000 FROM fx_typed WHERE type = 'score'
 UNION ALL SELECT scope, site, item_id, question_id, type, levels, CAST(low AS STRING), CAST(1000 - h % 1001 AS DOUBLE) / 1000 FROM fx_typed WHERE type = 'score'
 UNION ALL SELECT scope, site, item_id, question_id, type, levels, 'yes', noul FROM fx_typed WHERE type = 'noul'""",

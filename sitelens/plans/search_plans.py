@@ -63,7 +63,7 @@ search_query("quick_wins", f"SELECT *, CAST(round_even(benchmark_ctr * impressio
 search_query("traffic_drops", f"SELECT site, query, clicks_b - clicks_a AS clicks_delta, impressions_b - impressions_a AS impressions_delta, position_b AS position_current, position_a AS position_previous, CASE WHEN position_b > position_a + 2 THEN 'ranking_loss' WHEN ctr_b < ctr_a * 0.7 THEN 'ctr_collapse' ELSE 'demand_decline' END AS diagnosis FROM ({_RATES}) r WHERE clicks_b < clicks_a")(lambda r: S.traffic_drops(r, AS_OF))
 search_query("striking_distance", f"SELECT * FROM ({grouped('site, query')}) g WHERE position BETWEEN 8 AND 15")(lambda r: S.striking_distance(r, AS_OF))
 _HHI = f"SELECT site, query, count(*) AS pages, CAST(sum(clicks) AS BIGINT) AS total_clicks, CAST(sum(impressions) AS BIGINT) AS total_impressions, sum(s) AS hhi, arg_max(page, (clicks, page)) AS top_page FROM (SELECT *, CASE WHEN sum(clicks) OVER w > 0 THEN pow(clicks / CAST(sum(clicks) OVER w AS DOUBLE), 2) END AS s FROM ({grouped('site, query, page')}) g WINDOW w AS (PARTITION BY site, query)) h GROUP BY site, query"
-for _name, _cut in (("query_cannibalization", 0.1), ("query_cannibalization_strict", 0.8)):
+for _name, _cut in (("query_cannibalization", 0.1), ("query_cannibalization_strict", 0.5)):
     search_query(_name, f"SELECT site, query, pages, total_clicks, total_impressions, (CAST(floor((c) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS conflict_score, top_page FROM (SELECT *, 1 - coalesce(hhi, 1.0 / pages) AS c FROM ({_HHI}) i) j WHERE pages >= 2 AND total_impressions >= 50 AND c > {_cut}")(lambda r, c=_cut: S.query_cannibalization(r, AS_OF, min_conflict=c))
 search_query("lost_queries", f"SELECT site, query, clicks_a AS clicks_previous, coalesce(clicks_b, 0) AS clicks_current, (CAST(floor(((clicks_a - coalesce(clicks_b, 0)) / CAST(clicks_a AS DOUBLE) * 100) * 10.0 + 0.5) AS DOUBLE) / 10.0) AS drop_pct FROM ({_RECENT}) p WHERE clicks_a >= 5 AND (clicks_a - coalesce(clicks_b, 0)) / CAST(clicks_a AS DOUBLE) >= 0.8")(lambda r: S.lost_queries(r, AS_OF))
 search_query("search_alerts", f"SELECT site, page, query, type, CASE WHEN type = 'traffic_concentration' THEN 'high' ELSE 'medium' END AS severity, clicks, impressions, position FROM (SELECT *, CASE WHEN sum(clicks) OVER (PARTITION BY site) > 0 AND clicks / CAST(sum(clicks) OVER (PARTITION BY site) AS DOUBLE) > 0.5 THEN 'traffic_concentration' WHEN position > 10 AND impressions > 900 THEN 'high_impression_low_rank' END AS type FROM ({grouped('site, page, query')}) g) a WHERE type IS NOT NULL")(lambda r: S.search_alerts(r, AS_OF, impressions=900))

@@ -21,7 +21,7 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(folder)
     kind = F.create_map(*map(F.lit, ["view", "page-start", "click", "page-done", "signup", "keyword-done", "purchase", "gap-done"]))[F.col("event_type")]
-    return raw.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("run"), F.col("user_id") % 20).alias("run_id"), F.coalesce(kind, F.lit("error")).alias("type"), F.concat(F.lit("i"), "user_id").alias("item_key"), F.col("value").alias("cost"))
+    return raw.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("run"), F.col("user_id") % 20).alias("run_id"), F.coalesce(kind, F.lit("error")).alias("type"), F.concat(F.lit("i"), "user_id", F.lit("."), F.col("event_id") % 37).alias("item_key"), F.col("value").alias("cost"))
 
 
 def read_event_lines(spark: SparkSession, path: str, *, stream: bool = True) -> DataFrame:
