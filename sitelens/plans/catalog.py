@@ -41,3 +41,4 @@ from . import judgement_plans  # noqa: E402, F401
 from . import decision_plans  # noqa: E402, F401
 
 from . import source_plans  # noqa: E402, F401
+from . import record_plans  # noqa: E402, F401

@@ -146,6 +146,16 @@ SELECT scope, site, item_id, question_id,
                       WHEN 'score' THEN concat('"score": ', CAST(score AS STRING), ', "confidence": "0.5"') ELSE concat('"noul": ', CAST(noul AS STRING)) END,
                  '}, "note": "text", "half": {"confidence": 1}}') END AS reply
 FROM fx_typed""",
+    "fx_research": """
+SELECT doc_id AS item_id, concat('run', CAST(doc_id % 20 AS STRING)) AS run_id, doc_id % 14 AS variant,
+       CASE doc_id % 14 WHEN 0 THEN '{"business_name": ' WHEN 1 THEN '[1]'
+            WHEN 2 THEN '{"business_name": null, "business_summary": "s", "market": null, "competitors": [], "keyword_seeds": [], "metrics": [], "notes": [], "verdict": "good"}'
+            WHEN 3 THEN '{"business_name": "", "business_summary": 5, "competitors": {}, "keyword_seeds": [], "metrics": [], "notes": ["a", 2]}'
+            WHEN 4 THEN '{"business_name": "b", "business_summary": "s", "market": "m", "competitors": [{"name": "n", "url": "u", "why": "w", "evidence_tool": "error", "evidence_query": "q"}], "keyword_seeds": [{"term": "t", "intent": "buying", "evidence_tool": "t", "score": 1}], "metrics": [], "notes": []}'
+            WHEN 5 THEN '{"business_name": "b", "business_summary": "s", "market": "m", "competitors": [], "keyword_seeds": [7], "metrics": [{"key": "k", "label": "l", "number": {"value": "5", "source_tool": "", "raw": "5", "more": 1}}, {"key": "k", "label": "l", "number": 5}], "notes": null}'
+            ELSE concat('{"business_name": "b', CAST(doc_id AS STRING), '", "business_summary": null, "market": "m", "competitors": [{"name": "rival', CAST(doc_id % 9 AS STRING), '", "url": "u", "why": "w", "evidence_tool": " Page-Done ", "evidence_query": "q", "angle": "direct"}], "keyword_seeds": [{"term": "term', CAST(doc_id % 30 AS STRING), '", "intent": "commercial", "evidence_tool": "',
+                        CASE WHEN doc_id % 2 = 0 THEN 'gap-done' ELSE 'error' END, '"}], "metrics": [{"key": "m', CAST(doc_id % 4 AS STRING), '", "label": "l", "number": {"value": ', CAST(1000 + doc_id % 50 AS STRING), ', "source_tool": "keyword-done", "raw": "about ', CASE WHEN doc_id % 3 = 0 THEN '1,' ELSE '9.' END, CAST(doc_id % 50 + 1000 AS STRING), CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' visits' END, '"}}, {"key": "x", "label": "l", "number": {"value": ', CAST(doc_id % 7 + 20 AS STRING), ', "source_tool": "keyword-done", "raw": "2', CAST(doc_id % 3 AS STRING), '"}}], "notes": []}') END AS output
+FROM documents""",
 }
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
