@@ -68,16 +68,51 @@ def mine_keywords(pages: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def measure_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often given (site, term) come in titles, headings and prose: occurrences semi-joined to the terms, never crossed."""
-    counted = _occurrences(pages).join(terms.select("site", "term").distinct(), ["site", "term"], "left_semi").groupBy("site", "term").agg(F.sum("title").alias("title_hits"), F.sum("heading").alias("heading_hits"), F.sum("prose").alias("prose_hits"), F.count_distinct("path").alias("page_count"))
-    return terms.select("site", "term").distinct().join(counted, ["site", "term"], "left").fillna(0)
+    """(site, term, title_hits, heading_hits, prose_hits, frequency, page_count) of given (site, term), of any number of words.
 
+    Every occurrence counts, in titles and headings too, the H1 also among the headings it is one of; as in mining, pages
+    that are mostly links are trusted for title and H1, and their prose is not read. What headings are not trusted for still
+    counts in ``frequency`` and ``page_count``. Word runs of the lengths that terms have are semi-joined to the terms, never
+    crossed. Terms that are nowhere have zeros.
+    """
+    wanted = terms.select("site", "term").filter("term IS NOT NULL").distinct()
+    sizes = sorted(r[0] for r in wanted.select(F.size(F.split("term", " "))).distinct().collect())  # a few small numbers
+    if not sizes:
+        return wanted.select("site", "term", *[F.lit(0).cast("long").alias(c) for c in ("title_hits", "heading_hits", "prose_hits", "frequency", "page_count")])
+    chrome = F.col("link_density") >= CHROME_LINK_DENSITY
+
+    def runs(text: Column, slot: Column) -> Column:
+        grams = lambda t: F.concat(*[X.ngrams(t, n, n) for n in sizes])
+        return F.transform(F.get(F.transform(F.array(X.keyword_tokens(text)), grams), 0), lambda g: F.struct(g.alias("term"), slot.alias("slot")))
+
+    heads = F.filter(F.concat(F.array("h1"), "headings"), lambda x: F.coalesce(x, F.lit("")) != "")
+    trusted = lambda x: F.when((x == F.col("h1")) | ~chrome, F.lit("heading")).otherwise(F.lit("other"))
+    none = F.array().cast("array<struct<term:string,slot:string>>")
+    found = F.concat(runs(F.col("title"), F.lit("title")), F.coalesce(F.flatten(F.transform(heads, lambda x: runs(x, trusted(x)))), none), F.when(chrome, none).otherwise(runs(F.col("prose"), F.lit("prose"))))
+    each = pages.select("site", "path", F.explode(found).alias("x")).select("site", "path", "x.*").join(wanted, ["site", "term"], "left_semi")
+    n = lambda slot: F.sum(F.when(F.col("slot") == slot, F.col("n")).otherwise(0))
+    by_page = each.groupBy("site", "term", "path", "slot").agg(F.count("*").alias("n"))
+    counted = by_page.groupBy("site", "term").agg(n("title").alias("title_hits"), n("heading").alias("heading_hits"), n("prose").alias("prose_hits"), F.sum("n").alias("frequency"), F.count_distinct("path").alias("page_count"))
+    return wanted.join(counted, ["site", "term"], "left").fillna(0)
 
-def merge_seeds(mined: DataFrame, seeds: DataFrame, most: int = 24) -> DataFrame:
-    """Mined terms marked where they are seeds, and up to ``most`` other seeds of a site, with weight 1."""
-    both = mined.select("site", "term", "weight").join(seeds.select("site", "term").distinct().withColumn("seed", F.lit(True)), ["site", "term"], "full").withColumn("fresh", F.col("weight").isNull())
-    rank = F.row_number().over(Window.partitionBy("site", "fresh").orderBy("term"))
-    return both.withColumn("r", rank).filter(~F.col("fresh") | (F.col("r") <= most)).select("site", "term", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("seed", F.lit(False)).alias("seed"), F.when(F.col("fresh"), "seed").otherwise("mined").alias("origin"))
+
+def merge_seeds(pages: DataFrame, mined: DataFrame, seeds: DataFrame, most: int = 24) -> DataFrame:
+    """Mined terms (site, term, weight) marked where they are seeds, and up to ``most`` other seeds of a site, by name, with what they weigh.
+
+    A fresh seed is measured on the pages and weighs as a mined term would; one that is nowhere weighs 1.
+    """
+    asked = seeds.select("site", "term").filter("term <> ''").distinct()
+    marked = mined.select("site", "term", F.col("weight").cast("double").alias("weight")).join(asked.withColumn("seed", F.lit(True)), ["site", "term"], "left")
+    old = marked.select("site", "term", "weight", F.coalesce("seed", F.lit(False)).alias("seed"), F.lit("mined").alias("origin"))
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("term"))
+    fresh = asked.join(mined, ["site", "term"], "left_anti").withColumn("r", rank).filter(F.col("r") <= most).drop("r")
+    names = corpus_stats(pages).filter("proper_name").select("site", "word")
+    entity = fresh.select("site", "term", F.explode(F.split("term", " ")).alias("word")).join(names, ["site", "word"], "left_semi").select("site", "term").distinct().withColumn("entity", F.lit(True))
+    t = measure_terms(pages, fresh).join(entity, ["site", "term"], "left")
+    flags = [X.has_marker(F.col("term"), m) for m in (X.QUERY_MARKERS, X.COMPARISON_MARKERS, X.COMMERCIAL_MARKERS)]
+    weight = keyword_weight(F.col("frequency"), F.col("page_count"), F.col("heading_hits"), F.col("title_hits"), *flags, F.coalesce("entity", F.lit(False)), F.size(F.split("term", " ")))
+    new = t.select("site", "term", F.when(F.col("frequency") == 0, 1.0).otherwise(half_up(weight, 2)).alias("weight"), F.lit(True).alias("seed"), F.lit("seed").alias("origin"))
+    return old.unionByName(new)
 
 
 def seed_clusters(seeds: DataFrame) -> DataFrame:
@@ -86,19 +121,29 @@ def seed_clusters(seeds: DataFrame) -> DataFrame:
     return seeds.select("site", "term", F.coalesce(F.get(words, 0), F.col("term")).alias("anchor")).groupBy("site", "anchor").agg(F.count("*").alias("n"), F.min("term").alias("first_term"))
 
 
-def page_topic(pages: DataFrame) -> DataFrame:
-    """(site, path, primary, concentration, title_h1_overlap): the heaviest word or word pair of each page.
+def page_topic(pages: DataFrame, most: int = 3) -> DataFrame:
+    """(site, path, primary, secondary, concentration, title_h1_overlap) of pages (site, path, title, h1, outline array<struct<level,text>>, prose).
 
-    Words count 5 in title and H1 and as pairs too; in prose only pairs count, 1 each. Ties go to the first by name.
+    A word or a pair of words weighs 5 in title and H1, 4 in an outline heading of level 1 or 2 and 2 in a deeper one; a pair
+    weighs 1 in prose, a word alone nothing. ``primary`` is the heaviest, ``secondary`` the up to ``most`` next that neither
+    hold it nor are held by it, ``concentration`` the primary's share of all weight. Ties go to the first by name; a page
+    without words has '' and no secondary.
     """
     tokens = {c: X.topic_tokens(F.col(c)) for c in ("title", "h1", "prose")}
-    slots = [(tokens["title"], 5), (tokens["h1"], 5), (tokens["prose"], 1)]
-    parts = [pages.select("site", "path", F.explode(F.concat(X.ngrams(t, 2, 2), t) if w > 1 else X.ngrams(t, 2, 2)).alias("phrase"), F.lit(w).alias("w")) for t, w in slots]
-    scores = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("site", "path", "phrase").agg(F.sum("w").alias("score"))
+    worth = lambda phrases, w: F.transform(phrases, lambda p: F.struct(p.alias("phrase"), w.alias("w")))
+    both = lambda t, w: F.get(F.transform(F.array(t), lambda x: worth(F.concat(X.ngrams(x, 2, 2), x), w)), 0)
+    heads = F.flatten(F.transform(F.coalesce("outline", F.array().cast("array<struct<level:int,text:string>>")), lambda h: both(X.topic_tokens(h["text"]), F.when(h["level"] <= 2, 4).otherwise(2))))
+    slots = F.concat(both(tokens["title"], F.lit(5)), both(tokens["h1"], F.lit(5)), heads, worth(X.ngrams(tokens["prose"], 2, 2), F.lit(1)))
+    scores = pages.select("site", "path", F.explode(slots).alias("x")).groupBy("site", "path", F.col("x.phrase").alias("phrase")).agg(F.sum("x.w").alias("score"))
     by = Window.partitionBy("site", "path")
-    best = scores.withColumn("total", F.sum("score").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "phrase"))).filter("r = 1").select("site", "path", F.col("phrase").alias("primary"), half_up(F.col("score") / F.col("total"), 3).alias("concentration"))
+    first = F.first("phrase").over(by.orderBy(F.desc("score"), "phrase").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = scores.withColumns({"total": F.sum("score").over(by), "primary": first})
+    apart = (F.col("phrase") == F.col("primary")) | ~(F.contains("primary", "phrase") | F.contains("phrase", "primary"))
+    kept = ranked.filter(apart).withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "phrase"))).filter(F.col("r") <= most + 1)
+    best = kept.groupBy("site", "path").agg(F.first("primary").alias("primary"), F.max(F.when(F.col("r") == 1, half_up(F.col("score") / F.col("total"), 3))).alias("concentration"), F.array_sort(F.collect_list(F.when(F.col("r") > 1, F.struct("r", "phrase")))).alias("rest"))
     own = pages.select("site", "path", X.jaccard(tokens["title"], tokens["h1"]).alias("title_h1_overlap"))
-    return own.join(best, ["site", "path"], "left").select("site", "path", F.coalesce("primary", F.lit("")).alias("primary"), F.coalesce("concentration", F.lit(0.0)).alias("concentration"), "title_h1_overlap")
+    none = F.array().cast("array<string>")
+    return own.join(best, ["site", "path"], "left").select("site", "path", F.coalesce("primary", F.lit("")).alias("primary"), F.coalesce(F.transform("rest", lambda x: x["phrase"]), none).alias("secondary"), F.coalesce("concentration", F.lit(0.0)).alias("concentration"), "title_h1_overlap")
 
 
 def overlapping_page_pairs(pages: DataFrame, least: float = 0.4, most: int = 40) -> DataFrame:

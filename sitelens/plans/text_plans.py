@@ -164,15 +164,36 @@ def seeds(spark, folder):
 query("corpus_stats", with_adapters(f"WITH {_STATS} SELECT site, word, word_freq, in_title, proper_name FROM named"))(lambda s, f: K.corpus_stats(prose(s, f)))
 query("mine_keywords", with_adapters(f"WITH {_MINED} SELECT * FROM best"))(lambda s, f: K.mine_keywords(prose(s, f)))
 query("keyword_weight", with_adapters(f"WITH {_MINED} SELECT site, term, weight FROM best"))(lambda s, f: K.mine_keywords(prose(s, f)).select("site", "term", "weight"))
-query("measure_terms", with_adapters(f"WITH {_OCC}, seed AS ({_SEEDS}) SELECT s.site, s.term, CAST(coalesce(sum(title), 0) AS BIGINT) AS title_hits, CAST(coalesce(sum(heading), 0) AS BIGINT) AS heading_hits, CAST(coalesce(sum(prose), 0) AS BIGINT) AS prose_hits, count(DISTINCT path) AS page_count FROM seed s LEFT JOIN occ o ON o.site = s.site AND o.term = s.term GROUP BY s.site, s.term"))(lambda s, f: K.measure_terms(prose(s, f), seeds(s, f)))
-query("merge_seeds", with_adapters(f"WITH {_MINED}, seed AS ({_SEEDS}) SELECT site, term, weight, seed, origin FROM (SELECT coalesce(m.site, s.site) AS site, coalesce(m.term, s.term) AS term, coalesce(m.weight, 1.0) AS weight, s.term IS NOT NULL AS seed, CASE WHEN m.term IS NULL THEN 'seed' ELSE 'mined' END AS origin, row_number() OVER (PARTITION BY coalesce(m.site, s.site), m.term IS NULL ORDER BY coalesce(m.term, s.term)) AS r FROM best m FULL JOIN seed s ON m.site = s.site AND m.term = s.term) x WHERE origin = 'mined' OR r <= 24"))(lambda s, f: K.merge_seeds(K.mine_keywords(prose(s, f)), seeds(s, f)))
+_RUNS = f"""runs AS (
+  SELECT site, path, unnest({grams('tt', 1, 9)}) AS term, 'title' AS slot FROM tok UNION ALL
+  SELECT site, path, unnest({grams('th', 1, 9)}), 'heading' FROM tok WHERE h1 <> '' UNION ALL
+  SELECT site, path, unnest({grams('th', 1, 9)}), 'heading' FROM tok WHERE h1 <> '' UNION ALL
+  SELECT site, path, unnest({grams('tg', 1, 9)}), CASE WHEN heading = h1 OR link_density < 0.25 THEN 'heading' ELSE 'other' END FROM tok WHERE heading <> '' UNION ALL
+  SELECT site, path, unnest({grams('tp', 1, 9)}), 'prose' FROM tok WHERE link_density < 0.25)"""
+_MEASURED = "meas AS (SELECT s.site, s.term, count(*) FILTER (slot = 'title') AS title_hits, count(*) FILTER (slot = 'heading') AS heading_hits, count(*) FILTER (slot = 'prose') AS prose_hits, count(slot) AS frequency, count(DISTINCT path) AS page_count FROM seed s LEFT JOIN runs o ON o.site = s.site AND o.term = s.term GROUP BY s.site, s.term)"
+query("measure_terms", with_adapters(f"WITH {_OCC}, {_RUNS}, seed AS ({_SEEDS}), {_MEASURED} SELECT * FROM meas"))(lambda s, f: K.measure_terms(prose(s, f), seeds(s, f)))
+query("merge_seeds", with_adapters(f"""WITH {_MINED}, {_RUNS}, asked AS ({_SEEDS}), seed AS (SELECT site, term FROM (SELECT a.site, a.term, row_number() OVER (PARTITION BY a.site ORDER BY a.term) AS r FROM asked a LEFT JOIN best m ON m.site = a.site AND m.term = a.term WHERE m.term IS NULL AND a.term <> '') x WHERE r <= 24), {_MEASURED},
+nent AS (SELECT DISTINCT c.site, c.term FROM (SELECT site, term, unnest(string_split(term, ' ')) AS word FROM seed) c JOIN named n ON n.site = c.site AND n.word = c.word AND n.proper_name)
+SELECT m.site, m.term, m.weight, a.term IS NOT NULL AS seed, 'mined' AS origin FROM best m LEFT JOIN asked a ON a.site = m.site AND a.term = m.term
+UNION ALL SELECT q.site, q.term, CASE WHEN frequency = 0 THEN 1.0 ELSE {h("CAST(frequency + page_count * 2 + heading_hits * 4 + title_hits * 5 AS DOUBLE) + CASE WHEN " + marker('q.term', X.QUERY_MARKERS) + " THEN 3 ELSE 0 END + CASE WHEN " + marker('q.term', X.COMPARISON_MARKERS) + " THEN 3 ELSE 0 END + CASE WHEN " + marker('q.term', X.COMMERCIAL_MARKERS) + " THEN 2 ELSE 0 END + CASE WHEN nent.term IS NOT NULL THEN 2 ELSE 0 END + len(string_split(q.term, ' ')) * CAST(1.5 AS DOUBLE)", 2)} END, true, 'seed' FROM meas q LEFT JOIN nent ON nent.site = q.site AND nent.term = q.term"""))(lambda s, f: K.merge_seeds(prose(s, f), K.mine_keywords(prose(s, f)), seeds(s, f)))
 query("seed_clusters", f"WITH seed AS ({_SEEDS}) SELECT site, coalesce(list_filter(string_split(term, ' '), lambda w: length(w) > 3 AND NOT list_contains({_list(X.QUERY_MARKERS)}, w))[1], term) AS anchor, count(*) AS n, min(term) AS first_term FROM seed GROUP BY 1, 2")(lambda s, f: K.seed_clusters(seeds(s, f)))
-_TOPIC = f"""sc AS (SELECT site, path, phrase, CAST(sum(w) AS BIGINT) AS score FROM (
+_TOPIC = f"""tk AS (SELECT *, {topic('title')} AS a, {topic('h1')} AS b, {topic('heading')} AS g, {topic('prose')} AS c, length(path) % 6 + 1 AS level FROM fx_prose),
+sc AS (SELECT site, path, phrase, CAST(sum(w) AS BIGINT) AS score FROM (
   SELECT site, path, unnest(list_concat({grams('a', 2, 2)}, a)) AS phrase, 5 AS w FROM tk UNION ALL
-  SELECT site, path, unnest(list_concat({grams('b', 2, 2)}, b)), 5 FROM tk UNION ALL
+  SELECT site, path, unnest(list_concat({grams('b', 2, 2)}, b)), 5 + 4 FROM tk UNION ALL
+  SELECT site, path, unnest(list_concat({grams('g', 2, 2)}, g)), CASE WHEN level <= 2 THEN 4 ELSE 2 END FROM tk UNION ALL
   SELECT site, path, unnest({grams('c', 2, 2)}), 1 FROM tk) x GROUP BY site, path, phrase),
-top AS (SELECT * FROM (SELECT *, sum(score) OVER (PARTITION BY site, path) AS total, row_number() OVER (PARTITION BY site, path ORDER BY score DESC, phrase) AS r FROM sc) y WHERE r = 1)"""
-query("page_topic", with_adapters(f"WITH tk AS (SELECT *, {topic('title')} AS a, {topic('h1')} AS b, {topic('prose')} AS c FROM fx_prose), {_TOPIC} SELECT tk.site, tk.path, coalesce(phrase, '') AS \"primary\", coalesce({h('score / CAST(total AS DOUBLE)', 3)}, 0.0) AS concentration, {jaccard('a', 'b')} AS title_h1_overlap FROM tk LEFT JOIN top ON top.site = tk.site AND top.path = tk.path"))(lambda s, f: K.page_topic(prose(s, f)))
+rk AS (SELECT *, sum(score) OVER (PARTITION BY site, path) AS total, row_number() OVER (PARTITION BY site, path ORDER BY score DESC, phrase) AS r FROM sc),
+top AS (SELECT * FROM rk WHERE r = 1),
+sec AS (SELECT site, path, array_to_string(list(phrase ORDER BY r)[1:3], '|') AS secondary FROM (SELECT rk.* FROM rk JOIN top USING (site, path) WHERE rk.r > 1 AND NOT contains(top.phrase, rk.phrase) AND NOT contains(rk.phrase, top.phrase)) y GROUP BY site, path)"""
+
+
+def outlined(spark, folder):
+    level = (F.length("path") % 6 + 1).alias("level")
+    return frame(spark, folder, "fx_prose").withColumn("outline", F.array(F.struct(F.lit(1).alias("level"), F.col("h1").alias("text")), F.struct(level, F.col("heading").alias("text"))))
+
+
+query("page_topic", with_adapters(f"WITH {_TOPIC} SELECT tk.site, tk.path, coalesce(phrase, '') AS \"primary\", coalesce(secondary, '') AS secondary, coalesce({h('score / CAST(total AS DOUBLE)', 3)}, 0.0) AS concentration, {jaccard('a', 'b')} AS title_h1_overlap FROM tk LEFT JOIN top ON top.site = tk.site AND top.path = tk.path LEFT JOIN sec ON sec.site = tk.site AND sec.path = tk.path"))(lambda s, f: K.page_topic(outlined(s, f)).withColumn("secondary", F.array_join("secondary", "|")))
 _PAIRSET = f"list_distinct(list_filter({_split(chr(39).join(['title || ', ' ', ' || h1']), '[^a-z0-9]+')}, lambda t: length(t) > 3))"
 query("overlapping_page_pairs", with_adapters(f"WITH p AS (SELECT DISTINCT site, path, {_PAIRSET} AS w FROM fx_evidence), j AS (SELECT a.site, a.path AS a, b.path AS b, len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) AS j FROM p a JOIN p b ON a.site = b.site AND a.path < b.path WHERE len(a.w) > 0 AND len(b.w) > 0) SELECT site, a, b, {h('j', 4)} AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY a, b) AS r FROM j WHERE j >= 0.4) x WHERE r <= 40"))(lambda s, f: K.overlapping_page_pairs(frame(s, f, "fx_evidence").dropDuplicates(["site", "path"])))
 query("best_existing_path", f"WITH seed AS ({_SEEDS}), t AS (SELECT site, term, unnest({word_set('term')}) AS word FROM seed), p AS (SELECT DISTINCT source AS site, lower(substring(text, 1, 30)) AS path FROM documents), q AS (SELECT site, path, unnest({word_set('path')}) AS word FROM p), n AS (SELECT t.site, term, path, count(*) AS n FROM t JOIN q ON t.site = q.site AND t.word = q.word GROUP BY 1, 2, 3), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, term ORDER BY n DESC, path) AS r FROM n) x WHERE r = 1) SELECT seed.site, seed.term, b.path FROM seed LEFT JOIN b ON b.site = seed.site AND b.term = seed.term")(lambda s, f: K.best_existing_path(seeds(s, f), table(s, f, "documents").select(F.col("source").alias("site"), F.lower(F.substring("text", 1, 30)).alias("path")).distinct()))
