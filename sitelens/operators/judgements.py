@@ -475,17 +475,75 @@ def rubric_lint(registry: DataFrame) -> DataFrame:
     return own.unionByName(missing)
 
 
-def judgement_payloads(items: DataFrame, limit: int = 12_000, caps: tuple[int, ...] = (6000, 4000, 2500, 1500, 800, 400, 0)) -> DataFrame:
-    """(site, item_id, payload, chars, cap, truncated): what a judge is given of each item (site, item_id, title, h1, description, text), as JSON.
-
-    Empty fields are left out. The text is cut to the first of ``caps`` with which the fields have at most ``limit`` characters.
+#: What each question about a page has to be given.
+PAGE_FIELDS = {
+    "page_type": "page.url page.path page.title page.h1 page.heading_outline page.breadcrumbs page.opening page.text page.words page.topic", "intent": "business page.url page.title page.h1 page.heading_outline page.breadcrumbs page.opening page.text page.topic",
+    "importance": "business page.words page.links page.position page.schema_types site.titles", "action": "page.title page.h1 page.text page.position page.links", "helpfulness": "page.title page.h1 page.opening page.text page.words",
+    "specificity": "page.text page.opening page.authors", "citable": "page.text page.opening page.schema_types page.authors page.images", "paragraph_citability": "page.paragraphs page.text page.words",
+    "entity_density": "page.text page.schema_types page.authors", "title_question_answered": "page.title page.h1 page.text", "defines_key_terms": "page.text page.opening page.heading_outline page.topic", "extractable_format": "page.heading_outline page.headings page.text",
+    "claims_substantiated": "page.title page.h1 page.opening page.text", "visual_evidence": "page.images page.text page.heading_outline", "trust": "page.text page.authors page.schema_types page.images page.breadcrumbs",
+    "scan_path": "page.headings page.heading_outline page.text page.words", "internal_link_adequacy": "page.links page.text_to_links page.position page.breadcrumbs page.text", "primary_cta": "page.text page.opening page.links page.title",
+    "highest_impact_change": "page.title page.h1 page.heading_outline page.text page.words page.images page.links page.position page.schema_types page.authors", "h1_fit": "page.title page.h1", "answer_first": "page.h1 page.opening",
+    "above_fold_promise": "page.title page.h1 page.opening", "title_fit": "page.title page.h1 page.heading_outline", "meta_fit": "page.title page.description", "clear_next_step": "page.text page.links page.breadcrumbs page.position",
+    "structure_ease": "page.h1 page.heading_outline page.opening page.words page.breadcrumbs page.text_to_links", "content_freshness": "page.title page.heading_outline page.text page.breadcrumbs", "competitor_distinctiveness": "page.text page.authors page.schema_types page.images",
+}
+#: How much of a field there is at first, and what it is cut to, the least useful field first.
+FIRST_CAPS = {"page.text": 4000, "page.opening": 500, "page.heading_outline": 24, "page.breadcrumbs": 8, "page.paragraphs": 8, "page.schema_types": 12, "page.authors": 6}
+LADDER = [("page.text", [2000, 1000, 600, 400, 250, 150, 80, 0]), ("page.paragraphs", [4, 2, 1]), ("page.heading_outline", [12, 6, 3]), ("site.titles", [40, 20, 10, 5, 2]), ("page.opening", [400, 200, 100, 50])]
+
+
+def judgement_payloads(items: DataFrame, asked: DataFrame, limit: int = 12_000) -> DataFrame:
+    """(site, item_id, payload, chars, fields, trimmed, unmapped, over_budget): what a judge is given of each item, as JSON.
+
+    Items are (site, item_id, business, page struct, titles array); ``asked`` (site, item_id, question_id). An item is given
+    the fields that its questions read, where they hold anything, nested by their names. Fields start at their first caps;
+    while the JSON is longer than ``limit`` characters, those of the ladder are cut from one cap to the next in its order.
+    Lengths are those of the JSON, each field with its name and a comma. What no cut brings under the limit is marked.
     """
-    fixed = sum((F.length(F.coalesce(c, F.lit(""))) for c in ("title", "h1", "description")), F.lit(0))
-    size = F.length(F.coalesce("text", F.lit("")))
-    cap = F.lit(caps[-1])
-    for c in reversed(caps):
-        cap = F.when(fixed + F.least(size, F.lit(c)) <= limit, c).otherwise(cap)
-    t = items.withColumn("cap", cap).withColumn("kept", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.col("cap")))
-    filled = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c)).alias(c)
-    payload = F.to_json(F.struct(filled("title"), filled("h1"), filled("description"), F.when(F.col("kept") != "", F.col("kept")).alias("text")))
-    return t.select("site", "item_id", payload.alias("payload"), (fixed + F.length("kept")).alias("chars"), "cap", (F.length("kept") < size).alias("truncated"))
+    table = F.create_map(*[x for q, names in PAGE_FIELDS.items() for x in (F.lit(q), F.array(*map(F.lit, names.split())))])
+    read = F.try_element_at(table, F.col("question_id"))
+    lists = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(read, F.array().cast("array<string>"))))))
+    wanted = asked.groupBy("site", "item_id").agg(lists.alias("wanted"), F.array_sort(F.collect_set(F.when(read.isNull(), F.col("question_id")))).alias("unmapped"))
+    page = {f.name: f.dataType.simpleString() for f in items.schema["page"].dataType.fields}
+    kinds = {"business": items.schema["business"].dataType.simpleString()} | {f"page.{n}": k for n, k in page.items()} | {"site.titles": "array<string>"}
+    source = {"business": F.col("business"), "site.titles": F.col("titles")} | {f"page.{n}": F.col(f"page.{n}") for n in page}
+
+    def cut(value: Column, kind: str, cap) -> Column:
+        cap = F.lit(cap) if isinstance(cap, int) else cap
+        return F.slice(value, F.lit(1), cap) if kind.startswith("array") else F.substr(value, F.lit(1), cap)
+
+    own = {}
+    for name, kind in kinds.items():
+        value = cut(source[name], kind, FIRST_CAPS[name]) if name in FIRST_CAPS else source[name]
+        some = F.size(value) > 0 if kind.startswith("array") else value != "" if kind == "string" else value.isNotNull()
+        own[name.replace(".", "__")] = F.when(F.array_contains("wanted", name) & some, value)
+    t = items.join(wanted, ["site", "item_id"]).select("site", "item_id", "wanted", "unmapped", *[v.alias(k) for k, v in own.items()])
+
+    def nested(columns: dict[str, Column]) -> Column:
+        inner = lambda top: F.struct(*[c.alias(n.split("__")[1]) for n, c in columns.items() if n.startswith(f"{top}__")])
+        empty = lambda top: F.coalesce(*[F.when(c.isNotNull(), F.lit(True)) for n, c in columns.items() if n.startswith(f"{top}__")], F.lit(False))
+        parts = [columns["business"].alias("business")] if "business" in columns else []
+        return F.struct(*parts, *[F.when(empty(top), inner(top)).alias(top) for top in ("page", "site") if any(n.startswith(f"{top}__") for n in columns)])
+
+    steps = [(name.replace(".", "__"), kinds[name], caps) for name, caps in LADDER if name in kinds]
+    loose = {n for n, _, _ in steps}
+    json_chars = lambda value: F.length(F.to_json(F.struct(value.alias("v")))) - 6
+    chars = {f"_{n}": F.when(F.col(n).isNotNull(), F.array(*[json_chars(x) + len(n.split("__")[1]) + 4 for x in [F.col(n), *[cut(F.col(n), k, c) for c in caps]]])).otherwise(F.array(*[F.lit(0)] * (len(caps) + 1))) for n, k, caps in steps}
+    t = t.withColumns(chars | {"_fixed": F.length(F.to_json(nested({n: F.col(n) for n in own if n not in loose})))})
+    t = t.withColumn("_total", F.col("_fixed") + sum((F.get(F.col(f"_{n}"), 0) for n, _, _ in steps), F.lit(0)))
+    for n, _, caps in steps:
+        others = F.col("_total") - F.get(F.col(f"_{n}"), 0)
+        fits = F.array_position(F.transform(f"_{n}", lambda x: others + x <= limit), True)  # noqa: B023
+        t = t.withColumn(f"_at_{n}", F.when(fits > 0, fits - 1).otherwise(len(caps)).cast("int"))
+        t = t.withColumn("_total", others + F.get(F.col(f"_{n}"), F.col(f"_at_{n}")))
+    kept = {n: F.col(n) for n in own}
+    trimmed = []
+    for n, k, caps in steps:
+        at = F.col(f"_at_{n}")
+        cap = F.get(F.array(*map(F.lit, caps)), at - 1)
+        size = F.size(n) if k.startswith("array") else F.length(n)
+        kept[n] = F.when(at == 0, F.col(n)).otherwise(cut(F.col(n), k, cap))
+        trimmed.append(F.when((at > 0) & (size > cap), F.lit(n.replace("__", "."))))
+    has = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n.replace("__", "."))) for n in own]))
+    out = t.select("site", "item_id", F.to_json(nested(kept)).alias("payload"), has.alias("fields"), F.array_compact(F.array(*trimmed)).alias("trimmed"), "unmapped")
+    return out.select("site", "item_id", "payload", F.length("payload").alias("chars"), "fields", "trimmed", "unmapped", (F.length("payload") > limit).alias("over_budget"))

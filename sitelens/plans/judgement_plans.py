@@ -168,7 +168,34 @@ judged("rubric_lint", f"WITH {_REG} " + " UNION ALL ".join(f"SELECT scope, quest
     lambda fx: J.rubric_lint(fx("typed").filter("item_id % 50 = 1").select("scope", "question_id", "type", F.concat("question_id", F.when(F.length("question_id") % 2 == 0, ", Untrusted text").otherwise("")).alias("instructions"), F.when(_i("type") == "choice", _i("choice")).alias("options"), F.when((_i("type") == "score") & (F.length("question_id") % 3 == 0), F.array(F.lit("very good"), F.lit("the page names it"))).otherwise(F.array(F.lit("the page names it"), F.lit("the page names it"))).alias("levels"), F.when(F.length("question_id") % 5 == 0, "").otherwise("text").alias("fields")).distinct()))
 
 
-@query("judgement_payloads", with_adapters("SELECT site, item_id, f + CAST(least(n, cap) AS INTEGER) AS chars, cap, n > cap AS truncated FROM (SELECT *, CASE " + " ".join(f"WHEN f + least(n, {c}) <= 3000 THEN {c}" for c in (6000, 4000, 2500, 1500, 800, 400)) + " ELSE 0 END AS cap FROM (SELECT source AS site, doc_id AS item_id, CAST(length(source) + length(coalesce(lang, '')) + 200 AS INTEGER) AS f, CAST(length(coalesce(text, '')) AS INTEGER) AS n FROM documents) a) b"))
+_LIMIT = 1500
+_PAGE = """doc AS (SELECT source AS site, doc_id AS item_id, CASE WHEN doc_id % 3 = 0 THEN 'a business' END AS business, CASE WHEN doc_id % 8 <> 1 THEN substring(text, 1, 60) END AS title, substring(text, 61, 40) AS h1, substring(text, 41, 600) AS opening, text,
+  string_split(coalesce(text, ''), '. ') AS paragraphs, n_chars AS words, CASE WHEN doc_id % 2 = 0 THEN list_transform(range(1, 1 + doc_id % 30), lambda i: struct_pack(level := CAST(i % 6 + 1 AS INTEGER), text := concat('Head ', CAST(i AS VARCHAR)))) ELSE [] END AS outline, list_transform(range(1, 1 + doc_id % 50), lambda i: concat('Title ', CAST(i AS VARCHAR))) AS titles, doc_id % 5 AS kind FROM documents),
+got AS (SELECT site, item_id, CASE WHEN kind IN (0, 4) THEN nullif(business, '') END AS business, CASE WHEN kind IN (0, 2, 3) THEN nullif(title, '') END AS title, CASE WHEN kind IN (0, 2, 3) THEN nullif(h1, '') END AS h1, CASE WHEN kind IN (0, 1, 2) THEN nullif(substring(opening, 1, 500), '') END AS opening, CASE WHEN kind IN (0, 1, 2) THEN nullif(substring(text, 1, 4000), '') END AS text,
+  CASE WHEN kind = 1 THEN paragraphs[1:8] END AS paragraphs, CASE WHEN kind IN (1, 2, 4) THEN words END AS words, CASE WHEN kind IN (0, 3) AND len(outline) > 0 THEN outline[1:24] END AS outline, CASE WHEN kind = 4 AND len(titles) > 0 THEN titles END AS titles FROM doc)"""
+_CUTS = {"text": [2000, 1000, 600, 400, 250, 150, 80, 0], "paragraphs": [4, 2, 1], "outline": [12, 6, 3], "titles": [40, 20, 10, 5, 2], "opening": [400, 200, 100, 50]}
+_NAME = {"outline": "heading_outline"}
+_cut = lambda n, c: n if c is None else f"substring({n}, 1, {c})" if n in ("text", "opening") else f"{n}[1:{c}]"
+_steps, _before = [], "a0 AS (SELECT *, length(CAST(json_merge_patch('{}', to_json({'business': business, 'page': CASE WHEN title IS NOT NULL OR h1 IS NOT NULL OR words IS NOT NULL THEN {'title': title, 'h1': h1, 'words': words} END})) AS VARCHAR)) + " + " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE length(CAST(to_json({n}) AS VARCHAR)) + {len(_NAME.get(n, n)) + 4} END" for n in _CUTS) + " AS total FROM got)"
+for _i, (_n, _caps) in enumerate(_CUTS.items()):
+    _len = lambda c: f"CASE WHEN {_n} IS NULL THEN 0 ELSE length(CAST(to_json({_cut(_n, c)}) AS VARCHAR)) + {len(_NAME.get(_n, _n)) + 4} END"  # noqa: B023, E731
+    _rest = f"total - ({_len(None)})"
+    _at = "CASE " + " ".join(f"WHEN {_rest} + {_len(c)} <= {_LIMIT} THEN {k}" for k, c in enumerate([None, *_caps])) + f" ELSE {len(_caps)} END"
+    _new = "CASE " + " ".join(f"WHEN at_{_n} = {k} THEN {_rest} + {_len(c)}" for k, c in enumerate([None, *_caps])) + " END"
+    _steps.append(f"b{_i + 1} AS (SELECT *, {_at} AS at_{_n} FROM a{_i}), a{_i + 1} AS (SELECT * EXCLUDE (total), {_new} AS total FROM b{_i + 1})")
+_KEPT = ", ".join(f"CASE at_{n} " + " ".join(f"WHEN {k} THEN {_cut(n, c)}" for k, c in enumerate([None, *caps])) + f" END AS k_{n}" for n, caps in _CUTS.items())
+_TRIM = "array_to_string(list_filter([" + ", ".join("CASE " + " ".join(f"WHEN at_{n} = {k + 1} AND {'length' if n in ('text', 'opening') else 'len'}({n}) > {c} THEN '{'site' if n == 'titles' else 'page'}.{_NAME.get(n, n)}'" for k, c in enumerate(caps)) + " END" for n, caps in _CUTS.items()) + "], lambda x: x IS NOT NULL), ',')"
+_PAYLOAD = "CAST(json_merge_patch('{}', to_json({'business': business, 'page': CASE WHEN title IS NOT NULL OR h1 IS NOT NULL OR opening IS NOT NULL OR text IS NOT NULL OR paragraphs IS NOT NULL OR words IS NOT NULL OR outline IS NOT NULL THEN {'title': title, 'h1': h1, 'opening': k_opening, 'text': k_text, 'paragraphs': k_paragraphs, 'words': words, 'heading_outline': k_outline} END, 'site': CASE WHEN titles IS NOT NULL THEN {'titles': k_titles} END})) AS VARCHAR)"
+
+
+@query("judgement_payloads", f"WITH {_PAGE}, {_before}, {', '.join(_steps)}, fin AS (SELECT *, {_KEPT} FROM a{len(_CUTS)}) SELECT site, item_id, {_PAYLOAD} AS payload, CAST(length({_PAYLOAD}) AS INTEGER) AS chars, {_TRIM} AS trimmed, length({_PAYLOAD}) > {_LIMIT} AS over_budget FROM fin")
 def _payloads(spark, folder):
     d = table(spark, folder, "documents")
-    return J.judgement_payloads(d.select(F.col("source").alias("site"), F.col("doc_id").alias("item_id"), F.col("source").alias("title"), F.col("lang").alias("h1"), F.repeat(F.lit("d"), F.lit(200)).alias("description"), "text"), 3000).drop("payload")
+    i = F.col("doc_id")
+    upto = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), n), make)).otherwise(F.array())
+    heads = F.when(i % 2 == 0, upto(i % 30, lambda k: F.struct((k % 6 + 1).cast("int").alias("level"), F.concat(F.lit("Head "), k).alias("text")))).otherwise(F.array())
+    page = F.struct(F.when(i % 8 != 1, F.substring("text", 1, 60)).alias("title"), F.substring("text", 61, 40).alias("h1"), F.substring("text", 41, 600).alias("opening"), F.col("text"), F.split(F.coalesce("text", F.lit("")), r"\. ").alias("paragraphs"), F.col("n_chars").alias("words"), heads.cast("array<struct<level:int,text:string>>").alias("heading_outline"))
+    items = d.select(F.col("source").alias("site"), i.alias("item_id"), F.when(i % 3 == 0, "a business").alias("business"), page.alias("page"), upto(i % 50, lambda k: F.concat(F.lit("Title "), k)).cast("array<string>").alias("titles"))
+    questions = F.when(i % 5 == 0, F.array(*map(F.lit, ["intent", "no_such_question"]))).when(i % 5 == 1, F.array(*map(F.lit, ["paragraph_citability", "specificity"]))).when(i % 5 == 2, F.array(F.lit("helpfulness"))).when(i % 5 == 3, F.array(*map(F.lit, ["title_fit", "h1_fit"]))).otherwise(F.array(F.lit("importance")))
+    asked = d.select(F.col("source").alias("site"), i.alias("item_id"), F.explode(questions).alias("question_id"))
+    return J.judgement_payloads(items, asked, _LIMIT).select("site", "item_id", "payload", "chars", F.array_join("trimmed", ",").alias("trimmed"), "over_budget")
