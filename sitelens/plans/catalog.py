@@ -42,3 +42,4 @@ from . import decision_plans  # noqa: E402, F401
 
 from . import source_plans  # noqa: E402, F401
 from . import record_plans  # noqa: E402, F401
+from . import console_plans  # noqa: E402, F401

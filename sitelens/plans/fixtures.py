@@ -156,6 +156,29 @@ SELECT doc_id AS item_id, concat('run', CAST(doc_id % 20 AS STRING)) AS run_id,
             ELSE concat('{"business_name": "b', CAST(doc_id AS STRING), '", "business_summary": null, "market": "m", "competitors": [{"name": "rival', CAST(doc_id % 9 AS STRING), '", "url": "u", "why": "w", "evidence_tool": " Page-Done ", "evidence_query": "q", "angle": "direct"}], "keyword_seeds": [{"term": "term', CAST(doc_id % 30 AS STRING), '", "intent": "commercial", "evidence_tool": "',
                         CASE WHEN doc_id % 2 = 0 THEN 'gap-done' ELSE 'error' END, '"}], "metrics": [{"key": "m', CAST(doc_id % 4 AS STRING), '", "label": "l", "number": {"value": ', CAST(1000 + doc_id % 50 AS STRING), ', "source_tool": "keyword-done", "raw": "about ', CASE WHEN doc_id % 3 = 0 THEN '1,' ELSE '9.' END, CAST(doc_id % 50 + 1000 AS STRING), CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' visits' END, '"}}, {"key": "x", "label": "l", "number": {"value": ', CAST(doc_id % 7 + 20 AS STRING), ', "source_tool": "keyword-done", "raw": "2', CAST(doc_id % 3 AS STRING), '"}}], "notes": []}') END AS output
 FROM documents""",
+    "fx_responses": """
+SELECT page_id, url, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 301 ELSE 200 END AS status,
+       concat('{"Cache-Control": "', CASE WHEN page_id % 6 = 0 THEN 'No-Store' ELSE 'max-age=5' END, '"', CASE WHEN page_id % 2 = 0 THEN ', "X-Frame-Options": "DENY", "referrer-policy": "same-origin"' ELSE '' END, CASE WHEN page_id % 3 = 0 THEN ', "x-content-type-options": "nosniff"' ELSE '' END, CASE WHEN page_id % 8 = 3 THEN ', "Speculation-Rules": "rules.json"' ELSE '' END, '}') AS headers,
+       CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 4 = 0 THEN concat(title, ' and something that makes it longer than it was') ELSE substring(title, 1, CAST(20 + page_id % 30 AS INT)) END AS title,
+       CASE WHEN page_id % 6 = 0 THEN NULL WHEN page_id % 5 = 0 THEN substring(title, 1, 30) WHEN page_id % 7 = 0 THEN concat(title, title, title, title, title, title, title, title) ELSE concat(title, ' ', title, ' ', title) END AS description,
+       CASE WHEN page_id % 10 = 0 THEN 'NoIndex, nofollow' WHEN page_id % 10 = 1 THEN 'nofollow' ELSE '' END AS robots, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN concat(url, '/') WHEN page_id % 5 = 2 THEN 'https://other.example/' ELSE url END AS canonical,
+       CASE WHEN page_id % 3 = 0 THEN '' ELSE 'width=device-width' END AS viewport, CASE WHEN page_id % 4 = 1 THEN NULL ELSE lang END AS lang, CASE WHEN page_id % 11 = 0 THEN NULL ELSE page_id % 11 = 3 END AS blocked,
+       concat('<html><head>', CASE page_id % 5 WHEN 0 THEN '<script type="speculationrules">{"prefetch": [], "prerender": [1]}</script>' WHEN 1 THEN '<SCRIPT async type = "speculationrules">{"prefetch": {}}</SCRIPT><script type="speculationrules" id="x">  {"prefetch": [1]} </script>' WHEN 2 THEN '<script type="speculationrules">broken</script>' ELSE '<script>speculationrules</script>' END,
+              CASE page_id % 3 WHEN 0 THEN '<link rel="preload" as="image" href="/a.png">' WHEN 1 THEN '<link href="/h.png" rel="preload" as="image" fetchpriority="high"><link rel="preload" as="font">' ELSE '' END, CASE WHEN page_id % 7 = 0 THEN '<LINK rel="prerender" href="/x">' ELSE '' END, '</head></html>') AS html
+FROM fx_pages""",
+    "fx_reports": """
+SELECT page_id, CASE WHEN page_id % 19 = 0 THEN 'no report' WHEN page_id % 19 = 1 THEN '{"lighthouseResult": {"audits": {}}}'
+            ELSE concat('{"lighthouseResult": {"categories": {"performance": {"score": ', CAST(CAST(page_id % 101 AS DOUBLE) / 100 AS STRING), '}}, "audits": {"first-contentful-paint": {"score": 0.5, "numericValue": ', CAST(page_id AS STRING), '.5, "displayValue": "x"}, "interactive": {"numericValue": 7},',
+                 '"b-late": {"score": 0.', CAST(page_id % 10 AS STRING), ', "details": {"type": "opportunity"}}, "a-early": {"score": 0.', CAST(page_id % 7 AS STRING), ', "title": "t", "details": {"type": "opportunity"}}, "none": {"score": null, "details": {"type": "opportunity"}}, "table": {"score": 0.1, "details": {"type": "table"}}, "c": {"score": 0.3, "details": {"type": "opportunity"}}, "d": {"score": 0.3, "details": {"type": "opportunity"}}}}}') END AS report
+FROM pages""",
+    "fx_console": """
+SELECT c_custkey AS n, concat('acc', CAST(c_custkey % 40 AS STRING)) AS account, concat('https://', CASE WHEN c_custkey % 2 = 0 THEN 'WWW.' ELSE '' END, 'h', CAST(c_custkey % 50 AS STRING), '.example/x') AS url,
+       CASE WHEN c_custkey % 29 = 0 THEN 'bad' ELSE concat('{"siteEntry": [{"siteUrl": "https://h', CAST(c_custkey % 50 AS STRING), '.example/", "permissionLevel": "siteFullUser"}, {"permissionLevel": "siteOwner"}, {"siteUrl": "sc-domain:h', CAST((c_custkey + c_custkey % 3) % 50 AS STRING), '.example", "permissionLevel": "', CASE c_custkey % 4 WHEN 0 THEN 'siteOwner' WHEN 1 THEN 'siteRestrictedUser' WHEN 2 THEN 'other' ELSE 'siteFullUser' END, '"}, {"siteUrl": "https://www.h', CAST((c_custkey + 1) % 50 AS STRING), '.example/"}]}') END AS listing,
+       CASE WHEN c_custkey % 23 = 0 THEN 'bad' WHEN c_custkey % 23 = 1 THEN '{"inspectionResult": {"inspectionResultLink": "l"}}' ELSE concat('{"inspectionResult": {"inspectionResultLink": "l', CAST(c_custkey AS STRING), '", "mobileUsabilityResult": {"verdict": "PASS"}, "indexStatusResult": {"verdict": "', CASE WHEN c_custkey % 3 = 0 THEN 'PASS' ELSE 'NEUTRAL' END, '", "coverageState": "', CASE c_custkey % 4 WHEN 0 THEN 'Excluded by noindex tag' WHEN 1 THEN 'Duplicate' WHEN 2 THEN 'Crawled - currently not indexed' ELSE '' END, '", "pageFetchState": "SUCCESSFUL", "sitemap": ["a", "b"]', CASE WHEN c_custkey % 5 = 0 THEN ', "crawledAs": "MOBILE", "robotsTxtState": "BLOCKED_BY_ROBOTS_TXT"' ELSE '' END, '}}}') END AS response,
+       CASE WHEN c_custkey % 31 = 0 THEN '{"sitemap": []}' ELSE concat('{"sitemap": [{"path": "s', CAST(c_custkey AS STRING), '", "isPending": ', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, ', "warnings": "', CAST(c_custkey % 6 AS STRING), '", "contents": [{"type": "web", "submitted": "5"}]}, {"path": "t", "isSitemapsIndex": true, "errors": ', CAST(c_custkey % 3 AS STRING), '}]}') END AS sitemaps,
+       CASE c_custkey % 6 WHEN 0 THEN '{"sessionID": "s1", "part": {"type": "text", "text": "abc"}}' WHEN 1 THEN '{"part": {"type": "tool", "tool": "search", "state": {"status": "completed", "output": "out"}}}' WHEN 2 THEN concat('{"part": {"type": "step-finish", "tokens": {"input": ', CAST(c_custkey AS STRING), ', "output": 5}, "cost": 0.25}}')
+                          WHEN 3 THEN ' not json' WHEN 4 THEN '{"part": {"type": "tool", "state": {"error": "failed"}}}' ELSE '{"part": {"type": "tex' END AS line
+FROM customer""",
 }
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
