@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.html_job import extract_pages
+from ..sources.html_job import extract_pages, meta_tags
 from .catalog import query
 from .fixtures import table
 
@@ -16,9 +16,27 @@ def _evidence(spark, folder):
     return rows.select("page_id", "site", "title", "description", "lang", "h1", "words", "internal_links", "external_links", "images", "alt_ratio", "link_density", "noindex", "has_viewport", "has_https", "has_schema", F.size("paragraphs").alias("paragraphs"), F.length("text").alias("text_chars"), F.length("prose").alias("prose_chars"))
 
 
-@query("title_h1_lang", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links, url LIKE 'https:%' AS has_https FROM pages")
+_DECODED = lambda x: "trim(regexp_replace(" + "".join("replace(" for _ in range(5)) + x + "".join(f", '{a}', '{b}')" for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))) + ", '\\s+', ' ', 'g'))"
+
+
+@query("title_h1_lang", f"SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links, url LIKE 'https:%' AS has_https, {_DECODED('regexp_extract(html, ' + chr(39) + '<title>([^<]*)</title>' + chr(39) + ', 1)')} AS title, {_DECODED('regexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)')} AS h1 FROM pages")
 def _titles(spark, folder):
-    return extract_pages(table(spark, folder, "pages")).select("page_id", "lang", (F.col("internal_links") + F.col("external_links")).alias("links"), "has_https")
+    return extract_pages(table(spark, folder, "pages")).select("page_id", "lang", (F.col("internal_links") + F.col("external_links")).alias("links"), "has_https", "title", "h1")
+
+
+@query("meta_tags", f"SELECT page_id, nullif({_DECODED('regexp_extract(html, ' + chr(39) + '<title>([^<]*)</title>' + chr(39) + ', 1)')}, '') AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def _meta(spark, folder):
+    return meta_tags(extract_pages(table(spark, folder, "pages"))).select("page_id", F.regexp_replace("title", r"\s+", " ").alias("title"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
+@query("page_dates")
+def _dates(spark, folder):
+    return extract_pages(table(spark, folder, "pages")).select("page_id", "stated_dates", "published", "modified")
+
+
+@query("breadcrumbs")
+def _trails(spark, folder):
+    return extract_pages(table(spark, folder, "pages")).select("page_id", "breadcrumb_source", F.array_join("breadcrumbs", " > ").alias("trail"), F.length("opening").alias("opening_chars"), F.length("quality_text").alias("quality_chars"))
 
 
 @query("heading_outline")

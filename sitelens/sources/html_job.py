@@ -19,8 +19,15 @@ _SILENT = {"script", "style", "noscript", "svg", "template"}
 _CHROME = {"nav", "header", "footer", "aside"}
 SCHEMA = (
     "page_id long, url string, title string, description string, robots string, canonical string, viewport string, lang string, h1 string, headings array<struct<level:int,text:string>>, "
-    "links array<string>, images int, images_missing_alt int, json_ld array<string>, item_types array<string>, hreflang array<struct<lang:string,href:string>>, authors array<string>, times array<string>, paragraphs array<string>, text string, prose string"
+    "links array<string>, images int, images_missing_alt int, json_ld array<string>, item_types array<string>, hreflang array<struct<lang:string,href:string>>, authors array<string>, times array<string>, paragraphs array<string>, text string, prose string, "
+    "opening string, quality_text string, breadcrumbs array<string>, breadcrumb_source string, published string, modified string, meta_title string, meta_description string, meta_robots string, meta_canonical string"
 )
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_END_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_NOT_QUALITY = {"script", "style", "nav", "footer", "header", "noscript", "iframe"}
+#: Dates that text states in full.
+_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"
+STATED_DATE = rf"(?i)\b(?:\d{{4}}-\d{{2}}-\d{{2}}|{_MONTH}\.?\s+\d{{1,2}},?\s+(?:19|20)\d{{2}}|\d{{1,2}}\s+{_MONTH}\.?,?\s+(?:19|20)\d{{2}})\b"
 
 
 class _Page(HTMLParser):
@@ -36,9 +43,72 @@ class _Page(HTMLParser):
         self._silent = self._chrome = 0
         self._heading = self._block = None
         self._in_title = self._in_json = False
+        self._stack: list[str] = []
+        self.opening: list[str] | None = None  # from the end of the first h1 on
+        self._opening_depth = -1  # that of the h1's siblings while they are read
+        self.quality: list[str] = []
+        self._not_quality = 0
+        self.trails: list[tuple] = []  # (rank, place, depth, items) of elements that look like breadcrumbs
+        self._items: list[tuple[int, list[str]]] = []  # open items and their depth
+        self.last: dict[str, str] = {}
+        self.breadcrumb_type = False
+
+    def _open(self, tag: str, a: dict) -> None:
+        """Keeps the path of open elements; a paragraph or list item that begins ends the one before."""
+        ends = "p" if tag in _END_P else "li" if tag == "li" else None
+        if ends in self._stack and not {"ul", "ol", "div", "article", "section", "td"} & set(self._stack[len(self._stack) - self._stack[::-1].index(ends) :]):
+            self._close(ends)
+        if tag in _BLOCKS and self._opening_depth >= 0:
+            self.opening.append(" ")
+        if self._opening_depth >= 0 and tag in ("h1", "h2") and len(self._stack) == self._opening_depth:
+            self._opening_depth = -1
+        label, kind = a.get("aria-label", ""), a.get("class", "")
+        rank = 0 if tag == "nav" and "readcrumb" in label else 1 if "readcrumb" in label else 2 if tag == "ol" and "breadcrumb" in kind.split() else 3 if "readcrumb" in kind else None
+        if rank is not None and tag not in _VOID:
+            self.trails.append((rank, len(self.trails), len(self._stack), []))
+        if tag not in _VOID:
+            self._stack.append(tag)
+        open_trails = [t for t in self.trails if t[2] >= 0]
+        if open_trails and (tag == "li" or a.get("itemprop") == "name") and tag not in _VOID:
+            words: list[str] = []
+            self._items.append((len(self._stack), words))
+            for t in open_trails:
+                t[3].append(words)
+        self.breadcrumb_type |= "BreadcrumbList" in a.get("itemtype", "")
+
+    def _close(self, tag: str) -> None:
+        if tag not in self._stack:
+            return
+        while self._stack.pop() != tag:
+            pass
+        depth = len(self._stack)
+        if depth < self._opening_depth:
+            self._opening_depth = -1
+        if tag == "h1" and self.opening is None:
+            self.opening, self._opening_depth = [], depth
+        self._items = [(d, words) for d, words in self._items if d <= depth]
+        self.trails = [(r, n, d if d < depth else -1, items) for r, n, d, items in self.trails]
+
+    def trail(self) -> list[str]:
+        """The first list of two names or more, of the surest kind of element."""
+        for _, _, _, items in sorted(self.trails, key=lambda t: t[:2]):
+            names: list[str] = []
+            for words in items:
+                name = " ".join("".join(words).split())
+                if name and len(name) <= 80 and names[-1:] != [name]:
+                    names.append(name)
+            if len(names) >= 2:
+                return names[:10]
+        return []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
+        self._open(tag, a)
+        self._not_quality += tag in _NOT_QUALITY
+        if tag == "meta":
+            self.last[a.get("name", "").lower()] = a.get("content", "")
+        elif tag == "link" and "canonical" in a.get("rel", "").lower():
+            self.last["canonical"] = a.get("href", "")
         if tag in _BLOCKS:
             self.text.append(" ")
             self.prose.append(" ")
@@ -77,6 +147,11 @@ class _Page(HTMLParser):
             self.types.append(a["itemtype"].rstrip("/").rsplit("/", 1)[-1])
 
     def handle_endtag(self, tag):
+        self._close(tag)
+        if tag in _NOT_QUALITY:
+            self._not_quality = max(0, self._not_quality - 1)
+        if tag in _BLOCKS and self._opening_depth >= 0:
+            self.opening.append(" ")
         if tag in _BLOCKS:
             self.text.append(" ")
             self.prose.append(" ")
@@ -102,6 +177,8 @@ class _Page(HTMLParser):
         self._block = None
 
     def handle_data(self, data):
+        if not self._not_quality and data.strip():
+            self.quality.append(data.strip())
         if self._in_json:
             self.json_ld[-1] += data
         if self._silent:
@@ -110,6 +187,10 @@ class _Page(HTMLParser):
             self.title += data
             return
         self.text.append(data)
+        if self._opening_depth >= 0:
+            self.opening.append(data)
+        for _, words in self._items:
+            words.append(data)
         if not self._chrome:
             self.prose.append(data)
         for part in (self._heading and self._heading[1], self._block):
@@ -145,6 +226,55 @@ def _ld_authors(blocks: list[str]) -> tuple[list[str], list[str]]:
     return types, authors
 
 
+def _ld_nodes(blocks: list[str]) -> list[dict]:
+    """The objects of JSON-LD blocks, those of their graphs after each, down to depth 4; blocks that do not parse are left out."""
+    found: list[dict] = []
+
+    def add(nodes, depth):
+        for node in nodes:
+            if isinstance(node, dict):
+                found.append(node)
+                if depth < 4 and isinstance(node.get("@graph"), list):
+                    add(node["@graph"], depth + 1)
+
+    for block in blocks:
+        try:
+            parsed = json.loads(block)
+        except ValueError:
+            continue
+        add(parsed if isinstance(parsed, list) else [parsed], 0)
+    return found
+
+
+def _ld_trail(node: dict) -> list[str]:
+    items = node.get("itemListElement", [])
+    names = []
+    for item in items if isinstance(items, list) else [items]:
+        if isinstance(item, dict):
+            inner = item.get("item")
+            name = item.get("name") if item.get("name") is not None else inner.get("name") if isinstance(inner, dict) else None
+            name = " ".join(name.split()) if isinstance(name, str) else ""
+            if name and len(name) <= 80:
+                names.append(name)
+    return names
+
+
+def _ld_breadcrumbs(nodes: list[dict]) -> list[str]:
+    """The trail of a breadcrumb list, else of any node that has one; two names at least, ten at most."""
+    is_list = lambda n: "BreadcrumbList" in (n.get("@type") if isinstance(n.get("@type"), list) else [n.get("@type")])
+    return next((t[:10] for t in map(_ld_trail, [*filter(is_list, nodes), *nodes]) if len(t) >= 2), [])
+
+
+def _ld_text(nodes: list[dict], key: str) -> str:
+    """The first text of a property: itself, one of a list, or its ``@value``."""
+    for node in nodes:
+        raw = node.get(key)
+        for value in [raw] if isinstance(raw, str) else raw if isinstance(raw, list) else [raw.get("@value")] if isinstance(raw, dict) else []:
+            if isinstance(value, str) and value.strip():
+                return value.strip()
+    return ""
+
+
 def evidence(url: str | None, html: str | None) -> dict:
     page = _Page()
     page.feed(html or "")
@@ -157,12 +287,19 @@ def evidence(url: str | None, html: str | None) -> dict:
         if 120 <= len(b) <= 900:
             kept.setdefault(b[:80], b)
     meta = page.meta
+    nodes = _ld_nodes(page.json_ld)
+    told, shown = _ld_breadcrumbs(nodes), page.trail()
+    one_of = lambda *names: next((v for v in (" ".join(meta.get(n, "").split()) for n in names) if v), "")
     return {
         "title": " ".join(page.title.split()), "description": meta.get("description") or meta.get("og:description", ""), "robots": meta.get("robots", ""), "canonical": page.canonical,
         "viewport": meta.get("viewport", ""), "lang": page.lang, "h1": next((h["text"] for h in page.headings if h["level"] == 1), ""), "headings": page.headings[:60], "links": page.links,
         "images": page.images, "images_missing_alt": page.missing, "json_ld": page.json_ld, "item_types": list(dict.fromkeys([*types, *page.types])), "hreflang": page.hreflang,
         "authors": list(dict.fromkeys([*authors, *filter(None, [meta.get("author"), meta.get("article:author")])]))[:8], "times": list(dict.fromkeys(page.times))[:6],
         "paragraphs": list(kept.values())[:12], "text": clean(page.text), "prose": clean(page.prose) or clean(page.text),
+        "opening": clean(page.text if page.opening is None else page.opening)[:600], "quality_text": " ".join(page.quality),
+        "breadcrumbs": told or shown, "breadcrumb_source": "json-ld" if told else "markup" if shown else "microdata" if page.breadcrumb_type else "none",
+        "published": _ld_text(nodes, "datePublished") or one_of("article:published_time", "publish_date"), "modified": _ld_text(nodes, "dateModified") or one_of("article:modified_time", "lastmod", "revised"),
+        "meta_title": page.title.strip() or None, "meta_description": page.last.get("description"), "meta_robots": page.last.get("robots"), "meta_canonical": page.last.get("canonical"),
     }
 
 
@@ -190,7 +327,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     text, struct, strings = pa.string(), lambda **f: pa.list_(pa.struct(list(f.items()))), pa.list_(pa.string())
     kinds = {"headings": struct(level=pa.int32(), text=text), "hreflang": struct(lang=text, href=text), "page_id": pa.int64(), "images": pa.int32(), "images_missing_alt": pa.int32()}
     names = re.findall(r"(?:^|, )(\w+) (?=long|string|int|array)", SCHEMA)
-    ARROW = pa.schema([(n, kinds.get(n, strings if n in ("links", "json_ld", "item_types", "authors", "times", "paragraphs") else text)) for n in names])
+    ARROW = pa.schema([(n, kinds.get(n, strings if n in ("links", "json_ld", "item_types", "authors", "times", "paragraphs", "breadcrumbs") else text)) for n in names])
     out = pages.select("page_id", "url", "html").mapInArrow(read, SCHEMA)
     host = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"^[A-Za-z]+://([^/?#:]*)", 1)), r"^www\.", "")
     own = host(F.coalesce("url", F.lit("")))
@@ -202,5 +339,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         "internal_targets": F.slice(F.array_distinct(F.transform("internal", lambda x: F.regexp_extract(x, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1))), 1, 150),
         "alt_ratio": F.when(F.col("images") == 0, 1.0).otherwise(half_up((F.col("images") - F.col("images_missing_alt")) / F.col("images"), 3)),
         "link_density": F.when(n_links + F.col("words") == 0, 0.0).otherwise(half_up(n_links / F.greatest(F.lit(1), n_links + F.col("words")), 3)),
+        "stated_dates": F.slice(F.array_distinct(F.filter(F.concat(F.transform("times", F.trim), F.regexp_extract_all("text", F.lit(STATED_DATE), F.lit(0))), lambda d: d != "")), 1, 6),
         "noindex": F.lower("robots").contains("noindex"), "has_viewport": F.col("viewport") != "", "has_https": F.coalesce(F.col("url").startswith("https:"), F.lit(False)), "has_schema": F.size("item_types") > 0,
     }).drop("internal", "external")
+
+
+def meta_tags(evidence: DataFrame) -> DataFrame:
+    """(page_id, url, title, description, robots, canonical, viewport, lang, hreflang) of evidence rows, for audits: the last of
+    repeated tags counts, what a page does not have is null."""
+    return evidence.select("page_id", "url", F.col("meta_title").alias("title"), F.col("meta_description").alias("description"), F.col("meta_robots").alias("robots"), F.col("meta_canonical").alias("canonical"), *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("viewport", "lang")], "hreflang")
