@@ -87,15 +87,25 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(_split(text, "[^a-z0-9]+"), lambda t: F.length(t) > 2), fold_plural))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which a lambda's variable holds, so that it is made once a row however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ngrams(tokens: Column, low: int = 2, high: int = 3) -> Column:
-    """Contiguous n-grams, short ones first, repeats kept."""
+    """Contiguous n-grams, short ones first, repeats kept. Each length comes from the one before and one more word."""
+
+    def longer(t: Column, last: Column, n: int) -> Column:
+        left = F.size(t) - n + 1
+        grown = F.when(left > 0, F.zip_with(F.slice(last, F.lit(1), left), F.slice(t, F.lit(n), left), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+        return _let(grown, lambda g: kept(t, g, n))
 
-    def build(t: Column) -> Column:
-        some = lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        return F.concat(*[some(n) for n in range(low, high + 1)])
+    def kept(t: Column, own: Column, n: int) -> Column:
+        if n == high:
+            return own
+        return F.concat(own, longer(t, own, n + 1)) if n >= low else longer(t, own, n + 1)
 
-    # Bound to a lambda's variable, the tokens are made once a row and not once an n-gram.
-    return F.get(F.transform(F.array(tokens), lambda t: build(t)), 0)
+    return _let(tokens, lambda t: kept(t, t, 1))
 
 
 def jaccard(a: Column, b: Column) -> Column:

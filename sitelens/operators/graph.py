@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,18 +42,24 @@ def orphans_dead_ends(degrees: DataFrame, home: str = "/") -> DataFrame:
     return degrees.filter((F.col("path") != home) & ((F.col("inbound") == 0) | (F.col("outbound") == 0))).select("site", "path", (F.col("inbound") == 0).alias("orphan"), (F.col("outbound") == 0).alias("dead_end"))
 
 
-def hops_from_home(edges: DataFrame, nodes: DataFrame, home: str = "/", most: int = 1000) -> DataFrame:
-    """Least number of links from each site's home; -1 if there is no way. One frontier join a level; only emptiness is asked for."""
+def hops_from_home(edges: DataFrame, nodes: DataFrame, home: str = "/", merge_after: int = 32) -> DataFrame:
+    """Least number of links from each site's home; -1 if there is no way. One frontier join a level, until a level is empty.
+
+    Levels are written once each and stay apart; after ``merge_after`` of them they become one, so that no plan grows with
+    their number and none of them is written at every level.
+    """
     every = nodes.select("site", "path").distinct()
-    seen = every.filter(F.col("path") == home).withColumn("hops", F.lit(0))
-    front = seen
-    for level in range(1, most):
+    levels = [every.filter(F.col("path") == home).withColumn("hops", F.lit(0)).checkpoint()]
+    seen = lambda: reduce(DataFrame.unionByName, levels)
+    front, level = levels[0], 0
+    while not front.isEmpty():
+        level += 1
         found = edges.join(front.select("site", F.col("path").alias("src")), ["site", "src"], "left_semi").select("site", F.col("dst").alias("path")).distinct()
-        front = found.join(seen, ["site", "path"], "left_anti").withColumn("hops", F.lit(level)).checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front).checkpoint()
-    return every.join(seen, ["site", "path"], "left").select("site", "path", F.coalesce("hops", F.lit(-1)).alias("hops"))
+        front = found.join(seen(), ["site", "path"], "left_anti").withColumn("hops", F.lit(level)).checkpoint()
+        levels.append(front)
+        if len(levels) > merge_after:
+            levels = [seen().checkpoint()]
+    return every.join(seen(), ["site", "path"], "left").select("site", "path", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
 def graph_summary(degrees: DataFrame, hops: DataFrame, discovered: DataFrame) -> DataFrame:

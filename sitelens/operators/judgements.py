@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.bands import DECISIVE, GATE_FLOOR_BY_QUESTION, DECISIVE_BY_QUESTION, SCORE_MASS_BY_QUESTION, band_choice, band_noul, band_word, confidence_label, gate_floor, grade, lookup, priority_label
+from ..functions.bands import DECISIVE, DECISIVE_BY_QUESTION, GATE_FLOOR_BY_QUESTION, SCORE_MASS_BY_QUESTION, band_choice, band_noul, band_word, confidence_label, gate_floor, grade, lookup, normalise_score, priority_label
 from ..functions.numbers import half_up
 from ..functions.text import leading_content_word, opportunity_slug, opportunity_tokens, slug
 from ..functions.urls import domain_of
@@ -287,9 +287,12 @@ def gap_candidates(keywords: DataFrame, seeds: DataFrame, rivals: DataFrame, mos
 
 
 def rejection_summary(keywords: DataFrame) -> DataFrame:
-    """Why keywords are not acted on: chrome (nobody types it), greyZone (too much doubt), notBuyer."""
+    """(site, why, n, terms): why keywords are not acted on: chrome (nobody types it), greyZone (too much doubt), notBuyer; their terms in order.
+
+    A site has as many keywords as were mined and seeded, some 64, so the lists are short.
+    """
     why = F.when(F.col("is_real_query") < 0.5, "chrome").when(F.col("band") == "escalate", "greyZone").otherwise("notBuyer")
-    return keywords.filter(~is_actionable()).withColumn("why", why).groupBy("site", "why").agg(F.count("*").alias("n"))
+    return keywords.filter(~is_actionable()).withColumn("why", why).groupBy("site", "why").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("term")).alias("terms"))
 
 
 def our_state(page_count: Column, gap: Column, in_headings: Column) -> Column:
@@ -417,14 +420,20 @@ def opportunity_from_gaps(gaps: DataFrame, probs: DataFrame) -> DataFrame:
 # ---- rivals ----------------------------------------------------------------------------------------------------------
 
 
-def rival_scorecards(rivals: DataFrame, answers: DataFrame, most: int = 12) -> DataFrame:
-    """Score and grade of each rival (site, item_id, reachable, https, penalty): the mean of two normalised scores, else a half, less its rule penalty, 6 more with https."""
+def rival_scorecards(rivals: DataFrame, answers: DataFrame, titles: DataFrame, most: int = 12) -> DataFrame:
+    """Score and grade of each rival (site, item_id, reachable, https, penalty): the mean of two normalised scores, else a half, less its rule penalty, 6 more with https.
+
+    Its topics are the titles of the first ``most`` of its pages (site, item_id, place, title), those without one left out.
+    """
     fields = {"offer": ("value_prop", "score"), "focus": ("topical_focus", "score"), "worth": ("worth_copying", "noul"), "business_model": ("business_model", "choice"), "ai_gap": ("ai_gap", "choice")}
     t = rivals.join(wide(answers, "competitor", fields), ["site", "item_id"], "left")
-    mean = F.coalesce((F.col("offer") / 3 + F.col("focus") / 3) / 2, F.lit(0.5))
+    first = titles.withColumn("_r", F.row_number().over(Window.partitionBy("site", "item_id").orderBy("place"))).filter(F.col("_r") <= most)
+    topics = first.groupBy("site", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("title", F.lit("")) != "", F.struct("_r", "title")))), lambda x: x["title"]).alias("topics"))
+    t = t.join(topics, ["site", "item_id"], "left")
+    mean = F.coalesce((normalise_score(F.col("offer"), F.lit(4)) + normalise_score(F.col("focus"), F.lit(4))) / 2, F.lit(0.5))
     score = half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean * 100 - F.col("penalty") + F.when(F.col("https"), 6).otherwise(0)))).cast("int")
     seen = F.col("reachable")
-    return t.select("site", "item_id", "reachable", F.when(seen, score).otherwise(0).alias("score"), F.when(seen, grade(score)).otherwise("E").alias("grade"), F.when(seen, F.col("business_model")).alias("business_model"), F.when(seen, F.col("ai_gap")).alias("ai_gap"), F.when(seen, F.coalesce("worth", F.lit(0.0))).otherwise(0.0).alias("worth_copying"))
+    return t.select("site", "item_id", "reachable", F.when(seen, score).otherwise(0).alias("score"), F.when(seen, grade(score)).otherwise("E").alias("grade"), F.when(seen, F.col("business_model")).alias("business_model"), F.when(seen, F.col("ai_gap")).alias("ai_gap"), F.when(seen, F.coalesce("worth", F.lit(0.0))).otherwise(0.0).alias("worth_copying"), F.when(seen & F.col("topics").isNotNull(), F.col("topics")).otherwise(F.array().cast("array<string>")).alias("topics"))
 
 
 def rival_counts(cards: DataFrame) -> DataFrame:

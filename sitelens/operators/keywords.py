@@ -27,21 +27,23 @@ def corpus_stats(pages: DataFrame) -> DataFrame:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """(site, path, term, title, heading, prose, n): n-grams of each slot of a page.
+    """(site, path, term, n, title, heading, prose): how often n-grams of two and three words come in the slots of each page.
 
     Titles and each heading count a term once, prose as often as it comes. The H1 is counted with the headings it is among as well.
-    Pages that are mostly links are trusted for title and H1 only.
+    Pages that are mostly links are trusted for title and H1 only. All slots of a page are one array, read and split once, and
+    a page's terms are added up in the task that reads it.
     """
     chrome = F.col("link_density") >= CHROME_LINK_DENSITY
     grams = lambda c: X.ngrams(X.keyword_tokens(c))
-    slot = lambda terms, t, h, p: pages.select("site", "path", F.explode(terms).alias("term"), t.alias("title"), h.alias("heading"), p.alias("prose"))
     zero, one = F.lit(0), F.lit(1)
-    title = slot(F.array_distinct(grams(F.col("title"))), one, zero, zero)
-    heads = pages.withColumn("_h", F.explode(F.concat(F.array("h1"), "headings"))).filter("_h <> ''")
-    trusted = F.when((F.col("_h") == F.col("h1")) | ~chrome, 1).otherwise(0)
-    heading = heads.select("site", "path", F.explode(F.array_distinct(grams(F.col("_h")))).alias("term"), zero.alias("title"), trusted.alias("heading"), zero.alias("prose"))
-    prose = pages.filter(~chrome).select("site", "path", F.explode(grams(F.col("prose"))).alias("term"), zero.alias("title"), zero.alias("heading"), one.alias("prose"))
-    return title.unionByName(heading).unionByName(prose)
+    each = lambda terms, t, h, p: F.transform(terms, lambda g: F.struct(g.alias("term"), t.alias("title"), h.alias("heading"), p.alias("prose")))
+    none = F.array().cast("array<struct<term:string,title:int,heading:int,prose:int>>")
+    heads = F.filter(F.concat(F.array("h1"), "headings"), lambda x: F.coalesce(x, F.lit("")) != "")
+    trusted = lambda x: F.when((x == F.col("h1")) | ~chrome, 1).otherwise(0)
+    heading = F.coalesce(F.flatten(F.transform(heads, lambda x: each(F.array_distinct(grams(x)), zero, trusted(x), zero))), none)
+    prose = F.when(chrome, none).otherwise(each(grams(F.col("prose")), zero, zero, one))
+    found = pages.select("site", "path", F.explode(F.concat(each(F.array_distinct(grams(F.col("title"))), one, zero, zero), heading, prose)).alias("x")).select("site", "path", "x.*")
+    return found.groupBy("site", "path", "term").agg(F.count("*").alias("n"), F.sum("title").alias("title"), F.sum("heading").alias("heading"), F.sum("prose").alias("prose"))
 
 
 def keyword_weight(frequency, page_count, in_headings, in_title, question, comparison, commercial, entity, words) -> Column:
@@ -54,7 +56,7 @@ def mine_keywords(pages: DataFrame, limit: int = 40) -> DataFrame:
 
     Terms are counted by site and term with partial sums; proper names meet terms by word, so no list of words is sent about.
     """
-    found = _occurrences(pages).groupBy("site", "term").agg(F.count("*").alias("frequency"), F.count_distinct("path").alias("page_count"), F.sum("heading").alias("in_headings"), F.sum("title").alias("in_title"), F.sum("prose").alias("in_prose"))
+    found = _occurrences(pages).groupBy("site", "term").agg(F.sum("n").alias("frequency"), F.count("*").alias("page_count"), F.sum("heading").alias("in_headings"), F.sum("title").alias("in_title"), F.sum("prose").alias("in_prose"))
     held = found.filter((F.length("term") >= 6) & ((F.col("in_title") > 0) | (F.col("in_headings") > 0) | (F.col("in_prose") > 0)))
     names = corpus_stats(pages).filter("proper_name").select("site", "word")
     entity = held.select("site", "term", F.explode(F.array_distinct(F.split("term", " "))).alias("word")).join(names, ["site", "word"], "left_semi").select("site", "term").distinct().withColumn("named_entity", F.lit(True))

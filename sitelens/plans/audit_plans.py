@@ -8,6 +8,7 @@ from ..functions.bands import SEVERITY_WEIGHT
 from ..functions.numbers import half_up_sql as h
 from ..functions.text import FILLER_PHRASES
 from ..operators import audit as A
+from ..operators import digest as D
 from ..operators import graph as G
 from ..operators import rules as R
 from .catalog import query
@@ -176,3 +177,22 @@ over("stage_of_run", "fx_events", "SELECT run_id, arg_max(CASE WHEN starts_with(
 over("recent_log", "fx_events", "SELECT run_id, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS r FROM fx_events) x WHERE r <= 200")(A.recent_log)
 over("event_windows", "fx_events", "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS start, type, count(*) AS n FROM fx_events GROUP BY 1, 2")(A.event_windows)
 over("session_counters", "fx_events", "SELECT run_id, session, count(*) AS n, count(*) FILTER (type = 'error') AS errors FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, seq) AS BIGINT) AS session FROM (SELECT *, CASE WHEN CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY run_id ORDER BY ts, seq) <= 21600 THEN 0 ELSE 1 END AS fresh FROM fx_events) a) b GROUP BY run_id, session")(A.sessions)
+
+# ---- digest ----------------------------------------------------------------------------------------------------------
+
+_CLIP = lambda x, n: f"CASE WHEN length({x}) > {n} THEN concat(substring({x}, 1, {n - 1}), '…') WHEN {x} = '' THEN '(none)' ELSE {x} END"
+_FLAT = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+_LINE_SQL = f"""concat('- path=', CASE WHEN path = '' THEN '/' ELSE path END, ' | status=200 | words=', words, ' | title=', {_CLIP(_FLAT('title'), 90)}, ' | h1=', {_CLIP(_FLAT('h1'), 70)}, ' | description=', {_CLIP(_FLAT('description'), 110)}, ' | internal_links=', page_id % 9, ' | external_links=1 | images=3 | images_missing_alt=', page_id % 3,
+ ' | structured_data=', CASE WHEN has_schema THEN 'A,B,C,D' ELSE 'none' END, ' | noindex=', CASE WHEN noindex THEN 'yes' ELSE 'no' END, ' | lang=', CASE WHEN lang = '' THEN '(none)' ELSE lang END, CASE WHEN page_id % 2 = 0 THEN ' | opening="say \\"hi\\""' ELSE '' END)"""
+
+
+def _digested(pages):
+    some = F.when(F.col("has_schema"), F.array(*map(F.lit, "ABCDE"))).otherwise(F.array().cast("array<string>"))
+    full = pages.withColumns({"status": F.lit(200), "internal_links": F.col("page_id") % 9, "external_links": F.lit(1), "images": F.lit(3), "images_missing_alt": F.col("page_id") % 3, "schema_types": some, "opening": F.when(F.col("page_id") % 2 == 0, ' say  "hi" ')})
+    terms = pages.select("site", F.concat(F.lit("t"), "page_id").alias("term"), F.col("page_id").alias("page_count"), (F.col("page_id") % 4).alias("in_headings"), (F.col("page_id") % 2 == 0).alias("question"), (F.col("page_id") % 50).alias("weight"))
+    return D.crawl_digest(full, R.rule_stats(pages), terms)
+
+
+over("crawl_digest", "fx_evidence", f"""WITH {_STATS} SELECT site, 'page' AS part, CAST(row_number() OVER (PARTITION BY site ORDER BY path, line) - 1 AS INTEGER) AS place, line FROM (SELECT site, path, {_LINE_SQL} AS line FROM fx_evidence) a
+UNION ALL SELECT site, 'counts', 0, concat(pages, ' pages, ', avg_words, ' words a page, ', with_h1, ' with an H1, ', with_description, ' described, ', with_schema, ' with structured data, titles right ', title_length_ok, ', descriptions right ', description_length_ok, ', https=', https) FROM stats
+UNION ALL SELECT site, 'term', CAST(r - 1 AS INTEGER), concat('- t', page_id, ' (pages ', page_id, ', in headings ', page_id % 4, ', question ', page_id % 2 = 0, ')') FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id % 50 DESC, concat('t', page_id)) AS r FROM fx_evidence) b WHERE r <= 25""")(_digested)

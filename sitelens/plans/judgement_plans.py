@@ -95,7 +95,7 @@ judged("keyword_opportunity", f"WITH {_KEY} SELECT site, item_id, opportunity FR
 _TOP = "(SELECT site, item_id, opportunity, row_number() OVER (PARTITION BY site ORDER BY opportunity DESC, item_id) AS r FROM ko WHERE {0}) x"
 judged("actionable_keywords", f"WITH {_KEY} SELECT site, item_id, opportunity FROM {_TOP.format(_ABLE)} WHERE r <= 12")(lambda fx: J.actionable_keywords(_keys(fx)))
 judged("gap_candidates", f"WITH {_KEY} SELECT x.site, x.item_id, opportunity FROM {_TOP.format('is_real_query >= 0.5')} JOIN fx_items i ON i.site = x.site AND i.item_id = x.item_id WHERE r <= 8 AND (is_seed OR x.site IN (SELECT site FROM fx_titles))")(lambda fx: J.gap_candidates(_keys(fx), fx("items").filter("is_seed"), fx("titles")))
-judged("rejection_summary", f"WITH {_KEY} SELECT site, CASE WHEN is_real_query < 0.5 THEN 'chrome' WHEN band = 'escalate' THEN 'greyZone' ELSE 'notBuyer' END AS why, count(*) AS n FROM kj WHERE NOT ({_ABLE}) GROUP BY 1, 2")(lambda fx: J.rejection_summary(_words(fx)))
+judged("rejection_summary", f"WITH {_KEY} SELECT site, CASE WHEN is_real_query < 0.5 THEN 'chrome' WHEN band = 'escalate' THEN 'greyZone' ELSE 'notBuyer' END AS why, count(*) AS n, string_agg(term, '|' ORDER BY term) AS terms FROM ko WHERE NOT ({_ABLE}) GROUP BY 1, 2")(lambda fx: J.rejection_summary(_keys(fx)).withColumn("terms", F.array_join("terms", "|")))
 judged("pattern_counts", f"WITH {_PAGE}, {_KW}, {_KJ} SELECT site, pattern, label, n, {h('n / CAST(sum(n) OVER (PARTITION BY site, pattern) AS DOUBLE)', 3)} AS share FROM (SELECT site, pattern, label, count(*) AS n FROM (SELECT site, 'page_type' AS pattern, page_type AS label FROM pj UNION ALL SELECT site, 'intent', intent FROM pj UNION ALL SELECT site, 'action', action FROM pj UNION ALL SELECT site, 'keyword_intent', intent FROM kj UNION ALL SELECT site, 'keyword_cluster', cluster FROM kj) u GROUP BY 1, 2, 3) v")(lambda fx: J.pattern_counts(_pages(fx), _words(fx)))
 _LABEL = "CASE WHEN band = 'escalate' THEN 'needs a human' ELSE 'to verify' END"
 judged("not_decided", f"WITH {_PAGE}, {_TC}, {_KW}, {_KJ}, op AS (SELECT pj.* FROM pj LEFT JOIN tc ON tc.site = pj.site AND tc.item_id = pj.item_id WHERE tc.item_id IS NULL) SELECT op.site, 'page' AS source, op.item_id, CASE WHEN choice IS NULL THEN 'no answer' WHEN choice = 'nothing_missing' THEN 'nothing missing' ELSE 'uncertain' END AS reason, 'to verify' AS label FROM op LEFT JOIN (SELECT * FROM fx_typed WHERE scope = 'page' AND question_id = 'highest_impact_change') t ON t.site = op.site AND t.item_id = op.item_id UNION ALL SELECT pj.site, 'page', pj.item_id, pj.reasons, {_LABEL} FROM pj WHERE needs_human AND (site, item_id) NOT IN (SELECT (site, item_id) FROM op) UNION ALL SELECT site, 'keyword', item_id, reasons, {_LABEL} FROM kj WHERE needs_human")(
@@ -154,8 +154,9 @@ judged("pages_to_build", f"WITH {_SUB} SELECT site, subject, label, priority, CA
 
 _CARDS = f"rc AS (SELECT site, item_id, reachable, CASE WHEN reachable THEN sc ELSE 0 END AS score, CASE WHEN NOT reachable THEN 'E' WHEN sc >= 85 THEN 'A' WHEN sc >= 72 THEN 'B' WHEN sc >= 58 THEN 'C' WHEN sc >= 42 THEN 'D' ELSE 'E' END AS grade, CASE WHEN reachable THEN bm END AS business_model, CASE WHEN reachable THEN ag END AS ai_gap, CASE WHEN reachable THEN coalesce(wc, 0.0) ELSE 0.0 END AS worth_copying FROM (SELECT i.site, i.item_id, i.item_id % 5 <> 0 AS reachable, CAST({h(f'greatest({_D(0)}, least({_D(100)}, coalesce((vp / 3 + tf / 3) / 2, 0.5) * 100 - i.item_id % 40 + CASE WHEN i.item_id % 2 = 0 THEN 6 ELSE 0 END))')} AS INTEGER) AS sc, bm, ag, wc FROM fx_items i LEFT JOIN (SELECT site, item_id, {_ONE('value_prop', 'score')} AS vp, {_ONE('topical_focus', 'score')} AS tf, {_ONE('worth_copying', 'noul')} AS wc, {_ONE('business_model', 'choice')} AS bm, {_ONE('ai_gap', 'choice')} AS ag FROM fx_typed WHERE scope = 'competitor' GROUP BY site, item_id) c ON c.site = i.site AND c.item_id = i.item_id) z)"
 _i = F.col
-_cards = lambda fx: J.rival_scorecards(fx("items").select("site", "item_id", (_i("item_id") % 5 != 0).alias("reachable"), (_i("item_id") % 2 == 0).alias("https"), (_i("item_id") % 40).alias("penalty")), fx("typed"))
-judged("rival_scorecards", f"WITH {_CARDS} SELECT * FROM rc")(_cards)
+_cards = lambda fx: J.rival_scorecards(fx("items").select("site", "item_id", (_i("item_id") % 5 != 0).alias("reachable"), (_i("item_id") % 2 == 0).alias("https"), (_i("item_id") % 40).alias("penalty")), fx("typed"), _titles(fx))
+_titles = lambda fx: fx("items").select("site", (_i("item_id") % 50).alias("item_id"), _i("item_id").alias("place"), F.when(_i("item_id") % 7 == 0, "").otherwise(_i("term")).alias("title"))
+judged("rival_scorecards", f"WITH {_CARDS}, tt AS (SELECT site, item_id % 50 AS item_id, term, item_id % 7 = 0 AS bare, row_number() OVER (PARTITION BY site, item_id % 50 ORDER BY item_id) AS r FROM fx_items), tp AS (SELECT site, item_id, string_agg(term, '|' ORDER BY r) AS topics FROM tt WHERE r <= 12 AND NOT bare GROUP BY site, item_id) SELECT rc.*, CASE WHEN reachable THEN coalesce(topics, '') ELSE '' END AS topics FROM rc LEFT JOIN tp ON tp.site = rc.site AND tp.item_id = rc.item_id")(lambda fx: _cards(fx).withColumn("topics", F.array_join("topics", "|")))
 judged("rival_counts", f"WITH {_CARDS} SELECT site, count(*) FILTER (reachable) AS reachable, count(*) FILTER (reachable AND worth_copying >= 0.5) AS worth_copying, max(CASE WHEN reachable THEN score END) AS best FROM rc GROUP BY site")(lambda fx: J.rival_counts(_cards(fx)))
 _CAP = "cp AS (SELECT root AS site, path AS rival, CASE WHEN r > 5 THEN 'past_the_cap' WHEN reachable THEN 'judged' ELSE 'unreachable' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS r FROM fx_runs WHERE run_no = 1) x)"
 _capped = lambda fx: J.rival_cap(fx("runs").filter("run_no = 1").select(_i("root").alias("site"), _i("path").alias("rival"), "reachable"), 9)
@@ -177,12 +178,12 @@ _CUTS = {"text": [2000, 1000, 600, 400, 250, 150, 80, 0], "paragraphs": [4, 2, 1
 _NAME = {"outline": "heading_outline"}
 _cut = lambda n, c: n if c is None else f"substring({n}, 1, {c})" if n in ("text", "opening") else f"{n}[1:{c}]"
 _steps, _before = [], "a0 AS (SELECT *, length(CAST(json_merge_patch('{}', to_json({'business': business, 'page': CASE WHEN title IS NOT NULL OR h1 IS NOT NULL OR words IS NOT NULL THEN {'title': title, 'h1': h1, 'words': words} END})) AS VARCHAR)) + " + " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE length(CAST(to_json({n}) AS VARCHAR)) + {len(_NAME.get(n, n)) + 4} END" for n in _CUTS) + " AS total FROM got)"
-for _i, (_n, _caps) in enumerate(_CUTS.items()):
+for _k, (_n, _caps) in enumerate(_CUTS.items()):
     _len = lambda c: f"CASE WHEN {_n} IS NULL THEN 0 ELSE length(CAST(to_json({_cut(_n, c)}) AS VARCHAR)) + {len(_NAME.get(_n, _n)) + 4} END"  # noqa: B023, E731
     _rest = f"total - ({_len(None)})"
     _at = "CASE " + " ".join(f"WHEN {_rest} + {_len(c)} <= {_LIMIT} THEN {k}" for k, c in enumerate([None, *_caps])) + f" ELSE {len(_caps)} END"
     _new = "CASE " + " ".join(f"WHEN at_{_n} = {k} THEN {_rest} + {_len(c)}" for k, c in enumerate([None, *_caps])) + " END"
-    _steps.append(f"b{_i + 1} AS (SELECT *, {_at} AS at_{_n} FROM a{_i}), a{_i + 1} AS (SELECT * EXCLUDE (total), {_new} AS total FROM b{_i + 1})")
+    _steps.append(f"b{_k + 1} AS (SELECT *, {_at} AS at_{_n} FROM a{_k}), a{_k + 1} AS (SELECT * EXCLUDE (total), {_new} AS total FROM b{_k + 1})")
 _KEPT = ", ".join(f"CASE at_{n} " + " ".join(f"WHEN {k} THEN {_cut(n, c)}" for k, c in enumerate([None, *caps])) + f" END AS k_{n}" for n, caps in _CUTS.items())
 _TRIM = "array_to_string(list_filter([" + ", ".join("CASE " + " ".join(f"WHEN at_{n} = {k + 1} AND {'length' if n in ('text', 'opening') else 'len'}({n}) > {c} THEN '{'site' if n == 'titles' else 'page'}.{_NAME.get(n, n)}'" for k, c in enumerate(caps)) + " END" for n, caps in _CUTS.items()) + "], lambda x: x IS NOT NULL), ',')"
 _PAYLOAD = "CAST(json_merge_patch('{}', to_json({'business': business, 'page': CASE WHEN title IS NOT NULL OR h1 IS NOT NULL OR opening IS NOT NULL OR text IS NOT NULL OR paragraphs IS NOT NULL OR words IS NOT NULL OR outline IS NOT NULL THEN {'title': title, 'h1': h1, 'opening': k_opening, 'text': k_text, 'paragraphs': k_paragraphs, 'words': words, 'heading_outline': k_outline} END, 'site': CASE WHEN titles IS NOT NULL THEN {'titles': k_titles} END})) AS VARCHAR)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.html_job import extract_pages, meta_tags
+from ..sources.html_job import extract_pages, meta_tags, read_pages
 from .catalog import query
 from .fixtures import table
 
@@ -47,3 +47,9 @@ def _outline(spark, folder):
 @query("extract_links")
 def _links(spark, folder):
     return extract_pages(table(spark, folder, "pages")).select("page_id", "site", F.explode("internal_targets").alias("target"))
+
+
+@query("read_pages", "SELECT page_id FROM pages WHERE page_id % 4 IN (0, 2)")
+def _pages(spark, folder):
+    kind = F.when(F.col("page_id") % 4 == 0, F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"))).when(F.col("page_id") % 4 == 1, F.create_map(F.lit("content-type"), F.lit("application/pdf"))).when(F.col("page_id") % 4 == 2, F.create_map(F.lit("content-type"), F.lit("application/xhtml+xml")))
+    return read_pages(table(spark, folder, "pages").withColumn("headers", kind)).select("page_id")

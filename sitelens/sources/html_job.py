@@ -303,6 +303,12 @@ def evidence(url: str | None, html: str | None) -> dict:
     }
 
 
+def read_pages(raw: DataFrame) -> DataFrame:
+    """Fetched documents (url, html, headers map, ...) that are pages: those whose content type names HTML, whatever the case of the header."""
+    lower = F.map_from_entries(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+    return raw.filter(F.contains(F.coalesce(F.try_element_at(lower, F.lit("content-type")), F.lit("")), F.lit("html")))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Page evidence of (page_id, url, html): what the job reads, and the columns that follow from it.
 

@@ -24,6 +24,14 @@ def test_hops_in_a_cycle(spark):
     assert {r.path: r.hops for r in graph.hops_from_home(edges, nodes).collect()} == {"/": 0, "/a": 1, "/b": 2, "/x": -1}
 
 
+def test_hops_of_a_long_chain(spark):
+    ensure_checkpoint(spark)
+    edges = spark.createDataFrame([("s", f"/{i}" if i else "/", f"/{i + 1}") for i in range(12)], "site string, src string, dst string")
+    nodes = spark.createDataFrame([("s", f"/{i}" if i else "/") for i in range(13)], "site string, path string")
+    got = {r.path: r.hops for r in graph.hops_from_home(edges, nodes, merge_after=3).collect()}
+    assert got == {f"/{i}" if i else "/": i for i in range(13)}
+
+
 def test_robots(spark):
     urls = spark.createDataFrame([("s", "/a/1"), ("s", "/b")], "site string, path string")
     rules = spark.createDataFrame([("s", "/a"), ("s", "/")], "site string, prefix string")
