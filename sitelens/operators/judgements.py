@@ -469,14 +469,15 @@ def rubric_lint(registry: DataFrame) -> DataFrame:
     """(scope, question_id, problem) of a registry (scope, question_id, type, instructions, options, levels array, fields).
 
     Instructions name untrusted content; a choice has two options and a way out; a score has two levels, each a situation in some words, not a degree; a question
-    reads some field; a falsifier is a question that was asked of pages and not the one that made the change.
+    reads some field, and one about a page is known to the payloads; a falsifier is a question that was asked of pages and not the one that made the change.
     """
     options = F.filter(F.split(F.coalesce("options", F.lit("")), ","), lambda x: x != "")
     way_out = F.exists(options, lambda x: x.rlike("(?i)^(other|none|unclear|unknown|cannot_tell|not_.*|nothing_.*|mixed.*)$"))
     degree = F.exists("levels", lambda x: x.rlike(r"(?i)^(very|somewhat|quite|fairly|extremely|not at all|poor|fair|good|excellent)\b"))
     problems = F.array_compact(F.array(
         F.when(~F.lower("instructions").contains("untrusted"), "no untrusted clause"), F.when((F.col("type") == "choice") & (F.size(options) < 2), "fewer than two options"), F.when((F.col("type") == "choice") & ~way_out, "no way out"),
-        F.when((F.col("type") == "score") & (F.size("levels") < 2), "fewer than two levels"), F.when((F.col("type") == "score") & degree, "level is a degree"), F.when((F.col("type") == "score") & F.exists("levels", lambda x: F.length(F.trim(x)) < 12), "level is vague"), F.when(F.coalesce("fields", F.lit("")) == "", "no field")))
+        F.when((F.col("type") == "score") & (F.size("levels") < 2), "fewer than two levels"), F.when((F.col("type") == "score") & degree, "level is a degree"), F.when((F.col("type") == "score") & F.exists("levels", lambda x: F.length(F.trim(x)) < 12), "level is vague"), F.when(F.coalesce("fields", F.lit("")) == "", "no field"),
+        F.when((F.col("scope") == "page") & ~F.col("question_id").isin(list(PAGE_FIELDS)), "not mapped to fields")))
     own = registry.select("scope", "question_id", F.explode(problems).alias("problem"))
     asked = registry.filter("scope = 'page'").select(F.col("question_id").alias("falsifier")).distinct()
     first = registry.sparkSession.createDataFrame([(k, v) for k, v in FALSIFIER.items()], "change string, falsifier string")

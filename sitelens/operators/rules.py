@@ -11,6 +11,7 @@ from ..functions.numbers import half_up
 from ..functions.text import FILLER_PHRASES
 
 #: Rule, severity, and when a page breaks it.
+#: What each rule is called, how grave it is and when it holds.
 _RULES: list[tuple[str, str, str]] = [
     ("viewport", "serious", "not has_viewport"),
     ("noindex", "critical", "noindex"),
@@ -137,6 +138,7 @@ def inspection_category(r: dict[str, Column]) -> Column:
     )
 
 
+#: What an inspection can come to.
 CATEGORIES = ["indexed", "robots_blocked", "fetch_error", "canonical_issue", "unknown", "discovered_not_indexed", "crawled_not_indexed", "duplicate", "excluded", "not_indexed"]
 
 

@@ -163,10 +163,11 @@ _capped = lambda fx: J.rival_cap(fx("runs").filter("run_no = 1").select(_i("root
 judged("rival_cap", f"WITH {_CAP} SELECT * FROM cp")(_capped)
 judged("rival_cap_counts", f"WITH {_CAP} SELECT site, count(*) AS requested, count(*) FILTER (state <> 'past_the_cap') AS attempted, count(*) FILTER (state = 'judged') AS judged, count(*) FILTER (state = 'unreachable') AS unreachable, count(*) FILTER (state = 'past_the_cap') AS past_the_cap FROM cp GROUP BY site")(lambda fx: J.rival_cap_counts(_capped(fx)))
 judged("threshold_coverage", f"SELECT DISTINCT question_id, type FROM fx_typed WHERE NOT (type = 'choice' AND question_id IN {_LIST(DECISIVE_BY_QUESTION)}) AND NOT (type = 'score' AND question_id IN {_LIST(SCORE_MASS_BY_QUESTION)}) AND NOT (type = 'noul' AND question_id IN {_LIST(GATE_FLOOR_BY_QUESTION)})")(lambda fx: J.threshold_coverage(fx("typed").select("question_id", "type")))
-_REG = "reg AS (SELECT DISTINCT scope, question_id, type, concat(question_id, CASE WHEN length(question_id) % 2 = 0 THEN ', Untrusted text' ELSE '' END) AS instructions, CASE WHEN type = 'choice' THEN choice END AS options, CASE WHEN type = 'score' AND length(question_id) % 3 = 0 THEN 'very good' ELSE 'the page names it' END AS level, CASE WHEN length(question_id) % 5 = 0 THEN '' ELSE 'text' END AS fields FROM fx_typed WHERE item_id % 50 = 1)"
-_LINT = {"no untrusted clause": "NOT contains(lower(instructions), 'untrusted')", "fewer than two options": "type = 'choice'", "no way out": "type = 'choice' AND NOT regexp_matches(options, '^(other|none|unclear|unknown|cannot_tell|not_.*|nothing_.*|mixed.*)$')", "level is a degree": "type = 'score' AND level = 'very good'", "level is vague": "type = 'score' AND level = 'very good'", "no field": "fields = ''"}
+_REG = "reg AS (SELECT DISTINCT scope, question_id, type, concat(question_id, CASE WHEN length(question_id) % 2 = 0 THEN ', Untrusted text' ELSE '' END) AS instructions, CASE WHEN type = 'choice' THEN choice END AS options, CASE WHEN type = 'score' AND length(question_id) % 3 = 0 THEN 'very good' ELSE 'the page names it' END AS level, CASE WHEN length(question_id) % 5 = 0 THEN '' ELSE 'text' END AS fields FROM fx_typed WHERE item_id % 50 = 1 UNION ALL SELECT 'page', 'unheard_of', 'noul', 'Untrusted text', NULL, 'the page names it', 'text')"
+_LINT = {"no untrusted clause": "NOT contains(lower(instructions), 'untrusted')", "fewer than two options": "type = 'choice'", "no way out": "type = 'choice' AND NOT regexp_matches(options, '^(other|none|unclear|unknown|cannot_tell|not_.*|nothing_.*|mixed.*)$')", "level is a degree": "type = 'score' AND level = 'very good'", "level is vague": "type = 'score' AND level = 'very good'", "no field": "fields = ''", "not mapped to fields": "scope = 'page' AND question_id NOT IN ('page_type', 'intent', 'importance', 'action', 'helpfulness', 'specificity', 'citable', 'trust', 'highest_impact_change', 'h1_fit', 'answer_first', 'title_fit', 'meta_fit', 'clear_next_step', 'structure_ease', 'content_freshness', 'competitor_distinctiveness')"}
+_unmapped = lambda fx: fx("typed").sparkSession.sql("SELECT 'page' AS scope, 'unheard_of' AS question_id, 'noul' AS type, 'Untrusted text' AS instructions, CAST(NULL AS STRING) AS options, array('the page names it', 'the page names it') AS levels, 'text' AS fields")
 judged("rubric_lint", f"WITH {_REG} " + " UNION ALL ".join(f"SELECT scope, question_id, '{k}' AS problem FROM reg WHERE {v}" for k, v in _LINT.items()) + " UNION ALL SELECT 'falsifier', f.v, 'not asked: ' || f.k FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in J.FALSIFIER.items()) + ") f(k, v) WHERE f.v NOT IN (SELECT question_id FROM reg WHERE scope = 'page')")(
-    lambda fx: J.rubric_lint(fx("typed").filter("item_id % 50 = 1").select("scope", "question_id", "type", F.concat("question_id", F.when(F.length("question_id") % 2 == 0, ", Untrusted text").otherwise("")).alias("instructions"), F.when(_i("type") == "choice", _i("choice")).alias("options"), F.when((_i("type") == "score") & (F.length("question_id") % 3 == 0), F.array(F.lit("very good"), F.lit("the page names it"))).otherwise(F.array(F.lit("the page names it"), F.lit("the page names it"))).alias("levels"), F.when(F.length("question_id") % 5 == 0, "").otherwise("text").alias("fields")).distinct()))
+    lambda fx: J.rubric_lint(fx("typed").filter("item_id % 50 = 1").select("scope", "question_id", "type", F.concat("question_id", F.when(F.length("question_id") % 2 == 0, ", Untrusted text").otherwise("")).alias("instructions"), F.when(_i("type") == "choice", _i("choice")).alias("options"), F.when((_i("type") == "score") & (F.length("question_id") % 3 == 0), F.array(F.lit("very good"), F.lit("the page names it"))).otherwise(F.array(F.lit("the page names it"), F.lit("the page names it"))).alias("levels"), F.when(F.length("question_id") % 5 == 0, "").otherwise("text").alias("fields")).distinct().unionByName(_unmapped(fx))))
 
 
 _LIMIT = 1500
