@@ -82,7 +82,7 @@ def communication_matrix(sizes: DataFrame, wanted: list[int], seed: int = 0) ->
     """
     n = sizes.count()
     levels = max(0, (n - 1).bit_length())
-    nodes = sizes.sparkSession.range(1).select(F.lit(0).cast("long").alias("node"), F.array(*[F.lit(int(w)).cast("long") for w in wanted]).alias("counts"))
+    nodes = sizes.sparkSession.range(1).select(F.col("id").alias("node"), F.array(*[F.lit(int(w)).cast("long") for w in wanted]).alias("counts"))
     for level in reversed(range(levels)):
         width = 1 << level
         first = sizes.filter(F.floor(F.col("source") / width) % 2 == 0).groupBy(F.floor(F.col("source") / (2 * width)).cast("long").alias("node")).agg(F.sum("rows").alias("half"))
