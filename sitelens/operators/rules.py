@@ -107,7 +107,7 @@ def content_quality(docs: DataFrame) -> DataFrame:
     words = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z'\-]*"), F.lit(0)), F.lower)
     d = docs.select("doc_id", text.alias("text"), words.alias("w")).withColumn("n", F.size("w"))
     pairs = F.when(F.col("n") >= 4, F.zip_with(F.slice("w", 1, F.col("n") - 1), F.slice("w", 2, F.col("n")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    d = d.withColumn("p", F.array_sort(pairs)).withColumn("kinds", F.size(F.array_distinct("p")))
+    d = d.withColumn("p", F.sort_array(pairs)).withColumn("kinds", F.size(F.array_distinct("p")))
     # In sorted order a pair that repeats equals the one before; the first repeat of each is what counts.
     again = F.size(F.array_distinct(F.array_compact(F.transform("p", lambda x, i: F.when((i > 0) & (F.get("p", i - 1) == x), x)))))
     lower = F.lower("text")
