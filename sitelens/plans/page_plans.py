@@ -39,12 +39,18 @@ def _trails(spark, folder):
     return extract_pages(table(spark, folder, "pages")).select("page_id", "breadcrumb_source", F.array_join("breadcrumbs", " > ").alias("trail"), F.length("opening").alias("opening_chars"), F.length("quality_text").alias("quality_chars"))
 
 
-@query("heading_outline")
+_H1 = _DECODED("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")
+
+
+@query("heading_outline", f"SELECT page_id, 0 AS place, 1 AS level, {_H1} AS text FROM pages WHERE {_H1} <> ''")
 def _outline(spark, folder):
     return extract_pages(table(spark, folder, "pages")).select("page_id", F.posexplode("headings").alias("place", "h")).select("page_id", "place", "h.level", "h.text")
 
 
-@query("extract_links")
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')"
+
+
+@query("extract_links", f"SELECT DISTINCT page_id, {_HOST} AS site, {_DECODED("regexp_extract(href, '^([^?#]*)', 1)")} AS target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href=\"(/[^\"]*)\"', 1)) AS href FROM pages) x")
 def _links(spark, folder):
     return extract_pages(table(spark, folder, "pages")).select("page_id", "site", F.explode("internal_targets").alias("target"))
 
