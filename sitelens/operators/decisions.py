@@ -19,6 +19,14 @@ def export_decisions_csv(decided: DataFrame, states: DataFrame) -> DataFrame:
     return decided.join(states, ["site", "item_id"], "left").select("site", "item_id", F.concat_ws(",", *[F.coalesce(csv_cell(F.col(c).cast("string")), F.lit("")) for c in ("change", "priority", "state")]).alias("line"))
 
 
+def write_decisions_csv(lines: DataFrame, path: str) -> None:
+    """Writes the lines of ``export_decisions_csv`` as text by site, in order of the item; a path that is there is replaced.
+
+    A site's lines are in one file unless they are more than a million, so each file is a table that a spreadsheet opens.
+    """
+    lines.repartition("site").sortWithinPartitions("site", "item_id").select("site", "line").write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("site").text(path)
+
+
 def ungranted_tool_calls(calls: DataFrame, granted: DataFrame) -> DataFrame:
     """Calls (run_id, tool) of tools that a run was not granted."""
     return calls.select("run_id", "tool").distinct().join(granted, ["run_id", "tool"], "left_anti")

@@ -315,16 +315,28 @@ def confidence_of(probs: DataFrame, scope: str) -> DataFrame:
     return top.groupBy("site", "item_id").agg(half_up(F.sum(F.col("p").cast("decimal(18,6)")).cast("double") / F.count("*"), 3).alias("confidence"))
 
 
-def match_rival(terms: DataFrame, titles: DataFrame, least: float = 0.34) -> DataFrame:
-    """(site, item_id, rival, title, strength): the title of a reachable rival (site, rival, place, title) with most of a term's words.
+def match_rival(terms: DataFrame, titles: DataFrame, cards: DataFrame | None = None, least: float = 0.34) -> DataFrame:
+    """(site, item_id, rival, title, shared, strength, score, worth_copying): the title of a reachable rival (site, rival, place, title) with most of a term's words.
 
-    Of equal ones the first rival's first wins. Terms meet titles by word, so only pairs that share one are looked at.
+    ``shared`` are the term's words that the title has, in the term's order. Of equal titles the first rival's first wins.
+    ``cards`` (site, rival, score, worth_copying) say what the rival came to, else both are null. A title with the ``least``
+    share of a term's words has one of its rarest, all but so many that the rest could not be enough: only those words
+    are joined, so a word that is common in titles brings no pairs of its own.
     """
-    t = terms.select("site", "item_id", opportunity_tokens(F.col("term")).alias("w")).withColumn("n", F.size("w")).select("site", "item_id", "n", F.explode("w").alias("word"))
-    r = titles.select("site", "rival", "place", "title", F.explode(F.array_distinct(opportunity_tokens(F.col("title")))).alias("word"))
-    shared = t.join(r, ["site", "word"]).groupBy("site", "item_id", "rival", "place", "title").agg((F.count("*") / F.first("n")).alias("strength")).filter(F.col("strength") >= least)
+    t = terms.select("site", "item_id", opportunity_tokens(F.col("term")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
+    r = titles.select("site", "rival", "place", "title", F.array_distinct(opportunity_tokens(F.col("title"))).alias("has"))
+    words = r.select("site", "rival", "place", F.explode("has").alias("word"))
+    often = words.groupBy("site", "word").agg(F.count("*").alias("df"))
+    by = Window.partitionBy("site", "item_id").orderBy(F.coalesce("df", F.lit(0)), "word", "pos")
+    rare = t.select("site", "item_id", "n", F.posexplode("w").alias("pos", "word")).join(often, ["site", "word"], "left").withColumn("k", F.row_number().over(by))
+    rare = rare.filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("df").isNotNull())
+    near = rare.join(words, ["site", "word"]).select("site", "item_id", "rival", "place").distinct()
+    pairs = near.join(t, ["site", "item_id"]).join(r, ["site", "rival", "place"])
+    pairs = pairs.withColumn("shared", F.filter("w", lambda x: F.array_contains("has", x))).withColumn("strength", F.size("shared") / F.col("n")).filter(F.col("strength") >= least)
     best = F.row_number().over(Window.partitionBy("site", "item_id").orderBy(F.desc("strength"), "rival", "place"))
-    return shared.withColumn("r", best).filter("r = 1").select("site", "item_id", domain_of(F.col("rival")).alias("rival"), "title", half_up(F.col("strength"), 4).alias("strength"))
+    won = pairs.withColumn("r", best).filter("r = 1")
+    won = won.join(cards.select("site", "rival", "score", "worth_copying"), ["site", "rival"], "left") if cards is not None else won.withColumns({"score": F.lit(None).cast("int"), "worth_copying": F.lit(None).cast("double")})
+    return won.select("site", "item_id", domain_of(F.col("rival")).alias("rival"), "title", "shared", half_up(F.col("strength"), 4).alias("strength"), "score", "worth_copying")
 
 
 def destination_of(keywords: DataFrame, carriers: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ judged("not_decided", f"WITH {_PAGE}, {_TC}, {_KW}, {_KJ}, op AS (SELECT pj.* FR
     lambda fx: J.not_decided(fx("typed"), _changes(fx), _pages(fx), _words(fx)))
 _CONF = f"cf AS (SELECT scope, site, item_id, {h('CAST(sum(CAST(p AS DECIMAL(18,6))) AS DOUBLE) / count(*)', 3)} AS confidence FROM (SELECT scope, site, item_id, question_id, max(p) AS p FROM fx_probs GROUP BY ALL) m GROUP BY scope, site, item_id)"
 _TOK = lambda c: f"list_filter(string_split_regex(regexp_replace(lower({c}), '[^a-z0-9\\s-]', ' ', 'g'), '[\\s-]+'), lambda t: length(t) > 2 AND t NOT IN {_LIST(OPPORTUNITY_STOP)})"
-_RIV = f"rv AS (SELECT site, item_id, regexp_replace(regexp_replace(rival, '^https?://', ''), '/.*$', '') AS rival, title, {h('s', 4)} AS strength FROM (SELECT *, row_number() OVER (PARTITION BY site, item_id ORDER BY s DESC, rival, place) AS r FROM (SELECT i.site, i.item_id, t.rival, t.place, t.title, len(list_filter(i.w, lambda x: list_contains(t.w, x))) / CAST(len(i.w) AS DOUBLE) AS s FROM (SELECT *, {_TOK('term')} AS w FROM fx_items) i JOIN (SELECT *, {_TOK('title')} AS w FROM fx_titles) t ON t.site = i.site WHERE len(i.w) > 0) a WHERE s >= 0.34) b WHERE r = 1)"
+_RIV = f"rv AS (SELECT site, item_id, regexp_replace(regexp_replace(rival, '^https?://', ''), '/.*$', '') AS rival, title, array_to_string(list_filter(w, lambda x: list_contains(tw, x)), '|') AS shared, {h('s', 4)} AS strength, CAST(substr(rival, 14, 1) AS INTEGER) * 20 AS score, CAST(CAST(substr(rival, 14, 1) AS INTEGER) AS DOUBLE) / 10 AS worth_copying FROM (SELECT *, row_number() OVER (PARTITION BY site, item_id ORDER BY s DESC, rival, place) AS r FROM (SELECT i.site, i.item_id, i.w, t.w AS tw, t.rival, t.place, t.title, len(list_filter(i.w, lambda x: list_contains(t.w, x))) / CAST(len(i.w) AS DOUBLE) AS s FROM (SELECT *, {_TOK('term')} AS w FROM fx_items) i JOIN (SELECT *, {_TOK('title')} AS w FROM fx_titles) t ON t.site = i.site WHERE len(i.w) > 0) a WHERE s >= 0.34) b WHERE r = 1)"
 _SLUG = f"CASE WHEN len({_TOK('term')}) > 0 THEN array_to_string({_TOK('term')}, '-') ELSE regexp_replace(lower(term), '[^a-z0-9]+', '-', 'g') END"
 _DEST = f"ds AS (SELECT site, item_id, CASE WHEN page_count > 0 THEN concat('/b/', CAST(item_id % 8 AS VARCHAR)) ELSE concat('/', CASE WHEN cluster IN ('other', 'unknown') THEN 'guides' ELSE replace(cluster, '_', '-') END, '/', {_SLUG}) END AS destination, CASE WHEN page_count > 0 THEN 'extend' ELSE 'new' END AS kind FROM ko)"
 _PAGES_OF = "CASE cluster || '|' || intent " + " ".join(f"WHEN '{c}|{i}' THEN '{v}'" for c, row in J.PAGE_OF_CLUSTER.items() for i, v in row.items()) + " ELSE CASE intent " + " ".join(f"WHEN '{i}' THEN '{v}'" for i, v in J.PAGE_OF_INTENT.items()) + " ELSE 'guide page' END END"
@@ -117,7 +117,7 @@ def _carriers(fx):
     return one("a", 0.4).unionByName(one("b", 0.6))
 
 
-judged("match_rival", f"WITH {_RIV} SELECT * FROM rv")(lambda fx: J.match_rival(fx("items"), fx("titles")))
+judged("match_rival", f"WITH {_RIV} SELECT * FROM rv")(lambda fx: J.match_rival(fx("items"), fx("titles"), fx("titles").select("site", "rival", (F.substring("rival", 14, 1).cast("int") * 20).alias("score"), (F.substring("rival", 14, 1).cast("double") / 10).alias("worth_copying")).distinct()).withColumn("shared", F.array_join("shared", "|")))
 judged("destination_of", f"WITH {_KEY}, {_DEST} SELECT * FROM ds")(lambda fx: J.destination_of(_keys(fx), _carriers(fx)))
 judged("our_state_of", f"WITH {_KEY} SELECT site, item_id, {_STATE} AS our_state FROM ko")(lambda fx: _keys(fx).select("site", "item_id", J.our_state(F.col("page_count"), F.col("coverage_gap"), F.col("in_headings")).alias("our_state")))
 judged("content_type_of", f"WITH {_KEY} SELECT site, item_id, {_PAGES_OF} AS write FROM kj")(lambda fx: _words(fx).select("site", "item_id", J.content_type_of(F.col("cluster"), F.col("intent")).alias("write")))

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.operators import judgements, keywords, page_audit, provenance
+from sitelens.operators import decisions, judgements, keywords, page_audit, provenance
 from sitelens.sources import console, history
 
 RESPONSE = "page_id long, url string, status int, headers map<string,string>, title string, description string, robots string, canonical string, viewport string, lang string, blocked boolean, html string"
@@ -136,3 +136,19 @@ def test_terms_of_any_length_are_measured(spark):
     terms = spark.createDataFrame([("s", t) for t in ("dog", "big red dog", "red dog big red", "cat", None)], "site string, term string")
     got = {r.term: (r.title_hits, r.heading_hits, r.prose_hits, r.frequency, r.page_count) for r in keywords.measure_terms(pages, terms).collect()}
     assert got == {"dog": (3, 1, 1, 6, 2), "big red dog": (2, 0, 1, 3, 1), "red dog big red": (1, 0, 0, 1, 1), "cat": (0, 0, 0, 0, 0)}
+
+
+def test_decisions_as_files(spark, tmp_path):
+    decided = spark.createDataFrame([("s", 2, "=cmd()", 0.5), ("s", 1, 'say "a", b', 0.25), ("t", 3, "+1", 1.0)], "site string, item_id long, change string, priority double")
+    states = spark.createDataFrame([("s", 2, "newly_raised")], "site string, item_id long, state string")
+    decisions.write_decisions_csv(decisions.export_decisions_csv(decided, states), f"file://{tmp_path}/out")
+    read = lambda site: [x for p in sorted((tmp_path / "out" / f"site={site}").glob("part-*")) for x in p.read_text().splitlines()]
+    assert read("s") == ['"say ""a"", b",0.25,', "'=cmd(),0.5,newly_raised"] and read("t") == ["'+1,1.0,"]
+
+
+def test_rivals_by_rare_words(spark):
+    terms = spark.createDataFrame([("s", 1, "red boiler repair"), ("s", 2, "boiler"), ("s", 3, "of"), ("s", 4, "green tap fitting costs today")], "site string, item_id long, term string")
+    titles = spark.createDataFrame([("s", "https://b.org/", 1, "Boiler repair"), ("s", "https://a.org/x", 2, "Repair of a boiler"), ("s", "https://a.org/x", 1, "Boilers"), ("s", "https://c.org", 1, "Tap")], "site string, rival string, place long, title string")
+    cards = spark.createDataFrame([("s", "https://a.org/x", 70, 0.9)], "site string, rival string, score int, worth_copying double")
+    got = {r.item_id: (r.rival, r.title, r.shared, r.strength, r.score) for r in judgements.match_rival(terms, titles, cards).collect()}
+    assert got == {1: ("a.org", "Repair of a boiler", ["boiler", "repair"], 0.6667, 70), 2: ("a.org", "Repair of a boiler", ["boiler"], 1.0, 70)}
