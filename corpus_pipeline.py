@@ -18,6 +18,13 @@ from sitelens.llm.suffix_dedup import remove_repeats
 from sitelens.llm.toxicity import score_toxicity
 
 
+def modest_batches(spark, most: int = 2000) -> None:
+    """Lets a Python task get ``most`` rows at a time and no more: a batch of documents is what it holds beside its own tables."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, most)
+
+
 def row_key(docs: DataFrame):
     """A hash of all columns and of which are null: rows of one key are equal in every column."""
     return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
@@ -28,6 +35,7 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is scored by its own text, also one of a null or repeated doc_id.
     """
+    modest_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
     found = score_toxicity(docs, labels, carry=[c for c in docs.columns if c != "doc_id"])
     return found.filter(F.col("score") < 0.3).select(docs.columns)
@@ -39,6 +47,7 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null doc_id comes after all others, so a class of such rows alone keeps one as well. Rows of one doc_id with
     different texts are different rows, one class only if their texts are.
     """
+    modest_batches(spark)
     keyed = docs.withColumn("_row", row_key(docs))
     classes = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id").distinct()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
@@ -51,6 +60,7 @@ def remove_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row stays, also one of a null or repeated doc_id.
     """
+    modest_batches(spark)
     keyed = docs.withColumn("_doc", F.col("doc_id")).withColumn("doc_id", row_key(docs))
     found = remove_repeats(keyed, carry=["_doc", *(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))])
     return found.drop("doc_id").withColumnsRenamed({"_doc": "doc_id", "kept_text": "text"}).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -58,6 +68,7 @@ def remove_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the rows that hold half of a benchmark item or more, also those of a null or repeated doc_id."""
+    modest_batches(spark)
     keyed = docs.withColumn("_row", row_key(docs))
     bad = find_contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_row")).distinct()
     return keyed.join(bad, "_row", "left_anti").select(docs.columns)
@@ -65,6 +76,7 @@ def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 4096 tokens; every row is packed for itself, whatever its doc_id."""
+    modest_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
