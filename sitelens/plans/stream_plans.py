@@ -35,7 +35,7 @@ query("stream_live_counters", oracle_sql()["live_counters"])(lambda s, f: in_par
 query("stream_latest_by_key", oracle_sql()["latest_by_key"])(lambda s, f: in_parts(s, f, S.latest_by_key, keys=["run_id", "item_key"], order=["seq"]))
 query("stream_event_windows", oracle_sql()["event_windows"])(lambda s, f: S.drain(S.event_windows(S.read_events(s, f))))
 query("stream_sessions", "SELECT run_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM (SELECT *, concat('run', CAST(user_id % 20 AS VARCHAR)) AS run_id FROM events) e) a) b GROUP BY run_id, session")(lambda s, f: S.drain(S.session_counters(S.read_events(s, f))))
-query("stream_pending_items", with_adapters(f"WITH {_SIDES} SELECT run_id, item_key, seq AS started FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE {_WITHIN})"))(lambda s, f: in_parts(s, f, T.pending_timeouts))
+query("stream_pending_items", with_adapters(f"WITH {_SIDES} SELECT run_id, item_key, seq AS started FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE {_WITHIN})"))(lambda s, f: in_parts(s, f, S.pending_items))
 query("stream_rival_slots", with_adapters(f"WITH {_SIDES} SELECT coalesce(s.run_id, d.run_id) AS run_id, coalesce(s.item_key, d.item_key) AS item_key, s.seq AS started, d.seq AS done FROM s FULL JOIN d ON {_WITHIN}"))(lambda s, f: in_parts(s, f, S.rival_slots))
 query("stream_recent_log", oracle_sql()["recent_log"])(lambda s, f: in_parts(s, f, T.recent_log, mode="update", keys=["run_id"]))
 query("read_event_lines", with_adapters("SELECT run_id, type, count(*) AS n, min(seq) AS first_seq FROM fx_events GROUP BY run_id, type"))(lambda s, f: in_parts(s, f, lambda e: e.select("run_id", "type", "seq"), keys=["run_id", "seq"], order=["type"]).groupBy("run_id", "type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")))

@@ -47,13 +47,19 @@ def latest_by_key(events: DataFrame) -> DataFrame:
     return events.select("run_id", "item_key", "type", "seq")
 
 
+def _side(events: DataFrame, kind: str, late: str) -> DataFrame:
+    """Events of one type, each once while the watermark has not passed it."""
+    own = events.select("run_id", "item_key", "seq", "ts", "type").withWatermark("ts", late).filter(F.col("type") == kind)
+    return own.dropDuplicatesWithinWatermark(["run_id", "item_key", "seq", "ts"])
+
+
 def rival_slots(events: DataFrame, wait: str = "2 hours", late: str = "10 minutes") -> DataFrame:
     """(run_id, item_key, started, done): starts with what finished them within ``wait``; lone starts and lone ends once the watermark passed them.
 
     A full outer join of two streams. The time range bounds both states: an end is kept until no start from before it can
-    come, a start until no end within ``wait`` can.
+    come, a start until no end within ``wait`` can. An event that comes again counts once, as in ``live_counters``.
     """
-    side = lambda kind, *names: events.select("run_id", "item_key", "seq", "ts", "type").withWatermark("ts", late).filter(F.col("type") == kind).select(*[F.col(c).alias(n) for c, n in zip(("run_id", "item_key", "seq", "ts"), names, strict=True)])
+    side = lambda kind, *names: _side(events, kind, late).select(*[F.col(c).alias(n) for c, n in zip(("run_id", "item_key", "seq", "ts"), names, strict=True)])
     a, b = side("page-start", "r1", "i1", "started", "t1"), side("page-done", "r2", "i2", "done", "t2")
     met = a.join(b, F.expr(f"r1 = r2 AND i1 = i2 AND t2 >= t1 AND t2 <= t1 + INTERVAL {wait}"), "full_outer")
     return met.select(F.coalesce("r1", "r2").alias("run_id"), F.coalesce("i1", "i2").alias("item_key"), "started", "done")
@@ -71,9 +77,9 @@ def session_counters(events: DataFrame, gap: str = "6 hours", late: str = "10 mi
 
 
 def pending_items(events: DataFrame, wait: str = "2 hours", late: str = "10 minutes") -> DataFrame:
-    """Starts whose item is not done within ``wait``: a left outer join of two streams, bounded by watermarks."""
-    a = events.filter("type = 'page-start'").select("run_id", "item_key", F.col("seq").alias("started"), F.col("ts").alias("t1")).withWatermark("t1", late)
-    b = events.filter("type = 'page-done'").select(F.col("run_id").alias("r"), F.col("item_key").alias("i"), F.col("seq").alias("done"), F.col("ts").alias("t2")).withWatermark("t2", late)
+    """Starts whose item is not done within ``wait``: a left outer join of two streams, bounded by watermarks. An event that comes again counts once."""
+    a = _side(events, "page-start", late).select("run_id", "item_key", F.col("seq").alias("started"), F.col("ts").alias("t1"))
+    b = _side(events, "page-done", late).select(F.col("run_id").alias("r"), F.col("item_key").alias("i"), F.col("seq").alias("done"), F.col("ts").alias("t2"))
     return a.join(b, F.expr(f"run_id = r and item_key = i and t2 >= t1 and t2 <= t1 + interval {wait}"), "left_outer").filter("done is null").select("run_id", "item_key", "started")
 
 

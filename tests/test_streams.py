@@ -108,3 +108,24 @@ def test_slots_keep_lone_sides(spark, tmp_path):
     got = run(spark, tmp_path, build).read().filter("run_id is not null").collect()
     assert sorted((r.item_key, r.started, r.done) for r in got if r.started) == [("left", 3, None), ("x", 1, 4)]
     assert sorted((r.item_key, r.done) for r in got if not r.started) == [("left", 5), ("lone", 2)]
+
+
+def test_slots_count_replays_once(spark, tmp_path):
+    build = lambda e: streams.rival_slots(e, wait="1 hour")
+    events = [(1, 0, "a", "page-done", "lone"), (2, 1, "a", "page-start", "x"), (3, 2, "a", "page-done", "x")]
+    lines(tmp_path, 0, events)
+    run(spark, tmp_path, build)
+    lines(tmp_path, 1, [*events, (4, 2, "a", "page-done", "x"), (6, 900, None, "page-start", None), (7, 900, None, "page-done", None)])
+    got = run(spark, tmp_path, build).read().filter("run_id is not null").collect()
+    assert sorted((r.item_key, r.started or 0, r.done) for r in got) == [("lone", 0, 1), ("x", 2, 3), ("x", 2, 4)]
+
+
+def test_starts_that_nothing_finished(spark, tmp_path):
+    build = lambda e: streams.pending_items(e, wait="1 hour")
+    lines(tmp_path, 0, [(1, 0, "a", "page-start", "in time"), (2, 0, "a", "page-start", "too late"), (3, 0, "a", "page-start", "never"), (4, 5, "a", "page-done", "done first"), (5, 6, "a", "page-start", "done first")])
+    run(spark, tmp_path, build)
+    lines(tmp_path, 1, [(3, 0, "a", "page-start", "never"), (5, 6, "a", "page-start", "done first"), (6, 12, "a", "page-done", "in time"), (8, 4, "a", "page-start", "done first"), (9, 13, "a", "page-start", "twice"), (10, 13, "a", "page-start", "twice")])
+    run(spark, tmp_path, build)
+    lines(tmp_path, 2, [(7, 61, "a", "page-done", "too late"), (11, 500, "a", "page-done", "twice"), (12, 500, "z", "page-start", None)])
+    run(spark, tmp_path, build)
+    assert rows(run(spark, tmp_path, build)) == [("a", "done first", 5), ("a", "never", 3), ("a", "too late", 2), ("a", "twice", 9), ("a", "twice", 10)]
