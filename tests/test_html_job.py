@@ -47,3 +47,15 @@ def test_pages_without_end_tags_or_h1(spark):
     got = rows(spark, ("https://h/", "<p>a<p>b<li>c<li>d"), ("https://h/", "<h1>Only head"), ("https://h/", "")).orderBy("page_id").collect()
     assert [r.opening for r in got] == ["a b c d", "Only head", ""]
     assert [r.text for r in got] == ["a b c d", "Only head", ""]
+
+
+def test_pages_are_read_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    from sitelens.sources.html_job import _pieces
+
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3, 4, 5], "html": ["x" * 60, None, "y" * 60, "z" * 500, ""]})
+    assert [p.column("page_id").to_pylist() for p in _pieces(batch, 100)] == [[1, 2], [3], [4], [5]]
+    assert list(_pieces(batch.slice(0, 0), 100)) == []
+    pages = spark.createDataFrame([(i, "https://h.example/a", PAGE if i % 3 else None) for i in range(7)], "page_id long, url string, html string").coalesce(1)
+    assert extract_pages(pages, at_once=1).collect() == extract_pages(pages).collect()
