@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ._text import row_of, saved, span_hashes, text_blocks, tidy, word_spans
 
+BLOCK = 1 << 19  # bytes of text that a task encodes at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TAIL = np.zeros(256, bool)
@@ -32,9 +33,9 @@ class WordTokenizer:
     def __init__(self, path: str, most_words: int = 200_000):
         from tokenizers import Tokenizer, normalizers
 
-        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        vocabulary = self.full.get_vocab(with_added_tokens=False)
+        self.tokenizer = Tokenizer.from_file(path)  # one copy of the vocabulary, with and without its normalizer in turn
+        self.normal, self.plain = self.tokenizer.normalizer, normalizers.Sequence([])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[int, bytes] = {}
@@ -44,18 +45,20 @@ class WordTokenizer:
     def _learn(self, words: dict[int, str]) -> None:
         simple = {h: w for h, w in words.items() if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)}
         keys, left = list(simple), [h for h in words if h not in simple]
+        self.tokenizer.normalizer = self.plain
         for i in range(0, len(keys), 512):
             part = keys[i : i + 512]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(simple[h] for h in part)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple[h] for h in part)], add_special_tokens=False)[0].ids, np.int64)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
                 left += part
                 continue
             small = ids.astype("<u4")
             self.words.update((h, small[a:b].tobytes()) for h, a, b in zip(part, [0, *stops.tolist()], stops.tolist(), strict=False))
+        self.tokenizer.normalizer = self.normal
         for i in range(0, len(left), 512):
             part = left[i : i + 512]
-            for h, x in zip(part, self.full.encode_batch_fast([words[h] for h in part], add_special_tokens=False), strict=True):
+            for h, x in zip(part, self.tokenizer.encode_batch_fast([words[h] for h in part], add_special_tokens=False), strict=True):
                 self.words[h] = np.array(x.ids, "<u4").tobytes()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096,
         tokenizer = WordTokenizer(tokenizer_path)
         for batch in batches:
             ids_of = batch.column("doc_id")
-            for first, data, offsets in text_blocks(batch.column("text")):
+            for first, data, offsets in text_blocks(batch.column("text"), BLOCK):
                 ids, bounds = tokenizer.encode(data, offsets, end_id)
                 raw = memoryview(ids.tobytes())
                 row, piece, start, length, crc = [], [], [], [], []
