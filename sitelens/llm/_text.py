@@ -111,18 +111,23 @@ def shingle_block(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
     return shingles(span_hashes(data, starts, ends), row_of(offsets, starts), size)
 
 
+def release() -> None:
+    """Gives what was freed back to the system: workers live on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def tidy(work):
-    """A function of batches, after the last of which what it held goes back to the system: workers live on from stage to stage."""
+    """A function of batches, after the last of which what it held goes back to the system."""
 
     def run(batches):
         yield from work(batches)
-        import ctypes
-
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
+        release()
 
     return run
 

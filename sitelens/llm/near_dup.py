@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,22 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._text import mix, saved, shingle_block, text_blocks, tidy
+from ._text import mix, release, saved, shingle_block, text_blocks, tidy
 
 
-def _weighted(data: np.ndarray, offsets: np.ndarray, size: int, known: np.ndarray, weight: np.ndarray, rest: float):
-    """(row, shingle, TF-IDF weight) without repeats, in the order of row and shingle."""
+def _bags(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, how often it comes there) without repeats, in the order of row and shingle."""
     code, row = shingle_block(data, offsets, size)
     order = np.lexsort((code, row))
     code, row = code[order], row[order]
     at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(code) else np.zeros(0, np.int64)
-    count = np.diff(np.append(at, len(code)))
-    code, row = code[at], row[at]
-    idf = np.full(len(code), rest)
-    if len(known):
-        where = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        hit = known[where] == code
-        idf[hit] = weight[where[hit]]
+    return row[at], code[at], np.diff(np.append(at, len(code)))
+
+
+def _weighted(data: np.ndarray, offsets: np.ndarray, size: int, seen: pa.ListArray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, TF-IDF weight); ``seen`` has the document frequencies of each row's shingles, in their order. Without ``total`` the weight is the count."""
+    row, code, count = _bags(data, offsets, size)
+    idf = 1 + np.log((1 + total) / (1 + seen.flatten().to_numpy())) if total else np.ones(len(code))
     return row, code, count * idf
 
 
@@ -57,92 +56,120 @@ class WeightedSampler:
             yield np.minimum.reduceat((value.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF)), starts)
 
 
-def families(docs: DataFrame, *, size: int = 5, hashes: int = 8) -> DataFrame:
-    """(t) of rows (t, text): texts of which each stands for its near copies.
-
-    A text is one if it is the first of all that share its lowest shingle, by each of ``hashes`` hashes. Of a group of near copies
-    few are, however many it has: a pair at 0.6 has all its lowest shingles apart with a probability of 0.4 ** 8, or 0.0007.
-    """
+def _packed(x: np.ndarray) -> bytes:
+    """The numbers byte by byte, all highest bytes first: sorted ones compress well so."""
+    return np.ascontiguousarray(x[:, None].view(np.uint8)[:, ::-1].T).tobytes()
 
-    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, data, offsets in text_blocks(b.column("text"), lower=True):
-                code, row = shingle_block(data, offsets, size)
-                at = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-                own = b.column("t").take(pa.array(first + row[at]))
-                for k in range(hashes if len(at) else 0):
-                    low = np.minimum.reduceat(mix(code + np.uint64(k + 1)), at)
-                    yield pa.record_batch([own, pa.array(np.full(len(at), k, np.int32)), pa.array(low.view(np.int64))], ["t", "k", "low"])
 
-    lows = docs.select("t", "text").mapInArrow(tidy(lowest), "t long, k int, low long")
-    return lows.groupBy("k", "low").agg(F.min("t").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") == hashes).select("t")
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1)[::-1].T).view(kind).ravel()
 
 
-def document_frequencies(docs: DataFrame, *, size: int = 5, share: float = 0.01, batch: int = 4_000_000, block: int = 1_000_000) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of families of the rows (t, text), and the shingles in at least ``share`` of them, with the number of families.
+def document_frequencies(docs: DataFrame, *, size: int = 5, threshold: float = 0.0, block: int = 1 << 21, bucket: int = 500_000) -> DataFrame:
+    """(t1, t2, df) of the texts of rows (t1, t2, text): in how many of all the rows each of a text's shingles is, in their order.
 
-    Frequencies are counted over the texts that stand for families: over all rows, what a large group of copies has in common
-    would count as common speech. A shingle in that share of the families is in a smaller, known share of all rows, and so in that
-    share of the rows of some batch of a task: the batches' own frequent shingles are all the candidates, which are then counted,
-    ``block`` of them at a time. There are at most (shingles a family) / ``share`` frequent ones, however many rows there are.
+    A task sends the shingles of about ``block`` places in texts, each text's once, into buckets of about ``bucket`` by their upper
+    bits; there every shingle is counted, and those of several rows go back to their blocks. Texts that cannot reach a
+    similarity of ``threshold`` with another are left out: a shingle of one row alone weighs the most a shingle can and is shared with
+    none, so these may be no more than 1 - ``threshold`` of a text's. Texts without words are left out. A text may come several times.
     """
-    kept = saved(families(docs, size=size), "families")
-    n, total = kept.count(), docs.count()
-    if not n:
-        return 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    part = share * n / total
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, (int(bytes_ / 6 / bucket)).bit_length())
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        place = TaskContext.get().partitionId() << 32
+        ids: list[pa.RecordBatch] = []
+        codes: list[np.ndarray] = []
+        kinds: list[np.ndarray] = []
+        words: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            code = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            at = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-            often = code[at][np.diff(np.append(at, len(code))) >= max(2, math.ceil(part * rows - 1e-9))]
-            return pa.record_batch([pa.array(often.view(np.int64))], ["code"])
+            code = np.concatenate(codes)
+            order = np.argsort(code, kind="stable")
+            code, at = code[order], order.astype(np.uint32)
+            cuts = np.concatenate([[0], np.searchsorted(code, bounds), [len(code)]]).tolist()
+            used = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
+            none = [None] * len(used)
+            lists = [np.concatenate([x.column(c).to_numpy() for x in ids]) for c in ("t1", "t2")] + [np.concatenate(kinds), np.concatenate(words)]
+            return pa.record_batch(
+                [
+                    pa.array([place] * (len(used) + 1), pa.int64()),
+                    pa.array([*used, place % (1 << bits)], pa.int32()),
+                    pa.array([*(_packed(code[cuts[k] : cuts[k + 1]]) for k in used), None], pa.binary()),
+                    pa.array([*(_packed(at[cuts[k] : cuts[k + 1]]) for k in used), None], pa.binary()),
+                    *(pa.array([*none, x], pa.list_(pa.int64())) for x in lists),
+                ],
+                ["block", "bucket", "code", "at", "t1", "t2", "kinds", "words"],
+            )
 
         for b in batches:
-            for _, data, offsets in text_blocks(b.column("text"), lower=True):
-                held.append(shingle_block(data, offsets, size)[0])
-                rows += len(offsets) - 1
-                if sum(map(len, held)) > batch:
+            for first, data, offsets in text_blocks(b.column("text"), lower=True):
+                n = len(offsets) - 1
+                row, code, count = _bags(data, offsets, size)
+                ids.append(pa.record_batch([b.column(c).slice(first, n) for c in ("t1", "t2")], ["t1", "t2"]))
+                codes.append(code)
+                kinds.append(np.bincount(row, minlength=n))
+                words.append(np.bincount(row, count, minlength=n).astype(np.int64))
+                if sum(map(len, codes)) >= block:
                     yield flush()
-                    held, rows = [], 0
-        yield flush()
-
-    found = saved(docs.select("text").mapInArrow(local, "code long").distinct(), "frequent")
-    blocks = max(1, -(-found.count() // block))
-    codes, counts = [], []
-    for i in range(blocks):
-        own = np.sort(found.filter(F.pmod("code", F.lit(blocks)) == i).toPandas()["code"].to_numpy(np.int64).view(np.uint64))
-        if not len(own):
-            continue
-        table = np.zeros(1 << 22, bool)
-        table[(own & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        packed = np.packbits(table)
-
-        def lists(batches: Iterator[pa.RecordBatch], own=own, packed=packed) -> Iterator[pa.RecordBatch]:
-            """Which of the candidates each row has."""
-            table = np.unpackbits(packed).astype(bool)
-            for b in batches:
-                for first, data, offsets in text_blocks(b.column("text"), lower=True):
-                    code, row = shingle_block(data, offsets, size)
-                    at = np.flatnonzero(table[(code & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                    where = np.minimum(np.searchsorted(own, code[at]), len(own) - 1)
-                    hit = own[where] == code[at]
-                    pairs = np.unique(row[at][hit] * len(own) + where[hit])
-                    ends = np.searchsorted(pairs // len(own), np.arange(len(offsets)))
-                    some = np.flatnonzero(np.diff(ends))
-                    sizes = np.append(ends[some], ends[-1]).astype(np.int32)
-                    yield pa.record_batch([b.column("t").take(pa.array(first + some)), pa.ListArray.from_arrays(pa.array(sizes), pa.array((pairs % len(own)).astype(np.int32)))], ["t", "has"])
-
-        each = docs.select("t", "text").mapInArrow(tidy(lists), "t long, has array<int>").dropDuplicates(["t"]).join(kept.hint("merge"), "t", "left_semi")
-        sums = each.select(F.explode("has").alias("i")).groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, share * n)).toPandas()
-        codes.append(own[sums["i"].to_numpy(np.int64)])
-        counts.append(sums["n"].to_numpy(np.int64))
-    codes, counts = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((codes, np.uint64), (counts, np.int64)))
-    order = np.argsort(codes)
-    return n, codes[order], counts[order]
+                    place += 1
+                    ids, codes, kinds, words = [], [], [], []
+        if ids:
+            yield flush()
+
+    lists = "t1 array<long>, t2 array<long>, kinds array<long>, words array<long>"
+
+    def count(rows: pa.Table) -> pa.Table:
+        """Of one bucket: the shingles of several rows, by block; lists of texts pass."""
+        found = []
+        table = rows.combine_chunks()
+        own = np.flatnonzero(table["code"].is_valid().to_numpy())
+        codes = [_unpacked(table["code"][i].as_py(), np.uint64) for i in own]
+        if codes:
+            code = np.concatenate(codes)
+            order = np.argsort(code)
+            starts = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+            times = np.diff(np.append(starts, len(code)))
+            seen = np.empty(len(code), np.uint32)
+            seen[order] = np.repeat(times, times)
+            ends = np.cumsum([len(x) for x in codes])
+            for i, a, b in zip(own.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                often = seen[a:b] > 1
+                if often.any():
+                    found.append((table["block"][i].as_py(), _packed(_unpacked(table["at"][i].as_py(), np.uint32)[often]), _packed(seen[a:b][often])))
+        passing = table.filter(table["code"].is_null()).select(["block", "t1", "t2", "kinds", "words"])
+        kind = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("df", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("t1", "t2", "kinds", "words"))])
+        out = pa.table({"block": [x[0] for x in found], "at": [x[1] for x in found], "df": [x[2] for x in found]} | {c: [None] * len(found) for c in kind.names[3:]}, schema=kind)
+        others = pa.table({c: passing[c].cast(kind.field(c).type) if c in passing.column_names else pa.nulls(len(passing), pa.binary()) for c in kind.names}, schema=kind)
+        release()
+        return pa.concat_tables([out, others])
+
+    def deal(rows: pa.Table) -> pa.Table:
+        """Of one block: the frequencies of each text's shingles."""
+        table = rows.combine_chunks()
+        lists = table.filter(table["t1"].is_valid())
+        t1, t2, kinds, words = (lists[c].combine_chunks().flatten().to_numpy() for c in ("t1", "t2", "kinds", "words"))
+        ends = np.concatenate([[0], np.cumsum(kinds)])
+        df = np.ones(ends[-1], np.int32)
+        for at, seen in zip(table["at"].to_pylist(), table["df"].to_pylist(), strict=True):
+            if at is not None:
+                df[_unpacked(at, np.uint32)] = _unpacked(seen, np.uint32)
+        alone = np.diff(np.concatenate([[0], np.cumsum(df == 1)])[ends])
+        keep = (kinds > 0) & (alone <= (1 - threshold) * words + 1e-6)
+        first = np.zeros(len(keep), bool)
+        first[np.unique(np.stack([t1, t2], axis=1), axis=0, return_index=True)[1]] = True
+        keep &= first
+        values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kinds[keep])]).astype(np.int32)), pa.array(df[np.repeat(keep, kinds)]))
+        release()
+        return pa.table({"t1": pa.array(t1[keep]), "t2": pa.array(t2[keep]), "df": values})
+
+    sent = docs.select("t1", "t2", "text").mapInArrow(tidy(occurrences), f"block long, bucket int, code binary, at binary, {lists}")
+    counted = sent.groupBy("bucket").applyInArrow(count, f"block long, at binary, df binary, {lists}")
+    return counted.groupBy("block").applyInArrow(deal, "t1 long, t2 long, df array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,12 +189,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 3, share: float = 0.01, block: int = 200, idf: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 3, block: int = 200, idf: bool = True) -> DataFrame:
     """(doc_id, class_id, text_id) of every row of ``docs`` (doc_id, text).
 
     Texts are equal, or linked if the weighted Jaccard similarity of their TF-IDF weighted ``size``-word shingles is ``threshold``
     or more; a class is a connected component, named by its least doc_id, and text_id is the least doc_id of the same
-    text. A shingle's weight is how often it comes times ln(1 + families / families that have it), at least ``share`` of them: see
+    text. A shingle's weight is how often it comes times 1 + ln((1 + rows) / (1 + rows that have it)), counted over all rows: see
     ``document_frequencies``; without ``idf`` it is how often it comes.
     Candidates share one of ``bands`` bands of ``rows`` samples: a pair at 0.8 is missed with a probability of
     (1 - 0.8 ** 3) ** 12 = 0.0002. Each text of a bucket is compared with the bucket's center; then every pair of a bucket
@@ -178,40 +205,39 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Two hashes name a text. Copies fall together here, before anything is compared.
     named = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
-    n, known, counts = document_frequencies(named.select(F.col("t1").alias("t"), "text"), size=size, share=share) if idf else (0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    weight, rest = np.log1p(n / np.maximum(1, counts)), float(np.log1p(n / max(1.0, share * n))) if n else 1.0
+    texts = saved(named.groupBy("t1", "t2").agg(F.min("doc_id").alias("node")), "texts")
+    seen = document_frequencies(named, size=size, threshold=threshold).dropDuplicates(["t1", "t2"])
+    total = named.count() if idf else 0
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = WeightedSampler(bands * rows)
         for batch in batches:
             for first, data, offsets in text_blocks(batch.column("text"), 1 << 19, lower=True):
                 n = len(offsets) - 1
-                row, code, w = _weighted(data, offsets, size, known, weight, rest)
-                at = np.flatnonzero(np.append(True, np.diff(row) != 0)) if len(row) else np.zeros(0, np.int64)
-                keys = np.zeros((len(at), bands), np.uint64)
-                for s, picked in enumerate(sampler.sample(code, w, at) if len(at) else ()):
+                row, code, w = _weighted(data, offsets, size, batch.column("df").slice(first, n), total)
+                at = np.flatnonzero(np.append(True, np.diff(row) != 0))  # each of these texts has a shingle
+                keys = np.zeros((n, bands), np.uint64)
+                for s, picked in enumerate(sampler.sample(code, w, at)):
                     keys[:, s // rows] = mix(keys[:, s // rows] + picked + np.uint64(s))
-                size_of = np.zeros(n, np.int32)
-                size_of[row[at]] = bands
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size_of)]).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.record_batch([*(batch.column(c).slice(first, n) for c in ("doc_id", "t1", "t2")), lists], ["doc_id", "t1", "t2", "keys"])
-
-    signed = named.mapInArrow(tidy(signatures), "doc_id long, t1 long, t2 long, keys array<long>")
-    texts = saved(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "texts")
-    each = texts.select("node", F.posexplode("keys").alias("band", "key"))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+                yield pa.record_batch([*(batch.column(c).slice(first, n) for c in ("doc_id", "text", "df")), lists], ["doc_id", "text", "df", "keys"])
+
+    # Only texts that can reach the threshold are ever compared: these are taken out once, so that comparisons move no others.
+    # The joins are merges at every size, also where the ids would fit into a broadcast.
+    able = texts.hint("merge").join(seen, ["t1", "t2"]).withColumnRenamed("node", "doc_id")
+    pool = named.hint("merge").join(able, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select("doc_id", "text", "df")
+    pool = saved(pool.mapInArrow(tidy(signatures), "doc_id long, text string, df array<int>, keys array<long>"), "candidates")
+    each = pool.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("band", "key"))
     # The center of a bucket is its text of the lowest hash; bands take turns in one of two hashes, so that a text meets two centers.
     turn = F.xxhash64("node", F.col("band") % 2)
     center = each.groupBy("band", "key").agg(F.min_by("node", F.struct(turn, F.col("node"))).alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "key", "a")
     inside = saved(each.join(center, ["band", "key"]), "buckets")
     tried = saved(inside.filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-    # Only texts in a bucket with another are ever compared: these are taken out once, so that comparisons move no others.
-    # The join is a merge at every size, also where the ids would fit into a broadcast.
-    pool = saved(docs.join(inside.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "candidates")
-    links = saved(_verify(pool, tried, size, threshold, known, weight, rest, block), "links")
+    links = saved(_verify(pool, tried, size, threshold, total, block), "links")
     # What is still apart in a bucket is compared pair by pair; texts of one class need no further link.
     dealt = saved(_dealt(inside, components(links), block), "dealt")
     if not dealt.isEmpty():
-        links = links.unionByName(saved(_verify_blocks(pool, texts, dealt, size, threshold, known, weight, rest), "links"))
+        links = links.unionByName(saved(_verify_blocks(pool, dealt, size, threshold, total), "links"))
     labels = components(links)
     classes = texts.join(labels, "node", "left").select("t1", "t2", F.col("node").alias("text_id"), F.coalesce("label", "node").alias("class_id"))
     return named.select("doc_id", "t1", "t2").join(classes, ["t1", "t2"]).select("doc_id", "class_id", "text_id")
@@ -225,7 +251,7 @@ def _similarity(a: np.ndarray, v: np.ndarray, a_mass: float, b: np.ndarray, w: n
     return shared / (a_mass + b_mass - shared)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, size: int, threshold: float, known: np.ndarray, weight: np.ndarray, rest: float, block: int) -> DataFrame:
+def _verify(docs: DataFrame, pairs: DataFrame, size: int, threshold: float, total: int, block: int) -> DataFrame:
     """(a, b, similarity) of those ``pairs`` (a, b) of doc_ids whose texts reach the threshold.
 
     The partners of one text are dealt into blocks of about ``block``, each with a copy of that text, so that a text with
@@ -234,7 +260,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int, threshold: float, know
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("parts"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     needs = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")).unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role")).distinct())
-    rows = docs.join(needs.hint("merge"), "doc_id").select("a", "part", "role", "doc_id", "text")
+    rows = docs.join(needs.hint("merge"), "doc_id").select("a", "part", "role", "doc_id", "text", "df")
     grouped = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +270,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int, threshold: float, know
             a, role, ids = (batch.column(c).to_pylist() for c in ("a", "role", "doc_id"))
             out = []
             for first, data, offsets in text_blocks(batch.column("text"), lower=True):
-                row, code, w = _weighted(data, offsets, size, known, weight, rest)
+                row, code, w = _weighted(data, offsets, size, batch.column("df").slice(first, len(offsets) - 1), total)
                 cut = np.searchsorted(row, np.arange(len(offsets)))
                 for r in range(len(offsets) - 1):
                     c, v, i = code[cut[r] : cut[r + 1]], w[cut[r] : cut[r + 1]], first + r
@@ -289,22 +315,20 @@ def _dealt(inside: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     return placed.select("node", "label", "band", "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"))
 
 
-def _verify_blocks(pool: DataFrame, texts: DataFrame, dealt: DataFrame, size: int, threshold: float, known: np.ndarray, weight: np.ndarray, rest: float) -> DataFrame:
+def _verify_blocks(pool: DataFrame, dealt: DataFrame, size: int, threshold: float, total: int) -> DataFrame:
     """(a, b, similarity) that join the classes of ``dealt`` as all pairs of texts at the threshold would.
 
     Each pair that shares a band is looked at in the first band it shares, in the one pair of blocks that holds it.
     """
-    own = pool.join(dealt.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
-    own = own.join(texts.select("t1", "t2", "keys").hint("merge"), ["t1", "t2"])
-    rows = own.join(dealt.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").filter(F.col("keys")[F.col("band")] == F.col("key"))
+    rows = pool.join(dealt.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").filter(F.col("keys")[F.col("band")] == F.col("key"))
     place = ["band", "key", "i", "j"]
-    grouped = rows.select(*place, "side", "doc_id", "label", "keys", "text").repartition(*place).sortWithinPartitions(*place, "side", "doc_id")
+    grouped = rows.select(*place, "side", "doc_id", "label", "keys", "text", "df").repartition(*place).sortWithinPartitions(*place, "side", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def flush() -> pa.RecordBatch:
-            out = _links_of(pa.Table.from_batches(held).combine_chunks(), size, threshold, known, weight, rest) if held else []
+            out = _links_of(pa.Table.from_batches(held).combine_chunks(), size, threshold, total) if held else []
             return pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["a", "b", "similarity"])
 
         for batch in batches:
@@ -323,7 +347,7 @@ def _verify_blocks(pool: DataFrame, texts: DataFrame, dealt: DataFrame, size: in
     return grouped.mapInArrow(tidy(compare), "a long, b long, similarity double")
 
 
-def _links_of(group: pa.Table, size: int, threshold: float, known: np.ndarray, weight: np.ndarray, rest: float, width: int = 4096) -> list[tuple[int, int, float]]:
+def _links_of(group: pa.Table, size: int, threshold: float, total: int, width: int = 4096) -> list[tuple[int, int, float]]:
     """Links between the texts of one pair of blocks; a pair of classes that links join already needs no other."""
     band, inner = group["band"][0].as_py(), group["i"][0].as_py() == group["j"][0].as_py()
     ids, labels, side = (group[c].to_numpy() for c in ("doc_id", "label", "side"))
@@ -337,8 +361,9 @@ def _links_of(group: pa.Table, size: int, threshold: float, known: np.ndarray, w
         return []
     ids, labels, want = ids[used], labels[used], want[np.ix_(used, used)]
     bags: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, data, offsets in text_blocks(group["text"].take(pa.array(used)), lower=True):
-        row, code, w = _weighted(data, offsets, size, known, weight, rest)
+    seen = group["df"].take(pa.array(used)).combine_chunks()
+    for first, data, offsets in text_blocks(group["text"].take(pa.array(used)), lower=True):
+        row, code, w = _weighted(data, offsets, size, seen.slice(first, len(offsets) - 1), total)
         cut = np.searchsorted(row, np.arange(len(offsets)))
         bags += [(code[x:y], w[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
     mass = np.array([w.sum() for _, w in bags])

@@ -156,6 +156,40 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[k] for k in range(len(rows))] == label
 
 
+def shingle_counts(text):
+    words = text.lower().split()
+    return collections.Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else {}
+
+
+def test_document_frequencies_count_every_row(spark):
+    """Each shingle of each text, over all rows, copies and rare shingles too; blocks and buckets of few shingles."""
+    base = [prose(700 + i, 60) for i in range(6)]
+    texts = [*base, base[0], base[0], base[1] + " " + base[2], base[3][:150], "two words", "two words", "", " ", *(base[4] + f" end{i}" for i in range(9))]
+    counts = [shingle_counts(t) for t in texts]
+    every = collections.Counter(k for c in counts for k in c)
+    docs = spark.createDataFrame([(i, i // 5, t) for i, t in enumerate(texts)], "t1 long, t2 long, text string").repartition(3)
+    got = {r.t1: sorted(r.df) for r in near_dup.document_frequencies(docs, block=100, bucket=10).collect()}
+    assert got == {i: sorted(every[k] for k in c) for i, c in enumerate(counts) if c}
+
+
+def test_near_duplicates_weigh_by_frequencies_over_all_rows(spark):
+    """What all texts share weighs little: against every pair by TF-IDF; by plain counts all 24 would be one class."""
+    common = prose(801, 230)
+    texts = [f"{common} {prose(810 + i // 2, 18)}" + (f" own{i}" if i % 2 else "") for i in range(24)]
+    counts = [shingle_counts(t) for t in texts]
+    every = collections.Counter(k for c in counts for k in c)
+    idf = {k: 1 + np.log((1 + len(texts)) / (1 + n)) for k, n in every.items()}
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = counts[a], counts[b]
+            low, high = (sum(f(x.get(k, 0), y.get(k, 0)) * idf[k] for k in x | y) for f in (min, max))
+            if low >= 0.8 * high:
+                label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[i] for i in range(len(texts))] == label and len(set(label)) == 12
+
+
 @pytest.mark.parametrize("block", [200, 8])
 def test_every_pair_of_a_bucket_is_compared(spark, block):
     """Dozens of texts of one template at plain similarities about the threshold: the classes are those of all pairs."""
