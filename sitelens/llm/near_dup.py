@@ -172,6 +172,28 @@ def document_frequencies(docs: DataFrame, *, size: int = 5, threshold: float = 0
     return counted.groupBy("block").applyInArrow(deal, "t1 long, t2 long, df array<int>")
 
 
+def _maybe_among(ids: DataFrame, column: str, bits_each: int = 16):
+    """A condition on ``column``: true for every one of its values in ``ids`` (long), and for about one other in 3,000.
+
+    A Bloom filter of four bits for each of ``ids``, so that a join moves few other rows; 2 bytes for each go to the tasks.
+    """
+    n = max(1 << 12, ids.count() * bits_each)
+    marks = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(k)), F.lit(n)) for k in range(4)))).alias("bit"))
+    words = marks.groupBy((F.col("bit") / 32).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask")).toPandas()
+    table = np.zeros(n // 32 + 1, np.uint32)
+    table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+
+    @F.arrow_udf("boolean")
+    def held(*bits: pa.Array) -> pa.Array:
+        found = np.ones(len(bits[0]), bool)
+        for b in bits:
+            x = b.to_numpy(zero_copy_only=False)
+            found &= (table[x >> 5] >> (x & 31).astype(np.uint32)) & np.uint32(1) > 0
+        return pa.array(found)
+
+    return held(*(F.pmod(F.xxhash64(column, F.lit(k)), F.lit(n)) for k in range(4)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of ``edges`` (a, b); nodes without an edge are absent.
 
@@ -224,8 +246,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
 
     # Only texts that can reach the threshold are ever compared: these are taken out once, so that comparisons move no others.
     # The joins are merges at every size, also where the ids would fit into a broadcast.
-    able = texts.hint("merge").join(seen, ["t1", "t2"]).withColumnRenamed("node", "doc_id")
-    pool = named.hint("merge").join(able, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select("doc_id", "text", "df")
+    able = saved(texts.hint("merge").join(seen, ["t1", "t2"]).withColumnRenamed("node", "doc_id"), "able")
+    near = named.filter(_maybe_among(able.select("t1"), "t1"))
+    pool = near.hint("merge").join(able, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select("doc_id", "text", "df")
     pool = saved(pool.mapInArrow(tidy(signatures), "doc_id long, text string, df array<int>, keys array<long>"), "candidates")
     each = pool.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("band", "key"))
     # The center of a bucket is its text of the lowest hash; bands take turns in one of two hashes, so that a text meets two centers.
