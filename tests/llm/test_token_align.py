@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from sitelens.llm import token_align as T
@@ -117,3 +118,30 @@ def test_many_links_by_counts():
         row, pair, n = T.linked_pairs(groups, np.array([0, 1]), a, b, at_once)
         want = Counter((r, int(x) * T._PIECES + int(y)) for r, (s, e, p, q) in enumerate(groups) for x in a[s:e] for y in b[p:q])
         assert dict(zip(zip(row.tolist(), pair.tolist(), strict=True), n.tolist(), strict=True)) == want
+
+
+def test_each_different_stretch_is_aligned_once(monkeypatch):
+    """A text's repeated words don't go through the alignment again: 4,000 tokens of either side before, those of 8 stretches now."""
+    tokenizers, seen = T.TokenizerPair(A, B), []
+    plain_align = T.align
+    monkeypatch.setattr(T, "align", lambda ends_a, ends_b, *bounds: (seen.append(len(ends_a)), plain_align(ends_a, ends_b, *bounds))[1])
+    texts = ["anthe tionwh, ouble ered. " * 300, "anthe ouble ered. " * 200]
+    offsets = np.cumsum([0, *map(len, texts)])
+    out = T._aligned_block(tokenizers, pa.array([1, 2]), 0, np.frombuffer("".join(texts).encode(), np.uint8), offsets, 0)
+    assert [(x["n_a"], x["n_b"], x["n_groups"], x["n_links"], x["groups_sha256"]) for x in out.to_pylist()] == [(a, b, g, n, h) for a, b, g, n, _, _, h in plain(texts)]
+    assert sum(seen) < 60
+
+
+def test_few_known_stretches():
+    """Ids come out the same when known stretches are dropped all the time, and for rows that are encoded whole."""
+    rng = random.Random(8)
+    words = ["anthe", "ouble,", "ünd", "不", "a▁b", "é", " ", "tion.", "\n", "x" * 40]
+    texts = TEXTS + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    want = plain(texts)
+    for most in (2, 40, 250_000):
+        tokenizers, got = T.TokenizerPair(A, B, most), []
+        for k in range(0, len(texts), 7):
+            part = pa.array(texts[k : k + 7], pa.string())
+            for first, data, offsets in T.text_blocks(part):
+                got += T._aligned_block(tokenizers, pa.array(range(len(part))), first, data, offsets, 0).to_pylist()
+        assert [(x["n_a"], x["n_b"], x["n_groups"], x["n_links"], x["groups_sha256"]) for x in got] == [(a, b, g, n, h) for a, b, g, n, _, _, h in want]
