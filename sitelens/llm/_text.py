@@ -81,6 +81,64 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def changes(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of ordered values is the first of its kind."""
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return first
+
+
+def different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different value, in order of values, and which of them stands at each place."""
+    order = np.argsort(hashes)
+    new = changes(hashes[order])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` one after another."""
+    return flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+class Known:
+    """Runs of ids (one of each of ``sides``) by the hashes of what they stand for: all ids one after another, and where runs begin and end."""
+
+    def __init__(self, sides: int, kind: str):
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sides = [(np.zeros(0, kind), np.zeros(1, np.int64))] * sides
+
+    def more_than(self, most: int) -> bool:
+        """Whether these are more runs, or runs of eight ids on average."""
+        return len(self.hashes) > most or max(len(ids) for ids, _ in self.sides) > 8 * most
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Their numbers here; -1 for one that isn't known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.slots[at], -1)
+
+    def lacks(self, hashes: np.ndarray, older: Known) -> np.ndarray:
+        """Places of hashes that are known neither here nor in ``older``; what only that knows is taken over."""
+        missing = np.flatnonzero(self.find(hashes) < 0)
+        there = older.find(hashes[missing])
+        self.add(hashes[missing[there >= 0]], older.take(there[there >= 0]))
+        return missing[there < 0]
+
+    def add(self, hashes: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``sides`` are ids and how many each run has."""
+        order = np.argsort(hashes)
+        where = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.slots = np.insert(self.hashes, where, hashes[order]), np.insert(self.slots, where, len(self.slots) + order)
+        self.sides = [(np.concatenate([ids, more]), np.concatenate([bounds, bounds[-1] + np.cumsum(size)])) for (ids, bounds), (more, size) in zip(self.sides, sides, strict=True)]
+
+    def take(self, slots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        sizes = [bounds[slots + 1] - bounds[slots] for _, bounds in self.sides]
+        return [(ragged(ids, bounds[slots], size), size) for (ids, bounds), size in zip(self.sides, sizes, strict=True)]
+
+
 def row_of(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, positions, "right") - 1
 

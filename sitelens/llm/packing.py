@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import row_of, saved, span_hashes, text_blocks, tidy, word_spans
+from ._text import Known, different, ragged, row_of, saved, span_hashes, text_blocks, tidy, word_spans
 
 BLOCK = 1 << 19  # bytes of text that a task encodes at once
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -20,9 +20,16 @@ _LOWER[65:91] += 32
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?%$#&*")] = True
 _ALNUM = np.zeros(256, bool)
+_LETTER = np.arange(256) >= 128  # may be of a lower-case letter
+_LETTER[97:123] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
+def _plain(text: str) -> bool:
+    """Whether a text is of lower-case letters alone."""
+    return text.isalpha() and text == text.lower()
+
+
 class WordTokenizer:
     """Token ids of whole texts from the ids of their words, each different word being encoded once a task.
 
@@ -38,28 +45,54 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}  # words not met since the newer ones were half of ``most_words``
+        self.words, self.older = Known(1, "<u4"), Known(1, "<u4")  # the older ones not met since the newer ones were half of ``most_words``
         self.most_words = most_words
 
-    def _learn(self, words: dict[int, str]) -> None:
-        simple = {h: w for h, w in words.items() if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)}
-        keys, left = list(simple), [h for h in words if h not in simple]
-        self.tokenizer.normalizer = self.plain
-        for i in range(0, len(keys), 512):
-            part = keys[i : i + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple[h] for h in part)], add_special_tokens=False)[0].ids, np.int64)
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        letter = _LETTER[data]
+        letter[:-1] &= (data[:-1] != 0xC3) | (data[1:] >= 0x9F)  # capitals of Latin-1
+        within = lambda kind: (lambda n: n[ends] - n[starts] == ends - starts)(np.concatenate([[0], np.cumsum(kind)]))
+        may, ascii_ = within(letter), within(letter & (data < 128))
+        found, left = [], [np.flatnonzero(~may)]
+
+        def together(part: np.ndarray) -> bool:
+            """Encodes words as one text, if none of them is changed by the normalizer or parted."""
+            size = ends[part] - starts[part] + 1  # with a space, or what follows a word in its text
+            raw = ragged(data, starts[part], size - 1)
+            if not _plain(raw.tobytes().decode()):
+                return False
+            text = np.full(int(size.sum()), 32, np.uint8)
+            text[np.arange(len(raw)) + np.repeat(np.arange(len(part)), size - 1)] = raw
+            text = text.tobytes().decode()
+            if not unicodedata.is_normalized("NFC", text):
+                return False
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                left += part
-                continue
-            small = ids.astype("<u4")
-            self.words.update((h, small[a:b].tobytes()) for h, a, b in zip(part, [0, *stops.tolist()], stops.tolist(), strict=False))
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                return False
+            found.append((part, ids, np.diff(np.concatenate([[0], stops]))))
+            return True
+
+        self.tokenizer.normalizer = self.plain
+        many = np.concatenate([np.flatnonzero(ascii_), np.flatnonzero(may & ~ascii_)])
+        for i in range(0, len(many), 512):
+            part = many[i : i + 512]
+            if not together(part):
+                words = [data[a:b].tobytes().decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+                simple = np.array([_plain(w) and unicodedata.is_normalized("NFC", w) for w in words], bool)
+                left.append(part[~simple])
+                if simple.any() and not together(part[simple]):
+                    left.append(part[simple])
         self.tokenizer.normalizer = self.normal
-        for i in range(0, len(left), 512):
-            part = left[i : i + 512]
-            for h, x in zip(part, self.tokenizer.encode_batch_fast([words[h] for h in part], add_special_tokens=False), strict=True):
-                self.words[h] = np.array(x.ids, "<u4").tobytes()
+        rest = np.concatenate(left)
+        for i in range(0, len(rest), 512):
+            part = rest[i : i + 512]
+            words = [data[a:b].tobytes().decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            found.append((part, np.array([k for x in ids for k in x], np.int64), np.array([len(x) for x in ids], np.int64)))
+        if found:
+            own, ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+            self.words.add(hashes[own], [(ids.astype("<u4"), sizes)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, each row's followed by ``last``; and the offsets of the rows among them."""
@@ -67,9 +100,10 @@ class WordTokenizer:
         if b"<|" not in data.tobytes():  # else it may hold the name of a special token, which lower case would change
             data = _LOWER[data]
         starts, ends = word_spans(data, offsets)
-        cut = ends.copy()
+        cut, left = ends.copy(), np.arange(len(ends))
         for _ in range(8):
-            cut -= _TAIL[data[cut - 1]] & (cut - 1 > starts)
+            left = left[_TAIL[data[cut[left] - 1]] & (cut[left] - 1 > starts[left])]
+            cut[left] -= 1
         cut = np.where(_ALNUM[data[cut - 1]], cut, ends)
         tail = cut < ends
         order = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(tail)[:-1]]) if len(starts) else np.zeros(0, np.int64)
@@ -77,21 +111,16 @@ class WordTokenizer:
         first[order], stop[order] = starts, cut
         first[order[tail] + 1], stop[order[tail] + 1] = cut[tail], ends[tail]
         hashes = span_hashes(data, first, stop)
-        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        if len(self.words) > self.most_words // 2:
-            self.words, self.older = {}, self.words
-        words, older = self.words, self.older
-        words.update((h, older[h]) for h in keys if h in older and h not in words)
-        raw = data.tobytes()
-        self._learn({h: raw[first[i] : stop[i]].decode() for h, i in zip(keys, at.tolist(), strict=True) if h not in self.words})
-        parts = [self.words[h] for h in keys]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        where = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-        length = size[inverse]
+        at, which = different(hashes)
+        unique = hashes[at]
+        if self.words.more_than(self.most_words // 2):
+            self.words, self.older = Known(1, "<u4"), self.words
+        fresh = at[self.words.lacks(unique, self.older)]
+        self._learn(data, first[fresh], stop[fresh], hashes[fresh])
+        ((flat, size),) = self.words.take(self.words.find(unique))
+        length = size[which]
         before = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(where[inverse] - before[:-1], length) + np.arange(before[-1])]
+        ids = ragged(flat, (np.cumsum(size) - size)[which], length)
         bounds = before[np.searchsorted(row_of(offsets, first), np.arange(1, rows + 1), "left")]  # ids up to the end of each row
         ids = np.insert(ids, bounds, np.uint32(last))
         return ids.astype("<u4"), np.concatenate([[0], bounds + np.arange(1, rows + 1)])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import row_of, saved, span_hashes, text_blocks, tidy
+from ._text import Known, changes, different, ragged, row_of, saved, span_hashes, text_blocks, tidy
 
 _MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
@@ -43,7 +43,7 @@ class _Vocabulary:
         return found.astype(np.int32) if len(found) and found[-1] < 1 << 31 else found
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
-        return _ragged(self.flat, self.start[ids], self.length[ids])
+        return ragged(self.flat, self.start[ids], self.length[ids])
 
 
 def _may_cut(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -56,37 +56,6 @@ def _may_cut(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found
 
 
-def _ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Runs of ``flat`` one after another."""
-    return flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-
-
-class _Known:
-    """Ids of stretches by either tokenizer, one after another, and where those of a hash begin and end."""
-
-    def __init__(self):
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.sides = [(np.zeros(0, "<u2"), np.zeros(1, np.int64))] * 2
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Their numbers here; -1 for one that isn't known."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.slots[at], -1)
-
-    def add(self, hashes: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """``sides`` are ids and how many each stretch has."""
-        order = np.argsort(hashes)
-        where = np.searchsorted(self.hashes, hashes[order])
-        self.hashes, self.slots = np.insert(self.hashes, where, hashes[order]), np.insert(self.slots, where, len(self.slots) + order)
-        self.sides = [(np.concatenate([ids, more]), np.concatenate([bounds, bounds[-1] + np.cumsum(size)])) for (ids, bounds), (more, size) in zip(self.sides, sides, strict=True)]
-
-    def take(self, slots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        sizes = [bounds[slots + 1] - bounds[slots] for _, bounds in self.sides]
-        return [(_ragged(ids, bounds[slots], size), size) for (ids, bounds), size in zip(self.sides, sizes, strict=True)]
-
-
 class TokenizerPair:
     """Whole texts as stretches with their ids by two tokenizers, each different stretch being encoded once a task.
 
@@ -113,7 +82,7 @@ class TokenizerPair:
         self.b = _Vocabulary([bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)], b";")
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.marks = self.cuts and not any(re.search(r"[A-Za-z0-9][.,;:!?]", p) for p in pieces)
-        self.known, self.older = _Known(), _Known()  # the older ones haven't been asked for since
+        self.known, self.older = Known(2, "<u2"), Known(2, "<u2")  # the older ones haven't been asked for since
         self.most_stretches = most_stretches
 
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +107,7 @@ class TokenizerPair:
         text = np.empty(int(stops[-1]) if len(stops) else 0, np.uint8)
         text[before[extra > 0]], text[before[extra > 0] + 1] = ord(" "), ord("a")
         size = stops - begins
-        text[np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = _ragged(data, starts[many], size)
+        text[np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = ragged(data, starts[many], size)
         i = 0
         while i < len(many):
             j = max(i + 1, int(np.searchsorted(stops, before[i] + 32_768)))
@@ -148,7 +117,7 @@ class TokenizerPair:
                 start, stop = np.searchsorted(at, begins[i:j]), np.searchsorted(at, stops[i:j])
                 if v.bytes_of(ids).tobytes() != part or not (np.array_equal(at[start], begins[i:j]) and np.array_equal(at[stop], stops[i:j])):
                     break
-                sides.append((_ragged(ids.astype("<u2"), start, stop - start), stop - start))
+                sides.append((ragged(ids.astype("<u2"), start, stop - start), stop - start))
             if len(sides) == 2:
                 found.append((many[i:j], *sides))
             else:
@@ -178,17 +147,11 @@ class TokenizerPair:
         starts = np.flatnonzero(first[:-1])
         ends = np.append(starts[1:], len(data))[: len(starts)]
         hashes = span_hashes(data, starts, ends)
-        order = np.argsort(hashes)
-        new = _changes(hashes[order])
-        at, which = order[new], np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
+        at, which = different(hashes)
         unique = hashes[at]
-        if len(self.known.hashes) > self.most_stretches // 2 or max(len(ids) for ids, _ in self.known.sides) > 4 * self.most_stretches:
-            self.known, self.older = _Known(), self.known
-        fresh = self.known.find(unique) < 0
-        older = self.older.find(unique[fresh])
-        self.known.add(unique[fresh][older >= 0], self.older.take(older[older >= 0]))
-        fresh = at[fresh][older < 0]
+        if self.known.more_than(self.most_stretches // 2):
+            self.known, self.older = Known(2, "<u2"), self.known
+        fresh = at[self.known.lacks(unique, self.older)]
         self._learn(data, starts[fresh], ends[fresh], hashes[fresh])
         sides, right = [], np.ones(len(starts), bool)
         for (ids, size), v in zip(self.known.take(self.known.find(unique)), (self.a, self.b), strict=True):
@@ -264,22 +227,15 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray, bounds_a: np.ndarray, bounds_b
     return found[:, np.argsort(found[0], kind="stable")].T
 
 
-def _changes(ordered: np.ndarray) -> np.ndarray:
-    """Whether each of ordered values is the first of its kind."""
-    first = np.ones(len(ordered), bool)
-    first[1:] = ordered[1:] != ordered[:-1]
-    return first
-
-
 def _counted(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, in order, and the sum of its ``n``; without those, how often it comes."""
     if n is None:
         key = np.sort(key)
-        first = np.flatnonzero(_changes(key))
+        first = np.flatnonzero(changes(key))
         return key[first], np.diff(np.append(first, len(key)))
     order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(_changes(key))
+    first = np.flatnonzero(changes(key))
     return key[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
@@ -329,7 +285,7 @@ def pairs_of_rows(stretch: np.ndarray, pair: np.ndarray, links: np.ndarray, rows
     while i < len(row):
         j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + at_once, "right")))
         n = stop[i:j] - first[i:j]
-        parts.append(_counted(np.repeat(row[i:j], n) << 32 | _ragged(pair, first[i:j], n), np.repeat(times[i:j], n) * _ragged(links, first[i:j], n)))
+        parts.append(_counted(np.repeat(row[i:j], n) << 32 | ragged(pair, first[i:j], n), np.repeat(times[i:j], n) * ragged(links, first[i:j], n)))
         i = j
     key, n = _together(parts)
     return key >> 32, key & 0xFFFFFFFF, n

@@ -132,6 +132,45 @@ def test_packing_ends_where_nothing_fits(spark, monkeypatch):
     assert packing.pack(items.limit(0)).collect() == []
 
 
+def test_packing_learns_words_together():
+    """20,000 words met for the first time take few calls of Python; 141,084 before."""
+    import cProfile
+    import pstats
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    syllables = ["an", "the", "ing", "ció", "é", "lly", "wh", "ou", "ß", "on"]
+    words = sorted({"".join(x) for x in np.random.default_rng(2).choice(syllables, (40_000, 7))})[:20_000]
+    text = " ".join(words)
+    data = np.frombuffer(text.encode(), np.uint8)
+    profile = cProfile.Profile()
+    words_of = packing.WordTokenizer(path)
+    ids, bounds = profile.runcall(words_of.encode, data, np.array([0, len(data)]), 1)
+    assert len(words) == 20_000 and pstats.Stats(profile).total_calls < 5000
+    assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1] and bounds.tolist() == [0, len(ids)]
+
+
+def test_packing_odd_words_among_others():
+    """Words that the normalizer changes or parts, between others, also when known words are dropped all the time."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    odd = ["Éa", "éa", "e\u0301a", "İx", "ΟΔΟΣ", "οδος", "ﬁn", "a–b", "«ça»", "—", "naïve…", "x²", "Ⅷ", "日本語", "\u0301", "don't", "3,14%", "ab\u200bc", "中文。", "ǅ", "ª", "×", "ß", "a\u00a0b", "\x00", "!!!!!!!!!!!!", "ok!?..."]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([*odd, *WORDS[:40], "thean", "über", "ció"], 60)) for _ in range(40)] + ["", "Σ", *odd]
+    for most in (2, 50, 200_000):
+        words = packing.WordTokenizer(path, most)
+        for k in range(0, len(texts), 9):
+            part = texts[k : k + 9]
+            offsets = np.cumsum([0, *(len(t.encode()) for t in part)])
+            ids, bounds = words.encode(np.frombuffer("".join(part).encode(), np.uint8), offsets, 1)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in part]
+
+
 # ---- near duplicates -------------------------------------------------------------------------------------------------
 
 
