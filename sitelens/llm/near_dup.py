@@ -23,9 +23,20 @@ def _bags(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _weighted(data: np.ndarray, offsets: np.ndarray, size: int, seen: pa.ListArray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, TF-IDF weight); ``seen`` has the document frequencies of each row's shingles, in their order. Without ``total`` the weight is the count."""
+    """(row, shingle, TF-IDF weight); ``seen`` has the document frequencies of each row's shingles, in their order. Without ``total`` the weight is the count.
+
+    A frequency of 1 marks a shingle that no other text has: how rare it is cannot be told, so it weighs as the row's others do on average.
+    """
     row, code, count = _bags(data, offsets, size)
-    idf = 1 + np.log((1 + total) / (1 + seen.flatten().to_numpy())) if total else np.ones(len(code))
+    if not total:
+        return row, code, count.astype(float)
+    df = seen.flatten().to_numpy()
+    idf = 1 + np.log((1 + total) / (1 + df))
+    known = np.where(df > 1, count, 0)
+    n = len(offsets) - 1
+    mean = np.bincount(row, known * idf, minlength=n) / np.maximum(np.bincount(row, known, minlength=n), 1)
+    alone = (df <= 1) & (mean[row] > 0)
+    idf[alone] = mean[row[alone]]
     return row, code, count * idf
 
 
@@ -71,8 +82,8 @@ def document_frequencies(docs: DataFrame, *, size: int = 5, threshold: float = 0
 
     A task sends the shingles of about ``block`` places in texts, each text's once, into buckets of about ``bucket`` by their upper
     bits; there every shingle is counted, and those of several rows go back to their blocks. Texts that cannot reach a
-    similarity of ``threshold`` with another are left out: a shingle of one row alone weighs the most a shingle can and is shared with
-    none, so these may be no more than 1 - ``threshold`` of a text's. Texts without words are left out. A text may come several times.
+    similarity of ``threshold`` with another are left out: a shingle of one row alone is shared with none and weighs no less than the
+    others do on average, so these may be no more than 1 - ``threshold`` of a text's. Texts without words are left out. A text may come several times.
     """
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (int(bytes_ / 6 / bucket)).bit_length())
@@ -217,7 +228,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
     Texts are equal, or linked if the weighted Jaccard similarity of their TF-IDF weighted ``size``-word shingles is ``threshold``
     or more; a class is a connected component, named by its least doc_id, and text_id is the least doc_id of the same
     text. A shingle's weight is how often it comes times 1 + ln((1 + rows) / (1 + rows that have it)), counted over all rows: see
-    ``document_frequencies``; without ``idf`` it is how often it comes.
+    ``document_frequencies``; of a shingle that no other text has, times the mean of these over the text's other shingles, or what
+    a copy has of its own would outweigh what a large group of copies has in common. Without ``idf`` it is how often it comes.
     Candidates share one of ``bands`` bands of ``rows`` samples: a pair at 0.8 is missed with a probability of
     (1 - 0.8 ** 3) ** 12 = 0.0002. Each text of a bucket is compared with the bucket's center; then every pair of a bucket
     whose texts are still in two classes is compared, in pairs of blocks of about ``block`` texts. Words are runs of characters other than ASCII white space, in lower
@@ -227,7 +239,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Two hashes name a text. Copies fall together here, before anything is compared.
     named = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
-    texts = saved(named.groupBy("t1", "t2").agg(F.min("doc_id").alias("node")), "texts")
+    texts = saved(named.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "texts")
     seen = document_frequencies(named, size=size, threshold=threshold).dropDuplicates(["t1", "t2"])
     total = named.count() if idf else 0
 
@@ -246,7 +258,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
 
     # Only texts that can reach the threshold are ever compared: these are taken out once, so that comparisons move no others.
     # The joins are merges at every size, also where the ids would fit into a broadcast.
-    able = saved(texts.hint("merge").join(seen, ["t1", "t2"]).withColumnRenamed("node", "doc_id"), "able")
+    alone = F.transform("df", lambda x: F.when(x == F.col("copies"), 1).otherwise(x)).alias("df")  # equal texts are one
+    able = saved(texts.hint("merge").join(seen, ["t1", "t2"]).select("t1", "t2", F.col("node").alias("doc_id"), alone), "able")
     near = named.filter(_maybe_among(able.select("t1"), "t1"))
     pool = near.hint("merge").join(able, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select("doc_id", "text", "df")
     pool = saved(pool.mapInArrow(tidy(signatures), "doc_id long, text string, df array<int>, keys array<long>"), "candidates")

@@ -229,6 +229,22 @@ def test_near_duplicates_weigh_by_frequencies_over_all_rows(spark):
     assert [got[i] for i in range(len(texts))] == label and len(set(label)) == 12
 
 
+def test_near_copies_of_a_large_group_stay_together(spark):
+    """Copies of one text that each have two words of their own, among many other texts; some of them come twice."""
+    base = prose(901, 200).split()
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for k in (10 + 4 * i, (90 + 4 * i) % 180 + 8):
+            own[k] = f"own{i}x{k}"
+        rows += [(len(rows) + x, " ".join(own), "e") for x in range(2 if i % 5 == 0 else 1)]
+    group = len(rows)
+    rows += [(group + i, prose(2000 + i, 12), "e") for i in range(350)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {got[i] for i in range(group)} == {0}
+    assert all(got[i] >= group for i in range(group, len(rows)))
+
+
 @pytest.mark.parametrize("block", [200, 8])
 def test_every_pair_of_a_bucket_is_compared(spark, block):
     """Dozens of texts of one template at plain similarities about the threshold: the classes are those of all pairs."""
